@@ -79,3 +79,18 @@ def run_slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
     if first < len(sizes):
         out.append((first, len(sizes)))
     return out
+
+
+def keep_rows(docs: DataFrame, text: str, decide) -> DataFrame:
+    """The rows, with all their columns, for whose text decide(texts) says True.
+
+    decide gets the UTF-8 texts of an Arrow batch and runs in the task that
+    reads them; nothing is moved.
+    """
+    place = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(decide(utf8(batch.column(place))), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
