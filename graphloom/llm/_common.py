@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def map_arrow(df: DataFrame, body, schema) -> DataFrame:
+    """df.mapInArrow, with this package sent to the executors once a session,
+    as they need not have it installed."""
+    context = df.sparkSession.sparkContext
+    if getattr(context, "_graphloom_sent", None) is None:
+        root = Path(__file__).resolve().parents[1]
+        packed = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+        with zipfile.ZipFile(packed, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent).as_posix())
+        context.addPyFile(str(packed))
+        context._graphloom_sent = str(packed)
+    return df.mapInArrow(body, schema)
+
+
 def held_out(doc_id: str, folds: int, fold: int) -> Column:
     """crc32(doc_id as text) mod folds = fold; a null id counts as ''."""
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
@@ -93,4 +110,4 @@ def keep_rows(docs: DataFrame, text: str, decide) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(decide(utf8(batch.column(place))), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

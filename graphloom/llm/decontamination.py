@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import keep_rows, utf8
+from ._common import keep_rows, map_arrow, utf8
 from .shingles import mix, word_hashes
 
 #: Masks over word positions.  Any two words replaced in a run of 12 leave one whole.
@@ -181,7 +181,7 @@ def contaminated(docs: DataFrame, tests: DataFrame, doc_id: str = "doc_id", text
                 lists = [pa.array([[i for i, _ in b] for b in best], pa.list_(pa.int64()))] + [pa.array([[s[j] for _, s in b] for b in best], pa.list_(pa.int32())) for j in range(3)]
                 yield pa.RecordBatch.from_arrays([*kept, *lists], names=[*names, "item_ids", "starts", "words", "equal"])
 
-        return rows.mapInArrow(run, schema)
+        return map_arrow(rows, run, schema)
 
     out = against(blocks[0])
     for items in blocks[1:]:

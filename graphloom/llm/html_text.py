@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, sample_below, utf8
+from ._common import map_arrow, materialise, sample_below, utf8
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -229,7 +229,7 @@ def fit(pages: DataFrame, html: str = "html", sample: int = 2000) -> Model:
             found = sorted(learn([t.decode("utf-8", "replace") for t in utf8(batch.column("html"))]).items())
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v[0] for _, v in found], pa.int64()), pa.array([v[1] for _, v in found], pa.int64())], names=["f", "inside", "outside"])
 
-    summed = chosen.mapInArrow(run, "f string, inside long, outside long").groupBy("f").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b"))
+    summed = map_arrow(chosen, run, "f string, inside long, outside long").groupBy("f").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b"))
     return weigh({r["f"]: (r["a"], r["b"]) for r in materialise(summed, "html-weights").collect()})
 
 
@@ -249,4 +249,4 @@ def extract(pages: DataFrame, model: Model, html: str = "html", keep: tuple[str,
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*keep, "text", "n_chars"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, kinds + "text string, n_chars long")
+    return map_arrow(rows, run, kinds + "text string, n_chars long")

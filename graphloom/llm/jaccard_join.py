@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, release, utf8
+from ._common import map_arrow, materialise, release, utf8
 from .components import connected
 from .shingles import shingle_set
 
@@ -137,8 +137,8 @@ def _prefixes(table: DataFrame) -> DataFrame:
     elsewhere, their place in the node's order, and the share of n-grams that
     no other node has."""
     once = table.filter("packed IS NOT NULL").select("sig", "packed", "n", "more")
-    shared = once.select("packed").mapInArrow(_grams, "t long").groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    postings = once.select("sig", "packed").mapInArrow(_postings, "t long, sig long")
+    shared = map_arrow(once.select("packed"), _grams, "t long").groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    postings = map_arrow(once.select("sig", "packed"), _postings, "t long, sig long")
     by_node = postings.join(shared, "t").groupBy("sig").agg(F.sort_array(F.collect_set(F.struct("df", "t"))).alias("s"))
     meta = once.groupBy("sig").agg(F.first("n").alias("n"), F.first((F.octet_length("packed") / 6).cast("long")).alias("in_region"), F.first("more").alias("more"))
     p = F.expr(f"n - ceil({NUM} * n / {DEN}) + 1").cast("long")
@@ -175,7 +175,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = [similar(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")) for a, b in zip(batch.column("gx").to_pylist(), batch.column("gy").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return with_xy.select("x", "y", "gx", "gy").mapInArrow(run, "x long, y long")
+    return map_arrow(with_xy.select("x", "y", "gx", "gy"), run, "x long, y long")
 
 
 def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, region: float = REGION) -> DataFrame:
@@ -189,7 +189,7 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    table = materialise(rows.mapInArrow(_sets(region, k), "doc_id long, n long, sig long, packed binary, more array<long>"), "sets")
+    table = materialise(map_arrow(rows, _sets(region, k), "doc_id long, n long, sig long, packed binary, more array<long>"), "sets")
     prefixes = materialise(_prefixes(table), "prefixes")
     release(spark)
 
@@ -207,7 +207,7 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
             keep = [g.size > 0 and _signature(g) == s for g, s in zip(grams, sigs)]
             yield pa.RecordBatch.from_arrays([pa.array([s for s, ok in zip(sigs, keep) if ok], pa.int64()), pa.array([g.astype("<u8").tobytes() for g, ok in zip(grams, keep) if ok], pa.binary())], names=["sig", "grams"])
 
-    sets = materialise(texts.mapInArrow(whole, "sig long, grams binary"), "grams")
+    sets = materialise(map_arrow(texts, whole, "sig long, grams binary"), "grams")
     release(spark)
     hub = F.col("hub")
     near_hub = groups.filter((F.col("sig") != hub["sig"]) & _possible(F.col("n"), F.col("rank"), hub["n"], hub["rank"]))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, sample_below, utf8
+from ._common import map_arrow, materialise, sample_below, utf8
 
 UNDETERMINED = "und"
 #: Hash space of the n-grams, their lengths, and code points handled at once.
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, text: str, lang: str, trainable: Column, per_language:
             yield pa.RecordBatch.from_pydict({"lang": [name], "rows": [rows[name]], "v": [v.astype("<f8").tobytes()]})
 
     freq = {name: np.zeros(1 << BUCKET_BITS) for name in languages}
-    for r in sample.mapInArrow(frequencies, "lang string, rows long, v binary").toLocalIterator():
+    for r in map_arrow(sample, frequencies, "lang string, rows long, v binary").toLocalIterator():
         freq[r["lang"]] = freq[r["lang"]] + np.frombuffer(r["v"], "<f8")
     smooth = 0.5 / (1 << BUCKET_BITS)
     share = np.stack([(f / max(f.sum(), 1e-12)) * (1 - 1e-3) + 1e-3 * 2 * smooth for f in freq.values()])
@@ -243,7 +243,7 @@ def fit(docs: DataFrame, text: str, lang: str, trainable: Column, per_language:
         yield pa.RecordBatch.from_pydict({"v": [seen.astype("<f8").tobytes()]})
 
     seen = np.zeros((len(languages), 2 * code.shape[1] + 1))
-    for r in sample.mapInArrow(replies, "v binary").toLocalIterator():
+    for r in map_arrow(sample, replies, "v binary").toLocalIterator():
         seen = seen + np.frombuffer(r["v"], "<f8").reshape(seen.shape)
     bits = code.shape[1]
     right = (seen[:, :bits] + 1) / (seen[:, -1:] + 2)
@@ -267,4 +267,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())], names=[*keep, "lang_pred", "score", "ambiguous"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, (kinds + ", " if kinds else "") + "lang_pred string, score double, ambiguous boolean")
+    return map_arrow(rows, run, (kinds + ", " if kinds else "") + "lang_pred string, score double, ambiguous boolean")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import utf8
+from ._common import map_arrow, utf8
 
 _PRE_TOKEN = re.compile(" *[^ ]+| +")
 #: Distinct pre-tokens whose counts a task keeps; longer ones are never kept.
@@ -87,4 +87,4 @@ def count_tokens(docs: DataFrame, model_file: str, text: str = "text", keep: tup
             )
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, kinds + "n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(rows, run, kinds + "n_bytes long, n_tokens long, over_limit boolean")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, sample_below, utf8
+from ._common import map_arrow, materialise, sample_below, utf8
 
 BUCKET_BITS = 20
 _WORD = re.compile(r"[^\W\d_]+")
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
             found = [features(t).astype("<i4").tobytes() for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_pydict({"positive": batch.column("positive"), "drawn": batch.column("drawn"), "f": pa.array(found, pa.binary())})
 
-    rows = sorted(sample.mapInArrow(run, "positive boolean, drawn boolean, f binary").toLocalIterator(), key=lambda r: r["f"])
+    rows = sorted(map_arrow(sample, run, "positive boolean, drawn boolean, f binary").toLocalIterator(), key=lambda r: r["f"])
     side = lambda name: [np.frombuffer(r["f"], "<i4").astype(np.int64) for r in rows if r[name]]
     return fit_nnpu(side("positive"), side("drawn"), prior)
 
@@ -178,4 +178,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(scores, pa.float64())], names=[*keep, "score"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, kinds + "score double")
+    return map_arrow(rows, run, kinds + "score double")

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, new_path, release, utf8
+from ._common import map_arrow, materialise, new_path, release, utf8
 
 #: Fixed values of the seekable Zstandard format: the skippable frame that
 #: holds the table, and the number in the last four bytes.
@@ -180,7 +180,7 @@ def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         if writer and (entries := writer.entries(last=True)):
             yield _index_batch(entries)
 
-    return materialise(rows.mapInArrow(run, INDEX), "warc-index")
+    return materialise(map_arrow(rows, run, INDEX), "warc-index")
 
 
 def _index_batch(entries: list[tuple]) -> pa.RecordBatch:
@@ -220,7 +220,7 @@ def read_archive(index: DataFrame, folder: str) -> DataFrame:
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    return frames.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return map_arrow(frames, run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
