@@ -1,6 +1,6 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import graph
+from . import graph, lookup
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graph"]
+__all__ = ["ORACLES", "QUERIES", "graph", "lookup"]
