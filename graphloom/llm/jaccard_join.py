@@ -97,9 +97,8 @@ def _sets(region: float, k: int):
                 seen.add(s)
                 at = int(np.searchsorted(grams, cut))
                 extra = max(0, prefix_length(grams.size) - at)
-                tokens = (grams[: at + extra] & mask).astype("<u8")
-                packed.append(tokens[:at].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-                more.append(tokens[at:].astype(np.int64).tolist())
+                packed.append(_pack(grams[:at]))
+                more.append((grams[at : at + extra] & mask).astype(np.int64).tolist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(packed, pa.binary()), pa.array(more, pa.list_(pa.int64()))],
                 names=["doc_id", "n", "sig", "packed", "more"],
@@ -108,6 +107,26 @@ def _sets(region: float, k: int):
     return run
 
 
+def _whole(k: int):
+    """The whole set of a node, also packed as if all of it were in the region."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for s, raw in zip(batch.column("sig").to_pylist(), utf8(batch.column("text"))):
+                grams = shingle_set(raw, k)
+                if grams.size and _signature(grams) == s:
+                    rows.append((s, grams.size, grams.astype("<u8").tobytes(), _pack(grams), []))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["sig", "n", "grams", "packed", "more"])
+
+    return run
+
+
+def _pack(grams: np.ndarray) -> bytes:
+    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : TOKEN_BITS // 8].tobytes()
+
+
 def _unpack(packed: bytes) -> np.ndarray:
     wide = np.zeros((len(packed) // 6, 8), dtype=np.uint8)
     wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
@@ -193,22 +212,18 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     prefixes = materialise(_prefixes(table), "prefixes")
     release(spark)
 
+    # nodes that may meet another go on with whole sets, and the order is made
+    # anew from exact frequencies of all n-grams among them
+    meeting = prefixes.groupBy("t").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("t")
+    wanted = prefixes.join(meeting, "t").select("sig").distinct()
+    keeper = table.filter("packed IS NOT NULL").join(wanted, "sig").groupBy("sig").agg(F.min("doc_id").alias("kept"))
+    texts = rows.join(keeper, F.col("doc_id").eqNullSafe(F.col("kept"))).select("sig", "text")
+    sets = materialise(map_arrow(texts, _whole(k), "sig long, n long, grams binary, packed binary, more array<long>"), "grams")
+    release(spark)
+    prefixes = materialise(_prefixes(sets), "prefixes")
     # n-grams of one node only link nothing; the hub has the least of its own
     hubs = prefixes.groupBy("t").agg(F.min(F.struct("own", "sig", "n", "rank")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     groups = materialise(prefixes.join(hubs.select("t", "hub"), "t"), "groups")
-    wanted = groups.select("sig").distinct()
-    keeper = table.filter("packed IS NOT NULL").join(wanted, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    texts = rows.join(keeper.withColumnRenamed("doc_id", "kept"), F.col("doc_id").eqNullSafe(F.col("kept"))).select("sig", "text")
-
-    def whole(batches):
-        for batch in batches:
-            sigs = batch.column("sig").to_pylist()
-            grams = [shingle_set(raw, k) for raw in utf8(batch.column("text"))]
-            keep = [g.size > 0 and _signature(g) == s for g, s in zip(grams, sigs)]
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, ok in zip(sigs, keep) if ok], pa.int64()), pa.array([g.astype("<u8").tobytes() for g, ok in zip(grams, keep) if ok], pa.binary())], names=["sig", "grams"])
-
-    sets = materialise(map_arrow(texts, whole, "sig long, grams binary"), "grams")
-    release(spark)
     hub = F.col("hub")
     near_hub = groups.filter((F.col("sig") != hub["sig"]) & _possible(F.col("n"), F.col("rank"), hub["n"], hub["rank"]))
     first = materialise(_pairs(near_hub.select(F.col("sig").alias("x"), "n", "rank", hub["sig"].alias("y"), hub["n"].alias("m"), hub["rank"].alias("other"))), "pairs")
