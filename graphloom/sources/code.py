@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import map_arrow
+
 # Folders and files a scan leaves out, and its size limit.
 IGNORED = "node_modules dist build target vendor __pycache__ venv env out coverage bin obj".split()
 LOCKFILES = "package-lock.json yarn.lock pnpm-lock.yaml poetry.lock Cargo.lock Gemfile.lock composer.lock go.sum".split()
@@ -159,7 +161,7 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
             kinds = [pa.int32() if x.endswith(" int") else pa.string() for x in ROW.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    rows = files.select("path", "content").mapInArrow(run, ROW)
+    rows = map_arrow(files.select("path", "content"), run, ROW)
     nodes = rows.filter("row_kind = 'node'").select("id", "name", "node_type", "path", "start_line", "end_line", "docstring").dropDuplicates(["id"])
     return nodes, rows.filter("row_kind = 'edge'").select("source_id", "target_id", "edge_type", F.lit("extracted").alias("provenance"))
 
