@@ -45,6 +45,8 @@ class PieceCounter:
         if not plain or any("▁" in p.piece.lstrip("▁") or p.type == 4 for p in proto.pieces):
             raise ValueError("pre-token counts would not add up for this model")
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+        # a lone space behind the text's last word: the processor would add it to nothing
+        self.space = 1 if any(p.piece == "▁" for p in proto.pieces) else 3
         self.counts: dict[str, int] = {}
 
     def count(self, texts: list[bytes]) -> list[int]:
@@ -57,6 +59,8 @@ class PieceCounter:
         new = list({p for f in frequencies for p in f if p not in known})
         # the processor adds the first space itself
         pieces = dict(zip(new, map(len, self.processor.encode([p[1:] for p in new], num_threads=1)))) if new else {}
+        if " " in pieces:
+            pieces[" "] = self.space
         known.update((p, n) for p, n in pieces.items() if len(p) <= KEEP_CHARS)
         return [sum(k * (known[p] if p in known else pieces[p]) for p, k in f.items()) for f in frequencies]
 
