@@ -89,7 +89,8 @@ def parse(page: str) -> tuple[list[Run], int]:
         if m[2] is None:
             continue
         closing, name = bool(m[1]), m[2].lower()
-        tags.append(name)
+        # tags of what is ruled out do not count against the text around it
+        was = outside
         if name not in INLINE:
             block += 1
         if closing:
@@ -104,6 +105,8 @@ def parse(page: str) -> tuple[list[Run], int]:
             at = close.end() if close else end
             continue
         elif name in VOID or m[3].endswith("/") and name not in TELLING and name not in INLINE:
+            if not outside:
+                tags.append(name)
             continue
         else:
             if name not in INLINE and stack and any(e[0] == "p" for e in stack) and name in TELLING:
@@ -133,6 +136,8 @@ def parse(page: str) -> tuple[list[Run], int]:
             if name not in ("html", "body"):
                 stack.append((name, before[1] | own, before[2] or shut, before[3] or mark))
         context, outside, labelled = stack[-1][1:] if stack else (frozenset(), False, False)
+        if not (was or outside):
+            tags.append(name)
     return runs, marks
 
 
@@ -145,7 +150,7 @@ class Model:
 
     def word(self, run: Run) -> float:
         s = BASE + sum(self.words.get(f, 0.0) for f in sorted(run.around))
-        return -MOST if run.outside else max(-MOST, min(MOST, s))
+        return 0.0 if run.outside else max(-MOST, min(MOST, s))
 
     def tag(self, name: str) -> float:
         return -self.tags.get(name, 0.1 if name in INLINE else 0.3)
