@@ -42,9 +42,15 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 def masks_for(n: int) -> tuple[str, ...]:
-    """Masks for an item of n words: the spaced ones that fit, else the longest short one."""
-    fit = tuple(m for m in MASKS if len(m) <= n)
-    return fit or tuple(m for m in SHORT_MASKS if len(m) <= n)[:1]
+    """Masks for an item of n words.
+
+    Short items must be there as a whole with a fifth of their words replaced
+    at most; by counting, a run of three equal words is left then, or of two
+    in items of five.
+    """
+    if n >= LEAST_WORDS:
+        return MASKS
+    return ("1" * {1: 1, 2: 2, 5: 2}.get(n, 3),)
 
 
 def best_stretch(item: np.ndarray, text: np.ndarray, shift: int, least: int = LEAST_WORDS, identity: float = IDENTITY) -> tuple[int, int, int] | None:
