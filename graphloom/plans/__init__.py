@@ -1,6 +1,6 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import graph, lookup
+from . import graph, lookup, review
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graph", "lookup"]
+__all__ = ["ORACLES", "QUERIES", "graph", "lookup", "review"]
