@@ -87,10 +87,11 @@ ORACLE_SQL: dict[str, str] = {
     "op2_jaccard_join": r"""
 WITH RECURSIVE
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w),
-g AS (SELECT doc_id, unnest(s) AS g FROM s),
-n AS (SELECT doc_id, len(s) AS n FROM s),
+t AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM w WHERE len(w) >= 5),
+f AS (SELECT doc_id, x || ' ' || lead(x, 1) OVER k || ' ' || lead(x, 2) OVER k || ' ' || lead(x, 3) OVER k || ' ' || lead(x, 4) OVER k AS g FROM t WINDOW k AS (PARTITION BY doc_id ORDER BY i)),
+u AS (SELECT DISTINCT doc_id, g FROM f WHERE g IS NOT NULL UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4),
+g AS (SELECT doc_id, u.g FROM u JOIN (SELECT g FROM u GROUP BY g HAVING count(*) > 1) m ON u.g = m.g),
+n AS (SELECT d.doc_id, coalesce(k.n, 0) AS n FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM u GROUP BY 1) k ON k.doc_id = d.doc_id),
 c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
 r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
