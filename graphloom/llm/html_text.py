@@ -24,7 +24,7 @@ from ._common import map_arrow, materialise, sample_below, utf8
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_PART = re.compile(r"[a-z]+|\d+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 # Fixed values of HTML: elements by what they mean to a text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -125,7 +125,7 @@ def parse(page: str) -> tuple[list[Run], int]:
                     if key == "hidden" and not a[0].rstrip().endswith("false") or key == "aria-hidden" and value == "true":
                         shut = shut or key == "hidden"
                     elif key in ("class", "id", "role") and name not in ("html", "body", "article", "main"):
-                        parts = _PART.findall(value.lower())
+                        parts = [x.lower() for x in _PART.findall(value)]
                         own.update(f"name:{x}" for x in parts)
                         shut = shut or any(x in NOISE for x in parts)
             mark = name in ("article", "main")
