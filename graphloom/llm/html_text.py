@@ -131,7 +131,8 @@ def parse(page: str) -> tuple[list[Run], int]:
             mark = name in ("article", "main")
             marks += mark
             before = stack[-1] if stack else ("", frozenset(), False, False)
-            if name == "header" and not before[3]:
+            # headers of the page; an article's own belong to it
+            if not before[3] and not mark and (name == "header" or "name:header" in own):
                 shut = True
             if name not in ("html", "body"):
                 stack.append((name, before[1] | own, before[2] or shut, before[3] or mark))
