@@ -39,7 +39,7 @@ NOISE = frozenset(
 #: Elements that say something about the words in them.
 TELLING = frozenset("article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th a header footer nav aside form blockquote pre figure figcaption center address".split())
 #: Prior log-odds of being main text, before any page is seen.
-PRIOR = {"in:article": 2.0, "in:main": 2.0, "in:p": 1.0, "in:blockquote": 0.5, "in:pre": 0.5, "in:header": -1.0, "in:a": -1.0, "in:li": -0.3, "in:address": -1.0}
+PRIOR = {"in:article": 2.0, "in:main": 2.0, "in:p": 1.0, "in:h1": 1.5, "in:h2": 1.0, "in:h3": 1.0, "in:blockquote": 0.5, "in:pre": 0.5, "in:header": -1.0, "in:a": -1.0, "in:li": -0.3, "in:address": -1.0}
 BASE, MOST, STRENGTH = 0.5, 4.0, 20.0
 
 
