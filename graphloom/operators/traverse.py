@@ -7,6 +7,8 @@ tables instead of repeating all rounds before it.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,32 +81,40 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, max_d
     return seen
 
 
-def descendants(edges: DataFrame, starts: DataFrame, max_depth: int = 20, reverse: bool = False) -> DataFrame:
-    """start, id of everything reachable (ancestors if reverse), without the start."""
+def _depths(first: int, last: int | None):
+    """first to last, or without end."""
+    return itertools.count(first) if last is None else range(first, last + 1)
+
+
+def descendants(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, reverse: bool = False) -> DataFrame:
+    """start, id of everything reachable (ancestors if reverse), without the
+    start; within max_depth edges if given."""
     a, b = ("target_id", "source_id") if reverse else ("source_id", "target_id")
     links = cut(edges.filter(F.col(a) != F.col(b)).select(F.col(a).alias("a"), F.col(b).alias("b")).distinct(), "links")
     front = starts.select(F.col("id").alias("start"), F.col("id").alias("at"))
     seen = front.select("start", F.col("at").alias("id"))
-    for d in range(1, max_depth + 1):
+    for d in _depths(1, max_depth):
         fresh = front.join(links, F.col("at") == F.col("a")).select("start", F.col("b").alias("id")).distinct().join(seen, ["start", "id"], "left_anti")
         fresh = cut(fresh, "frontier")
         if fresh.isEmpty():
             break
         seen = seen.unionByName(fresh)
+        if d % 10 == 0:
+            seen = cut(seen, "seen")
         front = fresh.select("start", F.col("id").alias("at"))
     return seen.filter("start <> id")
 
 
-def transitive_reduction(edges: DataFrame, max_depth: int = 10) -> DataFrame:
+def transitive_reduction(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """source_id, target_id, redundant for the distinct edges of an acyclic graph.
 
-    u -> v is redundant if another successor of u reaches v; paths of up to
-    max_depth edges are followed.
+    u -> v is redundant if another successor of u reaches v; with max_depth
+    only paths of up to so many edges are followed.
     """
     links = cut(edges.filter("source_id <> target_id").select("source_id", "target_id").distinct(), "links")
     reach = links
     front = links
-    for d in range(2, max_depth + 1):
+    for d in _depths(2, max_depth):
         step = front.join(links.select(F.col("source_id").alias("m"), F.col("target_id").alias("t")), F.col("target_id") == F.col("m")).select("source_id", F.col("t").alias("target_id")).distinct()
         front = cut(step.join(reach, ["source_id", "target_id"], "left_anti"), "frontier")
         if front.isEmpty():

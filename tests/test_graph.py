@@ -119,6 +119,17 @@ def test_entropy_grows(spark):
     assert e("AB AC AD BE".split()) > e(["AB"])
 
 
+def test_reach_has_no_depth_bound(spark):
+    name = [f"v{i:02}" for i in range(25)]
+    arcs = [*zip(name, name[1:]), (name[0], name[12]), (name[0], name[24])]
+    edges = spark.createDataFrame([(a, b, "calls") for a, b in arcs], "source_id string, target_id string, edge_type string")
+    assert traverse.descendants(edges, ids(spark, "v00")).count() == 24
+    assert traverse.descendants(edges.filter("source_id <> 'v00' OR target_id = 'v01'"), ids(spark, "v00")).count() == 24
+    assert traverse.descendants(edges, ids(spark, "v24"), max_depth=3, reverse=True).count() == 4
+    short = traverse.transitive_reduction(edges).filter("redundant").collect()
+    assert sorted((r[0], r[1]) for r in short) == [("v00", "v12"), ("v00", "v24")]
+
+
 def test_causal(spark):
     rows = [r for r, n in (((1, 1, 1), 64), ((1, 1, 0), 16), ((1, 0, 1), 16), ((1, 0, 0), 4), ((0, 1, 1), 1), ((0, 1, 0), 9), ((0, 0, 1), 9), ((0, 0, 0), 81)) for _ in range(n)]
     r = analytics.causal_effect(spark.createDataFrame(rows, "z int, x int, y int"), "x", "y", ["z"]).first()
