@@ -132,20 +132,21 @@ def select_submodular(candidates: DataFrame, seeds: DataFrame, budget: int, defa
     f(S) = sum over seeds of weight * ln(1 + sum over S of similarity *
     e^(-distance / 2)); each step takes the best gain per token that fits,
     until none is above 1e-6; a better single candidate replaces the whole.
-    candidates: (id, text[, distance]), tens to thousands, seeds: (id, text,
-    weight); their similarities are computed in Spark, the choice on the driver.
+    candidates: (id, text[, distance]), seeds: (id, text, weight); their
+    similarities are computed in Spark, the choice on the driver among the
+    candidates that fit the budget and are similar to a seed; no other gains.
     """
     distance = F.coalesce(F.col("distance"), F.lit(default_distance)) if "distance" in candidates.columns else F.lit(default_distance)
     left = candidates.select("id", token_cost(F.col("text")).alias("cost"), word_set(F.col("text")).alias("a"), F.exp(-0.5 * distance).alias("decay"))
     right = seeds.select(F.col("id").alias("seed"), F.col("weight").cast("double").alias("weight"), word_set(F.col("text")).alias("b"))
-    rows = left.join(F.broadcast(right)).select("id", "cost", "seed", "weight", (jaccard(F.col("a"), F.col("b")) * F.col("decay")).alias("s")).orderBy("id", "seed").collect()
+    rows = left.join(F.broadcast(right)).select("id", "cost", "seed", "weight", (jaccard(F.col("a"), F.col("b")) * F.col("decay")).alias("s")).filter((F.col("cost") <= budget) & (F.col("s") > 0)).orderBy("id", "seed").collect()
     cost, pull, weight = {}, {}, {}
     for r in rows:
         cost[r["id"]], weight[r["seed"]] = r["cost"], r["weight"]
         pull.setdefault(r["id"], {})[r["seed"]] = r["s"]
 
     def value(chosen) -> float:
-        return sum(w * math.log1p(sum(pull[c][s] for c in chosen)) for s, w in weight.items())
+        return sum(w * math.log1p(sum(pull[c].get(s, 0.0) for c in chosen)) for s, w in weight.items())
 
     chosen, used, now, gains = [], 0, 0.0, []
     while True:

@@ -270,7 +270,7 @@ def rrf_fusion(spark, d):
 @query(None)
 def submodular_pack(spark, d):
     b = views.table(spark, d, "benchmark")
-    c = b.filter("item_id >= 5").select(F.col("item_id").cast("string").alias("id"), "text").orderBy("id").limit(60)
+    c = b.filter("item_id >= 5").select(F.col("item_id").cast("string").alias("id"), "text")
     seeds = b.filter("item_id < 5").select(F.col("item_id").cast("string").alias("id"), "text", F.lit(1.0).alias("weight"))
     return retrieval.select_submodular(c, seeds, 300)
 

@@ -50,6 +50,15 @@ def test_search_operators_and_fusion(spark):
     assert [(r["id"], r["source"]) for r in retrieval.fuse(a, b).collect()] == [("y", "hybrid"), ("x", "lexical")]
 
 
+def test_submodular_pack_weighs_all_items(spark, tmp_path):
+    from graphloom.plans import lookup
+
+    rows = [(i, f"seed words number {i} stand here") for i in range(5)] + [(i, f"other{i} thing{i}") for i in range(5, 100)]
+    rows[99] = (99, rows[0][1])
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert lookup.submodular_pack(spark, str(tmp_path)).first()["id"] == "99"
+
+
 def test_submodular_is_near_the_optimum(spark):
     texts = ["alpha beta", "beta gamma delta", "gamma", "alpha delta epsilon"]
     c = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
