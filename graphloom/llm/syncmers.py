@@ -1,15 +1,17 @@
-"""Document fingerprints of closed syncmers over words, in DataFrame code only.
+"""Document fingerprints of closed syncmers over code points, in DataFrame code only.
 
-Of each run of K words the hashes of its inner runs of S words are compared;
+Of each run of K code points the hashes of its inner runs of S are compared;
 the run is an anchor - a closed syncmer - if its smallest inner hash lies at
-its first or last place.  That depends on the K words alone, so equal passages
-have equal anchors wherever they stand, and about 2 / (K - S + 1) of all
-places are anchors.  A fingerprint is the row of a text's anchors in order, 32
-bits each; two are alike by the Jaccard similarity of their anchors, and their
-common anchors, matched by place, align the texts.
-
-Words are runs of [^\\x20\\x09-\\x0D], A-Z lower-cased.  A text with words but
-without anchor has one for the whole text.
+its first or last place.  That depends on the K code points alone, so equal
+passages have equal anchors wherever they stand, and about 2 / (K - S + 1) of
+all places are anchors, whatever the script and with or without spaces.  A
+fingerprint is the row of a text's anchors in order, 32 bits each; two are
+alike by the Jaccard similarity of their anchors, and their common anchors,
+matched by place, align the texts.
+
+A-Z are lower-cased, white space (\\x20\\x09-\\x0D) between words is one space
+and around the text none.  A text with words but without anchor, as any of
+fewer than K code points, has one for the whole text.
 """
 
 from __future__ import annotations
@@ -30,26 +32,32 @@ def _bound(value: Column, body) -> Column:
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
     """array<int> of a text's closed syncmers in order; empty without words."""
     lower = F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
-    def upto(last: Column, body) -> Column:
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), body)).otherwise(F.array().cast("array<bigint>"))
-
-    def pick(h: Column, g: Column) -> Column:
-        inner = k - s
-        def place(i: Column) -> Column:
-            at = [F.get(g, i + j - 1) for j in range(inner + 1)]
-            closed = F.least(at[0], at[-1]) <= F.least(*at[1:-1])
-            return F.when(closed, F.xxhash64(*(F.get(h, i + j - 1) for j in range(k))))
-        return F.filter(upto(F.size(h) - (k - 1), place), lambda a: a.isNotNull())
-
-    def chosen(h: Column) -> Column:
-        inner = upto(F.size(h) - (s - 1), lambda i: F.xxhash64(*(F.get(h, i + j - 1) for j in range(s))))
-        found = _bound(inner, lambda g: pick(h, g))
-        whole = F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+    plain = F.trim(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " "))
+    none = F.array().cast("array<bigint>")
+    last = k - s
+
+    def pick(g: Column) -> Column:
+        def place(x: Column, i: Column) -> Column:
+            # comparisons end at the first that fails
+            left, right = F.lit(True), F.lit(True)
+            for j in range(1, last):
+                left, right = left & (x <= F.get(g, i + j)), right & (F.get(g, i + last) <= F.get(g, i + (last - j)))
+            # inner hashes that lie side by side tell all of the run
+            parts = sorted({*range(0, last, s), last})
+            return F.when((left | right) & (i < F.size(g) - last), F.xxhash64(*(F.get(g, i + j) for j in parts)))
+        return F.array_compact(F.transform(g, place))
+
+    def hashes(c: Column) -> Column:
+        runs = F.transform(c, lambda x, i: F.xxhash64(x, *(F.get(c, i + j) for j in range(1, s))))
+        return F.slice(runs, F.lit(1), F.greatest(F.lit(0), F.size(c) - (s - 1)))
+
+    def chosen(t: Column) -> Column:
+        c = F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, ""))
+        found = _bound(_bound(c, hashes), pick)
+        whole = F.when(t == "", none).otherwise(F.array(F.xxhash64(t)))
         return _bound(found, lambda a: F.when(F.size(a) > 0, a).otherwise(whole))
 
-    longs = _bound(F.transform(words, lambda w: F.xxhash64(w)), chosen)
+    longs = _bound(plain, chosen)
     return F.transform(longs, lambda a: a.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
 
 
@@ -77,17 +85,20 @@ def match_positions(left: DataFrame, right: DataFrame) -> DataFrame:
     return once(left, "l").join(once(right, "r"), "anchor").select("id_l", "id_r", "at_l", "at_r")
 
 
-def with_next(rows: DataFrame, id_col: str, columns: list[str], tie: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, id_col: str, columns: list[str], tie: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
     """rows with next_<column> of the next row in descending id order, after
     the last row that of the first; null ids come last, equal ids by tie.
 
     The order is cut into buckets of the id's range.  Each bucket also gets
     its successor's first rows, so no bucket has to look into another.
-    Only the buckets' largest ids reach the driver.
+    Only the buckets' largest ids reach the driver.  Derived columns are made
+    where the buckets are, so they are not moved; columns may name them.
     """
+    derived = derived or {}
     spark = rows.sparkSession
     low, high, n = rows.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1))).first()
     if not n:
+        rows = rows.withColumns(derived)
         return rows.select("*", *(F.lit(None).cast(rows.schema[c].dataType).alias(f"next_{c}") for c in columns))
     low, high = (low or 0), (high or 0)
     buckets = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET_ROWS))
@@ -104,9 +115,10 @@ def with_next(rows: DataFrame, id_col: str, columns: list[str], tie: list[str])
     leads = F.col(id_col).eqNullSafe(F.element_at(head_of, F.col("__b") + 1))
     both = F.array(F.struct(F.col("__b").alias("b"), F.lit(False).alias("ghost")), F.struct(F.element_at(before_of, F.col("__b") + 1).alias("b"), F.lit(True).alias("ghost")))
     spread = own.withColumn("__p", F.explode(F.when(leads, both).otherwise(F.slice(both, 1, 1))))
-    w = Window.partitionBy("__p.b").orderBy("__p.ghost", F.col(id_col).desc_nulls_last(), *tie)
+    spread = spread.select("*", F.col("__p.b").alias("__at")).repartition("__at").withColumns(derived)
+    w = Window.partitionBy("__at").orderBy("__p.ghost", F.col(id_col).desc_nulls_last(), *tie)
     found = spread.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns))
-    return found.filter(~F.col("__p.ghost")).drop("__b", "__p")
+    return found.filter(~F.col("__p.ghost")).drop("__b", "__p", "__at")
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,8 +131,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     other in the order.  Other columns are left behind.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("anchors", anchors(F.col("text")))
-    placed = with_next(rows, "doc_id", ["text", "anchors"], ["text"])
+    placed = with_next(rows, "doc_id", ["text", "anchors"], ["text"], {"anchors": anchors(F.col("text"))})
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))

@@ -306,6 +306,15 @@ def test_syncmers_are_context_free(spark):
     assert len({r["at_r"] - r["at_l"] for r in places}) == 1
 
 
+def test_short_and_unspaced_texts_share_anchors(spark):
+    unspaced = "".join(chr(0x4E00 + random.Random(1).randrange(2000) + i * 7) for i in range(60))
+    rows = [(0, "seven quite short words stand right here"), (1, "x" * 3 + "".join(random.Random(2).choice("abcdefgh") for _ in range(60))), (2, unspaced), (3, "Other  things\tare said in this last line")]
+    got = {r["doc_id"]: r for r in syncmers.fingerprints(docs(spark, rows)).collect()}
+    assert all(got[i]["near_edited"] > 0 and got[i]["fingerprint"].count(".") >= 3 for i in range(4))
+    spaced = spark.createDataFrame([("A b \n c defghijk",), (" a b c DEFGHIJK ",)], "text string").select(syncmers.anchors(F.col("text")).alias("a")).collect()
+    assert spaced[0]["a"] == spaced[1]["a"]
+
+
 def brute_hit(item, text):
     need = min(12, len(item))
     for shift in range(-len(item), len(text)):
