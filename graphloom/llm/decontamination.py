@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import keep_rows, map_arrow, utf8
+from ._common import keep_rows, map_arrow, materialise, utf8
 from .shingles import mix, word_hashes
 
 #: Masks over word positions.  Any two words replaced in a run of 12 leave one whole.
@@ -159,7 +159,8 @@ def contaminated(docs: DataFrame, tests: DataFrame, doc_id: str = "doc_id", text
     Test sets are small beside the training data: while their seeds number
     BROADCAST_SEEDS or less the join is done in the tasks that read the
     training texts, without moving them.  Larger test sets are handled in
-    blocks of that size, each against all texts, so no size changes results.
+    blocks of that size, one after another; the rows are written in between
+    with what they have found, so no size changes results.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *keep, F.col(text).cast("string").alias("__text"))
@@ -167,36 +168,40 @@ def contaminated(docs: DataFrame, tests: DataFrame, doc_id: str = "doc_id", text
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1]) + "item_ids array<long>, starts array<int>, words array<int>, equal array<int>"
     blocks = _blocks(tests, item_id, item_text)
 
-    def against(items):
+    lists = ("item_ids", "starts", "words", "equal")
+
+    def against(rows, items, later: bool, last: bool):
         shared = spark.sparkContext.broadcast((items, build_index(items)))
 
         def run(batches):
             items, index = shared.value
             for batch in batches:
                 found = [verified(word_hashes(t), items, index, least_words, identity) if index else [] for t in utf8(batch.column("__text"))]
-                at = pa.array([i for i, f in enumerate(found) if f], pa.int64())
-                kept = [batch.column(k).take(at) for k in range(len(names))]
+                if later:
+                    for f, *known in zip(found, *(batch.column(c).to_pylist() for c in lists)):
+                        f.extend(zip(*known))
+                        f.sort()
                 best = []
                 for f in found:
-                    if f:
-                        by: dict[int, tuple[int, int, int]] = {}
-                        for i, *s in f:
-                            if i not in by or s[1] > by[i][1]:
-                                by[i] = tuple(s)
-                        best.append(sorted(by.items()))
-                lists = [pa.array([[i for i, _ in b] for b in best], pa.list_(pa.int64()))] + [pa.array([[s[j] for _, s in b] for b in best], pa.list_(pa.int32())) for j in range(3)]
-                yield pa.RecordBatch.from_arrays([*kept, *lists], names=[*names, "item_ids", "starts", "words", "equal"])
-
-        return map_arrow(rows, run, schema)
-
-    out = against(blocks[0])
-    for items in blocks[1:]:
-        out = out.unionByName(against(items))
-    if len(blocks) == 1:
-        return out
-    # a document that several blocks hit gets one row again
-    flat = F.flatten(F.collect_list(F.arrays_zip("item_ids", "starts", "words", "equal")))
-    return out.groupBy(*names).agg(flat.alias("z")).select(*names, *(F.col(f"z.{c}").alias(c) for c in ("item_ids", "starts", "words", "equal")))
+                    by: dict[int, tuple[int, int, int]] = {}
+                    for i, *s in f:
+                        if i not in by or s[1] > by[i][1]:
+                            by[i] = tuple(s)
+                    best.append(sorted(by.items()))
+                at = pa.array([i for i, b in enumerate(best) if b or not last], pa.int64())
+                best = [b for b in best if b or not last]
+                kept = [batch.column(k).take(at) for k in range(len(names) + (not last))]
+                values = [pa.array([[i for i, _ in b] for b in best], pa.list_(pa.int64()))] + [pa.array([[s[j] for _, s in b] for b in best], pa.list_(pa.int32())) for j in range(3)]
+                yield pa.RecordBatch.from_arrays([*kept, *values], names=[*names, *([] if last else ["__text"]), *lists])
+
+        return map_arrow(rows, run, schema if last else schema.replace("item_ids array<long>", "`__text` string, item_ids array<long>"))
+
+    # each row carries what it has found from block to block
+    for k, items in enumerate(blocks):
+        rows = against(rows, items, k > 0, k == len(blocks) - 1)
+        if k < len(blocks) - 1:
+            rows = materialise(rows, "contamination")
+    return rows
 
 
 def clean(docs: DataFrame, tests: DataFrame, text: str = "text", **how) -> DataFrame:

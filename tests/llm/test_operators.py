@@ -349,3 +349,13 @@ def test_contamination_matches_brute_force(spark):
     kept = [r["doc_id"] for r in decontamination.clean(d, tests).collect()]
     assert Counter(kept) == Counter(r[0] for r in rows + ODD if r[0] not in want)
     assert decontamination.contaminated(d, tests.limit(0)).count() == 0
+
+
+def test_blocks_of_items_change_nothing(spark, monkeypatch):
+    items = [words(1000 + i, 20, 5000) for i in range(4)]
+    tests = spark.createDataFrame([(i % 3, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    both = " ".join([*items[0], *words(1, 9), *items[3], *items[1]])
+    d = docs(spark, [(1, both, "en", "s"), (1, both, "en", "s"), (None, " ".join(items[2]), "en", "s"), (None, both, "en", "s"), *ODD])
+    whole = sorted(map(str, decontamination.contaminated(d, tests, keep=("source",)).collect()))
+    monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", 1)
+    assert sorted(map(str, decontamination.contaminated(d, tests, keep=("source",)).collect())) == whole and len(whole) == 4
