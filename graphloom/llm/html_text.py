@@ -6,7 +6,8 @@ learned from labelled pages - those that mark their main text with exactly one
 ``article`` or ``main`` element - on top of priors for elements and class
 names of known meaning.  One linear scan finds the contiguous region of the
 highest sum: the main text.  Inside it scripts, forms, adverts, reader comments
-and the like are left out by their elements' names.
+and the like are left out by their elements' names - but for elements that
+hold the article or the page's best-scoring text, which no name leaves out.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from ._common import map_arrow, materialise, sample_below, utf8
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 # Fixed values of HTML: elements by what they mean to a text.
@@ -41,12 +42,16 @@ TELLING = frozenset("article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt
 #: Prior log-odds of being main text, before any page is seen.
 PRIOR = {"in:article": 2.0, "in:main": 2.0, "in:p": 1.0, "in:h1": 1.5, "in:h2": 1.0, "in:h3": 1.0, "in:blockquote": 0.5, "in:pre": 0.5, "in:header": -1.0, "in:a": -1.0, "in:li": -0.3, "in:address": -1.0}
 BASE, MOST, STRENGTH = 0.5, 4.0, 20.0
+#: What an element with a name to leave out takes from the score of its text.
+SHUT = 0.1
 
 
 @dataclass
 class Run:
     """Text between two tags: raw text, its words, the elements and name parts
-    around it, whether they rule it out, its block, and the tags before it."""
+    around it, whether they rule it out, its block, the tags before it, whether
+    it is in an article or main, the numbers of the elements that rule it out,
+    and how many of those are around the article."""
 
     text: str
     words: int
@@ -55,27 +60,32 @@ class Run:
     block: int
     tags: list[str]
     labelled: bool
+    shut: tuple[int, ...] = ()
+    above: int = 0
 
 
-def parse(page: str) -> tuple[list[Run], int]:
+def parse(page: str, opened: frozenset[int] = frozenset()) -> tuple[list[Run], int]:
     """Runs of a page in order, and its number of article and main elements.
 
+    The elements numbered in opened rule nothing out.
+
     Broken markup is taken as browsers would, roughly: an end tag closes what
     is open up to its start tag and is nothing without one; block elements end
     an open paragraph; comments, raw elements and tags that never end reach to
     the end of the page.
     """
     runs: list[Run] = []
-    stack: list[tuple[str, frozenset[str], bool, bool]] = []
-    context, outside, labelled = frozenset(), False, False
+    stack: list[tuple[str, frozenset[str], bool, bool, tuple[int, ...], int]] = []
+    nothing = ("", frozenset(), False, False, (), 0)
+    context, outside, labelled, closed, above = nothing[1:]
     tags: list[str] = []
-    at, block, marks = 0, 0, 0
+    at, block, marks, number = 0, 0, 0, 0
 
     def text(raw: str) -> None:
         nonlocal tags
         if raw:
             plain = htmllib.unescape(raw)
-            runs.append(Run(plain, len(plain.split()), context, outside, block, tags, labelled))
+            runs.append(Run(plain, len(plain.split()), context, outside, block, tags, labelled, closed, above))
             tags = []
 
     end = len(page)
@@ -119,24 +129,28 @@ def parse(page: str) -> tuple[list[Run], int]:
             own, shut = set(), name in OUTSIDE
             if name in TELLING:
                 own.add(f"in:{name}")
-            if m[3]:
-                for a in _ATTRIBUTE.finditer(m[3]):
-                    key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
-                    if key == "hidden" and not a[0].rstrip().endswith("false") or key == "aria-hidden" and value == "true":
-                        shut = shut or key == "hidden"
-                    elif key in ("class", "id", "role") and name not in ("html", "body", "article", "main"):
-                        parts = [x.lower() for x in _PART.findall(value)]
-                        own.update(f"name:{x}" for x in parts)
-                        shut = shut or any(x in NOISE for x in parts)
+            given: dict[str, str] = {}
+            for a in _ATTRIBUTE.finditer(m[3]):
+                given.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
+            shut = shut or given.get("hidden", "false").lower() != "false"
+            if name not in ("html", "body", "article", "main"):
+                parts = [x.lower() for key in ("class", "id", "role") for x in _PART.findall(given.get(key, ""))]
+                own.update(f"name:{x}" for x in parts)
+                shut = shut or any(x in NOISE for x in parts)
             mark = name in ("article", "main")
             marks += mark
-            before = stack[-1] if stack else ("", frozenset(), False, False)
+            before = stack[-1] if stack else nothing
+            number += 1
             # headers of the page; an article's own belong to it
             if not before[3] and not mark and (name == "header" or "name:header" in own):
                 shut = True
+            shut = shut and number not in opened
             if name not in ("html", "body"):
-                stack.append((name, before[1] | own, before[2] or shut, before[3] or mark))
-        context, outside, labelled = stack[-1][1:] if stack else (frozenset(), False, False)
+                within = before[4] + (number,) if shut else before[4]
+                # an article's own name does not count as one inside it
+                around = before[5] if before[3] else len(within)
+                stack.append((name, before[1] | own, before[2] or shut, before[3] or mark, within, around))
+        context, outside, labelled, closed, above = (stack[-1] if stack else nothing)[1:]
         if not (was or outside):
             tags.append(name)
     return runs, marks
@@ -153,6 +167,25 @@ class Model:
         s = BASE + sum(self.words.get(f, 0.0) for f in sorted(run.around))
         return 0.0 if run.outside else max(-MOST, min(MOST, s))
 
+    def read(self, page: str) -> tuple[list[Run], int]:
+        """parse() with those elements opened that hold the article or, where
+        none is marked, the best-scoring text.
+
+        The texts under the same shutting elements score together; every such
+        element inside the article, or on a page without any, lowers the score.
+        """
+        runs, marks = parse(page)
+        if not any(r.outside for r in runs):
+            return runs, marks
+        pool = [r for r in runs if r.labelled and r.words] or runs
+        scores: dict[tuple[int, ...], float] = {}
+        for r in pool:
+            s = max(0.0, min(MOST, BASE + sum(self.words.get(f, 0.0) for f in sorted(r.around))))
+            inner = len(r.shut) - (r.above if r.labelled else 0)
+            scores[r.shut] = scores.get(r.shut, 0.0) + r.words * s * SHUT**inner
+        best = max(scores, key=scores.__getitem__)
+        return parse(page, frozenset(best)) if best and scores[best] > 0 else (runs, marks)
+
     def tag(self, name: str) -> float:
         return -self.tags.get(name, 0.1 if name in INLINE else 0.3)
 
@@ -175,7 +208,7 @@ class Model:
 
     def extract(self, page: str) -> str:
         """Main text: blocks in order, white space inside and between them one space."""
-        runs, _ = parse(page)
+        runs, _ = self.read(page)
         a, b = self.region(runs)
         out: list[str] = []
         block = None
@@ -194,7 +227,7 @@ def learn(pages: list[str]) -> dict[str, tuple[int, int]]:
     inside and outside the main text of labelled pages."""
     counts: dict[str, list[int]] = {}
     for page in pages:
-        runs, marks = parse(page)
+        runs, marks = Model().read(page)
         if marks != 1:
             continue
         for run in runs:

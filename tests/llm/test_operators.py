@@ -266,6 +266,15 @@ def test_html(spark):
     assert by[2] == "Long text of many words that says a lot. More of it, too." and by[3] == by[4] == ""
 
 
+def test_html_wrappers_do_not_shut_the_article():
+    body = "<p>Long text of many words that says a lot.</p><p>More of it, too.</p>"
+    text, model = "Long text of many words that says a lot. More of it, too.", html_text.Model()
+    wraps = ['<div style="overflow:hidden">%s</div>', '<div data-x="/p?id=comment">%s</div>', '<div class="layout has-sidebar"><article>%s</article></div>', '<div class="post tags-open comments">%s</div>', "<form>%s</form>", '<form><main>%s<div class="comments"><p>nice post</p></div></main></form>']
+    for wrap in wraps:
+        assert model.extract("<body><div class=ads>buy</div>" + wrap % body + "<nav><a>Home</a></nav></body>") == text, wrap
+    assert model.extract(f"<article>{body}<p hidden>gone</p><p data-hidden=1><a href='/hidden-valley'>kept</a></p></article>") == text + " kept"
+
+
 def test_best_region_is_maximal():
     rng = random.Random(2)
     model = html_text.Model()
