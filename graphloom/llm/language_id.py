@@ -149,6 +149,8 @@ class Model:
     weights: np.ndarray
     scale: np.ndarray
     ambiguous_gap: float = 0.15
+    #: Beyond this distance to the nearest codeword an ambiguous text is rejected.
+    farthest: float = np.inf
 
     def answers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         mean, n = mean_weights(texts, self.weights)
@@ -172,6 +174,17 @@ class Model:
             found & (gap < self.ambiguous_gap),
         )
 
+    def decided(self, texts: list[bytes]) -> list[bool]:
+        """Whether each text has letters and is not both ambiguous and farther
+        from all codewords than known texts are.  Where no language could be
+        learned, letters are enough."""
+        answers, n = self.answers(texts)
+        if not self.languages:
+            return (n > 0).tolist()
+        loss = np.sort(self.losses(answers), axis=1)
+        ambiguous = loss[:, 1] - loss[:, 0] < self.ambiguous_gap if loss.shape[1] > 1 else np.zeros(len(texts), bool)
+        return ((n > 0) & ~(ambiguous & (loss[:, 0] > self.farthest))).tolist()
+
     def losses(self, answers: np.ndarray) -> np.ndarray:
         """Loss-weighted distance of each row of answers to each codeword."""
         margin = answers[:, None, :] * self.code[None, :, :]
@@ -186,12 +199,13 @@ def _texts_by_language(batch: pa.RecordBatch) -> dict[str, list[bytes]]:
     return by
 
 
-def fit(docs: DataFrame, text: str, lang: str, trainable: Column, per_language: int = 3000) -> Model:
+def fit(docs: DataFrame, text: str, lang: str, trainable: Column, per_language: int = 3000, known_share: float | None = None) -> Model:
     """Learn codes and classifiers from rows with a language where trainable.
 
     Two passes over the sample: n-gram frequencies by language give the bits'
     weights, then each classifier's answers give its scale and its trust.
-    Ties of languages go by code point.  No such row: a model that answers
+    With known_share a third one sets ``farthest``: that share of the sample is
+    as near to a codeword.  Ties of languages go by code point.  No such row: a model that answers
     ``und`` always.
     """
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.coalesce(trainable, F.lit(False)).alias("ok"))
@@ -248,7 +262,20 @@ def fit(docs: DataFrame, text: str, lang: str, trainable: Column, per_language:
     bits = code.shape[1]
     right = (seen[:, :bits] + 1) / (seen[:, -1:] + 2)
     scale = seen[:, bits : 2 * bits].sum(axis=0) / max(seen[:, -1].sum(), 1)
-    return Model(languages, code, np.maximum(right - 0.5, 0.01), weights, np.maximum(scale, 1e-3))
+    model = Model(languages, code, np.maximum(right - 0.5, 0.01), weights, np.maximum(scale, 1e-3))
+    if known_share is None:
+        return model
+
+    def distances(batches):
+        for batch in batches:
+            answers, n = model.answers(utf8(batch.column("text")))
+            near = model.losses(answers).min(axis=1)[n > 0]
+            yield pa.RecordBatch.from_pydict({"v": [near.astype("<f8").tobytes()]})
+
+    near = [np.frombuffer(r["v"], "<f8") for r in map_arrow(sample.select("text"), distances, "v binary").toLocalIterator()]
+    near = np.concatenate([*near, np.empty(0)])
+    model.farthest = float(np.quantile(near, known_share)) if near.size else np.inf
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

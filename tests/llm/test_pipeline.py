@@ -34,5 +34,16 @@ def test_stages(spark, tmp_path):
     assert ids == want and set(got) <= want and len(got) > 100
 
 
+def test_undetermined_documents(spark):
+    schema = "doc_id long, text string, lang string"
+    mixed = lambda i, a: "".join(random.Random(i).choice(a) if k % 6 else " " for k in range(200))
+    rows = [(i, mixed(i, "abcdefg" if i % 2 else "mnopqrs"), "xx" if i % 2 else "yy") for i in range(200)]
+    odd = [(900, "日本語の文章です", None), (901, "12 34", None), (902, None, None)]
+    got = corpus_pipeline.drop_undetermined(spark, spark.createDataFrame(rows + odd, schema), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(200))
+    unknown = spark.createDataFrame([(i, t, None) for i, t, _ in rows[:20] + odd], schema)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_undetermined(spark, unknown, "").collect()) == [*range(20), 900]
+
+
 def test_registry():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(ORACLE_SQL) <= set(QUERIES)
