@@ -1,14 +1,13 @@
 """URL filter: host and path rules, then a character language-model ratio.
 
 Two smoothed variable-order Markov models, one of accepted and one of rejected
-URLs, give every character a likelihood after the up to three characters
+URLs, give every character a likelihood after the up to five characters
 before it.  A URL's score is the mean over its characters of the difference of
 their log-likelihoods; a cut calibrated on the labelled URLs decides.
 
 URLs that a rule settles are the labelled ones.  Everything is DataFrame code.
-The models' size is bounded by the alphabet: characters are mapped to at most
-SYMBOLS symbols, so there are at most SYMBOLS**ORDER n-grams of each length,
-each a short string and a number; that is what gets broadcast.
+Characters stay as they are, so the n-gram table grows with the URLs; it is
+joined by shuffles, once per distinct n-gram, and then with the places.
 """
 
 from __future__ import annotations
@@ -18,12 +17,10 @@ from pyspark.sql import functions as F
 
 from ._common import materialise
 
-#: Longest n-gram: a character and three before it.
-ORDER = 4
-#: Letters as they are, every digit as 0, five marks as they are, the rest as one symbol, and the start.
-_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789"
-_TO = "abcdefghijklmnopqrstuvwxyz000000000"
-SYMBOLS = 26 + 1 + 5 + 1 + 1
+#: Longest n-gram: a character and five before it; what stands before the first.
+ORDER, START = 6, "\x02"
+#: N-grams in more places than this are not dealt by a shuffle.
+HOT = 20_000
 
 #: (host, path, action): a rule holds for its host and all subdomains, where the path starts with its own.
 RULES = (
@@ -56,9 +53,8 @@ def match_rules(host: Column, path: Column, rules: tuple[tuple[str, str, str], .
 
 
 def symbols(url: Column) -> Column:
-    """The URL in the model's alphabet, led by ORDER - 1 start symbols."""
-    mapped = F.translate(F.coalesce(url.cast("string"), F.lit("")), _FROM, _TO)
-    return F.concat(F.lit("^" * (ORDER - 1)), F.regexp_replace(mapped, r"[^a-z0/.\-?=]", "~"))
+    """The URL led by ORDER - 1 start symbols."""
+    return F.concat(F.lit(START * (ORDER - 1)), F.coalesce(url.cast("string"), F.lit("")))
 
 
 def _positions(rows: DataFrame) -> DataFrame:
@@ -77,7 +73,7 @@ def fit(labelled: DataFrame) -> DataFrame:
     labelled: (s, accepted).  Witten-Bell smoothing: a context that was seen N
     times with T different next characters trusts its own counts by N / (N + T)
     and the context one shorter for the rest; single characters get half a
-    count more than seen.
+    count more than seen.  The alphabet is what was seen.
     """
     seen = _positions(labelled.select("s", "accepted")).filter("g IS NOT NULL")
     # counted once at full length; shorter n-grams are sums of those
@@ -87,12 +83,13 @@ def fit(labelled: DataFrame) -> DataFrame:
         grams = full.groupBy(F.substring("g", ORDER - k + 1, k).alias("g")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
         if k == 1:
             total = grams.agg(F.sum("a").alias("ta"), F.sum("r").alias("tr")).first()
-            p = {c: (F.col(c) + 0.5) / F.lit((total[f"t{c}"] or 0) + 0.5 * SYMBOLS) for c in "ar"}
+            size = grams.count()
+            p = {c: (F.col(c) + 0.5) / F.lit((total[f"t{c}"] or 0) + 0.5 * size) for c in "ar"}
             level = grams.select("g", *(p[c].alias(f"p{c}") for c in "ar"))
         else:
             ctx = F.substring("g", 1, k - 1)
             contexts = grams.groupBy(ctx.alias("c")).agg(*(f for c in "ar" for f in (F.sum(c).alias(f"n{c}"), F.sum((F.col(c) > 0).cast("long")).alias(f"t{c}"))))
-            joined = grams.withColumn("c", ctx).join(F.broadcast(contexts), "c").withColumn("low", F.substring("g", 2, k - 1)).join(F.broadcast(lower.withColumnRenamed("g", "low")), "low")
+            joined = grams.withColumn("c", ctx).join(contexts, "c").withColumn("low", F.substring("g", 2, k - 1)).join(lower.withColumnRenamed("g", "low"), "low")
             both = []
             for c in "ar":
                 trust = F.when(F.col(f"n{c}") > 0, F.col(f"n{c}") / (F.col(f"n{c}") + F.col(f"t{c}"))).otherwise(0.0)
@@ -105,20 +102,31 @@ def fit(labelled: DataFrame) -> DataFrame:
     return materialise(model, "url-model")
 
 
-def score(rows: DataFrame, model: DataFrame, key: list[str]) -> DataFrame:
-    """key columns and the mean log-likelihood difference of s, once per key.
+def score(rows: DataFrame, model: DataFrame, key: str) -> DataFrame:
+    """key and the mean log-likelihood difference of s, once per key.
 
     Each character uses the longest n-gram ending there that training saw.
     Without characters the score is 0.
     """
-    at = _positions(rows.select(*key, "s"))
-    found = []
-    for k in range(ORDER, 0, -1):
-        # at most SYMBOLS**k rows: the alphabet bounds the broadcast
-        level = model.filter(F.length("g") == k).select(F.col("g").alias(f"g{k}"), F.col("llr").alias(f"l{k}"))
-        at = at.withColumn(f"g{k}", F.substring("g", ORDER - k + 1, k)).join(F.broadcast(level), f"g{k}", "left")
-        found.append(F.col(f"l{k}"))
-    return at.groupBy(*key).agg(F.coalesce(F.avg(F.coalesce(*found, F.lit(0.0))), F.lit(0.0)).alias("score"))
+    at = _positions(rows.select(key, "s")).filter("g IS NOT NULL")
+    seen = materialise(at.groupBy("g").agg(F.count(F.lit(1)).alias("places")), "url-seen")
+    levels = [seen.select("g")]
+    for k in range(ORDER - 1, 0, -1):
+        levels.append(levels[-1].select(F.substring("g", 2, k).alias("g")).distinct())
+    # an n-gram without value of its own has that of the one shorter
+    known = None
+    for k, grams in enumerate(reversed(levels), 1):
+        own = grams.join(model.filter(F.length("g") == k), "g", "left")
+        if known is not None:
+            low = known.select(F.col("g").alias("low"), F.col("llr").alias("l"))
+            own = own.withColumn("low", F.substring("g", 2, k - 1)).join(low, "low").select("g", F.coalesce("llr", "l").alias("llr"))
+        known = materialise(own, f"url-known{k}")
+    # hot n-grams number places / HOT at most and travel to the tasks
+    hot = F.broadcast(seen.filter(F.col("places") > HOT).join(known, "g").select("g", "llr"))
+    few = at.join(hot, "g", "left_anti").join(known, "g")
+    both = at.join(hot, "g").select(key, "llr").union(few.select(key, "llr"))
+    means = both.groupBy(key).agg(F.avg(F.coalesce("llr", F.lit(0.0))).alias("score"))
+    return rows.select(key).join(means, key, "left").select(key, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def filter_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
@@ -135,11 +143,11 @@ def filter_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", ru
     host, path = host_and_path(F.col("url"))
     rows = rows.withColumn("host", host).withColumn("path", path)
     name, action = match_rules(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", name).withColumn("action", action).withColumn("s", symbols(F.col("url")))
+    rows = rows.withColumn("rule", name).withColumn("action", action).withColumn("s", symbols(F.col("url"))).withColumn("row", F.monotonically_increasing_id())
     rows = materialise(rows, "urls")
     labelled = rows.filter("action IS NOT NULL").select("page_id", "url", "s", (F.col("action") == "allow").alias("accepted"))
     model = fit(labelled)
-    scored = materialise(score(rows, model, ["page_id", "url", "host", "path", "rule", "action", "copies"]), "url-scores")
+    scored = materialise(rows.drop("s", "url").join(score(rows, model, "row"), "row"), "url-scores")
     known = {r["action"]: r for r in scored.filter("action IS NOT NULL").groupBy("action").agg(F.avg("score").alias("m"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("s")).collect()}
     verdict = F.lit("allow")
     if len(known) == 2:

@@ -179,6 +179,17 @@ def test_urls(spark):
     assert by[urls.index("http://good99.example.info/x")]["verdict"] == "allow" and by[urls.index("http://bad99.example.info/x")]["verdict"] == "block"
 
 
+def test_urls_keep_their_characters(spark, monkeypatch):
+    urls = [f"http://a.example.com/en/{h}{i}" for h in (7, 8) for i in range(40)]
+    urls += ["http://x.info/en/71", "http://x.info/en/81"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(pages).collect()}
+    assert got[80]["verdict"] == "allow" and got[81]["verdict"] == "block" and got[80]["rule"] is None
+    monkeypatch.setattr(url_filter, "HOT", 3)
+    again = {r["page_id"]: r["score"] for r in url_filter.filter_urls(pages).collect()}
+    assert all(again[i] == pytest.approx(r["score"]) for i, r in got.items())
+
+
 def test_urls_of_empty_table(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
