@@ -7,29 +7,47 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written to the session's shared folder and read back.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset, as in
-    tests, a temporary one of this machine is set.
+    Where that is unset, a session on one machine gets a temporary folder; on
+    a cluster, whose executors would not see it, that is an error.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.gettempdir() + "/graphloom-shared"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written to the session's shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._graphloom_path = path
+    return back
 
 
-def map_arrow(df: DataFrame, body, schema) -> DataFrame:
-    """df.mapInArrow, with this package sent to the executors once a session,
-    as they need not have it installed."""
-    context = df.sparkSession.sparkContext
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of tables that cut() made and nothing will read again."""
+    for df in tables:
+        if path := getattr(df, "_graphloom_path", None):
+            jvm, context = df.sparkSession._jvm, df.sparkSession._jsc
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context.hadoopConfiguration()).delete(place, True)
+
+
+def send_package(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, as they need not
+    have it installed."""
+    context = spark.sparkContext
     if getattr(context, "_graphloom_sent", None) is None:
         root = Path(__file__).resolve().parent
         packed = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
@@ -38,4 +56,9 @@ def map_arrow(df: DataFrame, body, schema) -> DataFrame:
                 z.write(f, f.relative_to(root.parent).as_posix())
         context.addPyFile(str(packed))
         context._graphloom_sent = str(packed)
+
+
+def map_arrow(df: DataFrame, body, schema) -> DataFrame:
+    """df.mapInArrow with this package on the executors."""
+    send_package(df.sparkSession)
     return df.mapInArrow(body, schema)
