@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (tests, one machine) a temporary folder is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.gettempdir() + "/graphloom-shared"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+from ..storage import cut, discard, map_arrow, send_package, shared_dir  # noqa: F401
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -37,34 +23,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: what follows survives the loss of any executor without
     running the step again, and repeated uses read the table.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished, unreferenced steps.
-
-    The context cleaner works when the driver's JVM collects garbage, which a
-    short driver program may never do; on a full cluster disk that hurts.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def map_arrow(df: DataFrame, body, schema) -> DataFrame:
-    """df.mapInArrow, with this package sent to the executors once a session,
-    as they need not have it installed."""
-    context = df.sparkSession.sparkContext
-    if getattr(context, "_graphloom_sent", None) is None:
-        root = Path(__file__).resolve().parents[1]
-        packed = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
-        with zipfile.ZipFile(packed, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent).as_posix())
-        context.addPyFile(str(packed))
-        context._graphloom_sent = str(packed)
-    return df.mapInArrow(body, schema)
+    return cut(df, name)
 
 
 def held_out(doc_id: str, folds: int, fold: int) -> Column:

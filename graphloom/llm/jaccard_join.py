@@ -22,7 +22,13 @@ Of a large group of near copies not all pairs are made.  The nodes of an
 n-gram are first compared with the group's hub, the node with the least
 n-grams of its own.  What linked to the hub is one component; afterwards only
 nodes outside it are compared with the rest, so no component loses a link
-that connects it to another.
+that connects it to another.  Those comparisons are dealt by blocks of the
+group, and no pair leaves them that its sketches rule out: 512 parity bits of
+a set, of which two sets differ in no more bits than n-grams.
+
+Links lie within components, so they are counted there: the nodes of a
+component are dealt by pairs of blocks, and every pair of nodes is counted in
+one of them by its overlap.  No list of links is made.
 """
 
 from __future__ import annotations
@@ -33,14 +39,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, materialise, release, utf8
+from ._common import discard, map_arrow, materialise, send_package, utf8
 from .components import connected
 from .shingles import shingle_set
 
 #: Similarity as a fraction; part of the hash space whose n-grams are counted.
-NUM, DEN, REGION = 4, 5, 0.33
+NUM, DEN, REGION = 4, 5, 0.25
 #: Rows of n-grams per Arrow batch; n-grams carry 48 bits of their hash.
 ROWS, TOKEN_BITS = 200_000, 48
+#: Longs of a sketch; its columns.
+WIDE = 8
+SKETCH = [f"s{i}" for i in range(WIDE)]
+#: Nodes and bytes of sets in a block at most, in expectation; pairs verified
+#: beside one copy of a node's set; columns of a block's incidence matrix.
+BLOCK, BLOCK_BYTES, STAR, COLUMNS = 512, 4_000_000, 64, 4096
 
 
 def prefix_length(n: int) -> int:
@@ -100,15 +112,21 @@ def _sets(region: float, k: int):
                 packed.append(_pack(grams[:at]))
                 more.append((grams[at : at + extra] & mask).astype(np.int64).tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(packed, pa.binary()), pa.array(more, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "sig", "packed", "more"],
+                [batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(packed, pa.binary()), pa.array(more, pa.list_(pa.int64()))],
+                names=["doc_id", "key", "n", "sig", "packed", "more"],
             )
 
     return run
 
 
+def _sketch(grams: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of n-grams by 9 bits of their hash, as longs."""
+    odd = np.bincount((grams & np.uint64(64 * WIDE - 1)).astype(np.int64), minlength=64 * WIDE) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _whole(k: int):
-    """The whole set of a node, also packed as if all of it were in the region."""
+    """The whole set of a node and its sketch."""
 
     def run(batches):
         for batch in batches:
@@ -116,9 +134,9 @@ def _whole(k: int):
             for s, raw in zip(batch.column("sig").to_pylist(), utf8(batch.column("text"))):
                 grams = shingle_set(raw, k)
                 if grams.size and _signature(grams) == s:
-                    rows.append((s, grams.size, grams.astype("<u8").tobytes(), _pack(grams), []))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["sig", "n", "grams", "packed", "more"])
+                    rows.append((s, grams.size, grams.astype("<u8").tobytes(), *_sketch(grams).tolist()))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * WIDE)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["sig", "n", "grams", *SKETCH])
 
     return run
 
@@ -133,10 +151,16 @@ def _unpack(packed: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8").astype(np.int64)
 
 
+def _short(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """N-grams of each row of a batch: packed ones, or whole sets cut to 48 bits."""
+    mask = np.uint64((1 << TOKEN_BITS) - 1)
+    return [_unpack(p) for p in batch.column("packed").to_pylist()] if "packed" in batch.schema.names else [(np.frombuffer(g, "<u8") & mask).astype(np.int64) for g in batch.column("grams").to_pylist()]
+
+
 def _postings(batches):
-    """(t, sig) for each n-gram of the region."""
+    """(t, sig) for each n-gram."""
     for batch in batches:
-        sigs, parts = batch.column("sig").to_pylist(), [_unpack(p) for p in batch.column("packed").to_pylist()]
+        sigs, parts = batch.column("sig").to_pylist(), _short(batch)
         t = np.concatenate([*parts, np.empty(0, np.int64)])
         s = np.repeat(np.array(sigs, dtype=np.int64), [p.size for p in parts])
         for a in range(0, t.size, ROWS):
@@ -144,22 +168,23 @@ def _postings(batches):
 
 
 def _grams(batches):
-    """(t) for each n-gram of the region."""
+    """(t) for each n-gram."""
     for batch in batches:
-        t = np.concatenate([*(_unpack(p) for p in batch.column("packed").to_pylist()), np.empty(0, np.int64)])
+        t = np.concatenate([*_short(batch), np.empty(0, np.int64)])
         for a in range(0, t.size, ROWS):
             yield pa.RecordBatch.from_arrays([pa.array(t[a : a + ROWS])], names=["t"])
 
 
-def _prefixes(table: DataFrame) -> DataFrame:
+def _prefixes(once: DataFrame, packed: str) -> DataFrame:
     """(t, sig, n, rank, own): the n-grams of each node's prefix that may occur
     elsewhere, their place in the node's order, and the share of n-grams that
-    no other node has."""
-    once = table.filter("packed IS NOT NULL").select("sig", "packed", "n", "more")
-    shared = map_arrow(once.select("packed"), _grams, "t long").groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    postings = map_arrow(once.select("sig", "packed"), _postings, "t long, sig long")
+    no other node has.
+
+    once: (sig, n, <packed>, counted, more), a row or some equal ones a node."""
+    shared = map_arrow(once.select(packed), _grams, "t long").groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    postings = map_arrow(once.select("sig", packed), _postings, "t long, sig long")
     by_node = postings.join(shared, "t").groupBy("sig").agg(F.sort_array(F.collect_set(F.struct("df", "t"))).alias("s"))
-    meta = once.groupBy("sig").agg(F.first("n").alias("n"), F.first((F.octet_length("packed") / 6).cast("long")).alias("in_region"), F.first("more").alias("more"))
+    meta = once.groupBy("sig").agg(F.first("n").alias("n"), F.first("counted").alias("in_region"), F.first("more").alias("more"))
     p = F.expr(f"n - ceil({NUM} * n / {DEN}) + 1").cast("long")
     node = meta.join(by_node, "sig", "left").withColumn("s", F.coalesce("s", F.expr("filter(array(named_struct('df', 0L, 't', 0L)), x -> false)")))
     node = node.withColumn("alone", F.col("in_region") - F.size("s")).withColumn("room", F.greatest(F.lit(0), p - F.col("alone")).cast("int"))
@@ -184,69 +209,155 @@ def _pairs(matches: DataFrame) -> DataFrame:
     return turned.groupBy("x", "y").agg(F.first("n").alias("n"), F.first("m").alias("m")).select("x", "y")
 
 
+def _side(sets: DataFrame, name: str, *columns: str) -> DataFrame:
+    """(name, name_<column>...) of each node of sets."""
+    return sets.select(F.col("sig").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in columns))
+
+
+def _close(x: str, y: str) -> Column:
+    """Whether two sketches allow the overlap that the sets' sizes ask for."""
+    apart = sum((F.bit_count(F.col(f"{x}_{s}").bitwiseXOR(F.col(f"{y}_{s}"))) for s in SKETCH), F.lit(0))
+    n, m = F.col(f"{x}_n"), F.col(f"{y}_n")
+    return apart <= n + m - 2 * least_overlap(n, m)
+
+
+def _sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that their sketches leave open."""
+    both = pairs.join(_side(sets, "x", "n", *SKETCH), "x").join(_side(sets, "y", "n", *SKETCH), "y")
+    return both.filter(_close("x", "y")).select("x", "y")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are similar."""
-    with_x = pairs.join(sets.select(F.col("sig").alias("x"), F.col("grams").alias("gx")), "x")
-    with_xy = with_x.join(sets.select(F.col("sig").alias("y"), F.col("grams").alias("gy")), "y")
+    """The pairs whose whole sets are similar.
+
+    A node's partners are dealt in rows of about STAR, each with one copy of
+    its own set."""
+    counts = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("partners"))
+    dealt = pairs.join(counts, "y").withColumn("part", F.pmod(F.xxhash64("x"), F.ceil(F.col("partners") / STAR)))
+    star = dealt.join(_side(sets, "x", "grams"), "x").groupBy("y", "part").agg(F.collect_list(F.struct("x", "x_grams")).alias("others"))
+    rows = star.join(_side(sets, "y", "grams"), "y").select("y", "y_grams", "others")
 
     def run(batches):
         for batch in batches:
-            keep = [similar(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")) for a, b in zip(batch.column("gx").to_pylist(), batch.column("gy").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
-
-    return map_arrow(with_xy.select("x", "y", "gx", "gy"), run, "x long, y long")
+            for y, own, others in zip(*(batch.column(c) for c in ("y", "y_grams", "others"))):
+                mine = np.frombuffer(own.as_py(), "<u8")
+                found = [o["x"].as_py() for o in others if similar(np.frombuffer(o["x_grams"].as_py(), "<u8"), mine)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([y.as_py()] * len(found), pa.int64())], names=["x", "y"])
+
+    return map_arrow(rows, run, "x long, y long")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set on the left with each on the right."""
+    sizes = [g.size for g in (*left, *right)]
+    grams, column, seen = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    row, often = np.repeat(np.arange(len(sizes)), sizes), seen[column] > 1
+    column, row = (np.cumsum(seen > 1) - 1)[column[often]], row[often]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float64)
+    for a in range(0, int(column[-1]) + 1 if column.size else 0, COLUMNS):
+        i, j = np.searchsorted(column, (a, a + COLUMNS))
+        m = np.zeros((len(sizes), COLUMNS), dtype=np.float32)
+        m[row[i:j], column[i:j] - a] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """(sig, links) in one pair of a component's blocks, or within one block."""
+    side = np.array(table.column("side").to_pylist())
+    sigs, n, copies = (np.array(table.column(c).to_pylist(), dtype=np.int64) for c in ("sig", "n", "copies"))
+    grams = [np.frombuffer(g, "<u8") for g in table.column("grams").to_pylist()]
+    x, y = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
+    if not x.size or not y.size:
+        return pa.table({"sig": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
+    shared = overlaps([grams[i] for i in x], [grams[i] for i in y])
+    linked = (shared >= -(-NUM * (n[x][:, None] + n[y][None, :]) // (NUM + DEN))) & (sigs[x][:, None] != sigs[y][None, :])
+    if x.size == side.size:  # one block: its own transpose
+        return pa.table({"sig": sigs[x], "links": linked @ copies[y]})
+    return pa.table({"sig": np.concatenate([sigs[x], sigs[y]]), "links": np.concatenate([linked @ copies[y], copies[x] @ linked])})
+
+
+def _count_links(roots: DataFrame, sets: DataFrame, copies: DataFrame) -> DataFrame:
+    """(sig, links): for each node of a component the documents, of other
+    nodes, that are similar to it.
+
+    Blocks are pairs of at most about BLOCK nodes each; a block meets itself
+    (side 0) and every other one of its component (sides -1 and 1)."""
+    members = sets.select("sig", "n", "grams").join(roots.withColumnRenamed("node", "sig"), "sig").join(copies, "sig")
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("grams")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "sig", "n", "copies", "grams")
+    send_package(dealt.sparkSession)
+    found = dealt.groupBy("root", "a", "b").applyInArrow(_block_links, "sig long, links long")
+    return found.groupBy("sig").agg(F.sum("links").alias("links"))
 
 
 def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, region: float = REGION) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row.
-
-    component_id is the smallest doc_id reachable over links.  Null or empty
-    texts and texts without words have an empty set and are linked with
-    nothing: their component is their own id.  Rows repeat as they come;
-    equal texts are linked (a null id takes part, but never names a
-    component while another id is there).  Other columns are left behind.
+    """doc_id, n_shingles, component_id, n_links for every row.
+
+    component_id is the smallest doc_id reachable over links; n_links the
+    number of other rows that the row is linked with.  Null or empty texts and
+    texts without words have an empty set and are linked with nothing: their
+    component is their own id.  Rows repeat as they come; equal texts are
+    linked (a null id takes part, but never names a component while another id
+    is there).  Very long texts are handled whole, in the task that reads
+    them.  Other columns are left behind; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    table = materialise(map_arrow(rows, _sets(region, k), "doc_id long, n long, sig long, packed binary, more array<long>"), "sets")
-    prefixes = materialise(_prefixes(table), "prefixes")
-    release(spark)
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    raw = materialise(map_arrow(rows, _sets(region, k), "doc_id long, key long, n long, sig long, packed binary, more array<long>"), "sets")
+    table = materialise(raw.select("doc_id", "n", "sig"), "signatures")
+    once = raw.filter("packed IS NOT NULL").select("sig", "n", "packed", (F.octet_length("packed") / 6).cast("long").alias("counted"), "more")
+    prefixes = materialise(_prefixes(once, "packed"), "prefixes")
 
     # nodes that may meet another go on with whole sets, and the order is made
     # anew from exact frequencies of all n-grams among them
     meeting = prefixes.groupBy("t").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("t")
     wanted = prefixes.join(meeting, "t").select("sig").distinct()
-    keeper = table.filter("packed IS NOT NULL").join(wanted, "sig").groupBy("sig").agg(F.min("doc_id").alias("kept"))
-    texts = rows.join(keeper, F.col("doc_id").eqNullSafe(F.col("kept"))).select("sig", "text")
-    sets = materialise(map_arrow(texts, _whole(k), "sig long, n long, grams binary, packed binary, more array<long>"), "grams")
-    release(spark)
-    prefixes = materialise(_prefixes(sets), "prefixes")
+    keeper = materialise(raw.filter("packed IS NOT NULL").select("key", "sig").join(wanted, "sig").groupBy("sig").agg(F.min("key").alias("key")), "kept")
+    discard(raw, prefixes)
+    # repeated rows have one key, and are where the join has put them
+    texts = rows.select("key", "text").join(keeper, "key").dropDuplicates(["key", "sig"]).select("sig", "text")
+    sets = materialise(map_arrow(texts, _whole(k), "sig long, n long, grams binary, " + ", ".join(f"{s} long" for s in SKETCH)), "grams")
+    discard(keeper)
+    none = F.array().cast("array<long>")
+    prefixes = materialise(_prefixes(sets.select("sig", "n", "grams", F.col("n").alias("counted"), none.alias("more")), "grams"), "prefixes")
     # n-grams of one node only link nothing; the hub has the least of its own
     hubs = prefixes.groupBy("t").agg(F.min(F.struct("own", "sig", "n", "rank")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    groups = materialise(prefixes.join(hubs.select("t", "hub"), "t"), "groups")
+    groups = materialise(prefixes.join(hubs, "t"), "groups")
+    discard(prefixes)
     hub = F.col("hub")
     near_hub = groups.filter((F.col("sig") != hub["sig"]) & _possible(F.col("n"), F.col("rank"), hub["n"], hub["rank"]))
     first = materialise(_pairs(near_hub.select(F.col("sig").alias("x"), "n", "rank", hub["sig"].alias("y"), hub["n"].alias("m"), hub["rank"].alias("other"))), "pairs")
-    links = materialise(_verify(first, sets), "links")
+    links = materialise(_verify(_sketched(first, sets), sets), "links")
     roots = connected(links)
 
     # what did not join its hub's component meets the others of the group
     root = lambda name, at: roots.select(F.col("node").alias(at), F.col("root").alias(name))
     placed = groups.withColumn("hub_sig", hub["sig"]).join(root("root", "sig"), "sig", "left").join(root("hub_root", "hub_sig"), "hub_sig", "left")
-    placed = placed.select("t", "sig", "n", "rank", F.coalesce("root", "sig").alias("root"), F.coalesce("hub_root", "hub_sig").alias("hub_root"))
-    placed = materialise(placed, "placed")
-    outside = placed.filter("root <> hub_root").select("t", F.col("sig").alias("x"), "n", "rank", F.col("root").alias("root_x"))
-    others = placed.select("t", F.col("sig").alias("y"), F.col("n").alias("m"), F.col("rank").alias("other"), F.col("root").alias("root_y"), F.col("hub_root"))
+    placed = placed.select("t", "sig", "n", "rank", "size", F.coalesce("root", "sig").alias("root"), F.coalesce("hub_root", "hub_sig").alias("hub_root"))
+    open_groups = placed.filter("root <> hub_root").select("t").distinct()
+    placed = materialise(placed.join(open_groups, "t").withColumn("blocks", F.ceil(F.col("size") / BLOCK)), "placed")
+    discard(groups)
+    outside = placed.filter("root <> hub_root").select("t", F.col("sig").alias("x"), "rank", F.col("root").alias("root_x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    others = placed.select("t", F.col("sig").alias("y"), F.col("rank").alias("other"), F.col("root").alias("root_y"), "hub_root", F.pmod(F.xxhash64("sig"), F.col("blocks")).alias("block"))
+    outside, others = outside.join(_side(sets, "x", "n", *SKETCH), "x"), others.join(_side(sets, "y", "n", *SKETCH), "y")
     # two outsiders meet once, an outsider and an insider always
-    meet = outside.join(others, "t").filter((F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("hub_root")) | (F.col("x") < F.col("y"))) & _possible(F.col("n"), F.col("rank"), F.col("m"), F.col("other")))
-    second = materialise(_pairs(meet.select("x", "n", "rank", "y", "m", "other")).join(first, ["x", "y"], "left_anti"), "pairs")
-    more = _verify(second, sets)
+    meet = outside.join(others, ["t", "block"]).filter(
+        (F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("hub_root")) | (F.col("x") < F.col("y"))) & _possible(F.col("x_n"), F.col("rank"), F.col("y_n"), F.col("other")) & _close("x", "y")
+    )
+    second = materialise(_pairs(meet.select("x", F.col("x_n").alias("n"), "rank", "y", F.col("y_n").alias("m"), "other")).join(first, ["x", "y"], "left_anti"), "pairs")
+    more = materialise(_verify(second, sets), "links")
     roots = connected(links.union(more))
-    release(spark)
 
-    classes = table.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = materialise(table.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "nodes")
+    counted = materialise(_count_links(roots, sets, classes.select("sig", "copies")), "counted")
+    discard(sets, placed, first, second, links, more)
     joined = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left")
     heads = joined.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("head"))
-    known = joined.filter("root IS NOT NULL OR copies > 1").join(heads, "root", "left").select("sig", F.coalesce("head", "least").alias("component"))
-    known = materialise(known, "classes")
-    return table.select("doc_id", "n", "sig").join(known, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    known = joined.filter("root IS NOT NULL OR copies > 1").join(heads, "root", "left").join(counted, "sig", "left")
+    known = materialise(known.select("sig", F.coalesce("head", "least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "classes")
+    return table.join(known, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))

@@ -27,7 +27,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of documents with a 5-word Jaccard similarity of 0.8 or more."""
+    """Components and links of documents with a 5-word Jaccard similarity of 0.8 or more."""
     return jaccard_join.similarity_components(_table(spark, sf_dir, "documents"))
 
 
@@ -94,8 +94,10 @@ g AS (SELECT doc_id, u.g FROM u JOIN (SELECT g FROM u GROUP BY g HAVING count(*)
 n AS (SELECT d.doc_id, coalesce(k.n, 0) AS n FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM u GROUP BY 1) k ON k.doc_id = d.doc_id),
 c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
-r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
-SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.y) AS component_id FROM n JOIN r ON r.x = n.doc_id GROUP BY n.doc_id, n.n
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+q AS (SELECT x, count(*) AS k FROM l GROUP BY x)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.y) AS component_id, coalesce(any_value(q.k), 0)::BIGINT AS n_links
+FROM n JOIN r ON r.x = n.doc_id LEFT JOIN q ON q.x = n.doc_id GROUP BY n.doc_id, n.n
 """,
     "op6_warc": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),

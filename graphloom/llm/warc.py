@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, materialise, new_path, release, utf8
+from ._common import map_arrow, materialise, new_path, utf8
 
 #: Fixed values of the seekable Zstandard format: the skippable frame that
 #: holds the table, and the number in the last four bytes.
@@ -231,6 +231,5 @@ def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """
     folder = new_path(spark, "warc")
     index = write_archive(pages, folder)
-    release(spark)
     back = read_archive(index, folder)
     return back.select("page_id", F.coalesce(F.octet_length("payload").cast("long"), "payload_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

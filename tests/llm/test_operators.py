@@ -40,7 +40,7 @@ def shingles(text):
 
 def brute_components(rows):
     sets = [shingles(t) for _, t in rows]
-    parent = list(range(len(rows)))
+    parent, links = list(range(len(rows))), [0] * len(rows)
 
     def find(i):
         while parent[i] != i:
@@ -52,14 +52,15 @@ def brute_components(rows):
             k = len(sets[i] & sets[j])
             if k and 100 * k >= 80 * len(sets[i] | sets[j]):
                 parent[find(i)] = find(j)
+                links[i], links[j] = links[i] + 1, links[j] + 1
     least = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
             least[find(i)] = min(d, least.get(find(i), d))
-    return sorted(((d, len(sets[i]), least.get(find(i))) for i, (d, _) in enumerate(rows)), key=str)
+    return sorted(((d, len(sets[i]), least.get(find(i)), links[i]) for i, (d, _) in enumerate(rows)), key=str)
 
 
-def test_components_match_brute_force(spark):
+def test_components_match_brute_force(spark, monkeypatch):
     rng, rows = random.Random(3), []
     for g in range(12):
         base = words(g, rng.choice([4, 7, 30, 80]))
@@ -71,8 +72,26 @@ def test_components_match_brute_force(spark):
     common = " ".join(words(99, 60))
     rows += [(len(rows) + i, common + " " + " ".join(words(500 + i, rng.choice([3, 30, 90])))) for i in range(15)]
     rows += [(d, t) for d, t, *_ in ODD]
-    got = jaccard_join.similarity_components(docs(spark, rows)).collect()
-    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(rows)
+    listed = lambda: sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.similarity_components(docs(spark, rows)).collect()), key=str)
+    assert listed() == brute_components(rows)
+    # many small blocks of a component or a group, and rows of one partner
+    for name in ("BLOCK", "STAR", "COLUMNS"):
+        monkeypatch.setattr(jaccard_join, name, 2)
+    assert listed() == brute_components(rows)
+
+
+def test_shared_paragraphs_make_few_candidates(spark, monkeypatch):
+    """Of documents mixed from paragraphs, no two similar, next to no pair is verified."""
+    paragraphs = [" ".join(words(3000 + i, 50, 100_000)) for i in range(60)]
+    verified = []
+    real = jaccard_join._verify
+    monkeypatch.setattr(jaccard_join, "_verify", lambda pairs, sets: (verified.append(pairs.count()), real(pairs, sets))[1])
+    for n in (300, 1200):
+        mixed = [(i, " ".join(random.Random(i).sample(paragraphs, 5))) for i in range(n)]
+        got = jaccard_join.similarity_components(docs(spark, mixed)).collect()
+        want = brute_components(mixed) if n == 300 else None
+        assert want is None or sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got), key=str) == want
+    assert sum(verified) <= 1500
 
 
 def test_components_of_empty_table(spark):
