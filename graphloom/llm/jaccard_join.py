@@ -295,21 +295,14 @@ def _count_links(roots: DataFrame, sets: DataFrame, copies: DataFrame) -> DataFr
     return found.groupBy("sig").agg(F.sum("links").alias("links"))
 
 
-def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, region: float = REGION) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every row.
-
-    component_id is the smallest doc_id reachable over links; n_links the
-    number of other rows that the row is linked with.  Null or empty texts and
-    texts without words have an empty set and are linked with nothing: their
-    component is their own id.  Rows repeat as they come; equal texts are
-    linked (a null id takes part, but never names a component while another id
-    is there).  Very long texts are handled whole, in the task that reads
-    them.  Other columns are left behind; an empty table gives an empty one.
-    """
+def _classes(docs: DataFrame, doc_id: str, text: str, k: int, region: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n, sig) of every row, and of every signature with a copy
+    or a link (sig, component, links, keeper): keeper is the key of the row
+    with the smallest id, nulls last, then the smallest key of the component."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     raw = materialise(map_arrow(rows, _sets(region, k), "doc_id long, key long, n long, sig long, packed binary, more array<long>"), "sets")
-    table = materialise(raw.select("doc_id", "n", "sig"), "signatures")
+    table = materialise(raw.select("doc_id", "key", "n", "sig"), "signatures")
     once = raw.filter("packed IS NOT NULL").select("sig", "n", "packed", (F.octet_length("packed") / 6).cast("long").alias("counted"), "more")
     prefixes = materialise(_prefixes(once, "packed"), "prefixes")
 
@@ -353,11 +346,50 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     more = materialise(_verify(second, sets), "links")
     roots = connected(links.union(more))
 
-    classes = materialise(table.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "nodes")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "key")).alias("least")
+    classes = materialise(table.filter("sig IS NOT NULL").groupBy("sig").agg(least, F.count(F.lit(1)).alias("copies")), "nodes")
     counted = materialise(_count_links(roots, sets, classes.select("sig", "copies")), "counted")
     discard(sets, placed, first, second, links, more)
     joined = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left")
     heads = joined.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("head"))
-    known = joined.filter("root IS NOT NULL OR copies > 1").join(heads, "root", "left").join(counted, "sig", "left")
-    known = materialise(known.select("sig", F.coalesce("head", "least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "classes")
+    known = joined.filter("root IS NOT NULL OR copies > 1").join(heads, "root", "left").join(counted, "sig", "left").withColumn("head", F.coalesce("head", "least"))
+    known = known.select("sig", F.col("head.doc_id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("head.key").alias("keeper"))
+    return table, materialise(known, "classes")
+
+
+def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, region: float = REGION) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for every row.
+
+    component_id is the smallest doc_id reachable over links; n_links the
+    number of other rows that the row is linked with.  Null or empty texts and
+    texts without words have an empty set and are linked with nothing: their
+    component is their own id.  Rows repeat as they come; equal texts are
+    linked (a null id takes part, but never names a component while another id
+    is there).  Very long texts are handled whole, in the task that reads
+    them.  Other columns are left behind; an empty table gives an empty one.
+    """
+    table, known = _classes(docs, doc_id, text, k, region)
     return table.join(known, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, region: float = REGION) -> DataFrame:
+    """The rows of docs, all columns, but of each component one row only: that
+    with the smallest id, null ids last; of different texts under that id the
+    one with the smaller hash of id and text.
+
+    Decisions are about rows, not ids: a text that is similar to no other
+    stays whatever else has its id.  Null and empty texts and texts without
+    words are similar to nothing and all stay, repeated or not.
+    """
+    table, known = _classes(docs, doc_id, text, k, region)
+    found = table.join(known, "sig").select("key", "keeper")
+    gone = found.filter("key <> keeper").select("key").distinct()
+    again = found.filter("key = keeper").groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key")
+    marks = materialise(gone.withColumn("__again", F.lit(False)).union(again.withColumn("__again", F.lit(True))), "copies")
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string")))
+    left = keyed.join(marks.select(F.col("key").alias("__key")), "__key", "left_anti").select(*docs.columns)
+    if marks.filter("__again").isEmpty():
+        return left
+    # equal rows: one of them, taken before anything is moved
+    once = keyed.join(marks.filter("__again").select(F.col("key").alias("__key")), "__key").dropDuplicates(["__key"])
+    return left.unionByName(once.select(*docs.columns))

@@ -45,5 +45,22 @@ def test_undetermined_documents(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_undetermined(spark, unknown, "").collect()) == [*range(20), 900]
 
 
+def test_near_copies_are_rows_not_ids(spark):
+    schema = "doc_id long, text string, key long, sig string"
+    a, b, c, d = (words(i, 40) for i in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, c), (4, d), (4, d), (4, d), (5, None), (5, None), (6, ""), (None, d), (None, words(9, 40)), (7, "x y"), (8, "X  y")]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([(*r, 1, "s") for r in rows], schema), "")
+    assert got.columns == ["doc_id", "text", "key", "sig"]
+    want = [(1, a), (2, b), (3, c), (4, d), (5, None), (5, None), (6, ""), (None, words(9, 40)), (7, "x y")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, size int, target string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_registry():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(ORACLE_SQL) <= set(QUERIES)
