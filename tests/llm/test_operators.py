@@ -336,11 +336,67 @@ def test_fingerprints(spark):
     assert [r["near_next"] for r in syncmers.fingerprints(docs(spark, rows[:1])).collect()] == [1.0]
 
 
+def brute_anchors(text):
+    """Anchors of a text as (place, run), with the operator's order of inner runs."""
+    t = re.sub(r"[\x20\x09-\x0D]+", " ", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)).strip(" ")
+    k, s = syncmers.K, syncmers.S
+    out = []
+    for i in range(len(t) - k + 1):
+        inner = [RANK[t[i + j : i + j + s]] for j in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((i, t[i : i + k]))
+    return out or ([(0, t)] if t else [])
+
+
+RANK: dict[str, int] = {}
+
+
+def brute_links(found):
+    return {(found[0][1],)} if len(found) == 1 else {(a[1], b[1], b[0] - a[0]) for a, b in zip(found, found[1:])}
+
+
+def test_fingerprints_match_brute_force(spark):
+    """The registered contract's columns, anchor by anchor, ties and long ids included."""
+    rng = random.Random(4)
+    texts = [" ".join(words(i, rng.randrange(1, 40))).upper() if i % 3 else rng.choice(["", " ", "a", "ab \n", "日本語の文章です。" * 3, "x" * 50, "\u0085 q \u2028", " lead and trail\t\t", "🙂🙂 b"]) for i in range(60)]
+    ids = [-(2**63), 2**63 - 1, *range(5, 40), *[7] * 12, *[None] * 11]
+    rows = list(zip(ids, texts))
+    runs = set()
+    for t in [t or "" for t in texts] + [" "]:
+        low = re.sub(r"[\x20\x09-\x0D]+", " ", t.lower())
+        runs |= {low[i : i + syncmers.S] for i in range(len(low))}
+    every = sorted({a + b for r in runs for a in r for q in runs for b in q} | runs)
+    hashed = spark.createDataFrame([(r,) for r in every if len(r) == syncmers.S], "r string").select("r", F.xxhash64(F.substring("r", 1, 1), F.substring("r", 2, 1)).alias("h")).collect()
+    RANK.update((x["r"], x["h"]) for x in hashed)
+    tie = {x["text"]: x["h"] for x in spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]], r[1]))
+    near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    want, edits = [], set()
+    for i, (d, t) in enumerate(order):
+        nxt = order[(i + 1) % len(order)][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        edits.add((edited,))
+        a, e, n = (brute_anchors(x) for x in (t, edited, nxt))
+        own, ed, nx = (brute_links(x) if x else set() for x in (a, e, n))
+        want.append((str(d), len(t), hashlib.sha256(edited.encode()).hexdigest(), len(a), len(e), round(near(own, ed), 9), round(near(own, nx), 9)))
+    count = lambda f: f.count(".") + 1 if f else 0
+    for bucket_rows in (3, 50_000):
+        got = syncmers.fingerprints(docs(spark, rows), bucket_rows=bucket_rows).collect()
+        have = [(str(r["doc_id"]), r["n_chars"], r["edited_sha256"], count(r["fingerprint"]), count(r["edited_fingerprint"]), round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got]
+        assert sorted(have) == sorted(want)
+    # the fingerprint of an edited text is that of the same text as a document
+    whole = spark.createDataFrame(sorted(edits), "text string").select(F.sha2(F.col("text").cast("binary"), 256).alias("h"), syncmers.fingerprint(syncmers.anchors(F.col("text"))).alias("f"))
+    alone = {r["h"]: r["f"] for r in whole.collect()}
+    assert all(alone[r["edited_sha256"]] == r["edited_fingerprint"] for r in got)
+
+
 def test_syncmers_are_context_free(spark):
     inner = " ".join(words(1, 40))
     df = spark.createDataFrame([(0, inner), (1, " ".join(words(2, 15)) + " " + inner + " " + " ".join(words(4, 15)))], "id int, text string").withColumn("anchors", syncmers.anchors(F.col("text")))
     a, b = (r["anchors"] for r in df.orderBy("id").collect())
-    assert len(a) >= 4 and set(a) <= set(b)
+    runs = [{x & (2**syncmers.HASH_BITS - 1) for x in y} for y in (a, b)]
+    assert len(a) >= 4 and runs[0] <= runs[1]
     places = syncmers.match_positions(df.filter("id = 0").select("id", "anchors"), df.filter("id = 1").select("id", "anchors")).orderBy("at_l").collect()
     assert len({r["at_r"] - r["at_l"] for r in places}) == 1
 
