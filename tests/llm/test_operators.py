@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import decontamination, html_text, jaccard_join, language_id, mixing, syncmers, token_counts, toxicity, url_filter, warc
 from graphloom.llm.components import connected
+from graphloom.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n long, sig long, score double"
 
@@ -209,6 +210,63 @@ def test_urls_keep_their_characters(spark, monkeypatch):
     assert all(again[i] == pytest.approx(r["score"]) for i, r in got.items())
 
 
+def brute_model(urls):
+    """Witten-Bell probability of the last character of (context, c) among urls."""
+    from functools import cache
+
+    follow, n = {}, url_filter.ORDER
+    for u in urls:
+        s = url_filter.START * (n - 1) + u
+        for i in range(n - 1, len(s)):
+            for k in range(n):
+                follow.setdefault(s[i - k : i], Counter())[s[i]] += 1
+
+    def at(size):
+        @cache
+        def p(ctx, c):
+            if not ctx:
+                own = follow.get("", Counter())
+                return (own[c] + 0.5) / (own.total() + 0.5 * (size + 1))
+            own, rest = follow.get(ctx, Counter()), p(ctx[1:], c)
+            return (own[c] + len(own) * rest) / (own.total() + len(own)) if own else rest
+        return p
+    return at
+
+
+def test_url_scores_match_brute_force(spark, tmp_path):
+    """The registered query's scores and verdicts against models counted one by one."""
+    rng, urls = random.Random(6), []
+    for i in range(500):
+        host = rng.choice(["example.com", "a.example.net", "x.org", "y.info", "münchen.info"])
+        urls.append(f"http://{host}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.randrange(100)}{rng.choice(['', '?q=ä', '#🙂', '%7Euser'])}")
+    urls += [None, "", "nothing", "zzzzzz", "q" * 5000, urls[0], urls[0]]
+    spark.createDataFrame([(i, u, 1.0) for i, u in enumerate(urls)], "page_id long, url string, score double").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in QUERIES["op3_url_filter"](spark, str(tmp_path)).collect()}
+    out = {r["u"] for r in spark.createDataFrame([(u,) for u in urls], "u string").filter(F.pmod(F.xxhash64(F.lit("held out"), "u"), F.lit(url_filter.HOLD)) == 0).collect()}
+    rules = {u: brute_rule(u)[3] for u in set(urls)}
+    train = {a: [u for i, u in enumerate(urls) if u is not None and rules[u] == a and u not in out] for a in ("allow", "block")}
+    size = len(set("".join(train["allow"] + train["block"])))
+    good, bad = (brute_model(train[a])(size) for a in ("allow", "block"))
+    scores = {}
+    for u in set(urls):
+        s, n = url_filter.START * (url_filter.ORDER - 1) + (u or ""), url_filter.ORDER - 1
+        each = [np.log(good(s[i - n : i], s[i])) - np.log(bad(s[i - n : i], s[i])) for i in range(n, len(s))]
+        scores[u] = float(np.mean(each)) if each else 0.0
+    known = {a: [scores[u] for u in urls if u is not None and rules[u] == a and u in out] for a in ("allow", "block")}
+    (ma, sa), (mb, sb) = ((np.mean(known[a]), np.std(known[a])) for a in ("allow", "block"))
+    cut = (ma * sb + mb * sa) / (sa + sb)
+    for i, u in enumerate(urls):
+        assert got[i]["score"] == pytest.approx(scores[u], abs=1e-9), u
+        assert got[i]["verdict"] == (rules[u] or ("allow" if scores[u] >= cut else "block"))
+
+
+def test_of_equally_long_rules_the_first_wins(spark):
+    rules = (("a.b", "/c", "block"), (".b", "/c/", "allow"), ("b", "/c/d", "allow"), ("b", "/c/e", "block"))
+    pages = spark.createDataFrame([(0, "s://a.b/c"), (1, "s://a.b/c/d"), (2, "s://b/c/e/f"), (3, "s://b/x")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, rules=rules).collect()}
+    assert got[0] == ("a.b/c", "block") and got[1] == ("b/c/d", "allow") and got[2] == ("b/c/e", "block") and got[3][0] is None
+
+
 def test_urls_of_empty_table(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
