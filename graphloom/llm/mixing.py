@@ -8,7 +8,10 @@ seeded order end to end and takes whole rounds of all its blocks, then, for
 the rest of its quota, a run of blocks from a seeded place on.
 
 A shard holds about ``shard_rows`` documents of one source, so a source with
-a third of all rows spreads over as many tasks as its size asks for.
+a third of all rows spreads over as many tasks as its size asks for.  A
+source's blocks go to groups of up to GROUP shards first, and then to the
+shards of each group, so no task sees more than a group.  Equal rows are
+counted, then numbered, and each goes its own way.
 """
 
 from __future__ import annotations
@@ -16,12 +19,16 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import materialise, send_package
 
-BLOCK_WORDS, SHARD_ROWS, MOST_REPEATS = 16, 20_000, 3
+BLOCK_WORDS, SHARD_ROWS, MOST_REPEATS = 16, 1_000, 3
+#: Shards in a group, and groups in a source's list, are dealt in one task;
+#: equal rows numbered in one task; sources whose list is broadcast.
+GROUP, COPIES, SOURCES = 4_096, 1_000_000, 100_000
 
 
 def sainte_lague(weights: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
@@ -83,48 +90,76 @@ def word_count(text):
     return F.coalesce(gaps.cast("long"), F.lit(0).cast("long"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Each row as often as it came, with its number among its equals (__copy)."""
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    copies, least = F.col("__copies"), F.lit(COPIES).cast("long")
+    one = F.lit(1).cast("long")
+    few = counted.filter(copies <= least).withColumn("__copy", F.explode(F.sequence(one, copies)))
+    # of very many the numbers are made by many tasks
+    runs = counted.filter(copies > least).withColumn("__first", F.explode(F.sequence(one, copies, least)))
+    many = runs.repartition("__h", "__first").withColumn("__copy", F.explode(F.sequence(F.col("__first"), F.least(copies, F.col("__first") + least - 1)))).drop("__first")
+    return few.unionByName(many).drop("__copies")
+
+
+def _deal(name: str):
+    """Blocks of one list of shards or groups by Sainte-Lague: adds ``seats``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(name)
+        weights, most = (np.array(table.column(c).to_pylist(), dtype=np.int64) for c in ("words", "most"))
+        return table.append_column("seats", pa.array(sainte_lague(weights, int(table.column("quota")[0].as_py()), most)))
+
+    return run
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), keep: tuple[str, ...] = (), block_words: int = BLOCK_WORDS, shard_rows: int = SHARD_ROWS, seed: int = 17) -> DataFrame:
     """doc_id, keep columns, size, source_size, target, taken for every row.
 
     Sources by code point, null last, have the weights in turn.  taken is the
     number of words the mix takes from the row, repeats counted, at most 3
-    times its size.  Texts that are null or have no word give nothing.  Equal
-    rows may be taken differently often; which one is which does not matter.
-    The list of sources and that of shards (rows / shard_rows) are the only
-    things on the driver.  Reruns agree.
+    times its size.  Texts that are null or have no word give nothing; very
+    long ones are a stretch of words like others.  Equal rows may be taken
+    differently often; which one is which does not matter.  Other columns are
+    left behind; an empty table gives an empty one.  The list of sources is
+    all that reaches the driver.  Reruns agree.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(source).cast("string").alias("__source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text).cast("string")).alias("__h"))
-    rows = materialise(rows, "sizes")
+    rows = materialise(_numbered(rows), "sizes")
     sources = rows.groupBy("__source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
     sources.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
     sizes = [int(r["size"]) for r in sources]
     targets = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))])
     blocks = np.array([-(-s // block_words) for s in sizes], dtype=np.int64)
     quota = sainte_lague(np.array(targets), round(sum(sizes) / block_words), MOST_REPEATS * blocks)
-    plan = [(r["__source"], i, sizes[i], targets[i], -(-int(r["rows"]) // shard_rows)) for i, r in enumerate(sources)]
-    plan_df = spark.createDataFrame(plan, "__s string, __k long, source_size long, target double, __shards long")
-    dealt = rows.join(F.broadcast(plan_df), F.col("__source").eqNullSafe(F.col("__s")))
-    place = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "__h")
-    dealt = dealt.withColumn("__place", place).withColumn("__shard", F.pmod(F.xxhash64("__place"), F.col("__shards")))
-    shards = dealt.groupBy("__k", "__shard").agg(F.sum("size").alias("w")).orderBy("__k", "__shard").collect()
-
-    by_source: dict[int, list[tuple[int, int]]] = {}
-    for r in shards:
-        by_source.setdefault(r["__k"], []).append((r["__shard"], int(r["w"])))
-    takes = []
-    for k, own in sorted(by_source.items()):
-        w = np.array([x[1] for x in own], dtype=np.int64)
-        n = -(-w // block_words)
-        got = sainte_lague(w, int(quota[k]), MOST_REPEATS * n)
-        rng = np.random.default_rng([seed, k])
-        for (shard, words), have, q in zip(own, n.tolist(), got.tolist()):
-            first = int(rng.integers(have)) if have else 0
-            takes.append((k, shard, words, q // have if have else 0, first * block_words, (q % have if have else 0) * block_words))
-    takes_df = spark.createDataFrame(takes or [(-1, -1, 0, 0, 0, 0)], "__k long, __shard long, __words long, __rounds long, __from long, __run long")
-    taken = dealt.join(F.broadcast(takes_df), ["__k", "__shard"])
+    plan = [(r["__source"], i, sizes[i], targets[i], -(-int(r["rows"]) // shard_rows), int(quota[i])) for i, r in enumerate(sources)]
+    plan_df = spark.createDataFrame(plan, "__s string, __k long, source_size long, target double, __shards long, quota long")
+    listed = F.broadcast(plan_df) if len(plan) <= SOURCES else plan_df
+    place = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "__h", "__copy")
+    dealt = rows.join(listed, F.col("__source").eqNullSafe(F.col("__s"))).withColumn("__place", place).withColumn("__shard", F.pmod(F.xxhash64("__place"), F.col("__shards")))
+
+    # quotas: of a source's groups of shards, then of each group's shards
+    full = F.ceil(F.col("words") / F.lit(block_words)).cast("long")
+    shards = dealt.groupBy("__k", "__shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
+    shards = shards.select("__k", F.floor(F.col("__shard") / GROUP).cast("long").alias("__group"), "__shard", "words", (MOST_REPEATS * full).alias("most"), "quota")
+    shards = materialise(shards, "shards")
+    send_package(spark)
+    groups = shards.groupBy("__k", "__group").agg(F.sum("words").alias("words"), F.sum("most").alias("most"), F.first("quota").alias("quota"))
+    groups = groups.groupBy("__k").applyInArrow(_deal("__group"), "__k long, __group long, words long, most long, quota long, seats long")
+    own = shards.drop("quota").join(groups.select("__k", "__group", F.col("seats").alias("quota")), ["__k", "__group"])
+    takes = own.groupBy("__k", "__group").applyInArrow(_deal("__shard"), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields) + ", seats long")
+    have = F.col("most") / F.lit(MOST_REPEATS)
+    seats = lambda c: F.when(F.col("most") > 0, c).otherwise(F.lit(0)).cast("long")
+    takes = takes.withColumn("__have", have.cast("long")).select(
+        "__k", "__shard", F.col("words").alias("__words"),
+        seats(F.floor(F.col("seats") / F.col("__have"))).alias("__rounds"),
+        seats(F.pmod(F.xxhash64(F.lit(seed), "__k", "__shard"), F.col("__have")) * F.lit(block_words)).alias("__from"),
+        seats((F.col("seats") % F.col("__have")) * F.lit(block_words)).alias("__run"),
+    )
+    taken = dealt.drop("quota").join(materialise(takes, "takes"), ["__k", "__shard"])
     # each document is a stretch of its shard's words; the run may wrap around the end
-    w = Window.partitionBy("__k", "__shard").orderBy("__place", "doc_id", "__h")
+    w = Window.partitionBy("__k", "__shard").orderBy("__place", "doc_id", "__h", "__copy")
     taken = taken.withColumn("__end", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__start", F.col("__end") - F.col("size"))
     # a wrapped run starts within the last block, which may be short
     over = lambda a, b: F.greatest(F.lit(0).cast("long"), F.least(F.col("__end"), b) - F.greatest(F.col("__start"), a))

@@ -287,24 +287,59 @@ def test_sainte_lague_matches_one_by_one():
         assert got.tolist() == want.tolist()
 
 
-def test_mix(spark):
-    rows = [(i, " ".join(words(i, 5 + i % 40)), "en", f"s{i % 5}" if i % 7 else None) for i in range(300)] + ODD
+def test_mix(spark, monkeypatch):
+    """The registered query: targets, caps and reruns; few rows a shard, many groups."""
+    rows = [(1000 + i, " ".join(words(i, 5 + i % 40)), "en", f"s{i % 5}" if i % 7 else None) for i in range(300)] + ODD
     d = docs(spark, rows)
-    got = mixing.mix(d, shard_rows=40).collect()
     size = {s: sum(len((r[1] or "").split()) for r in rows if r[3] == s) for s in {r[3] for r in rows}}
     order = sorted((s for s in size if s is not None)) + [None]
     want = mixing.capped_targets([size[s] for s in order], [1 + i % 3 for i in range(len(order))])
     assert sum(want) == pytest.approx(sum(size.values())) and all(t <= 3 * size[s] + 1e-9 for t, s in zip(want, order))
-    assert len(got) == len(rows) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
     source = dict((r[0], r[3]) for r in rows)
-    taken = Counter()
-    for r in got:
-        taken[source[r["doc_id"]]] += r["taken"]
-    assert all(abs(taken[s] - t) <= 16 * 12 for s, t in zip(order, want))
-    assert sorted((r["doc_id"] or -1, r["taken"]) for r in mixing.mix(d, shard_rows=40).collect()) == sorted((r["doc_id"] or -1, r["taken"]) for r in got)
+    for shard_rows, group in ((1000, 4096), (40, 3)):
+        monkeypatch.setattr(mixing, "GROUP", group)
+        got = mixing.mix(d, shard_rows=shard_rows).collect()
+        assert len(got) == len(rows) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+        taken = Counter()
+        for r in got:
+            taken[source[r["doc_id"]]] += r["taken"]
+            assert r["source_size"] == size[source[r["doc_id"]]] and r["target"] == pytest.approx(want[order.index(source[r["doc_id"]])])
+        assert all(abs(taken[s] - t) <= 16 * 12 for s, t in zip(order, want))
+        assert sorted((r["doc_id"] or -1, r["taken"]) for r in mixing.mix(d, shard_rows=shard_rows).collect()) == sorted((r["doc_id"] or -1, r["taken"]) for r in got)
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_words_taken_one_by_one(spark):
+    """taken against a walk over the words of one shard, block by block."""
+    rows = [(i, " ".join(words(i, 3 + i % 9)), "en", "a" if i < 60 else "b") for i in range(90)]
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(docs(spark, rows), block_words=4).collect()}
+    size = {i: len(t.split()) for i, t, *_ in rows}
+    hashed = spark.createDataFrame([(i, t) for i, t, *_ in rows], "i long, t string").select("i", F.xxhash64(F.lit(17), F.col("i").cast("string"), F.xxhash64("t"), F.lit(1).cast("long")).alias("p")).collect()
+    starts = [r[0] for r in spark.range(2).orderBy("id").select(F.xxhash64(F.lit(17), "id", F.lit(0).cast("long"))).collect()]
+    own = {k: sum(size[i] for i, _, _, s in rows if s == k) for k in "ab"}
+    target = mixing.capped_targets([own["a"], own["b"]], [1.0, 2.0])
+    quota = mixing.sainte_lague(np.array(target), round(sum(own.values()) / 4), np.array([3 * -(-own[k] // 4) for k in "ab"]))
+    place = {r["i"]: r["p"] for r in hashed}
+    for n, (k, start) in enumerate(zip("ab", starts)):
+        line = [i for _, i in sorted((place[i], i) for i, _, _, s in rows if s == k) for _ in range(size[i])]
+        blocks = [line[j : j + 4] for j in range(0, len(line), 4)]
+        want = Counter()
+        for b in range(int(quota[n])):
+            # whole rounds first, then the run from the seeded block on
+            done = int(quota[n]) // len(blocks) * len(blocks)
+            want.update(blocks[b % len(blocks)] if b < done else blocks[(start % len(blocks) + b - done) % len(blocks)])
+        assert {i: got[i] for i, _, _, s in rows if s == k} == {i: want[i] for i, _, _, s in rows if s == k}
+
+
+def test_repeated_rows_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 50)
+    same = spark.range(400).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b c d e").alias("text"), F.lit("s").alias("source"))
+    rest = spark.createDataFrame([(2, "x " * 50, "t")], "doc_id long, text string, source string")
+    got = mixing.mix(same.union(rest), shard_rows=20).collect()
+    assert len(got) == 401 and len({r["taken"] for r in got if r["doc_id"] == 1}) > 1
+    assert abs(sum(r["taken"] for r in got if r["doc_id"] == 1) - next(r["target"] for r in got if r["doc_id"] == 1)) <= 16 * 20
+
+
 # --- tokens, archives, pages --------------------------------------------
 
 
