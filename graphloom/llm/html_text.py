@@ -5,9 +5,16 @@ the elements it stands in, a tag scores negative; the weights are log-odds
 learned from labelled pages - those that mark their main text with exactly one
 ``article`` or ``main`` element - on top of priors for elements and class
 names of known meaning.  One linear scan finds the contiguous region of the
-highest sum: the main text.  Inside it scripts, forms, adverts, reader comments
-and the like are left out by their elements' names - but for elements that
-hold the article or the page's best-scoring text, which no name leaves out.
+highest sum: the main text.
+
+Inside it what HTML itself sets apart (scripts, forms, navigation) is left out,
+and every element whose names weigh SHUT_WEIGHT or less: names that the prior
+calls adverts, comments and the like while the pages don't prove it wrong, and
+any other name that stands for nothing but text outside the article.  Elements
+that hold the article or the page's best-scoring text are never left out.
+
+A page is read once, in time proportional to its length: open elements are
+counted by name, and the score of what is around is kept up as a sum.
 """
 
 from __future__ import annotations
@@ -41,119 +48,185 @@ NOISE = frozenset(
 TELLING = frozenset("article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th a header footer nav aside form blockquote pre figure figcaption center address".split())
 #: Prior log-odds of being main text, before any page is seen.
 PRIOR = {"in:article": 2.0, "in:main": 2.0, "in:p": 1.0, "in:h1": 1.5, "in:h2": 1.0, "in:h3": 1.0, "in:blockquote": 0.5, "in:pre": 0.5, "in:header": -1.0, "in:a": -1.0, "in:li": -0.3, "in:address": -1.0}
+PRIOR |= {f"name:{x}": -4.0 for x in NOISE}
 BASE, MOST, STRENGTH = 0.5, 4.0, 20.0
-#: What an element with a name to leave out takes from the score of its text.
-SHUT = 0.1
+#: Names of this weight or less leave their element out; what an element left
+#: out takes from the score of its text when the best one is looked for.
+SHUT_WEIGHT, SHUT = -3.0, 0.1
+#: Weights are sums of this part of one, so they add up exactly in any order.
+UNIT = 1 / 1024
 
 
 @dataclass
 class Run:
-    """Text between two tags: raw text, its words, the elements and name parts
-    around it, whether they rule it out, its block, the tags before it, whether
-    it is in an article or main, the numbers of the elements that rule it out,
-    and how many of those are around the article."""
+    """Text between two tags: raw text, its words and their score, whether an
+    element that is left out holds it, its block, the tags before it, whether
+    it is in an article or main, the innermost such element (0 for none), and
+    how many there are, less those around the article."""
 
     text: str
     words: int
-    around: frozenset[str]
+    score: float
     outside: bool
     block: int
     tags: list[str]
     labelled: bool
-    shut: tuple[int, ...] = ()
-    above: int = 0
-
+    shut: int = 0
+    inner: int = 0
 
-def parse(page: str, opened: frozenset[int] = frozenset()) -> tuple[list[Run], int]:
-    """Runs of a page in order, and its number of article and main elements.
 
-    The elements numbered in opened rule nothing out.
+class _Reader:
+    """Runs of a page, number of its article and main elements, and per feature
+    the words inside and outside the main text.
 
     Broken markup is taken as browsers would, roughly: an end tag closes what
     is open up to its start tag and is nothing without one; block elements end
     an open paragraph; comments, raw elements and tags that never end reach to
-    the end of the page.
+    the end of the page.  The elements numbered in ``opened`` leave nothing out.
     """
-    runs: list[Run] = []
-    stack: list[tuple[str, frozenset[str], bool, bool, tuple[int, ...], int]] = []
-    nothing = ("", frozenset(), False, False, (), 0)
-    context, outside, labelled, closed, above = nothing[1:]
-    tags: list[str] = []
-    at, block, marks, number = 0, 0, 0, 0
-
-    def text(raw: str) -> None:
-        nonlocal tags
+
+    def __init__(self, page: str, weights: dict[str, float], opened: frozenset[int] = frozenset()):
+        self.weights, self.opened = weights, opened
+        self.runs: list[Run] = []
+        self.stack: list[tuple[str, list[str], bool, bool, bool]] = []
+        self.names: dict[str, int] = {}
+        #: Numbers of the elements around that are left out, and of each the one around it.
+        self.shut: list[int] = []
+        self.around: dict[int, int] = {}
+        self.number = self.block = self.marks = self.above = 0
+        self.tags: list[str] = []
+        #: Outside of an article and in it: open features, sum of their weights, words so far.
+        self.worlds = [[{}, 0, [0, 0]], [{}, 0, [0, 0]]]
+        self.world = 0
+        self.counts: dict[str, list[int]] = {}
+        self._read(page)
+        while self.stack:
+            self._pop()
+
+    def _gain(self, feature: str) -> int:
+        """A feature's weight in units; names that leave out do nothing else."""
+        weight = self.weights.get(feature, 0.0)
+        return 0 if weight <= SHUT_WEIGHT and feature.startswith("name:") else round(weight / UNIT)
+
+    def _enter(self, features: list[str]) -> None:
+        open_, total, words = self.worlds[self.world]
+        for f in features:
+            at = open_.get(f)
+            if at is None:
+                open_[f] = [1, *words]
+                total += self._gain(f)
+            else:
+                at[0] += 1
+        self.worlds[self.world][1] = total
+
+    def _leave(self, features: list[str]) -> None:
+        open_, total, words = self.worlds[self.world]
+        for f in features:
+            at = open_[f]
+            at[0] -= 1
+            if not at[0]:
+                del open_[f]
+                total -= self._gain(f)
+                count = self.counts.setdefault(f, [0, 0])
+                count[0], count[1] = count[0] + words[0] - at[1], count[1] + words[1] - at[2]
+        self.worlds[self.world][1] = total
+
+    def _pop(self) -> str:
+        name, features, shut, first, _ = self.stack.pop()
+        self.names[name] -= 1
+        self._leave(features)
+        if shut:
+            self.shut.pop()
+        if first:
+            self.world = self.above = 0
+        return name
+
+    def _text(self, raw: str) -> None:
         if raw:
             plain = htmllib.unescape(raw)
-            runs.append(Run(plain, len(plain.split()), context, outside, block, tags, labelled, closed, above))
-            tags = []
-
-    end = len(page)
-    while at < end:
-        m = _TAG.search(page, at)
-        if not m:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        closing, name = bool(m[1]), m[2].lower()
-        # tags of what is ruled out do not count against the text around it
-        was = outside
-        if name not in INLINE:
-            block += 1
-        if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-            else:
+            words, labelled, outside = len(plain.split()), self.world == 1, bool(self.shut)
+            self.runs.append(Run(plain, words, BASE + self.worlds[self.world][1] * UNIT, outside, self.block, self.tags, labelled, self.shut[-1] if self.shut else 0, len(self.shut) - self.above))
+            side = 0 if labelled and not outside else 1
+            self.worlds[self.world][2][side] += words
+            for t in self.tags:
+                self.counts.setdefault(f"tag:{t}", [0, 0])[side] += 1
+            self.tags = []
+
+    def _read(self, page: str) -> None:
+        at, end = 0, len(page)
+        while at < end:
+            m = _TAG.search(page, at)
+            if not m:
+                self._text(page[at:])
+                break
+            self._text(page[at : m.start()])
+            at = m.end()
+            if m[2] is None:
                 continue
-        elif name in RAW:
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
-            continue
-        elif name in VOID or m[3].endswith("/") and name not in TELLING and name not in INLINE:
-            if not outside:
-                tags.append(name)
-            continue
-        else:
-            if name not in INLINE and stack and any(e[0] == "p" for e in stack) and name in TELLING:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        del stack[i:]
-                        break
-            if name == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
-            own, shut = set(), name in OUTSIDE
-            if name in TELLING:
-                own.add(f"in:{name}")
-            given: dict[str, str] = {}
-            for a in _ATTRIBUTE.finditer(m[3]):
-                given.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
-            shut = shut or given.get("hidden", "false").lower() != "false"
-            if name not in ("html", "body", "article", "main"):
-                parts = [x.lower() for key in ("class", "id", "role") for x in _PART.findall(given.get(key, ""))]
-                own.update(f"name:{x}" for x in parts)
-                shut = shut or any(x in NOISE for x in parts)
-            mark = name in ("article", "main")
-            marks += mark
-            before = stack[-1] if stack else nothing
-            number += 1
-            # headers of the page; an article's own belong to it
-            if not before[3] and not mark and (name == "header" or "name:header" in own):
-                shut = True
-            shut = shut and number not in opened
-            if name not in ("html", "body"):
-                within = before[4] + (number,) if shut else before[4]
-                # an article's own name does not count as one inside it
-                around = before[5] if before[3] else len(within)
-                stack.append((name, before[1] | own, before[2] or shut, before[3] or mark, within, around))
-        context, outside, labelled, closed, above = (stack[-1] if stack else nothing)[1:]
-        if not (was or outside):
-            tags.append(name)
-    return runs, marks
+            name = m[2].lower()
+            # tags of what is left out do not count against the text around it
+            was = bool(self.shut)
+            if name not in INLINE:
+                self.block += 1
+            if m[1]:
+                if not self.names.get(name):
+                    continue
+                while self._pop() != name:
+                    pass
+            elif name in RAW:
+                close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                at = close.end() if close else end
+                continue
+            elif name in VOID or m[3].endswith("/") and name not in TELLING and name not in INLINE:
+                if not was:
+                    self.tags.append(name)
+                continue
+            else:
+                self._start(name, m[3])
+            if not (was or self.shut):
+                self.tags.append(name)
+
+    def _start(self, name: str, attributes: str) -> None:
+        if name not in INLINE and name in TELLING and self.names.get("p"):
+            while self._pop() != "p":
+                pass
+        if name == "li" and self.stack and self.stack[-1][0] == "li":
+            self._pop()
+        features, shut = ([f"in:{name}"] if name in TELLING else []), name in OUTSIDE
+        given: dict[str, str] = {}
+        for a in _ATTRIBUTE.finditer(attributes):
+            given.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
+        shut = shut or given.get("hidden", "false").lower() != "false"
+        if name not in ("html", "body", "article", "main"):
+            own = sorted({f"name:{x.lower()}" for key in ("class", "id", "role") for x in _PART.findall(given.get(key, ""))})
+            features += own
+            shut = shut or any(self.weights.get(f, 0.0) <= SHUT_WEIGHT for f in own)
+        mark = name in ("article", "main")
+        self.marks += mark
+        first = mark and self.world == 0
+        self.number += 1
+        # headers of the page; an article's own belong to it
+        if not self.world and not mark and (name == "header" or "name:header" in features):
+            shut = True
+        if name in ("html", "body"):
+            return
+        shut = shut and self.number not in self.opened
+        if shut:
+            self.around[self.number] = self.shut[-1] if self.shut else 0
+            self.shut.append(self.number)
+        if first:
+            # what is around the article says nothing of the words in it, nor
+            # does its own name count as one inside it
+            self.world, self.above = 1, len(self.shut)
+        self._enter(features)
+        self.names[name] = self.names.get(name, 0) + 1
+        self.stack.append((name, features, shut, first, mark))
+
+
+def parse(page: str, weights: dict[str, float] = PRIOR, opened: frozenset[int] = frozenset()) -> tuple[list[Run], int]:
+    """Runs of a page in order, and its number of article and main elements."""
+    reader = _Reader(page, weights, opened)
+    return reader.runs, reader.marks
 
 
 @dataclass
@@ -164,27 +237,28 @@ class Model:
     tags: dict[str, float] = field(default_factory=dict)
 
     def word(self, run: Run) -> float:
-        s = BASE + sum(self.words.get(f, 0.0) for f in sorted(run.around))
-        return 0.0 if run.outside else max(-MOST, min(MOST, s))
+        return 0.0 if run.outside else max(-MOST, min(MOST, run.score))
 
-    def read(self, page: str) -> tuple[list[Run], int]:
-        """parse() with those elements opened that hold the article or, where
+    def read(self, page: str) -> _Reader:
+        """The page with those elements opened that hold the article or, where
         none is marked, the best-scoring text.
 
-        The texts under the same shutting elements score together; every such
-        element inside the article, or on a page without any, lowers the score.
+        The texts under the same element that is left out score together; every
+        such element inside the article, or on a page without any, lowers the score.
         """
-        runs, marks = parse(page)
-        if not any(r.outside for r in runs):
-            return runs, marks
-        pool = [r for r in runs if r.labelled and r.words] or runs
-        scores: dict[tuple[int, ...], float] = {}
+        reader = _Reader(page, self.words)
+        if not any(r.outside for r in reader.runs):
+            return reader
+        pool = [r for r in reader.runs if r.labelled and r.words] or reader.runs
+        scores: dict[int, float] = {}
         for r in pool:
-            s = max(0.0, min(MOST, BASE + sum(self.words.get(f, 0.0) for f in sorted(r.around))))
-            inner = len(r.shut) - (r.above if r.labelled else 0)
-            scores[r.shut] = scores.get(r.shut, 0.0) + r.words * s * SHUT**inner
+            scores[r.shut] = scores.get(r.shut, 0.0) + r.words * max(0.0, min(MOST, r.score)) * SHUT**r.inner
         best = max(scores, key=scores.__getitem__)
-        return parse(page, frozenset(best)) if best and scores[best] > 0 else (runs, marks)
+        opened, at = set(), best
+        while at:
+            opened.add(at)
+            at = reader.around[at]
+        return _Reader(page, self.words, frozenset(opened)) if best and scores[best] > 0 else reader
 
     def tag(self, name: str) -> float:
         return -self.tags.get(name, 0.1 if name in INLINE else 0.3)
@@ -208,7 +282,7 @@ class Model:
 
     def extract(self, page: str) -> str:
         """Main text: blocks in order, white space inside and between them one space."""
-        runs, _ = self.read(page)
+        runs = self.read(page).runs
         a, b = self.region(runs)
         out: list[str] = []
         block = None
@@ -227,15 +301,11 @@ def learn(pages: list[str]) -> dict[str, tuple[int, int]]:
     inside and outside the main text of labelled pages."""
     counts: dict[str, list[int]] = {}
     for page in pages:
-        runs, marks = Model().read(page)
-        if marks != 1:
-            continue
-        for run in runs:
-            side = 0 if run.labelled and not run.outside else 1
-            for f in run.around:
-                counts.setdefault(f, [0, 0])[side] += run.words
-            for t in run.tags:
-                counts.setdefault(f"tag:{t}", [0, 0])[side] += 1
+        reader = Model().read(page)
+        if reader.marks == 1:
+            for f, (inside, outside) in reader.counts.items():
+                count = counts.setdefault(f, [0, 0])
+                count[0], count[1] = count[0] + inside, count[1] + outside
     return {k: (v[0], v[1]) for k, v in counts.items()}
 
 

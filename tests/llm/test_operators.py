@@ -381,10 +381,10 @@ def test_html(spark):
     <article><h1>Head &amp; line</h1><p>First <b>bold</b>text  here.<br>Next<p>Second &eacute;&#233;<form>mail <input></form></p><aside>Related</aside><section class="comments"><p>nice post</p></section><p>Last one</article>
     <footer>&copy; us</footer></body>"""
     plain = "<body><ul><li><a>x</a><li><a>y</a></ul><div id=content><p>Long text of many words that says a lot.</p><p>More of it, too.</p></div><div class='ads'>buy</div>"
-    pages = spark.createDataFrame([(1, "u", page, "t"), (2, "u", plain, "t"), (3, None, None, "t"), (4, "u", "", "t"), (5, "u", "<<a< b <!-- x", "t"), (1, "u", page, "t"), (6, "u", "<p>" * 20000 + "deep", "t")], "page_id long, url string, html string, text string")
+    pages = spark.createDataFrame([(1, "u", page, "t"), (2, "u", plain, "t"), (3, None, None, "t"), (4, "u", "", "t"), (5, "u", "<<a< b <!-- x", "t"), (1, "u", page, "t"), (6, "u", "<p>" * 20000 + "deep", "t"), (7, "u", "<article>one two</article><article>one two</article>", "t")], "page_id long, url string, html string, text string")
     got = [(r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract(pages, html_text.fit(pages)).collect()]
     by = {p: t for p, t, _ in got}
-    assert len(got) == 7 and all(len(t) == n for _, t, n in got)
+    assert len(got) == 8 and by[7] == "one two one two" and all(len(t) == n for _, t, n in got)
     assert by[1] == "Head & line First boldtext here. Next Second éé Last one"
     assert by[2] == "Long text of many words that says a lot. More of it, too." and by[3] == by[4] == ""
 
@@ -398,11 +398,33 @@ def test_html_wrappers_do_not_shut_the_article():
     assert model.extract(f"<article>{body}<p hidden>gone</p><p data-hidden=1><a href='/hidden-valley'>kept</a></p></article>") == text + " kept"
 
 
+def test_names_are_learned():
+    """A name that stands only outside articles leaves its element out; a known one that the pages prove wrong does not."""
+    page = '<div class="teaser">' + "buy this now " * 9 + '</div><article class=x><p>Text of it.</p><div class="tags">%s</div></article>'
+    counts = html_text.learn([page % "kept"] * 9)
+    assert counts["name:teaser"] == (0, 243) and html_text.weigh(counts).words["name:teaser"] <= html_text.SHUT_WEIGHT
+    model = html_text.weigh(counts | {"name:tags": (500, 0)})
+    assert model.extract('<article><p>A few words more.</p><div class="teaser">no</div><div class=tags>yes</div></article>') == "A few words more. yes"
+    assert html_text.Model().extract('<article><p>A few words more.</p><div class="teaser">no</div><div class=tags>yes</div></article>') == "A few words more. no"
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    model, took = html_text.Model(), []
+    for n in (10_000, 40_000):
+        page = "".join(f'<div class="c{i} ad"><b>w</i>' for i in range(n)) + "".join("</p></section></li>" for _ in range(n)) + "<article>deep words"
+        began = time.process_time()
+        assert model.extract(page).endswith("deep words")
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * max(took[0], 0.1)
+
+
 def test_best_region_is_maximal():
     rng = random.Random(2)
     model = html_text.Model()
     for _ in range(50):
-        runs = [html_text.Run("w", rng.randrange(0, 6), frozenset([rng.choice(["in:p", "in:a", "in:article"])]), rng.random() < 0.3, 0, rng.choices(["p", "a", "div"], k=rng.randrange(3)), False) for _ in range(12)]
+        runs = [html_text.Run("w", rng.randrange(0, 6), rng.choice([1.5, -0.5, 2.5, -9.0]), rng.random() < 0.3, 0, rng.choices(["p", "a", "div"], k=rng.randrange(3)), False) for _ in range(12)]
         value = lambda a, b: sum(r.words * model.word(r) for r in runs[a:b]) + sum(model.tag(t) for r in runs[a + 1 : b] for t in r.tags)  # noqa: B023,E731
         best = max([(value(a, b), a, b) for a in range(12) for b in range(a + 1, 13)])
         a, b = model.region(runs)
