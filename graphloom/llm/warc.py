@@ -33,6 +33,8 @@ from ._common import map_arrow, materialise, new_path, utf8
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 #: Bytes of records in a frame, and of frames in a bundle, before the next begins.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 1 << 28
+#: Bytes of records that a task reads back; what makes a payload hot.
+TASK_BYTES, HOT, HOT_SHARE = 1 << 24, 1_000, 1_000
 #: The records of an archive carry one date, so that reruns write equal bytes.
 RECORD_DATE = "2024-01-01T00:00:00Z"
 INDEX = "record_id string, page_id long, bundle string, frame int, frame_offset long, frame_size long, record_offset long, record_size long"
@@ -51,9 +53,10 @@ def record_id(page_id: int | None) -> str:
     return f"urn:page:{'null' if page_id is None else page_id}"
 
 
-def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """A response with its payload, or a revisit with the HTTP header only."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+def encode_record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None) -> bytes:
+    """A response with its payload, or, without one, a revisit with the HTTP header only."""
+    revisit = payload is None
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{record_id(page_id)}>", f"WARC-Date: {RECORD_DATE}"]
     if url:
@@ -149,32 +152,46 @@ class BundleWriter:
 
 
 def first_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, digest and the page that stores the payload.
+    """page_id, url, html (null for revisits), digest, bytes, first, revisit:
+    first is the page that stores the payload, if several have it.
 
     Of equal payloads of least_bytes or more the smallest page_id stores it.
-    A null page_id stores only what no other page does.  Digests that occur
-    once need no join partner, so only repeated ones are looked up.
+    A null page_id stores only what no other page does.  Payloads of more than
+    one of HOT_SHARE pages are at most HOT_SHARE, so their list is broadcast:
+    of those only the first copy is moved, and no task gets them all.
     """
     rows = pages.withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).withColumn("bytes", F.coalesce(F.octet_length("html"), F.lit(0)).cast("long"))
-    again = rows.filter(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "bytes", "first")
-    return rows.join(again, ["digest", "bytes"], "left").withColumn("revisit", F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False)))
+    again = rows.filter(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = materialise(again, "payloads")
+    most = max(HOT, pages.count() // HOT_SHARE)
+    hot = F.broadcast(again.filter(F.col("n") > most).select("digest", "bytes", F.col("first").alias("hot_first"), F.lit(True).alias("hot")))
+    rows = rows.join(hot, ["digest", "bytes"], "left")
+    known = F.col("hot") & ~F.col("page_id").eqNullSafe(F.col("hot_first"))
+    rows = rows.withColumn("html", F.when(known, F.lit(None)).otherwise(F.col("html")))
+    # hot payloads have their partner: they are spread by page
+    rows = rows.withColumn("key", F.when(F.col("hot"), F.concat_ws(" ", F.lit("hot"), "page_id", "url")).otherwise(F.col("digest")))
+    rare = again.filter(F.col("n") <= most).select(F.col("digest").alias("key"), "bytes", "first")
+    found = rows.join(rare, ["key", "bytes"], "left").withColumn("first", F.coalesce("hot_first", "first"))
+    return found.withColumn("revisit", F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))).drop("key", "hot", "hot_first")
 
 
 def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
     """Write a record per row to bundles below folder; returns the index.
 
-    Null html is an empty payload.  Repeated rows give records with one
-    identifier, each with an entry of its own.  Other columns are left behind.
+    Null html is an empty payload; a payload of any length is one record.
+    Repeated rows give records with one identifier, each with an entry of its
+    own.  Other columns are left behind; an empty table gives an empty index.
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    rows = first_pages(rows, least_bytes).select("page_id", "url", "html", "first", "revisit")
+    rows = first_pages(rows, least_bytes).select("page_id", "url", "html", "digest", "bytes", "first", "revisit")
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         writer = None
         for batch in batches:
             writer = writer or BundleWriter(folder)
-            columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "first", "revisit")]
-            for (p, u, first, revisit), payload in zip(zip(*columns), utf8(batch.column("html"))):
-                writer.add(record_id(p), p, encode_record(p, u, payload, _payload_digest(payload), first, revisit))
+            columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "bytes", "first", "revisit")]
+            for (p, u, digest, size, first, revisit), payload in zip(zip(*columns), utf8(batch.column("html"))):
+                writer.add(record_id(p), p, encode_record(p, u, None if revisit else payload, size, base64.b32encode(bytes.fromhex(digest)).decode(), first))
             if entries := writer.entries():
                 yield _index_batch(entries)
         if writer and (entries := writer.entries(last=True)):
@@ -194,9 +211,12 @@ def read_archive(index: DataFrame, folder: str) -> DataFrame:
     payload_digest, record_type, refers_to, payload (null for revisits).
 
     Tasks take frames, not bundles; a frame is read by its place in the
-    bundle and decompressed once for all its records.
+    bundle and decompressed once for all its records.  Frames are dealt by
+    what they hold, not by the size of their index entries.
     """
+    tasks = -(-(index.agg(F.coalesce(F.sum("record_size"), F.lit(0))).first()[0] or 1) // TASK_BYTES)
     frames = index.groupBy("bundle", "frame", "frame_offset", "frame_size").agg(F.collect_list(F.struct("record_offset", "record_size")).alias("records"))
+    frames = frames.repartition(max(1, tasks))
 
     def page(urn: str | None) -> int | None:
         tail = (urn or "").strip("<>").rpartition(":")[2]
