@@ -1,8 +1,8 @@
 """Language identification with error-correcting output codes.
 
 Every language gets a codeword of bits.  One binary classifier per bit - a
-linear one over hashed character n-grams - says how likely that bit is set in
-a text.  Loss-weighted decoding compares the classifiers' answers with every
+linear one over hashed character n-grams, trained on the bit's own labels -
+says how likely that bit is set in a text.  Loss-weighted decoding compares the classifiers' answers with every
 codeword, each bit weighing as much as its classifier proved right for that
 language, and takes the nearest codeword.  A small gap to the second nearest
 flags the text as ambiguous.
@@ -27,6 +27,8 @@ from ._common import map_arrow, materialise, sample_below, utf8
 UNDETERMINED = "und"
 #: Hash space of the n-grams, their lengths, and code points handled at once.
 BUCKET_BITS, ORDERS, SLICE = 16, (1, 2, 3), 400_000
+#: Tasks that train the classifiers, each on its part of the sample; passes over it, and steps.
+TRAINERS, PASSES, STEP = 4, 3, 0.3
 
 
 # --- codewords -----------------------------------------------------------
@@ -121,6 +123,36 @@ def gram_counts(texts: list[bytes]) -> np.ndarray:
     return total
 
 
+def frequencies(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's n-grams and their relative frequencies."""
+    counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+    for h, _ in _grams([text]):
+        counts += np.bincount(h, minlength=counts.size)
+    found = np.flatnonzero(counts)
+    return found.astype(np.int32), (counts[found] / max(counts.sum(), 1)).astype(np.float32)
+
+
+def train_bits(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], weights: np.ndarray) -> np.ndarray:
+    """Weights by bucket and bit after logistic steps over the rows (buckets,
+    frequencies, bits as -1 / +1), from the given weights on.
+
+    Every bit's classifier goes by its own errors: a step moves the text's
+    answer towards the bit by STEP times what the logistic loss asks for,
+    smaller in later passes.  The result is the mean over the last pass.
+    """
+    w = weights.astype(np.float64).copy()
+    scale = np.maximum(np.mean([np.abs(f @ w[b]) for b, f, _ in rows], axis=0), 1e-3) if rows else np.ones(w.shape[1])
+    total, n = np.zeros_like(w), 0
+    for k in range(PASSES):
+        for i, (b, f, bits) in enumerate(rows):
+            margin = bits * (f @ w[b]) / scale
+            pull = STEP / (k + 1) * scale * bits / (1 + np.exp(2 * np.clip(margin, -15, 15)))
+            w[b] += np.outer(f / (f @ f), pull)
+            if k == PASSES - 1 and i % 16 == 0:
+                total, n = total + w, n + 1
+    return total / n if n else w
+
+
 def mean_weights(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per text the mean weight of its n-grams for each bit, and their number."""
     sums, n = np.zeros((len(texts), weights.shape[1])), np.zeros(len(texts))
@@ -202,11 +234,13 @@ def _texts_by_language(batch: pa.RecordBatch) -> dict[str, list[bytes]]:
 def fit(docs: DataFrame, text: str, lang: str, trainable: Column, per_language: int = 3000, known_share: float | None = None) -> Model:
     """Learn codes and classifiers from rows with a language where trainable.
 
-    Two passes over the sample: n-gram frequencies by language give the bits'
-    weights, then each classifier's answers give its scale and its trust.
-    With known_share a third one sets ``farthest``: that share of the sample is
-    as near to a codeword.  Ties of languages go by code point.  No such row: a model that answers
-    ``und`` always.
+    Three passes over the sample: n-gram frequencies by language give each
+    bit's first weights, TRAINERS tasks train the bits' classifiers on from
+    there, each on its part, and their weights are averaged; then every
+    classifier's answers give its scale and its trust.  With known_share a
+    further one sets ``farthest``: that share of the sample is as near to a
+    codeword.  Ties of languages go by code point.  No such row: a model that
+    answers ``und`` always.
     """
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.coalesce(trainable, F.lit(False)).alias("ok"))
     rows = rows.filter(F.col("ok") & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -220,7 +254,7 @@ def fit(docs: DataFrame, text: str, lang: str, trainable: Column, per_language:
         chosen = chosen | ((F.col("lang") == name) & sample_below(F.col("text"), per_language / sizes[name]))
     sample = materialise(rows.filter(chosen).select("lang", "text").groupBy("lang", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("lang", "text"), "lang-sample")
 
-    def frequencies(batches):
+    def by_language(batches):
         total: dict[str, np.ndarray] = {}
         rows: dict[str, int] = {}
         for batch in batches:
@@ -231,7 +265,7 @@ def fit(docs: DataFrame, text: str, lang: str, trainable: Column, per_language:
             yield pa.RecordBatch.from_pydict({"lang": [name], "rows": [rows[name]], "v": [v.astype("<f8").tobytes()]})
 
     freq = {name: np.zeros(1 << BUCKET_BITS) for name in languages}
-    for r in map_arrow(sample, frequencies, "lang string, rows long, v binary").toLocalIterator():
+    for r in map_arrow(sample, by_language, "lang string, rows long, v binary").toLocalIterator():
         freq[r["lang"]] = freq[r["lang"]] + np.frombuffer(r["v"], "<f8")
     smooth = 0.5 / (1 << BUCKET_BITS)
     share = np.stack([(f / max(f.sum(), 1e-12)) * (1 - 1e-3) + 1e-3 * 2 * smooth for f in freq.values()])
@@ -241,9 +275,26 @@ def fit(docs: DataFrame, text: str, lang: str, trainable: Column, per_language:
         one, zero = share[code[:, j] > 0], share[code[:, j] < 0]
         if len(one) and len(zero):
             weights[:, j] = np.log(one.mean(axis=0)) - np.log(zero.mean(axis=0))
-    draft = Model(languages, code, np.ones_like(code, dtype=float), weights, np.ones(code.shape[1]))
     known = {name: i for i, name in enumerate(languages)}
 
+    def train(batches):
+        rows = []
+        for batch in batches:
+            for name, text in zip(batch.column("lang").to_pylist(), utf8(batch.column("text"))):
+                buckets, share = frequencies(text)
+                if buckets.size:
+                    rows.append((buckets, share, code[known[name]].astype(float)))
+        if rows:
+            yield pa.RecordBatch.from_pydict({"rows": [len(rows)], "v": [train_bits(rows, weights).astype("<f4").tobytes()]})
+
+    # by the text's hash, in its order: reruns train alike
+    dealt = sample.withColumn("h", F.xxhash64("text")).repartition(TRAINERS, "h").sortWithinPartitions("h", "lang").select("lang", "text")
+    learnt, trained = np.zeros_like(weights, dtype=np.float64), 0
+    for r in map_arrow(dealt, train, "rows long, v binary").collect():
+        learnt, trained = learnt + r["rows"] * np.frombuffer(r["v"], "<f4").reshape(weights.shape), trained + r["rows"]
+    weights = (learnt / trained).astype(np.float32) if trained else weights
+    draft = Model(languages, code, np.ones_like(code, dtype=float), weights, np.ones(code.shape[1]))
+
     def replies(batches):
         bits = code.shape[1]
         seen = np.zeros((len(languages), 2 * bits + 1))
@@ -282,7 +333,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     """keep columns, then lang_pred, score, ambiguous for every row.
 
     Whole texts are read; ``und`` with score 0 where the text is null or has
-    no letter.  Rows repeat as they come; other columns are left behind.
+    no letter.  Rows repeat as they come; other columns are left behind; an
+    empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x bits and 2^16 x bits
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))

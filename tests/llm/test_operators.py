@@ -137,6 +137,43 @@ def test_language_of_held_out_texts(spark):
     assert {r["lang_pred"] for r in got if r["doc_id"] in (90, 91, 92, 95)} == {"und"}
 
 
+def plain_language(model, text):
+    """Nearest codeword of a text, one n-gram and one bit at a time."""
+    mask, sums, n = 2**64 - 1, [0.0] * model.code.shape[1], 0
+    low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else "\0" for c in f" {text} ")
+    for k in language_id.ORDERS:
+        for i in range(len(low) - k + 1):
+            g = low[i : i + k]
+            if {1: g[0] != "\0", 2: g != "\0\0"}.get(k, g[1:2] != "\0"):
+                h = k * 0x9E3779B1
+                for c in g:
+                    h = ((h ^ (ord(c) if c != "\0" else 0)) * 0x9E3779B97F4A7C15) & mask
+                    h ^= h >> 29
+                n += 1
+                for j in range(len(sums)):
+                    sums[j] += float(model.weights[h >> (64 - language_id.BUCKET_BITS), j])
+    if not n:
+        return "und"
+    answers = [max(-4, min(4, s / n / float(c))) for s, c in zip(sums, model.scale)]
+    loss = [sum(t * np.log1p(np.exp(-2 * a * b)) for t, a, b in zip(trust, answers, word)) / sum(trust) for trust, word in zip(model.trust, model.code)]
+    return model.languages[int(np.argmin(loss))]
+
+
+def test_registered_language_query(spark, tmp_path):
+    """Columns, fold and predictions of op1 against a plain decoder; every bit has a classifier of its own."""
+    rows = [(i, prose(lang, i, 12), lang) for i, lang in enumerate(list(ALPHABETS) * 30)] + [(900, None, "aa"), (901, "", None), (902, "12 !", "bb"), (903, prose("cc", 5, 3) + " É\u0130", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op1_language_id"](spark, str(tmp_path)).collect()}
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = language_id.fit(d, "text", "lang", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    for i, text, lang in rows:
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= got[i]["score"] <= 1
+        assert got[i]["lang_pred"] == plain_language(model, text or "")
+        assert got[i]["lang_pred"] == ("und" if i in (900, 901, 902) else lang or "cc")
+    answers, _ = model.answers([prose(lang, 7000 + i, 12).encode() for i, lang in enumerate(ALPHABETS)])
+    assert (answers * model.code > 0).all() and np.linalg.matrix_rank(model.weights.astype(float)) == model.code.shape[1]
+
+
 def test_language_without_training_rows(spark):
     model = language_id.fit(docs(spark, []), "text", "lang", F.lit(True))
     assert [r["lang_pred"] for r in language_id.identify(docs(spark, ODD[3:5]), model).collect()] == ["und", "und"]
@@ -376,6 +413,32 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc.archive_round_trip(spark, pages.limit(0)).count() == 0
 
 
+def test_archive_of_many_frames_and_hot_payloads(spark, tmp_path, monkeypatch):
+    """The registered query with small frames, a hot payload and one above a frame."""
+    monkeypatch.setattr(warc, "HOT", 3)
+    monkeypatch.setattr(warc, "HOT_SHARE", 10)
+    big = "".join(random.Random(1).choice("abcdef<>é") for _ in range(1 << 20)) * 2
+    html = ["same"] * 30 + [None, "", "same 2", "same 2", big, big] + [f"page {i} " * 20_000 for i in range(20)]
+    pages = [(i * 7 % 101 if i != 4 else None, f"http://h/{i}", h) for i, h in enumerate(html)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in QUERIES["op6_warc"](spark, str(tmp_path)).collect())
+    first = {}
+    for p, _, h in pages:
+        if p is not None:
+            first[h or ""] = min(p, first.get(h or "", p))
+    import base64
+
+    want = []
+    for p, _, h in pages:
+        raw = (h or "").encode()
+        response = p == first[h or ""]
+        want.append((str(p), len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if response else "revisit", None if response else first[h or ""]))
+    assert got == sorted(want)
+    folder = f"file://{tmp_path}/b"
+    index = warc.write_archive(spark.read.parquet(f"{tmp_path}/pages.parquet"), folder)
+    assert index.select("bundle", "frame").distinct().count() > index.select("bundle").distinct().count()
+
+
 def test_html(spark):
     page = """<html><head><title>T</title><script>var a="</p>"</script></head><body><nav><a href=x>Home</a> <a>News</a></nav><div class="cookie-notice">We use cookies</div>
     <article><h1>Head &amp; line</h1><p>First <b>bold</b>text  here.<br>Next<p>Second &eacute;&#233;<form>mail <input></form></p><aside>Related</aside><section class="comments"><p>nice post</p></section><p>Last one</article>
