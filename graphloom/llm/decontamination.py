@@ -11,12 +11,14 @@ contaminated by an item if some aligned stretch reaches ``least_words`` words
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import keep_rows, map_arrow, materialise, utf8
+from ._common import discard, keep_rows, map_arrow, materialise, utf8
 from .shingles import mix, word_hashes
 
 #: Masks over word positions.  Any two words replaced in a run of 12 leave one whole.
@@ -130,21 +132,21 @@ def verified(words: np.ndarray, items: list[tuple[int, np.ndarray]], index: dict
     return sorted((items[i][0], *s) for i, s in best.items())
 
 
-def _blocks(tests: DataFrame, item_id: str, item_text: str) -> list[list[tuple[int, np.ndarray]]]:
-    """(item id, word hashes) of the distinct items, in blocks of BROADCAST_SEEDS seeds."""
+def _blocks(tests: DataFrame, item_id: str, item_text: str) -> Iterator[tuple[list[tuple[int, np.ndarray]], bool]]:
+    """(item id, word hashes) of the distinct items, in blocks of BROADCAST_SEEDS
+    seeds, and whether a block is the last; the driver holds two at most."""
     tests = tests.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    block, size, blocks = [], 0, []
+    block, size = [], 0
     for r in tests.orderBy("item_id", "text").toLocalIterator():
         w = word_hashes(r["text"].encode())
         if not w.size:
             continue
         if block and size + 4 * w.size > BROADCAST_SEEDS:
-            blocks.append(block)
+            yield block, False
             block, size = [], 0
         block.append((r["item_id"], w))
         size += 4 * w.size
-    blocks.append(block)
-    return blocks
+    yield block, True
 
 
 def contaminated(docs: DataFrame, tests: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least_words: int = LEAST_WORDS, identity: float = IDENTITY, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -154,7 +156,8 @@ def contaminated(docs: DataFrame, tests: DataFrame, doc_id: str = "doc_id", text
     first word in the document), words and equal describe the best overlap
     with each.  Whole texts are read.  Null or wordless texts and items match
     nothing; items without an id are left out; repeated items count once.
-    Repeated documents give a row each.  Other columns are left behind.
+    Repeated documents give a row each.  Other columns are left behind; empty
+    tables give an empty one.
 
     Test sets are small beside the training data: while their seeds number
     BROADCAST_SEEDS or less the join is done in the tasks that read the
@@ -166,8 +169,6 @@ def contaminated(docs: DataFrame, tests: DataFrame, doc_id: str = "doc_id", text
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *keep, F.col(text).cast("string").alias("__text"))
     names = ["doc_id", *keep]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1]) + "item_ids array<long>, starts array<int>, words array<int>, equal array<int>"
-    blocks = _blocks(tests, item_id, item_text)
-
     lists = ("item_ids", "starts", "words", "equal")
 
     def against(rows, items, later: bool, last: bool):
@@ -197,11 +198,12 @@ def contaminated(docs: DataFrame, tests: DataFrame, doc_id: str = "doc_id", text
         return map_arrow(rows, run, schema if last else schema.replace("item_ids array<long>", "`__text` string, item_ids array<long>"))
 
     # each row carries what it has found from block to block
-    for k, items in enumerate(blocks):
-        rows = against(rows, items, k > 0, k == len(blocks) - 1)
-        if k < len(blocks) - 1:
-            rows = materialise(rows, "contamination")
-    return rows
+    for k, (items, last) in enumerate(_blocks(tests, item_id, item_text)):
+        found = against(rows, items, k > 0, last)
+        if last:
+            return found
+        before, rows = rows, materialise(found, "contamination")
+        discard(before)
 
 
 def clean(docs: DataFrame, tests: DataFrame, text: str = "text", **how) -> DataFrame:
@@ -210,7 +212,7 @@ def clean(docs: DataFrame, tests: DataFrame, text: str = "text", **how) -> DataF
     Rows without id, text or words stay.  The same test as in contaminated().
     """
     spark, least, identity = docs.sparkSession, how.get("least_words", LEAST_WORDS), how.get("identity", IDENTITY)
-    for items in _blocks(tests, how.get("item_id", "item_id"), how.get("item_text", "text")):
+    for items, _ in _blocks(tests, how.get("item_id", "item_id"), how.get("item_text", "text")):
         shared = spark.sparkContext.broadcast((items, build_index(items)))
         docs = keep_rows(docs, text, lambda texts, shared=shared: [not verified(word_hashes(t), *shared.value, least, identity) for t in texts])
     return docs
