@@ -10,6 +10,8 @@ def _struct(spec: str) -> T.StructType:
     return T.StructType([T.StructField(n, kinds[k]) for n, k in (x.split(":") for x in spec.split())])
 
 
+#: Version of the tables' layout, as exports state it.
+SCHEMA_VERSION = 1
 NODES = _struct("id:s name:s node_type:s path:s start_line:i end_line:i docstring:s metadata_json:s")
 EDGES = _struct("source_id:s target_id:s edge_type:s provenance:s metadata_json:s")
 FINGERPRINTS = _struct("path:s content_hash:s mtime:d")

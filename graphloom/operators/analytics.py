@@ -82,7 +82,7 @@ def forman_ricci(pairs: DataFrame) -> DataFrame:
     return pairs.join(d("u"), "u").join(d("v"), "v").join(sides, ["u", "v"], "left").select("u", "v", (4 - F.col("du") - F.col("dv") + 3 * F.coalesce("t", F.lit(0))).cast("long").alias("curvature"))
 
 
-def gromov_delta(nodes: DataFrame, edges: DataFrame, sample: int = 50, quadruples: int = 200, max_depth: int = 12) -> DataFrame:
+def gromov_delta(nodes: DataFrame, edges: DataFrame, sample: int = 50, quadruples: int = 200, max_depth: int | None = None) -> DataFrame:
     """One row (delta, tree_like, quadruples): four-point condition over the first
     sets of four of the first nodes in id order; pairs without path are skipped.
 

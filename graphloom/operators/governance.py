@@ -6,9 +6,12 @@ import hashlib
 import hmac
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
+from .order import placed
+
 # The tier of a path's first known part; larger is deeper.
 TIERS = {"cli": 1, "mcp": 1, "review": 2, "watcher": 2, "parser": 2, "graph": 2, "federation": 2, "refactor": 2, "repair": 2, "observability": 2, "c4": 2, "benchmark": 2, "semantic": 2, "security": 2, "core": 3}
 # Names, beginnings and path parts of symbols that are called from outside.
@@ -25,6 +28,7 @@ USES = "calls imports uses verifies evidenced_by routes_to injects".split()
 
 def path_tier(path: Column) -> Column:
     """Architectural tier of a path, null if no part is known."""
+    # fixed values: paths whose tier is not that of their first known part
     p = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
     known = F.create_map(*(F.lit(x) for kv in TIERS.items() for x in kv))
     first = F.get(F.filter(F.split(p, "/"), lambda x: F.map_contains_key(known, x)), F.lit(0))
@@ -43,6 +47,7 @@ def layer_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def domain(node_type: Column, path: Column) -> Column:
     """Named domain of a node by its type and path."""
     p, t = F.lower(F.coalesce(path, F.lit(""))), F.lower(node_type)
+    # fixed values: the domains' names and what belongs to them, first rule first
     rules = [
         (t.isin("story", "epic", "criterion", "task"), "Specifications & Delivery"),
         (t.isin("service") | p.startswith("runtime://"), "Distributed Services & Runtimes"),
@@ -85,25 +90,33 @@ def confidence(name: Column, path: Column, node_type: Column) -> Column:
     return F.when(private | inner, "high").when((node_type == "function") & ~F.substring(name, 1, 1).rlike(r"\p{Lu}") | (node_type == "method"), "medium").otherwise("low")
 
 
-def dead_code(nodes: DataFrame, edges: DataFrame, min_confidence: str = "low") -> DataFrame:
-    """id, name, path, confidence, lines of code nodes that nothing uses.
+def dead_code(nodes: DataFrame, edges: DataFrame, min_confidence: str = "low", texts: DataFrame | None = None) -> DataFrame:
+    """id, name, path, confidence, lines, safe of code nodes that nothing uses.
 
     Uses are incoming edges of the known types, tables' mappings, injections by
-    name and publishers of a topic that is subscribed to.
+    name, and any topic that is subscribed to.  With the files' texts (path,
+    text), a symbol whose name occurs in its own file outside its lines is in
+    use, and one that occurs in another file is of low confidence and not safe
+    to delete.  Names are compared as whole words.
     """
     code = nodes.filter(F.col("node_type").isin("function", "method", "class"))
     used = edges.filter(F.col("edge_type").isin(USES) & (F.col("source_id") != F.col("target_id"))).select(F.col("target_id").alias("id"))
-    used = used.union(edges.filter("edge_type = 'maps_to'").select("source_id"))
-    subs = edges.filter("edge_type = 'subscribes'").select("source_id", "target_id")
-    pubs = edges.filter("edge_type = 'publishes'").select("target_id").distinct()
-    used = used.union(subs.join(pubs, "target_id", "left_semi").select("source_id"))
+    used = used.union(edges.filter(F.col("edge_type").isin("maps_to", "subscribes")).select("source_id"))
     names = edges.filter(F.col("target_id").startswith("symbol:")).select(F.substring("target_id", 8, 1 << 20).alias("name")).distinct()
     idle = code.join(used.distinct(), "id", "left_anti").join(names, "name", "left_anti")
     idle = idle.filter(~is_entrypoint(F.col("name"), F.col("path"), F.col("node_type")))
     c = confidence(F.col("name"), F.col("path"), F.col("node_type"))
-    lines = F.coalesce(F.col("end_line") - F.col("start_line") + 1, F.lit(1))
+    lines = F.greatest(F.lit(1), F.coalesce(F.col("end_line") - F.col("start_line") + 1, F.lit(1)))
+    out = idle.withColumn("confidence", c).withColumn("lines", lines).withColumn("elsewhere", F.lit(False))
+    if texts is not None:
+        words = texts.select(F.col("path").alias("at"), F.posexplode(F.split("text", "\n")).alias("line", "l")).select("at", (F.col("line") + 1).alias("line"), F.explode(F.array_distinct(F.regexp_extract_all("l", F.lit(r"\w+"), F.lit(0)))).alias("name"))
+        met = out.select("id", "name", "path", "start_line", "end_line").join(words, "name")
+        inside = F.coalesce(F.col("line").between(F.col("start_line"), F.col("end_line")), F.lit(False))
+        seen = met.groupBy("id").agg(F.max((F.col("at") == F.col("path")) & ~inside).alias("own"), F.max(F.col("at") != F.col("path")).alias("other"))
+        out = out.join(seen, "id", "left").filter(~F.coalesce("own", F.lit(False))).withColumn("elsewhere", F.coalesce("other", F.lit(False)))
     level = F.create_map(*(F.lit(x) for kv in (("low", 0), ("medium", 1), ("high", 2)) for x in kv))
-    out = idle.select("id", "name", "path", c.alias("confidence"), lines.alias("lines"))
+    out = out.withColumn("confidence", F.when(F.col("elsewhere"), "low").otherwise(F.col("confidence")))
+    out = out.select("id", "name", "path", "confidence", "lines", (~F.col("elsewhere") & F.col("confidence").isin("medium", "high")).alias("safe"))
     return out.filter(level[F.col("confidence")] >= {"low": 0, "medium": 1, "high": 2}[min_confidence])
 
 
@@ -189,12 +202,31 @@ def ghosts(drawn: DataFrame, code: DataFrame, normalise) -> DataFrame:
     return drawn.withColumn("k", normalise(F.col("name"))).join(code.select(normalise(F.col("name")).alias("k")).distinct(), "k", "left_anti").drop("k")
 
 
-def decoupling(cycles: DataFrame) -> DataFrame:
-    """cycle, cut_source, cut_target, strategy: where and how to break a cycle."""
-    text = F.array_join("cycle", " ")
-    low = F.lower(text)
-    strategy = F.when(low.rlike("model|entity|schema"), "SHARED_KERNEL").when(low.rlike("listener|event|notify"), "EVENT_DRIVEN").otherwise("DEPENDENCY_INVERSION")
-    return cycles.select("cycle", F.element_at("cycle", -1).alias("cut_source"), F.element_at("cycle", 1).alias("cut_target"), strategy.alias("strategy"))
+def visual_drift(drawn: DataFrame, links: DataFrame, code: DataFrame, edges: DataFrame, normalise) -> DataFrame:
+    """source, target, code_source, code_target of drawn links whose two ends
+    have code nodes of their names, the first by id, without an edge between."""
+    named = lambda df: df.select("id", normalise(F.col("name")).alias("k"))
+    first = named(code).groupBy("k").agg(F.min("id").alias("code"))
+    match = named(drawn).join(first, "k").select("id", "code")
+    end = lambda side: match.select(F.col("id").alias(side), F.col("code").alias(f"code_{side}"))
+    met = links.select("source", "target").distinct().join(end("source"), "source").join(end("target"), "target")
+    known = edges.select(F.col("source_id").alias("code_source"), F.col("target_id").alias("code_target")).distinct()
+    return met.join(known, ["code_source", "code_target"], "left_anti").select("source", "target", "code_source", "code_target")
+
+
+def decoupling(cycles: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """cycle, cut_source, cut_target, strategy: where and how to break a cycle.
+
+    With nodes (id, name, path) a model is told by a path and an event by a
+    name; without, by the ids themselves.  The edge that closes a cycle is cut."""
+    if nodes is None:
+        rows = cycles.select("cycle", F.lower(F.array_join("cycle", " ")).alias("paths"), F.lower(F.array_join("cycle", " ")).alias("names"))
+    else:
+        ends = cycles.select("cycle", F.explode("cycle").alias("id")).join(nodes.select("id", "name", "path"), "id", "left")
+        said = lambda c: F.max(F.lower(F.coalesce(c, F.lit(""))).rlike("model|entity|schema")) if c == "path" else F.max(F.lower(F.coalesce(c, F.lit(""))).rlike("listener|event|notify"))
+        rows = ends.groupBy("cycle").agg(said("path").alias("m"), said("name").alias("e")).select("cycle", F.when(F.col("m"), "model").otherwise("").alias("paths"), F.when(F.col("e"), "event").otherwise("").alias("names"))
+    strategy = F.when(F.col("paths").rlike("model|entity|schema"), "SHARED_KERNEL").when(F.col("names").rlike("listener|event|notify"), "EVENT_DRIVEN").otherwise("DEPENDENCY_INVERSION")
+    return rows.select("cycle", F.element_at("cycle", -1).alias("cut_source"), F.element_at("cycle", 1).alias("cut_target"), strategy.alias("strategy"))
 
 
 # --- attestation ---------------------------------------------------------
@@ -212,19 +244,10 @@ def merkle_root(leaves: DataFrame) -> str:
 
     Leaves are range-partitioned, so their places need no single task; each
     round halves them."""
-    from ..storage import cut
-
     n = leaves.count()
     if not n:
         return hashlib.sha256(b"").hexdigest()
-    parts = max(1, -(-n // 500_000))
-    placed = cut(leaves.repartitionByRange(parts, "leaf").sortWithinPartitions("leaf").withColumn("part", F.spark_partition_id()), "leaves")
-    sizes = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    base = F.element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), F.col("part"))
-    level = cut(placed.withColumn("i", (F.row_number().over(Window.partitionBy("part").orderBy("leaf")) - 1 + base).cast("long")).select("i", "leaf"), "level")
+    level = cut(placed(leaves, ["leaf"], "i").select("i", "leaf"), "level")
     while n > 1:
         pair = level.groupBy(F.floor(F.col("i") / 2).cast("long").alias("i")).agg(F.min_by("leaf", "i").alias("l"), F.max_by("leaf", "i").alias("r"))
         level, n = cut(pair.select("i", F.sha2(F.concat_ws(":", "l", "r"), 256).alias("leaf")), "level"), (n + 1) // 2
@@ -238,8 +261,10 @@ def attest(edges: DataFrame, violations: int, key: str, salt: str) -> dict:
     return payload | {"signature": hmac.new(key.encode(), text.encode(), hashlib.sha256).hexdigest()}
 
 
-def verify_attestation(attested: dict, key: str) -> bool:
-    """Whether the signature fits the payload."""
+def verify_attestation(attested: dict, key: str, edges: DataFrame | None = None, salt: str = "") -> bool:
+    """Whether the signature fits the payload and, if the edges are given, the
+    root is theirs."""
     payload = {k: v for k, v in attested.items() if k != "signature"}
     want = hmac.new(key.encode(), json.dumps(payload, sort_keys=True).encode(), hashlib.sha256).hexdigest()
-    return hmac.compare_digest(want, attested.get("signature", ""))
+    signed = hmac.compare_digest(want, attested.get("signature", ""))
+    return signed and (edges is None or merkle_root(leaf_hashes(edges, salt)) == attested["merkle_root"])

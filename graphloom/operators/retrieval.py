@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_place, jaccard, terms, token_cost, word_set
+from ..storage import cut
+from .order import running
 
 #: Usual BM25 constants.
 K1, B = 1.2, 0.75
@@ -45,34 +47,40 @@ def parse_query(query: str) -> list[list[tuple[str, bool]]]:
     return [g for g in groups if g]
 
 
+def _matches(word: str, prefix: bool):
+    """A test of a token; of one argument, as lambdas of columns are counted."""
+    return (lambda x: x.startswith(word)) if prefix else (lambda x: x == F.lit(word))
+
+
 def search(docs: DataFrame, columns: list[str], query: str, limit: int = 20, id_col: str = "id") -> DataFrame:
-    """id, score (BM25, higher is better) and rank of the best matches; ties by id."""
-    index, lengths = postings(docs, columns, id_col)
+    """id, score (BM25, higher is better) and rank of the best matches; ties by id.
+
+    The words of the query are counted in each document's tokens, so texts are
+    read once and never moved; the counts are written, summed up, and scored."""
     groups = parse_query(query)
     words = sorted({w for g in groups for w in g})
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    hit = None
-    for word, prefix in words:
-        plain = word.removeprefix("-")
-        found = index.filter(F.col("term").startswith(plain) if prefix else F.col("term") == plain)
-        part = found.groupBy("id").agg(F.sum("tf").alias("tf")).withColumn("word", F.lit(word if prefix else f"={word}"))
-        hit = part if hit is None else hit.unionByName(part)
-    if hit is None:
+    if not words:
         return docs.select(F.col(id_col).alias("id")).limit(0).withColumn("score", F.lit(0.0)).withColumn("rank", F.lit(0))
-    name = lambda w: w[0] if w[1] else f"={w[0]}"
-    df = hit.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    scored = hit.join(F.broadcast(df), "word").join(lengths, "id").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    bag = docs.select(F.col(id_col).alias("id"), F.flatten(F.array(*(tokens(F.col(c)) for c in columns))).alias("t"))
+    plain = [(w.removeprefix("-"), prefix) for w, prefix in words]
+    hits = [F.size(F.filter("t", _matches(w, p))).alias(f"tf{i}") for i, (w, p) in enumerate(plain)]
+    counted = cut(bag.select("id", F.size("t").alias("dl"), *hits), "search")
+    n, average, *df = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("dl"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(words)))).first()
+    score, has = F.lit(0.0), {}
+    for i, (word, prefix) in enumerate(words):
+        tf = F.col(f"tf{i}")
+        has[word, prefix] = tf > 0
+        if not word.startswith("-") and n:
+            idf = math.log(1 + (n - df[i] + 0.5) / (df[i] + 0.5))
+            score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(max(average, 1e-9))))
     wanted = F.lit(False)
-    per = scored.groupBy("id").agg(F.collect_set("word").alias("words"), F.sum(F.when(~F.col("word").rlike("^=?-"), part).otherwise(0.0)).alias("score"))
     for g in groups:
-        ok = F.lit(True)
+        ok, some = F.lit(True), F.lit(False)
         for w in g:
-            has = F.array_contains("words", name(w))
-            ok = ok & (~has if w[0].startswith("-") else has)
-        wanted = wanted | ok
-    best = per.filter(wanted).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+            ok = ok & (~has[w] if w[0].startswith("-") else has[w])
+            some = some if w[0].startswith("-") else some | has[w]
+        wanted = wanted | (ok & some)
+    best = counted.filter(wanted).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
@@ -118,12 +126,11 @@ def fuse(lexical: DataFrame, semantic: DataFrame, top_k: int = 10, rrf_k: int =
 def budget_prefix(scored: DataFrame, budget: int, header: int = 0) -> DataFrame:
     """Rows in order of (score desc, id) while header and their cost fit the budget.
 
-    scored: (id, score, cost).  Costs are positive, so what fits is a prefix;
-    only rows that could fit, the first budget ones, are laid out in order.
+    scored: (id, score, cost).  Costs are not negative, so what fits is a
+    prefix of the order, rows without cost at its end included.
     """
-    first = scored.orderBy(F.desc("score"), "id").limit(max(budget, 1))
-    running = F.sum("cost").over(Window.orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0))
-    return first.withColumn("used", (running + F.lit(header)).cast("long")).filter(F.col("used") <= budget)
+    laid = running(scored, [F.desc("score"), "id"], F.col("cost").cast("long"), "used")
+    return laid.withColumn("used", (F.col("used") + F.lit(header)).cast("long")).filter(F.col("used") <= budget)
 
 
 def select_submodular(candidates: DataFrame, seeds: DataFrame, budget: int, default_distance: float = 3.0) -> DataFrame:

@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import percentiles
 
-def percentile_index(values: Column, p: float) -> Column:
-    """The sorted values at 0-based place floor(p n)."""
-    s = F.sort_array(values)
-    return F.element_at(s, F.least(F.floor(F.lit(p) * F.size(s)).cast("int") + 1, F.size(s)))
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the columns of right of the same keys, null ones among them."""
+    right = right.select(*(F.col(k).alias(f"__{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(right, on).drop(*(f"__{k}" for k in keys))
 
 
 def link_stats(links: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: calls, total, average and interpolated percentiles of the
     duration, errors and their rate."""
-    d = F.col("duration_ms")
-    agg = links.groupBy(*keys).agg(F.count(F.lit(1)).alias("calls"), F.sum(d).alias("total_ms"), F.percentile(d, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"), F.sum(F.col("is_error").cast("long")).alias("errors"))
-    return agg.select(*keys, "calls", F.round("total_ms", 2).alias("total_ms"), F.round(F.col("total_ms") / F.col("calls"), 4).alias("avg_ms"), *(F.round(F.get("p", F.lit(i)), 4).alias(n) for i, n in enumerate(("p50_ms", "p95_ms", "p99_ms"))), "errors", F.round(F.col("errors") / F.col("calls"), 4).alias("error_rate"))
+    agg = links.groupBy(*keys).agg(F.count(F.lit(1)).alias("calls"), F.sum("duration_ms").alias("total_ms"), F.sum(F.col("is_error").cast("long")).alias("errors"))
+    agg = _same(agg, percentiles(links, keys, "duration_ms", {f"p{p}_ms": ("linear", p / 100) for p in (50, 95, 99)}), keys)
+    return agg.select(*keys, "calls", F.round("total_ms", 2).alias("total_ms"), F.round(F.col("total_ms") / F.col("calls"), 4).alias("avg_ms"), *(F.round(n, 4).alias(n) for n in ("p50_ms", "p95_ms", "p99_ms")), "errors", F.round(F.col("errors") / F.col("calls"), 4).alias("error_rate"))
 
 
 def parent_links(spans: DataFrame) -> DataFrame:
@@ -43,20 +48,22 @@ def topology(spans: DataFrame) -> DataFrame:
 
 def by_target(spans: DataFrame, target: str = "service_name") -> DataFrame:
     """Telemetry rows per target; the 95th percentile by place."""
-    return spans.groupBy(F.col(target).alias("node_id")).agg(
-        F.count(F.lit(1)).alias("call_count"),
-        F.sum("duration_ms").alias("total_duration_ms"),
-        percentile_index(F.collect_list("duration_ms"), 0.95).alias("p95_duration_ms"),
-        F.sum(F.col("is_error").cast("long")).alias("error_count"),
-    ).withColumn("avg_duration_ms", F.col("total_duration_ms") / F.col("call_count")).withColumn("error_rate", F.col("error_count") / F.col("call_count"))
+    rows = spans.select(F.col(target).alias("node_id"), "duration_ms", "is_error")
+    agg = rows.groupBy("node_id").agg(F.count(F.lit(1)).alias("call_count"), F.sum("duration_ms").alias("total_duration_ms"), F.sum(F.col("is_error").cast("long")).alias("error_count"))
+    agg = _same(agg, percentiles(rows, ["node_id"], "duration_ms", {"p95_duration_ms": ("index", 0.95)}), ["node_id"])
+    agg = agg.withColumn("avg_duration_ms", F.col("total_duration_ms") / F.col("call_count")).withColumn("error_rate", F.col("error_count") / F.col("call_count"))
+    return agg.select("node_id", "call_count", "total_duration_ms", "p95_duration_ms", "error_count", "avg_duration_ms", "error_rate")
 
 
 def merge_telemetry(batches: DataFrame) -> DataFrame:
     """Telemetry rows of several batches as one row per node: counts and
-    totals add up, the average and the error rate follow, p95 is the largest.
+    totals add up, the average and the error rate follow, p95 is the largest;
+    last_seen and metadata_json, where there, are those of the latest batch.
 
     Order does not matter, so the same expression serves batch and stream."""
-    agg = batches.groupBy("node_id").agg(F.sum("call_count").alias("call_count"), F.sum("total_duration_ms").alias("total_duration_ms"), F.max("p95_duration_ms").alias("p95_duration_ms"), F.sum("error_count").alias("error_count"))
+    last = [F.max("last_seen").alias("last_seen")] if "last_seen" in batches.columns else []
+    last += [F.max_by("metadata_json", F.struct("last_seen", "metadata_json")).alias("metadata_json")] if last and "metadata_json" in batches.columns else []
+    agg = batches.groupBy("node_id").agg(*last, F.sum("call_count").alias("call_count"), F.sum("total_duration_ms").alias("total_duration_ms"), F.max("p95_duration_ms").alias("p95_duration_ms"), F.sum("error_count").alias("error_count"))
     rate = lambda a: F.when(F.col("call_count") > 0, F.col(a) / F.col("call_count")).otherwise(0.0)
     return agg.withColumn("avg_duration_ms", rate("total_duration_ms")).withColumn("error_rate", rate("error_count"))
 
@@ -82,11 +89,15 @@ def traffic_risk(impacted: DataFrame, telemetry: DataFrame) -> DataFrame:
     """
     j = impacted.join(telemetry.select(F.col("node_id").alias("id"), "call_count", "error_rate"), "id", "left").withColumn("calls", F.coalesce("call_count", F.lit(0)).cast("long")).withColumn("rate", F.coalesce("error_rate", F.lit(0.0)))
     agg = j.groupBy("target").agg(F.sum("calls").alias("calls"), F.sum(F.col("calls") * (1 + 2 * F.col("rate")) / F.pow("depth", F.lit(1.5))).alias("traffic"), F.sum((F.col("calls") > 0).cast("long")).alias("active"), F.sum((F.col("calls") == 0).cast("long")).alias("dormant"), F.max(((F.col("rate") >= 0.15) & (F.col("calls") >= 100)).cast("int")).alias("hot"))
-    t = F.col("calls")
-    tier = F.when((t >= 10000) | (F.col("hot") == 1), "P0_CRITICAL").when(t >= 1000, "P1_HIGH").when(t >= 100, "P2_MEDIUM").when(t > 0, "P3_LOW").otherwise("P4_DORMANT")
+    tier = risk_tier_name(F.col("calls"), F.col("hot") == 1, "P2_MEDIUM")
     return agg.select("target", "calls", F.round("traffic", 2).alias("traffic"), "active", "dormant", tier.alias("tier"))
 
 
+def risk_tier_name(calls: Column, hot: Column, medium: str) -> Column:
+    """Tier of so many calls; a hot node makes it the first."""
+    return F.when((calls >= 10000) | hot, "P0_CRITICAL").when(calls >= 1000, "P1_HIGH").when(calls >= 100, medium).when(calls > 0, "P3_LOW").otherwise("P4_DORMANT")
+
+
 def regression(current: DataFrame, baseline: DataFrame, threshold: float = 10.0) -> DataFrame:
     """node_id, delta_pct, verdict of p95 against the baseline's; a missing or
     vanishing baseline passes."""
@@ -97,6 +108,18 @@ def regression(current: DataFrame, baseline: DataFrame, threshold: float = 10.0)
     return j.select("node_id", "delta_pct", F.when(F.col("was").isNull(), "PASSED").when(d > threshold, "REGRESSION").when(d > threshold / 2, "WARNING").when(d < -threshold, "IMPROVED").otherwise("PASSED").alias("verdict"))
 
 
+def neighbourhood(links: DataFrame, service: str) -> DataFrame:
+    """Links (source, target, ...) at a service, either way."""
+    return links.filter((F.col("source") == service) | (F.col("target") == service))
+
+
+def service_pairs(links: DataFrame) -> DataFrame:
+    """(a, b) with a < b for services that call each other."""
+    e = links.select("source", "target").distinct()
+    back = e.select(F.col("source").alias("target"), F.col("target").alias("source"))
+    return e.filter("source < target").join(back, ["source", "target"], "left_semi").select(F.col("source").alias("a"), F.col("target").alias("b"))
+
+
 def bottlenecks(links: DataFrame) -> DataFrame:
     """Links that are slow or fail: p95 of 300 ms, average of 200 ms, or errors."""
     slow = (F.col("p95_ms") >= 300) | (F.col("avg_ms") >= 200)
@@ -106,8 +129,9 @@ def bottlenecks(links: DataFrame) -> DataFrame:
 def timing_stats(timings: DataFrame, key: str = "target", value: str = "ms") -> DataFrame:
     """Micro-benchmark statistics with nearest-rank percentiles."""
     v = F.col(value)
-    disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
-    return timings.groupBy(key).agg(F.count(v).alias("runs"), F.min(v).alias("min_ms"), F.max(v).alias("max_ms"), F.round(F.avg(v), 4).alias("avg_ms"), *(disc(p).alias(n) for p, n in ((0.5, "p50_ms"), (0.95, "p95_ms"), (0.99, "p99_ms"))), F.round(F.count(v) * 1000 / F.sum(v), 2).alias("per_second"))
+    agg = timings.groupBy(key).agg(F.count(v).alias("runs"), F.min(v).alias("min_ms"), F.max(v).alias("max_ms"), F.round(F.avg(v), 4).alias("avg_ms"), F.round(F.count(v) * 1000 / F.sum(v), 2).alias("per_second"))
+    agg = _same(agg, percentiles(timings, [key], value, {f"p{p}_ms": ("nearest", p / 100) for p in (50, 95, 99)}), [key])
+    return agg.select(key, "runs", "min_ms", "max_ms", "avg_ms", "p50_ms", "p95_ms", "p99_ms", "per_second")
 
 
 def seed_baseline(telemetry: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, max_depth: in
     returned, nor is the target itself.
     """
     depth = max(1, min(max_depth, 10))
-    back = edges.select("source_id", "target_id", "edge_type")
+    # read once, dealt by target: every round joins it with a small frontier
+    back = cut(edges.select("source_id", "target_id", "edge_type").distinct().repartition("target_id"), "edges")
     frontier = targets.select(F.col("id").alias("target"), F.col("id").alias("at"))
     seen = frontier.select("target", F.col("at").alias("id"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("rel_type"), F.lit(None).cast("string").alias("via_id"))
     for d in range(1, depth + 1):
@@ -62,8 +63,12 @@ def explain(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
     return nodes.join(ids.select("id"), "id", "left_semi").select("id", "name").join(lists, "id", "left").select("id", "name", F.coalesce("incoming", empty).alias("incoming"), F.coalesce("outgoing", empty).alias("outgoing"))
 
 
-def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, max_depth: int = 5, source: str = "source_id", target: str = "target_id") -> DataFrame:
-    """source, id, hops, path: shortest directed paths of up to max_depth edges.
+def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, max_depth: int | None = 5, source: str = "source_id", target: str = "target_id", targets: DataFrame | None = None) -> DataFrame:
+    """source, id, hops, path: shortest directed paths of up to max_depth edges
+    (of any number, if None).
+
+    With targets (source, id), one for each source, only the paths to them, and
+    no search goes on beyond.
 
     path is an array of ids; of equally short ones the smallest in order.
     The source itself has the path of its id only.
@@ -72,13 +77,19 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, max_d
     links = cut(edges.filter(F.col(source) != F.col(target)).select(F.col(source).alias("a"), F.col(target).alias("b")).distinct().join(ids.withColumnRenamed("id", "b"), "b", "left_semi"), "links")
     front = sources.select(F.col("id").alias("source"), F.col("id").alias("at"), F.array("id").alias("path"))
     seen = front.select("source", F.col("at").alias("id"), F.lit(0).alias("hops"), "path")
-    for d in range(1, max_depth + 1):
+    for d in _depths(1, max_depth):
         step = front.join(links, F.col("at") == F.col("a")).groupBy("source", F.col("b").alias("id")).agg(F.min(F.concat("path", F.array("b"))).alias("path"))
         fresh = step.join(seen.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(d).alias("hops"), "path")
         fresh = cut(fresh, "frontier")
+        if fresh.isEmpty():
+            break
         seen = seen.unionByName(fresh)
+        # sources whose target is found go no further
         front = fresh.select("source", F.col("id").alias("at"), "path")
-    return seen
+        if targets is not None:
+            done = seen.join(targets, ["source", "id"], "left_semi").select("source").distinct()
+            front = front.join(done, "source", "left_anti")
+    return seen if targets is None else seen.join(targets, ["source", "id"], "left_semi").select(*seen.columns)
 
 
 def _depths(first: int, last: int | None):
@@ -142,6 +153,51 @@ def simple_cycles(edges: DataFrame, max_length: int = 4, limit: int | None = 15)
     return found if limit is None else found.orderBy("length", "cycle").limit(limit)
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """id, component: nodes that reach each other, by the smallest id among
+    them, as text; of components of one node only those with others around.
+
+    Colouring: the largest name spreads along the edges; what reaches back to
+    a name's own node within its colour is that node's component.  Nodes
+    without a way in or out are components of their own and go first."""
+    links = cut(edges.filter("source_id <> target_id").select(F.col("source_id").cast("string").alias("a"), F.col("target_id").cast("string").alias("b")).distinct(), "links")
+    nodes = cut(links.select(F.col("a").alias("id")).union(links.select("b")).distinct(), "nodes")
+    found = None
+    while not nodes.isEmpty():
+        trimmed = True
+        while trimmed:
+            inner = cut(links.select(F.col("a").alias("id")).distinct().join(links.select(F.col("b").alias("id")).distinct(), "id", "left_semi"), "inner")
+            alone = cut(nodes.join(inner, "id", "left_anti").select("id", F.col("id").alias("component")), "alone")
+            trimmed = not alone.isEmpty()
+            if trimmed:
+                found = alone if found is None else found.union(alone)
+                nodes = inner
+                links = cut(links.join(inner.withColumnRenamed("id", "a"), "a", "left_semi").join(inner.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"), "links")
+        if nodes.isEmpty():
+            break
+        colour = cut(nodes.withColumn("c", F.col("id")), "colour")
+        while True:
+            pushed = links.join(colour.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.max("c").alias("p"))
+            moved = cut(colour.join(pushed, "id", "left").select("id", F.greatest("c", F.coalesce("p", "c")).alias("c"), (F.coalesce("p", "c") > F.col("c")).alias("new")), "colour")
+            colour = moved.select("id", "c")
+            if moved.filter("new").isEmpty():
+                break
+        own = links.join(colour.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(colour.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").filter("ca = cb").select("a", "b", F.col("ca").alias("c"))
+        own = cut(own, "own")
+        back = cut(colour.filter("id = c"), "back")
+        front = back
+        while True:
+            front = cut(front.withColumnRenamed("id", "b").join(own, ["b", "c"]).select(F.col("a").alias("id"), "c").distinct().join(back, ["id", "c"], "left_anti"), "front")
+            if front.isEmpty():
+                break
+            back = cut(back.union(front), "back")
+        least = back.groupBy("c").agg(F.min("id").alias("component"))
+        found = (lambda new: new if found is None else found.union(new))(cut(back.join(least, "c").select("id", "component"), "components"))
+        nodes = cut(nodes.join(back, "id", "left_anti"), "nodes")
+        links = cut(links.join(nodes.withColumnRenamed("id", "a"), "a", "left_semi").join(nodes.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"), "links")
+    return found if found is not None else edges.sparkSession.createDataFrame([], "id string, component string")
+
+
 def bidirectional_pairs(edges: DataFrame) -> DataFrame:
     """(a, b) with a < b for nodes that have edges both ways."""
     links = edges.select("source_id", "target_id").distinct()

@@ -282,13 +282,12 @@ SELECT score, CASE WHEN score >= 95 THEN 'A+' WHEN score >= 90 THEN 'A' WHEN sco
 @query(_SCORE)
 def scorecard(spark, d):
     nodes, edges = supply(spark, d)
-    pairs = traverse.bidirectional_pairs(edges).limit(15)
-    return governance.scorecard(nodes, edges, pairs)
+    return governance.scorecard(nodes, edges, traverse.simple_cycles(views.dependency(edges), 4, 15))
 
 
 @query(
     f"WITH {G}, used AS (SELECT target_id AS id FROM edges WHERE edge_type IN ('calls', 'imports', 'verifies', 'routes_to') AND source_id <> target_id) "
-    "SELECT id, name, path, CASE WHEN node_type = 'function' AND NOT regexp_matches(substr(name, 1, 1), '[A-Z]') THEN 'medium' ELSE 'low' END AS confidence, coalesce(end_line - start_line + 1, 1) AS lines "
+    "SELECT id, name, path, CASE WHEN node_type = 'function' AND NOT regexp_matches(substr(name, 1, 1), '[A-Z]') THEN 'medium' ELSE 'low' END AS confidence, coalesce(end_line - start_line + 1, 1) AS lines, node_type = 'function' AND NOT regexp_matches(substr(name, 1, 1), '[A-Z]') AS safe "
     "FROM nodes WHERE node_type IN ('function', 'class') AND id NOT IN (SELECT id FROM used) AND NOT contains(path, 'cli/') AND NOT contains(path, 'tests/')"
 )
 def dead_code(spark, d):

@@ -10,20 +10,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions.text import redact_secrets
-from .model import MANUAL_EDGE_TYPES, MANUAL_NODE_TYPES
+from .model import MANUAL_EDGE_TYPES, MANUAL_NODE_TYPES, SCHEMA_VERSION
+from .operators.order import placed
 
 
 def last_wins(rows: DataFrame, key: str | list[str], order: str) -> DataFrame:
     """The row of the highest order per key; ties are settled by the row's hash."""
     keys = [key] if isinstance(key, str) else key
     others = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("__o"), F.xxhash64(*(F.col(c).cast("string") for c in others)).alias("__h"), *(F.col(c).alias(f"v_{c}") for c in others if rows.schema[c].dataType.typeName() != "map"))).alias("__m"))
+    # the hash orders, the row is only carried: maps cannot be compared
+    first = F.struct(F.col(order).alias("o"), F.xxhash64(*(F.col(c).cast("string") for c in others)).alias("h"))
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*(F.col(c).alias(f"v_{c}") for c in others)), first).alias("__m"))
     return best.select(*keys, *(F.col(f"__m.v_{c}").alias(c) for c in others if c != order))
 
 
 def upsert_nodes(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Nodes after an insert that replaces by id; secrets leave the docstrings."""
+    """Nodes after an insert that replaces by id; secrets leave the docstrings,
+    and last_indexed_at, where the stored nodes have it, is now."""
     fresh = fresh.withColumn("docstring", redact_secrets(F.col("docstring")))
+    if "last_indexed_at" in stored.columns:
+        fresh = fresh.withColumn("last_indexed_at", F.current_timestamp())
     both = stored.withColumn("__seq", F.lit(0)).unionByName(fresh.withColumn("__seq", F.lit(1)))
     return last_wins(both, "id", "__seq").select(*stored.columns)
 
@@ -58,11 +64,26 @@ def without_repository(nodes: DataFrame, edges: DataFrame, repo: str) -> tuple[D
     return nodes.filter(~mine), e.select(*edges.columns)
 
 
-def publish_snapshot(nodes: DataFrame, edges: DataFrame, folder: str, snapshot: str) -> None:
-    """Write both tables of a snapshot, then its pointer row."""
+def without_embeddings(embeddings: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """Embeddings without those of the given files' nodes."""
+    gone = nodes.join(paths.select("path"), "path", "left_semi").select(F.col("id").alias("node_id"))
+    return embeddings.join(gone, "node_id", "left_anti").select(*embeddings.columns)
+
+
+def publish_snapshot(nodes: DataFrame, edges: DataFrame, folder: str, snapshot: str, fingerprints: DataFrame | None = None, keep_manual: bool = False) -> None:
+    """Write the tables of a snapshot, then its pointer row.
+
+    With keep_manual the manual rows of the latest snapshot stay, unless the
+    new nodes have their id.  A snapshot id is used once only."""
     spark = nodes.sparkSession
-    nodes.write.mode("overwrite").parquet(f"{folder}/{snapshot}/nodes")
-    edges.write.mode("overwrite").parquet(f"{folder}/{snapshot}/edges")
+    if keep_manual:
+        was = latest_snapshot(spark, folder)
+        manual, links = cleared(*was)
+        nodes = nodes.unionByName(manual.join(nodes.select("id"), "id", "left_anti"), allowMissingColumns=True)
+        edges = edges.unionByName(links, allowMissingColumns=True).distinct()
+    tables = {"nodes": nodes, "edges": edges} | ({"fingerprints": fingerprints} if fingerprints is not None else {})
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{folder}/{snapshot}/{name}")
     n, e = (spark.read.parquet(f"{folder}/{snapshot}/{t}").count() for t in ("nodes", "edges"))
     row = spark.createDataFrame([(snapshot, "published", n, e)], "id string, status string, node_count long, edge_count long").withColumn("created_at", F.current_timestamp())
     row.coalesce(1).write.mode("append").parquet(f"{folder}/snapshots")
@@ -86,9 +107,31 @@ def _quote(c: Column) -> Column:
 
 
 def to_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One JSON line per node and edge."""
+    """One JSON line per node and edge, after one with the schema's version, the
+    time and the numbers of both."""
+    stats = nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))
+    stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    head = stats.select(F.to_json(F.struct(F.lit("graph").alias("kind"), F.lit(SCHEMA_VERSION).alias("schema_version"), stamp.alias("exported_at"), "nodes", "edges")).alias("value"))
     line = lambda df, kind: df.select(F.to_json(F.struct(F.lit(kind).alias("kind"), *df.columns)).alias("value"))
-    return line(nodes, "node").union(line(edges, "edge"))
+    return head.union(line(nodes, "node")).union(line(edges, "edge"))
+
+
+def framed(body: DataFrame, head: str, foot: str, folder: str) -> None:
+    """Write the lines of a text export to a folder, with what comes before and
+    after them in files of their own that sort first and last."""
+    spark = body.sparkSession
+    for name, text in (("0-head", head), ("2-foot", foot)):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/{name}")
+    body.write.text(f"{folder}/1-body")
+
+
+def write_dot(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    framed(to_dot(nodes, edges), "digraph G {", "}", folder)
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n<key id="name" for="node" attr.name="name" attr.type="string"/>\n<key id="type" for="all" attr.name="type" attr.type="string"/>\n<graph edgedefault="directed">'
+    framed(to_graphml(nodes, edges), head, "</graph>\n</graphml>", folder)
 
 
 def to_dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -118,6 +161,13 @@ def notes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return j.select("id", F.concat(F.lit("# "), "name", F.lit("\n"), part("Outgoing", "source_id"), part("Incoming", "target_id")).alias("text"))
 
 
+def index_note(nodes: DataFrame) -> DataFrame:
+    """place, text: lines of the index of all notes, by type and name."""
+    kinds = nodes.select("node_type").distinct().select("node_type", F.lit(0).alias("k"), F.lit("").alias("name"), F.lit("").alias("id"), F.concat(F.lit("## "), "node_type").alias("text"))
+    lines = nodes.select("node_type", F.lit(1).alias("k"), "name", "id", F.concat(F.lit("- [["), "id", F.lit("]] "), "name").alias("text"))
+    return placed(kinds.union(lines), ["node_type", "k", "name", "id"]).select("place", "text")
+
+
 def rank_rows(rows: DataFrame, *order: Column) -> DataFrame:
     """rows with their 1-based place, for bounded results."""
     return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))

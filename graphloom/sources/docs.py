@@ -81,3 +81,39 @@ def openapi_endpoints(files: DataFrame, repo: str) -> DataFrame:
     r = r.filter(F.lower("method").isin("get", "put", "post", "delete", "patch", "head", "options"))
     m = F.upper("method")
     return r.select(F.concat(F.lit(f"repo:{repo}:endpoint:"), m, F.lit(":"), "route").alias("id"), F.concat_ws(" ", m, "route").alias("name"), m.alias("method"), "route")
+
+
+def sections(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of Markdown (path, text): a document by its first title,
+    or its file's name, with its lines and words, and its sections of the
+    second and third level, which it contains."""
+    x = _lines(files)
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    title = x.filter(F.col("line").startswith("# ")).groupBy("path").agg(F.min_by("line", "no").alias("t"))
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    doc = files.select("path", words.alias("words"), F.size(F.split("text", r"\r?\n")).alias("lines")).join(title, "path", "left")
+    name = lambda c: F.trim(F.regexp_replace(c, r"^[# ]+", ""))
+    doc_id = F.concat(F.lit("doc:"), F.col("path"))
+    docs = doc.select(doc_id.alias("id"), F.coalesce(name(F.col("t")), stem).alias("name"), F.lit("doc").alias("node_type"), "path", F.lit(1).alias("start_line"), F.col("lines").alias("end_line"), "words")
+    part = x.filter(F.col("line").rlike("^###? ")).withColumn("name", name(F.col("line")))
+    part = part.withColumn("id", F.concat(F.lit("section:"), "path", F.lit(":"), F.replace(F.lower("name"), F.lit(" "), F.lit("_"))))
+    none = F.lit(None).cast("int")
+    nodes = part.groupBy("id").agg(F.min(F.struct("no", "name", "path")).alias("m")).select("id", "m.name", F.lit("concept").alias("node_type"), "m.path", F.col("m.no").alias("start_line"), none.alias("end_line"), none.alias("words"))
+    edges = part.select(doc_id.alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("edge_type"), F.lit("extracted").alias("provenance")).distinct()
+    return docs.unionByName(nodes), edges
+
+
+def specification_edges(specs: DataFrame) -> DataFrame:
+    """Edges of stories to their criteria and tasks, told by their ids."""
+    owner = F.concat(F.lit("story:"), F.split("id", ":")[1])
+    kinds = specs.filter("kind IN ('criterion', 'task')")
+    return kinds.select(owner.alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("edge_type")).filter("source_id <> 'story:'").distinct()
+
+
+def headers(files: DataFrame) -> DataFrame:
+    """path, status, milestone of Markdown specs: the first line of each."""
+    x = _lines(files)
+    pattern = r"(?i)^\s*[-*>]*\s*\**(status|milestone)\**\s*:\s*\**\s*(.+?)\s*$"
+    found = x.filter(F.col("line").rlike(pattern)).select("path", "no", F.lower(F.regexp_extract("line", pattern, 1)).alias("k"), F.regexp_replace(F.regexp_extract("line", pattern, 2), r"^\*+|\*+$", "").alias("v"))
+    first = lambda k: F.min_by(F.when(F.col("k") == k, F.trim("v")), F.when(F.col("k") == k, F.col("no"))).alias(k)
+    return files.select("path").join(found.groupBy("path").agg(first("status"), first("milestone")), "path", "left").select("path", "status", "milestone")

@@ -9,6 +9,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Settings of a step: shuffle files go at the end of the execution that made
+#: them, and Python gets its rows in small batches, as rows may hold whole texts.
+STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
@@ -26,10 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written to the session's shared folder and read back."""
+    """df written to the session's shared folder and read back.
+
+    What the step shuffled is deleted once the table is there; nothing reads
+    it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = {k: spark.conf.get(k, None) for k in STEP}
+    try:
+        for k, v in STEP.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     back = spark.read.schema(df.schema).parquet(path)
     back._graphloom_path = path
     return back
