@@ -9,9 +9,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Settings of a step: shuffle files go at the end of the execution that made
-#: them, and Python gets its rows in small batches, as rows may hold whole texts.
-STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: Whether shuffle files go at the end of the execution that made them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that Python gets at once, where the session leaves it at Spark's own
+#: 10,000: rows may hold whole texts or sets.
+BATCH, SPARKS_OWN, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,14 +38,12 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k, None) for k in STEP}
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
     try:
-        for k, v in STEP.items():
-            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        spark.conf.set(CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._graphloom_path = path
     return back
@@ -60,8 +60,10 @@ def discard(*tables: DataFrame) -> None:
 
 def send_package(spark: SparkSession) -> None:
     """Send this package to the executors once a session, as they need not
-    have it installed."""
+    have it installed; and let Python's batches be small."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH, SPARKS_OWN) == SPARKS_OWN:
+        spark.conf.set(BATCH, ROWS)
     if getattr(context, "_graphloom_sent", None) is None:
         root = Path(__file__).resolve().parent
         packed = Path(tempfile.mkdtemp()) / f"{root.name}.zip"

@@ -12,8 +12,9 @@ from .telemetry import fingerprints
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """A streaming DataFrame of the files below a folder, each when it is new or
-    newly written: path, modified, length, content."""
+    """A streaming DataFrame of the files below a folder, each path once, when it
+    is new: path, modified, length, content.  What is written to a known path
+    or deleted does not come; start_watching() lists the folder for that."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     rows = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     return rows.select("path", F.col("modificationTime").alias("modified"), "length", "content")
@@ -41,12 +42,41 @@ def start_indexing(files: DataFrame, stored: Callable[[], DataFrame], index: Cal
     return files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
+def listed_changes(spark: SparkSession, folder: str, stored: DataFrame, pattern: str = "*") -> DataFrame:
+    """path, change (added, modified or deleted), content, content_hash of a
+    folder's files against stored fingerprints; a deleted one has no content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", "content")
+    found = files.join(fingerprints(files), "path")
+    was = stored.select("path", F.col("content_hash").alias("was"))
+    both = found.join(was, "path", "full_outer").filter(~F.col("was").eqNullSafe(F.col("content_hash")))
+    change = F.when(F.col("content_hash").isNull(), "deleted").when(F.col("was").isNull(), "added").otherwise("modified")
+    return both.select("path", change.alias("change"), "content", "content_hash")
+
+
+def start_watching(spark: SparkSession, folder: str, stored: Callable[[], DataFrame], index: Callable[[DataFrame, int], None], checkpoint: str, pattern: str = "*", every: str = "1 second"):
+    """List the folder at every tick and hand what changed to index(rows, tick),
+    which also stores the new fingerprints and removes those of deleted files.
+
+    The stream carries ticks only, so a restart lists the folder anew and misses
+    nothing."""
+
+    def tick(_: DataFrame, number: int) -> None:
+        fresh = cut(listed_changes(spark, folder, stored(), pattern), "changed")
+        if not fresh.isEmpty():
+            index(fresh, number)
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def debounced(changes: DataFrame, quiet: str = "500 milliseconds", late: str = "1 second", time: str = "modified") -> DataFrame:
     """A streaming DataFrame of bursts: began, ended, paths of changes that
     follow each other within ``quiet``; a burst comes out once it is over.
     Changes later than ``late`` are left to the next listing."""
     w = F.session_window(time, quiet)
-    bursts = changes.withWatermark(time, late).groupBy(w.alias("burst")).agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    # sessions need a key besides their time; here all changes share one
+    one = F.substring("path", 1, 0).alias("one")
+    bursts = changes.withWatermark(time, late).groupBy(w.alias("burst"), one).agg(F.sort_array(F.collect_set("path")).alias("paths"))
     return bursts.select(F.col("burst.start").alias("began"), F.col("burst.end").alias("ended"), "paths")
 
 
