@@ -46,6 +46,18 @@ def identifier(text: Column) -> Column:
     return F.when(out.rlike("^[0-9]"), F.concat(F.lit("_"), out)).otherwise(out)
 
 
+def pascal(text: Column) -> Column:
+    """Words of letters and digits joined, each capitalised; Operation for none."""
+    words = F.filter(F.split(F.regexp_replace(text, "[^a-zA-Z0-9]", " "), " +"), lambda w: w != "")
+    out = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20)))), "")
+    return F.when(out == "", "Operation").otherwise(out)
+
+
+def file_name(text: Column) -> Column:
+    """A name that every file system takes: other characters become _."""
+    return F.regexp_replace(text, r'[\\/:*?"<>|#^\[\]]', "_")
+
+
 def token_cost(text: Column, per: float = 3.7) -> Column:
     """Estimated model tokens: ceil(length / per), 1 at least; 0 for empty."""
     n = F.length(F.coalesce(text, F.lit("")))

@@ -37,6 +37,13 @@ def topics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return j.select("id", "name", p.alias("publishers"), s.alias("subscribers"), state.alias("state"))
 
 
+def topic_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """topic, side, id: who publishes to and who subscribes to each topic, once."""
+    known = nodes.filter("node_type = 'topic'").select(F.col("id").alias("topic"))
+    e = edges.filter(F.col("edge_type").isin("publishes", "subscribes")).select(F.col("target_id").alias("topic"), F.col("edge_type").alias("side"), F.col("source_id").alias("id"))
+    return e.join(known, "topic", "left_semi").distinct()
+
+
 def match_routes(spans: DataFrame, endpoints: DataFrame) -> DataFrame:
     """span_id, endpoint: server spans and the first endpoint by id whose path
     fits; parameters count as equal, a method counts if both sides have one.

@@ -189,3 +189,17 @@ def nearest_names(wanted: DataFrame, names: DataFrame, share: float = 0.8, least
     d = F.levenshtein("name", "known")
     met = w.join(known, "len").withColumn("distance", d).filter(F.col("distance") <= F.col("limit"))
     return met.groupBy("name").agg(F.min(F.struct("distance", "known")).alias("m")).select("name", F.col("m.known").alias("nearest"), F.col("m.distance").alias("distance"))
+
+
+def ground(references: DataFrame, nodes: DataFrame) -> DataFrame:
+    """path, name, status, match: references (path, name) that are a node's id
+    or name are verified; others get the nearest name, if there is one near."""
+    ids = nodes.select(F.col("id").alias("name"), F.col("id").alias("match"))
+    names = nodes.groupBy("name").agg(F.min("id").alias("match"))
+    known = ids.union(names.select("name", "match")).groupBy("name").agg(F.min("match").alias("match"))
+    j = references.select("path", "name").distinct().join(known, "name", "left")
+    lost = j.filter("match IS NULL").select("name").distinct()
+    near = nearest_names(lost, nodes.select("name")).select("name", "nearest")
+    j = j.join(near, "name", "left")
+    status = F.when(F.col("match").isNotNull(), "verified").when(F.col("nearest").isNotNull(), "suggested").otherwise("unknown")
+    return j.select("path", "name", status.alias("status"), F.coalesce("match", "nearest").alias("match"))

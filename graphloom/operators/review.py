@@ -60,3 +60,16 @@ def discover_targets(nodes: DataFrame, query: str | None = None, changed: DataFr
     if changed is not None:
         return code.join(changed.select("path"), "path", "left_semi").select("id", "name", "path")
     return code.filter(~F.lower("path").contains("test")).orderBy("id").limit(default)
+
+
+def diff_totals(diffs: DataFrame) -> DataFrame:
+    """One row (files, added, deleted) over all diffs (path, diff)."""
+    line = diffs.select("path", F.explode(F.split("diff", "\n")).alias("l"))
+    plus = F.col("l").startswith("+") & ~F.col("l").startswith("+++")
+    minus = F.col("l").startswith("-") & ~F.col("l").startswith("---")
+    return line.agg(F.countDistinct("path").alias("files"), F.coalesce(F.sum(plus.cast("long")), F.lit(0)).alias("added"), F.coalesce(F.sum(minus.cast("long")), F.lit(0)).alias("deleted"))
+
+
+def rules_of_domain(rules: DataFrame, domain: str | None = None) -> DataFrame:
+    """Lessons (id, domain, rule) of a domain and those that hold everywhere; all without one."""
+    return rules if domain is None else rules.filter((F.col("domain") == domain) | (F.coalesce("domain", F.lit("global")) == "global"))

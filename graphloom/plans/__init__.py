@@ -1,6 +1,6 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import change, context, graph, lookup, review
+from . import change, context, graph, io, lookup, review
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "change", "context", "graph", "lookup", "review"]
+__all__ = ["ORACLES", "QUERIES", "change", "context", "graph", "io", "lookup", "review"]

@@ -130,10 +130,10 @@ def prune_plan(spark, d):
     return change.prune_plan(governance.dead_code(nodes, edges, texts=texts))
 
 
-@query("SELECT 'lesson:1' AS source_id, id AS target_id, 'references' AS edge_type, 'architectural_memory' AS provenance FROM (SELECT 'n:' || n_nationkey AS id FROM nation WHERE n_name ILIKE '%an%' UNION ALL SELECT 'r:' || r_regionkey FROM region WHERE r_name ILIKE '%an%') ORDER BY id LIMIT 5")
+@query("SELECT 'lesson:1' AS source_id, id AS target_id, 'references' AS edge_type, 'architectural_memory' AS provenance FROM (SELECT 'n:' || n_nationkey AS id FROM nation WHERE n_name ILIKE '%ation%' UNION ALL SELECT 'r:' || r_regionkey FROM region WHERE r_name ILIKE '%ation%') ORDER BY id LIMIT 5")
 def lesson_links(spark, d):
     nodes = views.supply_nodes(spark, d).filter("node_type IN ('module', 'service')").withColumn("path", F.when(F.col("node_type") == "service", F.col("path")))
-    return change.link_lesson(nodes, "lesson:1", "an")
+    return change.link_lesson(nodes, "lesson:1", "ation")
 
 
 @query(

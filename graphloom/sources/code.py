@@ -8,6 +8,7 @@ give one table of rows (kind, node columns, edge columns).
 from __future__ import annotations
 
 import ast
+import fnmatch
 import re
 
 import pyarrow as pa
@@ -55,13 +56,37 @@ PATTERNS = (
     ("proto", "proto", "class", r"^\s*message\s+(\w+)"),
     ("proto", "proto", "function", r"^\s*rpc\s+(\w+)"),
     ("graphql", "graphql gql", "class", r"^\s*(?:type|input|interface|enum)\s+(\w+)"),
+    ("csharp", "cs", "function", r"^\s*(?:public|private|protected|internal)\s+(?:(?:static|async|override|virtual|sealed|abstract)\s+)*[\w<>\[\],.? ]+\s+(\w+)\s*\([^;]*\)\s*\{?\s*$"),
+    ("docker", "dockerfile", "command", r"(?i)^\s*(?:cmd|entrypoint)\s+(.+?)\s*$"),
 )
+#: (extensions, edge type, pattern with a type and what it comes from).
+SUPERTYPES = (
+    ("js jsx ts tsx mjs cjs", "inherits", r"\bclass\s+(\w+)(?:<[^>]*>)?\s+extends\s+([\w.]+)"),
+    ("ts tsx java kt cs", "implements", r"\bclass\s+(\w+)[^{]*?\bimplements\s+([\w.]+(?:<[^>]*>)?(?:\s*,\s*[\w.]+(?:<[^>]*>)?)*)"),
+    ("java", "inherits", r"\bclass\s+(\w+)(?:<[^>]*>)?\s+extends\s+([\w.]+)"),
+    ("rs", "implements", r"^\s*impl(?:<[^>]*>)?\s+(?P<of>[\w:]+)(?:<[^>]*>)?\s+for\s+(?P<type>\w+)"),
+)
+_SUPER = [(set(e.split()), k, re.compile(p)) for e, k, p in SUPERTYPES]
 _COMPILED = [(set(e.split()), k, re.compile(p)) for _, e, k, p in PATTERNS]
 ROW = "row_kind string, id string, name string, node_type string, path string, start_line int, end_line int, docstring string, source_id string, target_id string, edge_type string"
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), content of the files worth parsing below a folder."""
+def ignore_pattern(line: str) -> str | None:
+    """A line of an ignore file as a regular expression over relative paths: it
+    matches the whole path, the file's name or any folder above; None for
+    comments and blank lines.  Lines that take back others are not followed."""
+    line = line.strip().strip("/")
+    if not line or line[0] in "#!":
+        return None
+    body = fnmatch.translate(line).removeprefix("(?s:").removesuffix(")\\Z").removesuffix(")\\z")
+    return f"(?s)(^|^.*/)(?:{body})($|/.*$)"
+
+
+def scan(spark: SparkSession, root: str, ignored: tuple[str, ...] = ()) -> DataFrame:
+    """path (relative), content of the files worth parsing below a folder.
+
+    ignored: lines of an ignore file; those of the folder's own .gitignore are
+    read with ignore_lines()."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").replace("file://", "")
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), f"^.*?{re.escape(base)}/", "")
@@ -69,9 +94,30 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     name = F.element_at(parts, -1)
     hidden = F.exists(parts, lambda p: p.startswith(".") | p.isin(IGNORED))
     keep = ~hidden & ~name.isin(LOCKFILES + SENSITIVE) & ~F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(BINARY) & F.col("length").between(1, MOST_BYTES)
+    for line in ignored:
+        if (pattern := ignore_pattern(line)) is not None:
+            keep = keep & ~F.col("path").rlike(pattern)
     return files.withColumn("path", rel).filter(keep).select("path", "content")
 
 
+def ignore_lines(spark: SparkSession, root: str) -> tuple[str, ...]:
+    """The lines of a folder's .gitignore, which is small; none without one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return ()
+    return tuple(r["value"] for r in spark.read.text(place.toString()).collect())
+
+
+def changed_paths(diffs: DataFrame) -> DataFrame:
+    """path, change (added, modified, deleted) of the files of unified diffs (id, diff)."""
+    pairs = F.regexp_extract_all("diff", F.lit(r"(?m)^--- (?:a/)?(\S+).*\n\+\+\+ (?:b/)?\S+"), F.lit(1))
+    after = F.regexp_extract_all("diff", F.lit(r"(?m)^--- (?:a/)?\S+.*\n\+\+\+ (?:b/)?(\S+)"), F.lit(1))
+    x = diffs.select(F.explode(F.arrays_zip(pairs.alias("was"), after.alias("now"))).alias("f")).select("f.was", "f.now")
+    none = "/dev/null"
+    change = F.when(F.col("was") == none, "added").when(F.col("now") == none, "deleted").otherwise("modified")
+    return x.select(F.when(F.col("now") == none, F.col("was")).otherwise(F.col("now")).alias("path"), change.alias("change")).distinct()
+
+
 def _node(kind, i, name, path, start=None, end=None, doc=None):
     return ("node", i, name, kind, path, start, end, doc, None, None, None)
 
@@ -129,13 +175,31 @@ def parse_lines(path: str, text: str) -> list[tuple]:
     ext = "dockerfile" if name.lower().startswith("dockerfile") else name.rpartition(".")[2].lower()
     out, seen = [_node("file", file, name, path)], set()
     mine = [(k, p) for e, k, p in _COMPILED if ext in e]
+    above = [(k, p) for e, k, p in _SUPER if ext in e]
+    block = model = None
     for no, line in enumerate(text.split("\n"), 1):
+        for kind, p in above:
+            for m in p.finditer(line):
+                who, of = (m["type"], m["of"]) if "of" in p.groupindex else (m[1], m[2])
+                out.extend(_edge(f"class:{path}:{who}", f"type:{x.split('<')[0].strip()}", kind) for x in of.split(","))
+        if ext == "go":
+            # an import block names a package a line
+            block = True if re.match(r"import\s*\($", line.rstrip()) else None if line.startswith(")") else block
+            if not block and not line.lstrip().startswith("import") and re.match(r'\s*(?:\w+\s+)?"[\w./-]+"\s*$', line):
+                continue
+        if ext == "prisma":
+            model = m[1] if (m := re.match(r"\s*model\s+(\w+)", line)) else None if line.startswith("}") else model
+            if model and (m := re.match(r"\s*\w+\s+(\w+)(?:\[\])?\??.*@relation\b", line)):
+                out.append(_edge(f"table:{model}", f"table:{m[1]}", "references"))
         for kind, p in mine:
             for m in p.finditer(line):
                 found = m[m.lastindex]
                 if kind in ("import", "type_import"):
                     i = f"import:{path}:{found}"
                     rows = (_node("import", i, found, path, no, no), _edge(file, i, "imports" if kind == "import" else "type_depends_on"))
+                elif kind == "command":
+                    rows = (_edge(file, f"command:{found}", "calls"),)
+                    i = f"command:{found}"
                 elif kind == "reference":
                     rows = (_edge(file, f"table:{found}", "references"),)
                     i = f"reference:{found}:{no}"
