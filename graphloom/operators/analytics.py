@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..views import both_directions, simple_undirected
+from ..views import both_directions, closed, simple_undirected
 from .traverse import descendants, shortest_paths
 
 #: Undirected edges up to which the inherently sequential measures (greedy
@@ -112,12 +112,14 @@ def greedy_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     highest modularity gain until none is positive; ties by smallest names.
 
     Empty for fewer than three nodes or two undirected edges.  The merge
-    order is sequential, so the distinct pairs come to the driver (checked size)."""
-    pairs = sorted((r["u"], r["v"]) for r in _driver_edges(simple_undirected(edges)))
-    ids = sorted(r["id"] for r in nodes.select("id").collect()) if len(pairs) >= 2 else []
+    order is sequential, so the distinct pairs come to the driver (checked
+    size); nodes without a pair are communities of their own and stay in Spark."""
+    closed_pairs = closed(nodes, edges)
+    pairs = sorted((r["u"], r["v"]) for r in _driver_edges(simple_undirected(closed_pairs)))
+    ids = sorted({x for pair in pairs for x in pair})
     spark = nodes.sparkSession
     schema = f"id {nodes.schema['id'].dataType.simpleString()}, community {nodes.schema['id'].dataType.simpleString()}"
-    if len(ids) < 3 or len(pairs) < 2:
+    if len(pairs) < 2 or nodes.select("id").limit(3).count() < 3:
         return spark.createDataFrame([], schema)
     m = len(pairs)
     link: dict = {i: {} for i in ids}
@@ -143,7 +145,9 @@ def greedy_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         for c in link[a]:
             x, y = min(a, c), max(a, c)
             heapq.heappush(heap, (-gain(x, y), x, y))
-    return spark.createDataFrame([(i, min(group)) for group in member.values() for i in group], schema)
+    merged = spark.createDataFrame([(i, min(group)) for group in member.values() for i in group], schema)
+    alone = nodes.select("id").distinct().join(merged.select("id"), "id", "left_anti")
+    return merged.union(alone.select("id", F.col("id").alias("community")))
 
 
 def fiedler_cut(nodes: DataFrame, edges: DataFrame, rounds: int = 250, tolerance: float = 1e-8) -> DataFrame:
@@ -151,7 +155,10 @@ def fiedler_cut(nodes: DataFrame, edges: DataFrame, rounds: int = 250, tolerance
     power iteration on I + D^-1/2 A D^-1/2 from alternating signs, then the
     sweep over the sorted vector for the cut of least conductance."""
     rows = _driver_edges(edges.filter("source_id <> target_id").select(F.least("source_id", "target_id").alias("u"), F.greatest("source_id", "target_id").alias("v")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("w")))
-    ids = sorted(r["id"] for r in nodes.select("id").collect())
+    found = nodes.select("id").limit(DRIVER_EDGES + 1).collect()
+    if len(found) > DRIVER_EDGES:
+        raise ValueError(f"this measure is sequential and takes graphs of up to {DRIVER_EDGES} nodes")
+    ids = sorted(r["id"] for r in found)
     at = {x: i for i, x in enumerate(ids)}
     n = len(ids)
     spark = nodes.sparkSession

@@ -14,6 +14,8 @@ from .order import running
 
 #: Usual BM25 constants.
 K1, B = 1.2, 0.75
+#: Seeds of a choice, and similarities to them that the driver takes.
+SEEDS, PAIRS = 1_000, 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -142,11 +144,18 @@ def select_submodular(candidates: DataFrame, seeds: DataFrame, budget: int, defa
     candidates: (id, text[, distance]), seeds: (id, text, weight); their
     similarities are computed in Spark, the choice on the driver among the
     candidates that fit the budget and are similar to a seed; no other gains.
+    The seeds are what a pack is for, SEEDS at most; the driver takes PAIRS
+    similarities at most.  More is refused.
     """
+    if seeds.limit(SEEDS + 1).count() > SEEDS:
+        raise ValueError(f"a choice takes up to {SEEDS} seeds")
     distance = F.coalesce(F.col("distance"), F.lit(default_distance)) if "distance" in candidates.columns else F.lit(default_distance)
     left = candidates.select("id", token_cost(F.col("text")).alias("cost"), word_set(F.col("text")).alias("a"), F.exp(-0.5 * distance).alias("decay"))
     right = seeds.select(F.col("id").alias("seed"), F.col("weight").cast("double").alias("weight"), word_set(F.col("text")).alias("b"))
-    rows = left.join(F.broadcast(right)).select("id", "cost", "seed", "weight", (jaccard(F.col("a"), F.col("b")) * F.col("decay")).alias("s")).filter((F.col("cost") <= budget) & (F.col("s") > 0)).orderBy("id", "seed").collect()
+    rows = left.join(F.broadcast(right)).select("id", "cost", "seed", "weight", (jaccard(F.col("a"), F.col("b")) * F.col("decay")).alias("s")).filter((F.col("cost") <= budget) & (F.col("s") > 0)).limit(PAIRS + 1).collect()
+    if len(rows) > PAIRS:
+        raise ValueError(f"a choice is made among up to {PAIRS} similarities of candidates to seeds")
+    rows.sort(key=lambda r: (r["id"], r["seed"]))
     cost, pull, weight = {}, {}, {}
     for r in rows:
         cost[r["id"]], weight[r["seed"]] = r["cost"], r["weight"]

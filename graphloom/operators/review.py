@@ -20,7 +20,7 @@ def diffstat(diffs: DataFrame, max_files: int = 15) -> DataFrame:
 def recommended_tests(changed: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """suite: test suites of the rules (part, suite) whose part occurs in a
     changed path, each once; the default if none does.  rules is a short list."""
-    hit = changed.join(F.broadcast(rules), F.col("path").contains(F.col("part"))).select("suite").distinct()
+    hit = changed.join(rules, F.col("path").contains(F.col("part"))).select("suite").distinct()
     return changed.sparkSession.createDataFrame([(default,)], "suite string").join(hit.agg(F.count(F.lit(1)).alias("n")), F.col("n") == 0).select("suite").union(hit)
 
 
