@@ -20,9 +20,10 @@ Each remaining pair is verified once on its whole sets.
 
 Of a large group of near copies not all pairs are made.  The nodes of an
 n-gram are first compared with the group's hub, the node with the least
-n-grams of its own.  What linked to the hub is one component; afterwards only
-nodes outside it are compared with the rest, so no component loses a link
-that connects it to another.  Those comparisons are dealt by blocks of the
+n-grams of its own, and what is left then with further hubs, HUBS in all.
+What linked to a hub is one component; afterwards only nodes outside the first
+hub's component are compared with those of other components, so none loses a
+link that connects it to another.  Those comparisons are dealt by blocks of the
 group, and no pair leaves them that its sketches rule out: 512 parity bits of
 a set, of which two sets differ in no more bits than n-grams.
 
@@ -33,6 +34,8 @@ one of them by its overlap.  No list of links is made.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -52,7 +55,9 @@ WIDE = 8
 SKETCH = [f"s{i}" for i in range(WIDE)]
 #: Nodes and bytes of sets in a block at most, in expectation; pairs verified
 #: beside one copy of a node's set; columns of a block's incidence matrix.
-BLOCK, BLOCK_BYTES, STAR, COLUMNS = 512, 4_000_000, 64, 4096
+BLOCK, BLOCK_BYTES, STAR, COLUMNS = 512, 4_000_000, 8, 4096
+#: Hubs that a group's nodes are compared with one by one.
+HUBS = 3
 
 
 def prefix_length(n: int) -> int:
@@ -151,28 +156,36 @@ def _unpack(packed: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8").astype(np.int64)
 
 
-def _short(batch: pa.RecordBatch) -> list[np.ndarray]:
-    """N-grams of each row of a batch: packed ones, or whole sets cut to 48 bits."""
-    mask = np.uint64((1 << TOKEN_BITS) - 1)
-    return [_unpack(p) for p in batch.column("packed").to_pylist()] if "packed" in batch.schema.names else [(np.frombuffer(g, "<u8") & mask).astype(np.int64) for g in batch.column("grams").to_pylist()]
+def _short(batch: pa.RecordBatch) -> Iterator[tuple[list[np.ndarray], int, int]]:
+    """N-grams of rows a to b of a batch, about ROWS at a time: packed ones, or
+    whole sets cut to 48 bits."""
+    packed = "packed" in batch.schema.names
+    column, mask = batch.column("packed" if packed else "grams"), np.uint64((1 << TOKEN_BITS) - 1)
+    parts, first, size = [], 0, 0
+    for i, raw in enumerate(column):
+        parts.append(_unpack(raw.as_py()) if packed else (np.frombuffer(raw.as_py(), "<u8") & mask).astype(np.int64))
+        size += parts[-1].size
+        if size >= ROWS:
+            yield parts, first, i + 1
+            parts, first, size = [], i + 1, 0
+    if parts:
+        yield parts, first, len(column)
 
 
 def _postings(batches):
     """(t, sig) for each n-gram."""
     for batch in batches:
-        sigs, parts = batch.column("sig").to_pylist(), _short(batch)
-        t = np.concatenate([*parts, np.empty(0, np.int64)])
-        s = np.repeat(np.array(sigs, dtype=np.int64), [p.size for p in parts])
-        for a in range(0, t.size, ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(t[a : a + ROWS]), pa.array(s[a : a + ROWS])], names=["t", "sig"])
+        sigs = batch.column("sig").to_numpy(zero_copy_only=False)
+        for parts, a, b in _short(batch):
+            s = np.repeat(sigs[a:b], [p.size for p in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(s)], names=["t", "sig"])
 
 
 def _grams(batches):
     """(t) for each n-gram."""
     for batch in batches:
-        t = np.concatenate([*_short(batch), np.empty(0, np.int64)])
-        for a in range(0, t.size, ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(t[a : a + ROWS])], names=["t"])
+        for parts, _, _ in _short(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts))], names=["t"])
 
 
 def _prefixes(once: DataFrame, packed: str) -> DataFrame:
@@ -328,13 +341,31 @@ def _classes(docs: DataFrame, doc_id: str, text: str, k: int, region: float) ->
     links = materialise(_verify(_sketched(first, sets), sets), "links")
     roots = connected(links)
 
-    # what did not join its hub's component meets the others of the group
-    root = lambda name, at: roots.select(F.col("node").alias(at), F.col("root").alias(name))
-    placed = groups.withColumn("hub_sig", hub["sig"]).join(root("root", "sig"), "sig", "left").join(root("hub_root", "hub_sig"), "hub_sig", "left")
-    placed = placed.select("t", "sig", "n", "rank", "size", F.coalesce("root", "sig").alias("root"), F.coalesce("hub_root", "hub_sig").alias("hub_root"))
-    open_groups = placed.filter("root <> hub_root").select("t").distinct()
-    placed = materialise(placed.join(open_groups, "t").withColumn("blocks", F.ceil(F.col("size") / BLOCK)), "placed")
+    # further hubs: of the nodes outside the first one's component, by hash
+    def place() -> DataFrame:
+        root = lambda name, at: roots.select(F.col("node").alias(at), F.col("root").alias(name))
+        found = groups.withColumn("hub_sig", hub["sig"]).join(root("root", "sig"), "sig", "left").join(root("hub_root", "hub_sig"), "hub_sig", "left")
+        found = found.select("t", "sig", "n", "rank", "size", F.coalesce("root", "sig").alias("root"), F.coalesce("hub_root", "hub_sig").alias("hub_root"))
+        left = found.filter("root <> hub_root").select("t").distinct()
+        return materialise(found.join(left, "t").withColumn("blocks", F.ceil(F.col("size") / BLOCK)), "placed")
+
+    placed, compared = place(), first
+    for k in range(1, HUBS):
+        left = placed.filter("root <> hub_root")
+        again = left.groupBy("t").agg(F.min(F.struct(F.xxhash64(F.lit(k), "sig").alias("h"), "sig", "n", "rank", "root")).alias("hub"))
+        met = left.join(again, "t").filter((F.col("root") != hub["root"]) & _possible(F.col("n"), F.col("rank"), hub["n"], hub["rank"]))
+        pairs = _pairs(met.select(F.col("sig").alias("x"), "n", "rank", hub["sig"].alias("y"), hub["n"].alias("m"), hub["rank"].alias("other"))).join(compared, ["x", "y"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        if pairs.isEmpty():
+            break
+        more = materialise(_verify(_sketched(pairs, sets), sets), "links")
+        links, compared = materialise(links.union(more), "links"), materialise(compared.union(pairs), "pairs")
+        roots = connected(links)
+        discard(placed, more, pairs)
+        placed = place()
     discard(groups)
+
+    # what did not join its hub's component meets the others of the group
     outside = placed.filter("root <> hub_root").select("t", F.col("sig").alias("x"), "rank", F.col("root").alias("root_x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     others = placed.select("t", F.col("sig").alias("y"), F.col("rank").alias("other"), F.col("root").alias("root_y"), "hub_root", F.pmod(F.xxhash64("sig"), F.col("blocks")).alias("block"))
     outside, others = outside.join(_side(sets, "x", "n", *SKETCH), "x"), others.join(_side(sets, "y", "n", *SKETCH), "y")
@@ -342,14 +373,14 @@ def _classes(docs: DataFrame, doc_id: str, text: str, k: int, region: float) ->
     meet = outside.join(others, ["t", "block"]).filter(
         (F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("hub_root")) | (F.col("x") < F.col("y"))) & _possible(F.col("x_n"), F.col("rank"), F.col("y_n"), F.col("other")) & _close("x", "y")
     )
-    second = materialise(_pairs(meet.select("x", F.col("x_n").alias("n"), "rank", "y", F.col("y_n").alias("m"), "other")).join(first, ["x", "y"], "left_anti"), "pairs")
+    second = materialise(_pairs(meet.select("x", F.col("x_n").alias("n"), "rank", "y", F.col("y_n").alias("m"), "other")).join(compared, ["x", "y"], "left_anti"), "pairs")
     more = materialise(_verify(second, sets), "links")
     roots = connected(links.union(more))
 
     least = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "key")).alias("least")
     classes = materialise(table.filter("sig IS NOT NULL").groupBy("sig").agg(least, F.count(F.lit(1)).alias("copies")), "nodes")
     counted = materialise(_count_links(roots, sets, classes.select("sig", "copies")), "counted")
-    discard(sets, placed, first, second, links, more)
+    discard(sets, placed, first, compared, second, links, more)
     joined = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left")
     heads = joined.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("head"))
     known = joined.filter("root IS NOT NULL OR copies > 1").join(heads, "root", "left").join(counted, "sig", "left").withColumn("head", F.coalesce("head", "least"))
