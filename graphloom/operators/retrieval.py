@@ -185,19 +185,44 @@ def select_submodular(candidates: DataFrame, seeds: DataFrame, budget: int, defa
     return spark.createDataFrame([(i, c, cost[c], float(g)) for i, (c, g) in enumerate(zip(chosen, gains), 1)], "place int, id string, cost int, gain double")
 
 
-def nearest_names(wanted: DataFrame, names: DataFrame, share: float = 0.8, least: int = 10) -> DataFrame:
+def _pairs_of_letters(names: DataFrame, column: str) -> DataFrame:
+    """column, size, gram: the distinct pairs of neighbouring letters of names."""
+    c = F.col(column)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))
+    return names.filter(F.length(c) > 1).select(column, grams.alias("g")).select(column, F.size("g").alias("size"), F.explode("g").alias("gram"))
+
+
+def nearest_names(wanted: DataFrame, names: DataFrame, share: float = 0.8, least: int = 10, rounds: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
     """name, nearest, distance: the closest known name within
     max(least, floor(share * length)) edits; ties by name.
 
-    names: (name), joined on bands of length so only names that can be within
-    the distance meet.
+    names: (name).  Known names themselves come first, then rounds of growing
+    distance r: an edit changes two pairs of letters at most, so names within r
+    edits share one of their 2 r + 1 rarest pairs, and only those that do meet.
+    That holds for names of 4 r + 1 pairs or more; what no round settles, short
+    names and those far from all, meets the names of a length within its
+    distance.
     """
     limit = F.greatest(F.lit(least), F.floor(F.length("name") * share).cast("int"))
-    w = wanted.select("name").distinct().withColumn("limit", limit).withColumn("len", F.explode(F.sequence(F.greatest(F.lit(0), F.length("name") - F.col("limit")), F.length("name") + F.col("limit"))))
-    known = names.select(F.col("name").alias("known")).distinct().withColumn("len", F.length("known"))
-    d = F.levenshtein("name", "known")
-    met = w.join(known, "len").withColumn("distance", d).filter(F.col("distance") <= F.col("limit"))
-    return met.groupBy("name").agg(F.min(F.struct("distance", "known")).alias("m")).select("name", F.col("m.known").alias("nearest"), F.col("m.distance").alias("distance"))
+    w = cut(wanted.select("name").distinct().withColumn("limit", limit), "wanted")
+    known = cut(names.select(F.col("name").alias("known")).distinct(), "known")
+    best = lambda met: met.groupBy("name").agg(F.min(F.struct("distance", "known")).alias("m")).select("name", F.col("m.known").alias("nearest"), F.col("m.distance").alias("distance"))
+    done = cut(w.join(known, F.col("name") == F.col("known")).select("name", F.col("known").alias("nearest"), F.lit(0).alias("distance")), "nearest")
+    theirs = _pairs_of_letters(known, "known")
+    often = theirs.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    theirs = cut(theirs.join(often, "gram"), "grams")
+    left = w.join(done, "name", "left_anti")
+    ours = cut(_pairs_of_letters(left, "name").join(often, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0))), "grams")
+    for r in rounds:
+        first = lambda df, c, r=r: df.withColumn("k", F.row_number().over(Window.partitionBy(c).orderBy("df", "gram"))).filter(F.col("k") <= 2 * r + 1).select(c, "gram")
+        mine = first(ours.filter(F.col("size") >= 4 * r + 1).join(done, "name", "left_anti"), "name")
+        met = mine.join(first(theirs, "known"), "gram").filter(F.abs(F.length("name") - F.length("known")) <= r).select("name", "known").distinct()
+        met = met.withColumn("distance", F.levenshtein("name", "known")).filter(F.col("distance") <= r).join(w, "name").filter("distance <= limit")
+        done = cut(done.unionByName(best(met)), "nearest")
+    rest = w.join(done, "name", "left_anti")
+    rest = rest.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(0), F.length("name") - F.col("limit")), F.length("name") + F.col("limit"))))
+    met = rest.join(known.withColumn("len", F.length("known")), "len").withColumn("distance", F.levenshtein("name", "known")).filter("distance <= limit")
+    return done.unionByName(best(met))
 
 
 def ground(references: DataFrame, nodes: DataFrame) -> DataFrame:

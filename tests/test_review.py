@@ -167,3 +167,33 @@ def test_attestation_and_baselines(spark):
     cycles = spark.createDataFrame([(["a", "b"],)], "cycle array<string>")
     n = nodes(spark, ("a", "EventBus", "class", "x.py"), ("b", "B", "class", "entity/y.py"))
     assert governance.decoupling(cycles, n).first()["strategy"] == "SHARED_KERNEL" and governance.decoupling(cycles, n.withColumn("path", F.lit("z"))).first()["strategy"] == "EVENT_DRIVEN"
+
+
+def test_nearest_names_match_brute_force(spark):
+    rng = random.Random(4)
+    known = ["".join(rng.choice("abcdef") for _ in range(rng.randrange(0, 22))) for _ in range(60)]
+
+    def edited(x):
+        x = list(x)
+        for _ in range(rng.randrange(0, 5)):
+            at, how = rng.randrange(len(x) + 1), rng.randrange(3)
+            x[at : at + (how > 0)] = [rng.choice("abcxyz")] if how < 2 else []
+        return "".join(x)
+
+    wanted = [edited(rng.choice(known)) for _ in range(80)] + ["z" * 40, ""]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = set()
+    for n in set(wanted):
+        d, k = min((distance(n, k), k) for k in set(known))
+        if d <= max(10, int(len(n) * 0.8)):
+            want.add((n, k, d))
+    one = lambda xs: spark.createDataFrame([(x,) for x in xs], "name string")
+    assert set(values(retrieval.nearest_names(one(wanted), one(known)), "name", "nearest", "distance")) == want
