@@ -229,7 +229,13 @@ def feedback_arc_set(spark, d):
     return analytics.feedback_arcs(trade(spark, d)[1])
 
 
-@query(None)
+@query(
+    f"WITH RECURSIVE {sql.TRADE}, {sql.PAIRS}, r AS (SELECT n_nationkey AS a, n_nationkey AS b, 0 AS d FROM nation UNION SELECT r.a, x.b, r.d + 1 FROM r JOIN both_ways x ON x.a = r.b WHERE r.d < 25), "
+    "t AS (SELECT a, b, min(d) AS d FROM r GROUP BY 1, 2), f AS (SELECT n_nationkey AS i FROM nation ORDER BY 1 LIMIT 50), "
+    "q AS (SELECT a.i AS a, b.i AS b, c.i AS c, e.i AS e FROM f a JOIN f b ON b.i > a.i JOIN f c ON c.i > b.i JOIN f e ON e.i > c.i ORDER BY 1, 2, 3, 4 LIMIT 200), "
+    "s AS (SELECT list_sort([x.d + y.d, u.d + v.d, w.d + z.d]) AS s FROM q JOIN t x ON x.a = q.a AND x.b = q.b JOIN t y ON y.a = q.c AND y.b = q.e JOIN t u ON u.a = q.a AND u.b = q.c JOIN t v ON v.a = q.b AND v.b = q.e JOIN t w ON w.a = q.a AND w.b = q.e JOIN t z ON z.a = q.b AND z.b = q.c) "
+    "SELECT coalesce(max((s[3] - s[2]) / 2), 0)::DOUBLE AS delta, coalesce(max((s[3] - s[2]) / 2), 0) <= 1.5 AS tree_like, count(*)::INT AS quadruples FROM s"
+)
 def gromov_delta(spark, d):
     return analytics.gromov_delta(*trade(spark, d))
 
@@ -307,7 +313,15 @@ def merkle_leaf_hashes(spark, d):
     return governance.leaf_hashes(supply(spark, d)[1], "pepper")
 
 
-@query(None)
+def _merkle_chain(levels: int) -> str:
+    """Levels l0, l1, ... of the tree; a root stays as it is."""
+    return ", ".join(f"l{i + 1} AS MATERIALIZED (SELECT i // 2 AS i, CASE WHEN (SELECT count(*) FROM l{i}) = 1 THEN min(leaf) ELSE sha256(min_by(leaf, i) || ':' || max_by(leaf, i)) END AS leaf FROM l{i} GROUP BY 1)" for i in range(levels))
+
+
+@query(
+    f"WITH {G}, l AS (SELECT sha256(sha256('pepper:' || source_id) || ':' || sha256('pepper:' || target_id) || ':' || edge_type) AS leaf FROM (SELECT DISTINCT source_id, target_id, edge_type FROM edges)), "
+    f"l0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY leaf) - 1 AS i, leaf FROM l), {_merkle_chain(24)} SELECT leaf AS root FROM l24"
+)
 def merkle_root(spark, d):
     root = governance.merkle_root(governance.leaf_hashes(supply(spark, d)[1], "pepper"))
     return spark.createDataFrame([(root,)], "root string")
