@@ -66,3 +66,11 @@ def cross_repository(calls: DataFrame, routes_: DataFrame) -> DataFrame:
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, i, F.size(parts)), "/")))
     met = calls.select("url").distinct().withColumn("route", F.explode(F.array_distinct(tails))).join(routes_.select("route").distinct(), "route")
     return met.groupBy("url").agg(F.max_by("route", F.struct(F.length("route"), "route")).alias("route"))
+
+
+def rpc_links(calls: DataFrame, methods: DataFrame) -> DataFrame:
+    """source_id, target_id: code (id, text) that calls a remote method (id,
+    method) as .method(, each pair once; of several of one name the first by id."""
+    found = calls.select(F.col("id").alias("source_id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\.(\w+)\("), F.lit(1)))).alias("method"))
+    known = methods.groupBy("method").agg(F.min("id").alias("target_id"))
+    return found.join(known, "method").select("source_id", "target_id").distinct()

@@ -110,6 +110,13 @@ def openapi_endpoints(spark, d):
     return docs.openapi_endpoints(files, "shop").select("id", "method", "route")
 
 
+@query("SELECT 'repo:shop:endpoint:' || m || ':/n/' || n_nationkey || '/{id}' AS id, m AS method FROM nation, (VALUES ('GET'), ('DELETE')) v(m)")
+def openapi_yaml(spark, d):
+    n = nation(spark, d)
+    doc = ("openapi: 3.0.0\nget: no\npaths:\n  /n/", "$k", "/{id}:\n    get:\n      parameters:\n        - name: post\n      post: deep\n    delete:\n      x: 1\ncomponents:\n  put: {}\n")
+    return docs.openapi_yaml_endpoints(n.select(F.concat("k", F.lit(".yaml")).alias("path"), text_of(*doc)), "shop").select("id", "method")
+
+
 @query("SELECT 't' || event_id AS trace_id, event_type AS service_name, CASE WHEN event_id % 2 = 0 THEN 'SERVER' ELSE 'CLIENT' END AS kind, round((event_id % 900) / 1000, 3) AS duration_ms, event_id % 5 = 0 AS is_error, '/u/' || user_id AS http_route FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 'z' || event_id, event_type, 'CONSUMER', (event_id % 700)::DOUBLE, event_id % 5 = 0, NULL FROM events WHERE event_id % 3 = 1 UNION ALL SELECT 'j' || event_id, event_type, 'CLIENT', (event_id % 800)::DOUBLE, event_id % 5 = 0, NULL FROM events WHERE event_id % 3 = 2")
 def trace_documents(spark, d):
     e = views.table(spark, d, "events").withColumn("e", F.col("event_id").cast("string")).withColumn("u", F.col("user_id").cast("string"))
@@ -228,6 +235,13 @@ def topic_members(spark, d):
     return lineage.topic_members(n.select(ref("t:", "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("topic").alias("node_type")), e)
 
 
+@query("SELECT 'n:' || n_nationkey AS source_id, 'rpc:' || (n_nationkey % 5) AS target_id FROM nation WHERE n_nationkey % 5 < 3")
+def rpc_links(spark, d):
+    n = nation(spark, d).withColumn("m", (F.col("n_nationkey") % 5).cast("string"))
+    calls = n.select(ref("n:", "n_nationkey").alias("id"), text_of("client.get", "$m", "(x)\nclient.get", "$m", "(y)\nother(1)"))
+    return lineage.rpc_links(calls, spark.range(3).select(ref("rpc:", "id").alias("id"), ref("get", "id").alias("method")))
+
+
 @query("SELECT event_id AS span_id, 'e' || user_id % 50 AS endpoint FROM events WHERE event_id % 4 <> 3")
 def matched_routes(spark, d):
     e = views.table(spark, d, "events")

@@ -82,11 +82,11 @@ def ignore_pattern(line: str) -> str | None:
     return f"(?s)(^|^.*/)(?:{body})($|/.*$)"
 
 
-def scan(spark: SparkSession, root: str, ignored: tuple[str, ...] = ()) -> DataFrame:
+def scan(spark: SparkSession, root: str, ignored: tuple[str, ...] | None = None) -> DataFrame:
     """path (relative), content of the files worth parsing below a folder.
 
-    ignored: lines of an ignore file; those of the folder's own .gitignore are
-    read with ignore_lines()."""
+    ignored: lines of an ignore file; by default those of the folder's own
+    .gitignore."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").replace("file://", "")
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), f"^.*?{re.escape(base)}/", "")
@@ -94,7 +94,7 @@ def scan(spark: SparkSession, root: str, ignored: tuple[str, ...] = ()) -> DataF
     name = F.element_at(parts, -1)
     hidden = F.exists(parts, lambda p: p.startswith(".") | p.isin(IGNORED))
     keep = ~hidden & ~name.isin(LOCKFILES + SENSITIVE) & ~F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(BINARY) & F.col("length").between(1, MOST_BYTES)
-    for line in ignored:
+    for line in ignore_lines(spark, root) if ignored is None else ignored:
         if (pattern := ignore_pattern(line)) is not None:
             keep = keep & ~F.col("path").rlike(pattern)
     return files.withColumn("path", rel).filter(keep).select("path", "content")
@@ -103,9 +103,15 @@ def scan(spark: SparkSession, root: str, ignored: tuple[str, ...] = ()) -> DataF
 def ignore_lines(spark: SparkSession, root: str) -> tuple[str, ...]:
     """The lines of a folder's .gitignore, which is small; none without one."""
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
         return ()
-    return tuple(r["value"] for r in spark.read.text(place.toString()).collect())
+    # Spark's readers pass over hidden files
+    stream = fs.open(place)
+    try:
+        return tuple(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines())
+    finally:
+        stream.close()
 
 
 def changed_paths(diffs: DataFrame) -> DataFrame:

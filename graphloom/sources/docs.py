@@ -117,3 +117,23 @@ def headers(files: DataFrame) -> DataFrame:
     found = x.filter(F.col("line").rlike(pattern)).select("path", "no", F.lower(F.regexp_extract("line", pattern, 1)).alias("k"), F.regexp_replace(F.regexp_extract("line", pattern, 2), r"^\*+|\*+$", "").alias("v"))
     first = lambda k: F.min_by(F.when(F.col("k") == k, F.trim("v")), F.when(F.col("k") == k, F.col("no"))).alias(k)
     return files.select("path").join(found.groupBy("path").agg(first("status"), first("milestone")), "path", "left").select("path", "status", "milestone")
+
+
+def openapi_yaml_endpoints(files: DataFrame, repo: str) -> DataFrame:
+    """id, name, method, route of OpenAPI documents in YAML (path, text): the
+    methods below each route of the block ``paths``."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("path").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    key = r"^(\s*)['\"]?([^\s'\":#][^'\":#]*)['\"]?\s*:"
+    x = _lines(files).filter(F.col("line").rlike(key)).withColumn("indent", F.length(F.regexp_extract("line", key, 1))).withColumn("key", F.trim(F.regexp_extract("line", key, 2)))
+    x = x.withColumn("top", F.last(F.when(F.col("indent") == 0, F.col("key")), ignorenulls=True).over(w))
+    route = F.struct("indent", F.col("key").alias("route"))
+    x = x.filter("top = 'paths'").withColumn("at", F.last(F.when(F.col("key").startswith("/"), route), ignorenulls=True).over(w))
+    verbs = F.lower("key").isin("get", "put", "post", "delete", "patch", "head", "options")
+    # a method stands one step below its route: nothing between them in depth
+    below = x.filter(verbs & (F.col("indent") > F.col("at.indent")))
+    step = F.min("indent").over(Window.partitionBy("path", "at"))
+    below = below.withColumn("step", step).filter("indent = step")
+    m = F.upper("key")
+    return below.select(F.concat(F.lit(f"repo:{repo}:endpoint:"), m, F.lit(":"), F.col("at.route")).alias("id"), F.concat_ws(" ", m, F.col("at.route")).alias("name"), m.alias("method"), F.col("at.route").alias("route")).distinct()

@@ -243,3 +243,15 @@ def test_cache(spark):
     assert answers.count() == 3 and calls == [3]
     again, more = changes.through_cache(asked, fresh, compute, most=1)
     assert again.filter("cached").count() == 3 and more.count() == 0
+
+
+def test_ignore_files(spark, tmp_path):
+    from graphloom.sources import code
+
+    for f in ("a.py", "gen/b.py", "x/gen/c.py", "x/d_pb2.py", "x/e.py", "docs/f.py"):
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_text("x = 1")
+    (tmp_path / ".gitignore").write_text("# made\n/gen/\n*_pb2.py\n\ndocs\n!keep\n")
+    paths = lambda df: sorted(r["path"] for r in df.collect())
+    assert paths(code.scan(spark, str(tmp_path))) == ["a.py", "x/e.py"]
+    assert len(paths(code.scan(spark, str(tmp_path), ()))) == 6 and paths(code.scan(spark, str(tmp_path), ("x",))) == ["a.py", "docs/f.py", "gen/b.py"]
