@@ -6,17 +6,16 @@ its first or last place.  That depends on the K code points alone, so equal
 passages have equal anchors wherever they stand, and about 2 / (K - S + 1) of
 all places are anchors, whatever the script and with or without spaces.
 
-A fingerprint is the row of a text's anchors in order, each with its distance
-from the one before.  Two fingerprints are matched by position: a match is a
+A fingerprint is the row of a text's anchors in order, each with its place.
+Two fingerprints are matched by position: a match is a
 pair of neighbouring anchors at one distance in both texts, and likeness is
 the share of such pairs that both have.
 
 As anchors need no context, those of an edited text are put together from
 those of the texts it was made of; only the runs across the joint are new.
 
-A-Z are lower-cased, white space (\\x20\\x09-\\x0D) between words is one space
-and around the text none.  A text with words but without anchor, as any of
-fewer than K code points, has one for the whole text.
+Texts are taken as they are.  One without anchor, as any of fewer than K code
+points, has one for the whole text; an empty text has none.
 """
 
 from __future__ import annotations
@@ -35,69 +34,62 @@ def _bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def normal(text: Column) -> Column:
-    """A-Z in lower case, white space as single spaces between words."""
-    lower = F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " "))
-
-
 def place(anchor: Column) -> Column:
     """Where an anchor's run starts."""
     return F.shiftright(anchor, HASH_BITS)
 
 
-def closed_syncmers(plain: Column, k: int = K, s: int = S) -> Column:
-    """array<bigint> of a normal text's anchors in order: place and 31 bits of hash."""
+def closed_syncmers(text: Column, k: int = K, s: int = S) -> Column:
+    """array<bigint> of a text's anchors in order: place and 31 bits of hash."""
     last = k - s
 
     def pick(g: Column) -> Column:
         def chosen(x: Column, i: Column) -> Column:
-            # comparisons end at the first that fails
-            left, right = F.lit(True), F.lit(True)
+            # comparisons end at the first that fails; near the end they are null
+            end, left, right = F.get(g, i + last), F.lit(True), F.lit(True)
             for j in range(1, last):
-                left, right = left & (x <= F.get(g, i + j)), right & (F.get(g, i + last) <= F.get(g, i + (last - j)))
-            left, right = left & (x <= F.get(g, i + last)), right & (F.get(g, i + last) <= x)
+                left, right = left & (x <= F.get(g, i + j)), right & (end <= F.get(g, i + (last - j)))
             # inner hashes that lie side by side tell all of the run
             parts = sorted({*range(0, last, s), last})
             value = F.xxhash64(*(F.get(g, i + j) for j in parts)).bitwiseAND(F.lit(_MASK))
-            return F.when(left | right, F.shiftleft(i.cast("bigint"), HASH_BITS) + value)
+            return F.when(F.when(x <= end, left).otherwise(right), F.shiftleft(i.cast("bigint"), HASH_BITS) + value).otherwise(F.lit(-1).cast("bigint"))
 
-        whole = F.transform(g, chosen)
-        return F.array_compact(F.slice(whole, F.lit(1), F.greatest(F.lit(0), F.size(g) - last)))
+        return F.array_remove(F.transform(g, chosen), F.lit(-1).cast("bigint"))
 
     def hashes(c: Column) -> Column:
         runs = F.transform(c, lambda x, i: F.xxhash64(x, *(F.get(c, i + j) for j in range(1, s))))
         return F.slice(runs, F.lit(1), F.greatest(F.lit(0), F.size(c) - (s - 1)))
 
-    return _bound(_bound(F.split(plain, ""), hashes), pick)
+    return _bound(_bound(F.split(text, ""), hashes), pick)
 
 
-def or_whole(found: Column, plain: Column) -> Column:
-    """The anchors, or one for a text that has words but no anchor."""
-    whole = F.when(plain == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(plain).bitwiseAND(F.lit(_MASK))))
-    return F.when(F.size(found) > 0, found).otherwise(whole)
+def or_whole(found: Column, text: Column) -> Column:
+    """The anchors, or one for a text that is not empty but has none."""
+    whole = F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(text).bitwiseAND(F.lit(_MASK))))
+    return _bound(found, lambda a: F.when(F.size(a) > 0, a).otherwise(whole))
 
 
 def anchors(text: Column) -> Column:
-    """array<bigint> of a text's anchors; empty without words."""
-    return _bound(normal(text), lambda t: or_whole(closed_syncmers(t), t))
+    """array<bigint> of a text's anchors; empty for null and empty texts."""
+    return _bound(F.coalesce(text.cast("string"), F.lit("")), lambda t: or_whole(closed_syncmers(t), t))
 
 
 def fingerprint(found: Column) -> Column:
     """Anchors as text: hexadecimal numbers in order, joined by dots; each is
-    its hash with the distance from the anchor before in front."""
-    def moved(x: Column, i: Column) -> Column:
-        before = F.coalesce(place(F.get(found, i - 1)), F.lit(0).cast("bigint"))
-        return F.hex(x - F.shiftleft(before, HASH_BITS))
-
-    return F.array_join(F.transform(found, moved), ".")
+    its hash with its place in front."""
+    return F.array_join(F.transform(found, lambda x: F.hex(x)), ".")
 
 
 def links(found: Column) -> Column:
     """array<bigint>: each pair of neighbouring anchors with their distance; a
     lone anchor by itself."""
-    both = F.transform(F.slice(found, F.lit(1), F.greatest(F.lit(0), F.size(found) - 1)), lambda x, i: F.xxhash64(x.bitwiseAND(F.lit(_MASK)), F.get(found, i + 1) - x))
-    return F.when(F.size(found) == 1, F.array(F.xxhash64(F.element_at(found, 1).bitwiseAND(F.lit(_MASK))))).otherwise(both)
+    def paired(a: Column) -> Column:
+        # the first one's hash on top of the differences of places and hashes
+        link = lambda x, i: F.shiftleft(x, 64 - HASH_BITS).bitwiseXOR(F.get(a, i + 1) - x)
+        both = F.transform(F.slice(a, F.lit(1), F.greatest(F.lit(0), F.size(a) - 1)), link)
+        return F.when(F.size(a) == 1, F.array(F.shiftleft(F.element_at(a, 1), 64 - HASH_BITS))).otherwise(both)
+
+    return _bound(found, paired)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -191,35 +183,30 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bu
     Other columns are left behind; an empty table gives an empty one.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    own = _bound(normal(F.col("text")), lambda t: F.struct(closed_syncmers(t).alias("found"), F.xxhash64(t).bitwiseAND(F.lit(_MASK)).alias("whole"), (t == "").alias("none")))
+    own = F.struct(closed_syncmers(F.col("text")).alias("found"), F.xxhash64("text").bitwiseAND(F.lit(_MASK)).alias("whole"), (F.col("text") == "").alias("none"))
     placed = with_next(rows, "doc_id", ["text", "own"], "text", {"own": own}, bucket_rows)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     front, back = F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)
     out = placed.withColumn("n_chars", n.cast("long")).withColumn("front", front).withColumn("back", back).drop("text", "next_text")
-    gap = F.when(F.col("front").rlike(r"[\x20\x09-\x0D]\z") | F.col("back").rlike(r"^[\x20\x09-\x0D]"), " ").otherwise("")
-    out = out.withColumn("edited_sha256", F.sha2(F.concat("front", "back").cast("binary"), 256)).withColumn("gap", gap)
-    out = out.withColumn("front", normal(F.col("front"))).withColumn("back", normal(F.col("back")))
-    out = out.withColumn("gap", F.when((F.col("front") == "") | (F.col("back") == ""), "").otherwise(F.col("gap")))
     # runs within one part are known; those across the joint are looked for
     left, right = F.char_length("front"), F.char_length("back")
-    joint = F.concat(F.expr(f"right(front, {K - 1})"), "gap", F.expr(f"left(back, {K - 1})"))
-    shift = lambda a, by: F.transform(a, lambda x: x + F.shiftleft(by.cast("bigint"), HASH_BITS))
-    within = lambda a, size: F.filter(a, lambda x: place(x) <= size - K)
-    edited = F.concat(
-        within(F.col("own.found"), left),
-        shift(closed_syncmers(joint), F.greatest(F.lit(0), left - (K - 1))),
-        shift(within(F.col("next_own.found"), right), left + F.char_length("gap")),
-    )
+    joint = F.concat(F.expr(f"right(front, {K - 1})"), F.expr(f"left(back, {K - 1})"))
+    # what does not depend on the anchor is computed once, not by anchor
+    bits = lambda n: F.shiftleft(n.cast("bigint"), HASH_BITS).alias("n")
+    shift = lambda a, by: _bound(F.struct(a.alias("a"), bits(by)), lambda z: F.transform(z["a"], lambda x: x + z["n"]))
+    within = lambda a, size: _bound(F.struct(a.alias("a"), bits(size - K + 1)), lambda z: F.filter(z["a"], lambda x: x < z["n"]))
+    edited = F.concat(within(F.col("own.found"), left), shift(closed_syncmers(joint), F.greatest(F.lit(0), left - (K - 1))), shift(within(F.col("next_own.found"), right), left))
     lone = lambda c: F.when(F.size(f"{c}.found") > 0, F.col(f"{c}.found")).when(F.col(f"{c}.none"), F.array().cast("array<bigint>")).otherwise(F.array(f"{c}.whole"))
-    out = out.select("doc_id", "n_chars", "edited_sha256", lone("own").alias("own"), lone("next_own").alias("next_own"), or_whole(edited, F.concat("front", "gap", "back")).alias("edited"))
-    out = out.withColumn("links", links(F.col("own")))
+    whole = F.concat("front", "back")
+    out = out.select("doc_id", "n_chars", F.sha2(whole.cast("binary"), 256).alias("edited_sha256"), lone("own").alias("own"), lone("next_own").alias("next_own"), or_whole(edited, whole).alias("edited"))
+    out = out.withColumns({"own_links": links(F.col("own")), "edited_links": links(F.col("edited")), "next_links": links(F.col("next_own"))}).drop("next_own")
     return out.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         fingerprint(F.col("own")).alias("fingerprint"),
         fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("links"), links(F.col("edited"))).alias("near_edited"),
-        likeness(F.col("links"), links(F.col("next_own"))).alias("near_next"),
+        likeness(F.col("own_links"), F.col("edited_links")).alias("near_edited"),
+        likeness(F.col("own_links"), F.col("next_links")).alias("near_next"),
     )
