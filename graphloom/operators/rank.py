@@ -114,9 +114,12 @@ def spectral_radius(nodes: DataFrame, edges: DataFrame, rounds: int = 150, toler
     return nodes.sparkSession.createDataFrame([(float(radius), float("inf") if radius <= 0 else 1.0 / radius)], "radius double, threshold double")
 
 
-def resolvent(nodes: DataFrame, edges: DataFrame, target, alpha: float, rounds: int = 50, tolerance: float | None = 1e-6, least: float = 1e-4, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+def resolvent(nodes: DataFrame, edges: DataFrame, target, alpha: float | None, rounds: int = 50, tolerance: float | None = 1e-6, least: float = 1e-4, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """(id, impact): x = e + alpha A x, the damped sum over all paths that end
-    at the target; impacts above least, rounded to 6 places, without the target."""
+    at the target; impacts above least, rounded to 6 places, without the target.
+    Without alpha the spectral radius decides on it."""
+    if alpha is None:
+        alpha = resolvent_alpha(spectral_radius(nodes, edges, driver_edges=driver_edges).first()["radius"])
     links = cut(weighted(nodes, edges), "weights")
     if local := _local(nodes, links, driver_edges):
         names, a, b, w = local

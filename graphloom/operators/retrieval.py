@@ -96,9 +96,12 @@ def hashed_vectors(docs: DataFrame, text: Column, id_col: str = "id", dimension:
     return raw.join(norm, "id").filter("norm > 1e-9").select("id", "bucket", (F.col("x") / F.col("norm")).alias("x"))
 
 
-def dense(vectors: DataFrame, dimension: int = 128) -> DataFrame:
-    """(id, vector array<float>) of sparse vectors."""
+def dense(vectors: DataFrame, dimension: int = 128, ids: DataFrame | None = None) -> DataFrame:
+    """(id, vector array<float>) of sparse vectors; with ids (id) those without
+    any term have a vector of zeros."""
     pairs = vectors.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "x"))).alias("m"))
+    if ids is not None:
+        pairs = ids.select("id").join(pairs, "id", "left").withColumn("m", F.coalesce("m", F.expr("map_filter(map(0, 0.0D), (k, v) -> false)")))
     return pairs.select("id", F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float")).alias("vector"))
 
 

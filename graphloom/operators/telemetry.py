@@ -25,24 +25,33 @@ def link_stats(links: DataFrame, keys: list[str]) -> DataFrame:
     return agg.select(*keys, "calls", F.round("total_ms", 2).alias("total_ms"), F.round(F.col("total_ms") / F.col("calls"), 4).alias("avg_ms"), *(F.round(n, 4).alias(n) for n in ("p50_ms", "p95_ms", "p99_ms")), "errors", F.round(F.col("errors") / F.col("calls"), 4).alias("error_rate"))
 
 
+def _protocol(spans: DataFrame) -> list[str]:
+    return ["protocol"] if "protocol" in spans.columns else []
+
+
 def parent_links(spans: DataFrame) -> DataFrame:
     """source, target, duration_ms, is_error, name for child spans whose parent
     belongs to another service.  Of spans with one id the last in trace order counts."""
     parents = spans.groupBy("span_id").agg(F.max(F.struct("trace_id", "service_name")).alias("p")).select(F.col("span_id").alias("parent_span_id"), F.col("p.service_name").alias("source"))
-    return spans.join(parents, "parent_span_id").filter("source <> service_name").select("source", F.col("service_name").alias("target"), "duration_ms", "is_error", "name")
+    return spans.join(parents, "parent_span_id").filter("source <> service_name").select("source", F.col("service_name").alias("target"), "duration_ms", "is_error", "name", *_protocol(spans))
 
 
 def peer_links(spans: DataFrame) -> DataFrame:
     """Links from client spans to the peer service they name."""
-    return spans.filter("kind IN ('CLIENT', 'PRODUCER') AND peer_service IS NOT NULL AND peer_service <> service_name").select(F.col("service_name").alias("source"), F.col("peer_service").alias("target"), "duration_ms", "is_error", "name")
+    return spans.filter("kind IN ('CLIENT', 'PRODUCER') AND peer_service IS NOT NULL AND peer_service <> service_name").select(F.col("service_name").alias("source"), F.col("peer_service").alias("target"), "duration_ms", "is_error", "name", *_protocol(spans))
 
 
 def topology(spans: DataFrame) -> DataFrame:
-    """Service links with statistics and the first ten operations in order."""
+    """Service links with statistics and the first ten operations in order; with
+    what spans say of HTTP, RPC and databases also the protocols in order."""
+    if {"http_method", "rpc_service", "db_system"} <= set(spans.columns):
+        protocol = F.when(F.col("rpc_service").isNotNull(), "grpc").when(F.col("db_system").isNotNull(), F.col("db_system")).when(F.col("http_method").isNotNull(), "http")
+        spans = spans.withColumn("protocol", protocol)
     links = parent_links(spans)
     if "peer_service" in spans.columns:
         links = links.unionByName(peer_links(spans))
-    operations = links.groupBy("source", "target").agg(F.slice(F.sort_array(F.collect_set("name")), 1, 10).alias("operations"))
+    protocols = [F.sort_array(F.collect_set("protocol")).alias("protocols")] if "protocol" in links.columns else []
+    operations = links.groupBy("source", "target").agg(F.slice(F.sort_array(F.collect_set("name")), 1, 10).alias("operations"), *protocols)
     return link_stats(links, ["source", "target"]).join(operations, ["source", "target"])
 
 

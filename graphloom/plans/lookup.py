@@ -14,7 +14,16 @@ from .registry import query
 
 @query(f"WITH {sql.NODES} SELECT id, name, path FROM nodes WHERE node_type = 'class'")
 def nodes_by_type(spark, d):
-    return views.supply_nodes(spark, d).filter("node_type = 'class'").select("id", "name", "path")
+    return views.of_type(views.supply_nodes(spark, d), "class").select("id", "name", "path")
+
+
+@query("SELECT 'r' || (p_partkey % 4) AS repo, count(*) AS n, sum(p_size)::BIGINT AS size FROM part WHERE p_partkey % 5 > 0 GROUP BY 1")
+def metadata_scan(spark, d):
+    p = views.table(spark, d, "part")
+    text_ = F.concat(F.lit('{"repo": "r'), (F.col("p_partkey") % 4).cast("string"), F.lit('", "size": '), F.col("p_size").cast("string"), F.lit("}"))
+    rows = views.with_metadata(p.select(F.when(F.col("p_partkey") % 5 > 0, text_).otherwise("no json").alias("metadata_json"))).filter("metadata IS NOT NULL")
+    get = lambda path, kind: F.try_variant_get("metadata", path, kind)
+    return rows.groupBy(get("$.repo", "string").alias("repo")).agg(F.count(F.lit(1)).alias("n"), F.sum(get("$.size", "long")).alias("size"))
 
 
 @query(f"WITH {sql.NODES} SELECT id, name FROM nodes WHERE lower(name) = 'customer#000000007' OR lower(name) = 'france' ORDER BY id LIMIT 10")

@@ -10,15 +10,17 @@ PREFIXES = ("story:", "task:", "criterion:", "adr:", "file:")
 
 
 def candidates(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """query, id, tier: matches by exact id (1), prefixed id (2), unique path (3)
-    and exact name (4).  wanted: (query), trimmed; empty ones match nothing."""
+    """query, id, tier: matches by exact id (1), prefixed id (2), unique path (3),
+    exact name (4) and name without case (5).  wanted: (query), trimmed; empty
+    ones match nothing."""
     w = wanted.select(F.trim("query").alias("query")).filter("query <> ''").distinct()
     n = nodes.select("id", "name", "path")
     exact = w.join(n, w["query"] == n["id"]).select("query", "id", F.lit(1).alias("tier"))
     prefixed = w.select("query", F.posexplode(F.array(*(F.concat(F.lit(p), F.col("query")) for p in PREFIXES))).alias("place", "id")).join(n.select("id"), "id").groupBy("query").agg(F.min_by("id", "place").alias("id")).select("query", "id", F.lit(2).alias("tier"))
     by_path = w.join(n, w["query"] == n["path"]).groupBy("query").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).filter("n = 1").select("query", "id", F.lit(3).alias("tier"))
     by_name = w.join(n, w["query"] == n["name"]).select("query", "id", F.lit(4).alias("tier"))
-    return exact.union(prefixed).union(by_path).union(by_name)
+    by_case = w.withColumn("low", F.lower("query")).join(n.withColumn("low", F.lower("name")), "low").select("query", "id", F.lit(5).alias("tier"))
+    return exact.union(prefixed).union(by_path).union(by_name).union(by_case)
 
 
 def resolve(nodes: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -100,6 +100,16 @@ def closed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
 
 
+def with_metadata(rows: DataFrame) -> DataFrame:
+    """rows with metadata_json parsed, as ``metadata``; null for no JSON."""
+    return rows.withColumn("metadata", F.try_parse_json("metadata_json"))
+
+
+def of_type(nodes: DataFrame, *kinds: str) -> DataFrame:
+    """Nodes of the given types."""
+    return nodes.filter(F.col("node_type").isin(*kinds))
+
+
 def dependency(edges: DataFrame) -> DataFrame:
     """Edges of the types that make the dependency graph."""
     return edges.filter(F.col("edge_type").isin(DEPENDENCY_TYPES))

@@ -197,3 +197,19 @@ def test_nearest_names_match_brute_force(spark):
             want.add((n, k, d))
     one = lambda xs: spark.createDataFrame([(x,) for x in xs], "name string")
     assert set(values(retrieval.nearest_names(one(wanted), one(known)), "name", "nearest", "distance")) == want
+
+
+def test_small_things(spark):
+    n = nodes(spark, ("a", "Alpha", "function", "a.py"), ("b", "-", "function", None))
+    w = spark.createDataFrame([("ALPHA",), ("Alpha",)], "query string")
+    assert {r["selected"] for r in resolve_first(n, w).collect()} == {"a"}
+    v = retrieval.hashed_vectors(n, F.col("name"))
+    d = {r["id"]: r["vector"] for r in retrieval.dense(v, ids=n.select("id")).collect()}
+    assert len(d["b"]) == 128 and not any(d["b"]) and any(d["a"])
+    from graphloom.operators import rank
+
+    e = spark.createDataFrame([("a", "b"), ("b", "a")], "source_id string, target_id string")
+    assert [r["id"] for r in rank.resolvent(n.select("id"), e, "a", None).collect()] == ["b"]
+    spans = spark.createDataFrame([("t", 1, None, "web", "GET", None, None), ("t", 2, 1, "api", "GET", None, None), ("t", 3, 1, "api", None, "S", None), ("t", 4, 2, "db", None, None, "pg")], "trace_id string, span_id int, parent_span_id int, service_name string, http_method string, rpc_service string, db_system string")
+    spans = spans.withColumns({"name": F.lit("op"), "duration_ms": F.lit(1.0), "is_error": F.lit(False)})
+    assert {(r["source"], r["target"]): r["protocols"] for r in telemetry.topology(spans).collect()} == {("web", "api"): ["grpc", "http"], ("api", "db"): ["pg"]}
