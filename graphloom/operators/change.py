@@ -11,7 +11,7 @@ from .telemetry import risk_tier_name
 from .traverse import impact
 
 # What a change to such a file never needs the graph for.
-IGNORED_PARTS = ".git .hg .svn .agtoosa .venv venv env node_modules __pycache__ .pytest_cache .mypy_cache .ruff_cache dist build target out coverage .next .nuxt .idea .vscode".split()
+IGNORED_PARTS = ".git .hg .svn .venv venv env node_modules __pycache__ .pytest_cache .mypy_cache .ruff_cache dist build target out coverage .next .nuxt .idea .vscode".split()
 IGNORED_SUFFIXES = ".pyc .pyo .so .dll .dylib .exe .bin .png .jpg .jpeg .gif .svg .ico .pdf .zip .tar .gz .lock .log .db .sqlite".split()
 #: How sure a finding about unused code is, as a number.
 RANKS = {"low": 1, "medium": 2, "high": 3}
