@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -50,12 +51,18 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete the folders of tables that cut() made and nothing will read again."""
+    """Delete the folders of tables that cut() made and nothing will read again.
+
+    Then the driver gives back what their plans and broadcasts held, which on
+    a long run of steps is most of its memory."""
     for df in tables:
         if path := getattr(df, "_graphloom_path", None):
             jvm, context = df.sparkSession._jvm, df.sparkSession._jsc
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(context.hadoopConfiguration()).delete(place, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def send_package(spark: SparkSession) -> None:
