@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
             yield pa.RecordBatch.from_pydict({"positive": batch.column("positive"), "drawn": batch.column("drawn"), "f": pa.array(found, pa.binary())})
 
     rows = sorted(map_arrow(sample, run, "positive boolean, drawn boolean, f binary").toLocalIterator(), key=lambda r: r["f"])
-    side = lambda name: [np.frombuffer(r["f"], "<i4").astype(np.int64) for r in rows if r[name]]
+    side = lambda name: [np.frombuffer(r["f"], "<i4") for r in rows if r[name]]
     return fit_nnpu(side("positive"), side("drawn"), prior)
 
 
