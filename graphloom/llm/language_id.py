@@ -290,7 +290,7 @@ def fit(docs: DataFrame, text: str, lang: str, trainable: Column, per_language:
     # by the text's hash, in its order: reruns train alike
     dealt = sample.withColumn("h", F.xxhash64("text")).repartition(TRAINERS, "h").sortWithinPartitions("h", "lang").select("lang", "text")
     learnt, trained = np.zeros_like(weights, dtype=np.float64), 0
-    for r in map_arrow(dealt, train, "rows long, v binary").collect():
+    for r in map_arrow(dealt, train, "rows long, v binary").toLocalIterator(prefetchPartitions=True):
         learnt, trained = learnt + r["rows"] * np.frombuffer(r["v"], "<f4").reshape(weights.shape), trained + r["rows"]
     weights = (learnt / trained).astype(np.float32) if trained else weights
     draft = Model(languages, code, np.ones_like(code, dtype=float), weights, np.ones(code.shape[1]))
