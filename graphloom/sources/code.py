@@ -140,7 +140,7 @@ def parse_python(path: str, text: str) -> list[tuple]:
     out = [_node("file", file, path.rpartition("/")[2], path)]
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return out
 
     def walk(body, owner, cls, typing_only):
@@ -171,7 +171,11 @@ def parse_python(path: str, text: str) -> list[tuple]:
                             own = cls and isinstance(f.value, ast.Name) and f.value.id == "self"
                             out.append(_edge(i, f"func:{path}:{cls}.{f.attr}" if own else f"func_call:{f.attr}", "calls"))
 
-    walk(tree.body, file, None, False)
+    try:
+        walk(tree.body, file, None, False)
+    except RecursionError:
+        # too deep to follow: what was found before stays
+        pass
     return out
 
 

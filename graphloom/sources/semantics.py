@@ -158,10 +158,10 @@ def _route(d: ast.expr) -> tuple[str, str, str] | None:
 
 def python_semantics(path: str, text: str) -> list[tuple]:
     """Routes, injections, mapped tables, topics of a Python file; none if it
-    does not parse."""
+    does not parse, and what comes before where it nests too deep to follow."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     found, file = _Found(path), f"file:{path}"
     tasks = {n.name: t for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) if (t := _task(n))}
@@ -212,7 +212,10 @@ def python_semantics(path: str, text: str) -> list[tuple]:
         for child in ast.iter_child_nodes(n):
             walk(child, who, cls)
 
-    walk(tree, file, "")
+    try:
+        walk(tree, file, "")
+    except RecursionError:
+        pass
     return found.rows
 
 

@@ -111,6 +111,13 @@ def test_semantics(spark):
     assert not any(t.endswith(("no topic", "ignored")) or t == "symbol:string" for _, t, _ in e)
 
 
+def test_deep_code_is_no_error():
+    from graphloom.sources import code
+
+    deep = "import os\nx = " + "-" * 5_000 + "1\nf(" + "a." * 4_000 + "b)\n"
+    assert semantics.python_semantics("a.py", deep) == [] and code.parse_python("a.py", deep)[0][1] == "file:a.py"
+
+
 def test_manifests(spark):
     rows = [
         ("pnpm-workspace.yaml", "packages:\n  - 'packages/*'\n  # note\n  - apps/web\nother:\n  - x\n"),
