@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,19 +43,6 @@ def sample_below(key: Column, share: float) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 2) < F.lit(top)
 
 
-def run_slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Cut a row of sizes into runs of consecutive items of about most in sum."""
-    out, first, total = [], 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if total and total + n > most:
-            out.append((first, i))
-            first, total = i, 0
-        total += n
-    if first < len(sizes):
-        out.append((first, len(sizes)))
-    return out
-
-
 def keep_rows(docs: DataFrame, text: str, decide) -> DataFrame:
     """The rows, with all their columns, for whose text decide(texts) says True.
 
