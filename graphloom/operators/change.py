@@ -109,13 +109,18 @@ def diagnose(cycles: DataFrame, violations: DataFrame, dead: DataFrame, most_dea
     def rows(df: DataFrame, kind: str, severity: str, symbols: Column, action: str) -> DataFrame:
         return df.select(F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"), symbols.alias("symbols"), F.lit(action).alias("action"))
 
-    order = F.create_map(*(F.lit(x) for kv in RANKS.items() for x in kv))[F.col("confidence")]
-    worst = dead.orderBy(F.desc(order), F.desc("lines"), "id").limit(most_dead)
+    worst = by_certainty(dead, most_dead)
     out = rows(cycles, "circular_dependency", "ERROR", F.col("cycle").cast("array<string>"), "decouple_interface")
     out = out.unionByName(rows(violations, "layer_violation", "ERROR", F.array("source_id", "target_id"), "isolate_layer"))
     return out.unionByName(rows(worst, "dead_code", "WARNING", F.array("id"), "prune_symbol"))
 
 
+def by_certainty(dead: DataFrame, most: int = 10) -> DataFrame:
+    """Unused symbols, the surest first, then the longest, then by id."""
+    rank = F.create_map(*(F.lit(x) for kv in RANKS.items() for x in kv))[F.col("confidence")]
+    return dead.orderBy(F.desc(rank), F.desc("lines"), "id").limit(most)
+
+
 def prune_plan(dead: DataFrame, min_confidence: str = "high") -> DataFrame:
     """id, name, path, confidence, lines of unused symbols that are safe to
     delete and sure enough."""

@@ -143,6 +143,12 @@ def timing_stats(timings: DataFrame, key: str = "target", value: str = "ms") ->
     return agg.select(key, "runs", "min_ms", "max_ms", "avg_ms", "p50_ms", "p95_ms", "p99_ms", "per_second")
 
 
+def worst_links(links: DataFrame, by: str = "p95_ms", most: int = 10) -> DataFrame:
+    """The links of the greatest value (p95_ms, or error_rate for hotspots), in
+    order; ties by source and target."""
+    return links.orderBy(F.desc(by), "source", "target").limit(most)
+
+
 def seed_baseline(telemetry: DataFrame) -> DataFrame:
     """Baseline rows from telemetry: p50 is the average, p99 1.2 times p95."""
     seconds = F.greatest(F.lit(1.0), F.col("total_duration_ms") / 1000)

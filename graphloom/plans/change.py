@@ -121,13 +121,19 @@ _PLAN = "WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '_' ELSE
 
 @query(f"{_PLAN} SELECT 'f:' || p_partkey AS id, name, path, 'high' AS confidence, 3 AS lines FROM p WHERE p_partkey % 4 = 0 AND p_partkey % 8 <> 0")
 def prune_plan(spark, d):
+    nodes, edges, texts = _parts(spark, d)
+    return change.prune_plan(governance.dead_code(nodes, edges, texts=texts))
+
+
+def _parts(spark, d):
+    """Parts as functions, calls of those ordered in bulk, and files that name some."""
     p, line = views.table(spark, d, "part"), views.table(spark, d, "lineitem").filter("l_quantity > 45")
     name = F.concat(F.when(F.col("p_partkey") % 4 == 0, "_").otherwise(""), ref("fn", "p_partkey"))
     nodes = p.select(ref("f:", "p_partkey").alias("id"), name.alias("name"), F.lit("function").alias("node_type"), F.lit("core/x.py").alias("path"), (F.col("p_partkey") * 10).cast("int").alias("start_line"), (F.col("p_partkey") * 10 + 2).cast("int").alias("end_line"))
     edges = line.select(F.lit("m").alias("source_id"), ref("f:", "l_partkey").alias("target_id"), F.lit("calls").alias("edge_type")).distinct()
     # every eighth private one is named in another file
     texts = p.filter("p_partkey % 8 = 0").select(F.concat(F.lit("core/u"), F.col("p_partkey").cast("string")).alias("path"), F.concat(F.lit("x = _fn"), F.col("p_partkey").cast("string"), F.lit("(1)")).alias("text"))
-    return change.prune_plan(governance.dead_code(nodes, edges, texts=texts))
+    return nodes, edges, texts
 
 
 @query("SELECT 'lesson:1' AS source_id, id AS target_id, 'references' AS edge_type, 'architectural_memory' AS provenance FROM (SELECT 'n:' || n_nationkey AS id FROM nation WHERE n_name ILIKE '%ation%' UNION ALL SELECT 'r:' || r_regionkey FROM region WHERE r_name ILIKE '%ation%') ORDER BY id LIMIT 5")
@@ -255,6 +261,21 @@ def seeded_baseline(spark, d):
     return b.select("node_id", F.round("p50_duration_ms", 4).alias("p50_duration_ms"), "p95_duration_ms", F.round("p99_duration_ms", 4).alias("p99_duration_ms"), F.round("throughput", 4).alias("throughput"))
 
 
+@query(f"WITH {sql.SPANS}, {sql.LINKS}, t AS (SELECT source, target, round(quantile_cont(duration_ms, 0.95), 4) AS p95_ms, round(count_if(is_error) / count(*), 4) AS error_rate FROM links GROUP BY 1, 2), p AS (SELECT 'slow' AS list, * FROM t ORDER BY p95_ms DESC, source, target LIMIT 3), e AS (SELECT 'failing' AS list, * FROM t ORDER BY error_rate DESC, source, target LIMIT 3) SELECT * FROM p UNION ALL SELECT * FROM e")
+def worst_links(spark, d):
+    from ..storage import cut
+
+    links = cut(telemetry.topology(views.spans(spark, d)).select("source", "target", "p95_ms", "error_rate"), "links")
+    slow, failing = telemetry.worst_links(links, "p95_ms", 3), telemetry.worst_links(links, "error_rate", 3)
+    return slow.select(F.lit("slow").alias("list"), "*").union(failing.select(F.lit("failing").alias("list"), "*"))
+
+
+@query(f"{_PLAN}, k AS (SELECT 'f:' || p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'high' ELSE 'medium' END AS confidence, 3 AS lines FROM p) SELECT * FROM k ORDER BY confidence = 'high' DESC, id LIMIT 10")
+def surest_dead_code(spark, d):
+    nodes, edges, _ = _parts(spark, d)
+    return change.by_certainty(governance.dead_code(nodes, edges)).select("id", "confidence", "lines")
+
+
 # --- summaries -----------------------------------------------------------
 
 
