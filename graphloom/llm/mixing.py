@@ -92,7 +92,7 @@ def word_count(text):
 
 def _numbered(rows: DataFrame) -> DataFrame:
     """Each row as often as it came, with its number among its equals (__copy)."""
-    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    counted = materialise(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__copies")), "rows")
     copies, least = F.col("__copies"), F.lit(COPIES).cast("long")
     one = F.lit(1).cast("long")
     few = counted.filter(copies <= least).withColumn("__copy", F.explode(F.sequence(one, copies)))
