@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, jaccard_join, language_id, mixing, syncmers, token_counts, toxicity, url_filter, warc
+from . import alignment, decontamination, html_text, importance, jaccard_join, language_id, licences, mixing, syncmers, token_counts, toxicity, url_filter, warc
 from ._common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,9 +78,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of base phrases and labels of licences of every document."""
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn for their likeness to the benchmark's texts."""
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), max_n=1, buckets=10_000, percent=10, min_words=20, seed=2024)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of byte_bpe_50k.json and piece_bpe_32k.model on every document."""
+    import public_tokenizers
+
+    return alignment.align_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_language_id, op2_jaccard_join, op3_url_filter, op4_mixing, op5_token_counts, op6_warc, op7_toxicity, op8_html_text, op9_syncmers, op10_decontamination)
+    for f in (op1_language_id, op2_jaccard_join, op3_url_filter, op4_mixing, op5_token_counts, op6_warc, op7_toxicity, op8_html_text, op9_syncmers, op10_decontamination, op11_licences, op12_importance, op13_alignment)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -108,4 +125,6 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM b)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM f
 """,
+    "op11_licences": licences.oracle(),
+    "op12_importance": importance.ORACLE,
 }

@@ -18,6 +18,9 @@ CONTRACT = {
     "op8": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
     "op9": {"doc_id": "bigint", "n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"},
     "op10": {"doc_id": "bigint"},
+    "op11": {"doc_id": "bigint", "n_words": "bigint", "n_base": "bigint", "first_word": "bigint", "last_word": "bigint", "base_labels": "string", "labels": "string", "score": "double"},
+    "op12": {"doc_id": "bigint", "n_features": "bigint", "weight": "bigint", "score": "bigint", "rank": "bigint"},
+    "op13": {"doc_id": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "n_best": "bigint", "count_sum": "bigint", "groups_sha256": "string"},
 }
 TABLES = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long, size long, sig long, target string, html string, item_id int",
