@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,19 +13,23 @@ from ._common import materialise
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (x, y); root is one node of its component.
 
-    In each round every node joins its smallest neighbour or itself, edges are
-    drawn between the joined nodes and loops vanish.  A component at least
-    halves its nodes in a round, so rounds grow with the logarithm of its
-    size, whatever its shape.  Nothing but a flag reaches the driver.
+    In each round every node joins the one of itself and its neighbours that
+    comes first in an order by hash, a new one each round; edges are drawn
+    between the joined nodes and loops vanish.  As no shape fits all orders, a
+    constant share of a component's nodes is expected to go in a round,
+    whatever its shape and numbering, so rounds grow with the logarithm of its
+    size.  Nothing but a flag reaches the driver.
     """
     edges = materialise(edges.filter("x <> y").select("x", "y").distinct(), "edges")
     roots = materialise(edges.select(F.col("x").alias("node")).union(edges.select("y")).distinct().withColumn("root", F.col("node")), "roots")
-    while not edges.isEmpty():
+    for turn in itertools.count():
+        if edges.isEmpty():
+            return roots
+        order = lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), c).alias("first"), c.alias("node"))
         both = edges.union(edges.select("y", "x"))
-        move = materialise(both.groupBy(F.col("x").alias("from")).agg(F.least(F.min("y"), F.first("x")).alias("to")), "move")
+        move = materialise(both.groupBy(F.col("x").alias("from")).agg(F.least(F.min(order(F.col("y"))), order(F.first("x")))["node"].alias("to")), "move")
         # a chain of moves ends in the next rounds: to's own move is an edge still
         to = lambda name: move.select(F.col("from").alias(name), F.col("to").alias(f"{name}2"))
         roots = materialise(roots.join(to("root"), "root", "left").select("node", F.coalesce("root2", "root").alias("root")), "roots")
         moved = edges.join(to("x"), "x", "left").join(to("y"), "y", "left").select(F.coalesce("x2", "x").alias("x"), F.coalesce("y2", "y").alias("y"))
         edges = materialise(moved.filter("x <> y").distinct(), "edges")
-    return roots

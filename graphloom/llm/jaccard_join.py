@@ -417,10 +417,12 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     gone = found.filter("key <> keeper").select("key").distinct()
     again = found.filter("key = keeper").groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key")
     marks = materialise(gone.withColumn("__again", F.lit(False)).union(again.withColumn("__again", F.lit(True))), "copies")
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string")))
-    left = keyed.join(marks.select(F.col("key").alias("__key")), "__key", "left_anti").select(*docs.columns)
+    # a name that no column of docs has
+    name = "__key" + "_" * max((len(c) for c in docs.columns), default=0)
+    keyed = docs.withColumn(name, F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string")))
+    left = keyed.join(marks.select(F.col("key").alias(name)), name, "left_anti").select(*docs.columns)
     if marks.filter("__again").isEmpty():
         return left
     # equal rows: one of them, taken before anything is moved
-    once = keyed.join(marks.filter("__again").select(F.col("key").alias("__key")), "__key").dropDuplicates(["__key"])
+    once = keyed.join(marks.filter("__again").select(F.col("key").alias(name)), name).dropDuplicates([name])
     return left.unionByName(once.select(*docs.columns))

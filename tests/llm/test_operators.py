@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontamination, html_text, jaccard_join, language_id, mixing, syncmers, token_counts, toxicity, url_filter, warc
+from graphloom.llm import components, decontamination, html_text, jaccard_join, language_id, mixing, syncmers, token_counts, toxicity, url_filter, warc
 from graphloom.llm.components import connected
 from graphloom.llm.queries import QUERIES
 
@@ -116,6 +116,15 @@ def test_connected(spark):
     assert len({roots[i] for i in range(31)}) == 1 and roots[100] == roots[102] != roots[0]
 
 
+def test_rounds_of_an_ordered_path(spark, monkeypatch):
+    made = []
+    real = components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, name: (made.append(name), real(df, name))[1])
+    roots = components.connected(spark.createDataFrame([(i, i + 1) for i in range(1000)], "x long, y long"))
+    assert roots.select("root").distinct().count() == 1 and roots.count() == 1001
+    assert made.count("move") <= 16
+
+
 # --- language, toxicity --------------------------------------------------
 
 ALPHABETS = {"aa": "abcde", "bb": "fghij", "cc": "klmno", "dd": "pqrst", "ee": "uvwxy"}

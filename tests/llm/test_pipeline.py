@@ -46,11 +46,12 @@ def test_undetermined_documents(spark):
 
 
 def test_near_copies_are_rows_not_ids(spark):
-    schema = "doc_id long, text string, key long, sig string"
+    schema = "doc_id long, text string, key long, sig string, __key string, __again int"
     a, b, c, d = (words(i, 40) for i in range(4))
     rows = [(1, a), (2, a), (2, b), (3, b), (3, c), (4, d), (4, d), (4, d), (5, None), (5, None), (6, ""), (None, d), (None, words(9, 40)), (7, "x y"), (8, "X  y")]
-    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([(*r, 1, "s") for r in rows], schema), "")
-    assert got.columns == ["doc_id", "text", "key", "sig"]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([(*r, 1, "s", "keep", 2) for r in rows], schema), "")
+    assert got.columns == ["doc_id", "text", "key", "sig", "__key", "__again"]
+    assert {(r["__key"], r["__again"]) for r in got.collect()} == {("keep", 2)}
     want = [(1, a), (2, b), (3, c), (4, d), (5, None), (5, None), (6, ""), (None, words(9, 40)), (7, "x y")]
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
 
@@ -63,4 +64,4 @@ def test_stages_of_empty_tables(spark, tmp_path):
 
 
 def test_registry():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(ORACLE_SQL) <= set(QUERIES)
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)] and set(ORACLE_SQL) <= set(QUERIES)
