@@ -64,16 +64,15 @@ def scope_violations(links: DataFrame, packages: DataFrame, rules: DataFrame) ->
     return by_scope.union(any_source).union(by_name)
 
 
-def package_cycles(links: DataFrame, max_length: int = 8) -> DataFrame:
+def package_cycles(links: DataFrame, max_length: int | None = None, limit: int | None = None) -> DataFrame:
     """cycle: the cycles of the package graph, each closed by its first package.
 
-    Cycles of up to max_length packages are listed; packages are few, so this
-    is a bound on the listing, not on the data."""
+    All cycles, or the first limit of up to max_length packages if asked."""
     e = links.select(F.col("from").alias("source_id"), F.col("to").alias("target_id")).distinct()
-    return simple_cycles(e, max_length, None).select(F.concat("cycle", F.slice("cycle", 1, 1)).alias("cycle"))
+    return simple_cycles(e, max_length, limit).select(F.concat("cycle", F.slice("cycle", 1, 1)).alias("cycle"))
 
 
-def violations(links: DataFrame, packages: DataFrame, declared: DataFrame, rules: DataFrame, cycle_length: int = 8) -> DataFrame:
+def violations(links: DataFrame, packages: DataFrame, declared: DataFrame, rules: DataFrame, cycle_length: int | None = None) -> DataFrame:
     """rule, severity, from, to, source, target: all violations, of several with
     one rule, packages and target file the one with the first source file.
 

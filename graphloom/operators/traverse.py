@@ -116,40 +116,154 @@ def descendants(edges: DataFrame, starts: DataFrame, max_depth: int | None = Non
     return seen.filter("start <> id")
 
 
-def transitive_reduction(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """source_id, target_id, redundant for the distinct edges of an acyclic graph.
-
-    u -> v is redundant if another successor of u reaches v; with max_depth
-    only paths of up to so many edges are followed.
-    """
-    links = cut(edges.filter("source_id <> target_id").select("source_id", "target_id").distinct(), "links")
-    reach = links
-    front = links
-    for d in _depths(2, max_depth):
-        step = front.join(links.select(F.col("source_id").alias("m"), F.col("target_id").alias("t")), F.col("target_id") == F.col("m")).select("source_id", F.col("t").alias("target_id")).distinct()
-        front = cut(step.join(reach, ["source_id", "target_id"], "left_anti"), "frontier")
+def levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, level) of the nodes that no cycle leads to, level being the number
+    of edges of the longest way to one, and what is left: the edges among the
+    others.  edges: (a, b).  Each round peels the nodes without a way in."""
+    left = edges
+    ids = cut(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), "nodes")
+    found = None
+    for n in itertools.count():
+        inner = cut(left.select(F.col("b").alias("id")).distinct(), "inner")
+        peeled = cut(ids.join(inner, "id", "left_anti").select("id", F.lit(n).alias("level")), "level")
+        if peeled.isEmpty():
+            return (peeled if found is None else found), left
+        found = peeled if found is None else found.union(peeled)
+        ids = inner
+        left = cut(left.join(peeled.select(F.col("id").alias("a")), "a", "left_anti"), "edges")
+
+
+def _reach_labels(links: DataFrame, place: DataFrame, seeds: int = 3) -> DataFrame:
+    """id, labels: for each seed the least hash among a node and all that lead
+    to it.  If x leads to y, no label of y is above that of x; so a label that
+    is above rules a way out.  links (a, b) are acyclic."""
+    own = lambda c: F.array(*(F.xxhash64(F.lit(k), c) for k in range(seeds)))
+    now = cut(place.select("id", own(F.col("id")).alias("labels")), "labels")
+    front = now
+    least = lambda x, y: F.zip_with(x, y, lambda p, q: F.least(p, q))
+    while True:
+        sent = links.join(front.select(F.col("id").alias("a"), "labels"), "a")
+        got = sent.groupBy(F.col("b").alias("id")).agg(F.array(*(F.min(F.col("labels")[k]) for k in range(seeds))).alias("sent"))
+        new = now.join(got, "id", "left").select("id", F.when(F.col("sent").isNull(), F.col("labels")).otherwise(least(F.col("labels"), F.col("sent"))).alias("labels"), F.col("labels").alias("old"))
+        new = cut(new, "labels")
+        front = new.filter(F.col("labels") != F.col("old")).select("id", "labels")
+        now = new.select("id", "labels")
         if front.isEmpty():
-            break
-        reach = cut(reach.union(front), "reach")
-    via = links.select("source_id", F.col("target_id").alias("w")).join(reach.select(F.col("source_id").alias("w"), "target_id"), "w").select("source_id", "target_id").distinct()
-    return links.join(via.withColumn("redundant", F.lit(True)), ["source_id", "target_id"], "left").select("source_id", "target_id", F.coalesce("redundant", F.lit(False)).alias("redundant"))
-
-
-def simple_cycles(edges: DataFrame, max_length: int = 4, limit: int | None = 15) -> DataFrame:
-    """cycle (array of ids, starting at its smallest) and length of the simple
-    cycles of 2 to max_length nodes; the first limit by length and ids.
-
-    Paths only go to ids above their start, so each cycle is found once.
+            return now
+
+
+def _redundant_of_dag(links: DataFrame) -> DataFrame:
+    """(a, b) of the acyclic links (a, b) whose end another way leads to.
+
+    An edge to the next level has no other way.  For the rest, searches go
+    back from their ends, but only over nodes above the level of the lowest
+    start that is still open, and only where no label of the node rules out
+    that each open start leads to it.  A search's state is (end, node)."""
+    place = levels(links)[0]
+    lv = lambda c: place.select(F.col("id").alias(c), F.col("level").alias(f"l{c}"))
+    laid = cut(links.join(lv("a"), "a").join(lv("b"), "b"), "laid")
+    still = cut(laid.filter("lb > la + 1").select("a", "b", "la"), "open")
+    done = links.limit(0)
+    if still.isEmpty():
+        return done
+    labels = _reach_labels(links, place)
+    back = cut(laid.select("a", F.col("b").alias("at"), "la").join(labels.select(F.col("id").alias("a"), "labels"), "a"), "back")
+    seeds = len(labels.first()["labels"])
+    # (b, at): nodes that lead to b by one edge or more
+    front = cut(still.select("b").distinct().join(back.withColumnRenamed("at", "b"), "b").select("b", F.col("a").alias("at"), F.col("la").alias("lat"), "labels"), "front")
+    seen = front.select("b", "at")
+    while True:
+        marks = still.join(labels.select(F.col("id").alias("a"), "labels"), "a")
+        bounds = marks.groupBy("b").agg(F.min("la").alias("low"), F.array(*(F.max(F.col("labels")[k]) for k in range(seeds))).alias("top"))
+        live = front.join(bounds, "b").filter(F.col("lat") > F.col("low"))
+        live = live.filter(F.forall(F.zip_with("labels", "top", lambda x, y: x <= y), lambda ok: ok)).select("b", "at", "low")
+        step = live.join(back, "at").filter(F.col("la") >= F.col("low")).select("b", F.col("a").alias("at"), F.col("la").alias("lat"), "labels")
+        step = cut(step.dropDuplicates(["b", "at"]), "step")
+        hit = cut(still.join(step.select(F.col("at").alias("a"), "b"), ["a", "b"], "left_semi").select("a", "b"), "hit")
+        if not hit.isEmpty():
+            done = done.union(hit)
+            still = cut(still.join(hit, ["a", "b"], "left_anti"), "open")
+        front = cut(step.join(seen, ["b", "at"], "left_anti"), "front")
+        if front.isEmpty() or still.isEmpty():
+            return done
+        seen = cut(seen.union(front.select("b", "at")), "seen")
+
+
+def transitive_reduction(edges: DataFrame) -> DataFrame:
+    """source_id, target_id, redundant for the distinct edges, loops left out.
+
+    u -> v is redundant if another successor of u reaches v.  The closure is
+    never written: levels and labels settle most edges, and only what they
+    leave open is searched.  Nodes that reach each other are taken as one:
+    within such a component an edge is redundant if its start has another
+    successor there, and an edge out of it always is.
     """
+    kind = edges.schema["source_id"].dataType
     links = cut(edges.filter("source_id <> target_id").select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct(), "links")
-    paths = links.filter("b > a").select(F.col("a").alias("start"), F.col("b").alias("at"), F.array("a", "b").alias("cycle"))
-    found = None
-    for n in range(2, max_length + 1):
-        closing = paths.join(links, (F.col("at") == F.col("a")) & (F.col("start") == F.col("b")), "left_semi").select("cycle", F.lit(n).alias("length"))
-        found = closing if found is None else found.unionByName(closing)
-        if n < max_length:
-            longer = paths.join(links, F.col("at") == F.col("a")).filter((F.col("b") > F.col("start")) & ~F.array_contains("cycle", F.col("b")))
-            paths = cut(longer.select("start", F.col("b").alias("at"), F.concat("cycle", F.array("b")).alias("cycle")), "paths")
+    left = levels(links)[1]
+    if left.isEmpty():
+        marked = links.join(_redundant_of_dag(links).withColumn("redundant", F.lit(True)), ["a", "b"], "left")
+        return marked.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.coalesce("redundant", F.lit(False)).alias("redundant"))
+    comp = cut(strong_components(left.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"))).select(F.col("id").cast(kind).alias("id"), F.col("component").cast(kind).alias("c")), "components")
+    c = lambda end: comp.select(F.col("id").alias(end), F.col("c").alias(f"c{end}"))
+    both = links.join(c("a"), "a", "left").join(c("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    both = cut(both, "both")
+    # successors of a node by component: more than one in a component reach each other
+    per = both.groupBy("a", "cb").agg(F.count(F.lit(1)).alias("there"))
+    inside = both.filter("ca = cb").select("a").distinct().withColumn("inside", F.lit(True))
+    whole = both.filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    over = _redundant_of_dag(cut(whole, "whole")).select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.lit(True).alias("over"))
+    all_ = both.join(per, ["a", "cb"]).join(inside, "a", "left").join(over, ["ca", "cb"], "left")
+    yes = lambda x: F.coalesce(F.col(x), F.lit(False))
+    redundant = F.when(F.col("ca") == F.col("cb"), F.col("there") > 1).otherwise(yes("inside") | (F.col("there") > 1) | yes("over"))
+    return all_.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), redundant.alias("redundant"))
+
+
+def simple_cycles(edges: DataFrame, max_length: int | None = None, limit: int | None = 15) -> DataFrame:
+    """cycle (array of ids, starting at its smallest) and length of the simple
+    cycles of two nodes or more, of max_length at most if given; the first
+    limit by length and ids.
+
+    Only edges within strong components are followed (where every node has one
+    way on, rings are all there is), and a cycle's two halves
+    meet: ways of n / 2 edges from its smallest node on and of the rest back
+    to it, over nodes above it.  So each cycle is found once, and the search
+    ends with the length at which the limit is reached, or where no way goes
+    on.  A component with fewer cycles than the limit has few ways; without a
+    limit, ask for a length.
+    """
+    raw = cut(edges.filter("source_id <> target_id").select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct(), "links")
+    # without what no cycle leads to, and what leads to none
+    inner = levels(levels(raw)[1].select(F.col("b").alias("a"), F.col("a").alias("b")))[1].select(F.col("b").alias("a"), F.col("a").alias("b"))
+    links = cut(inner, "links")
+    if not links.groupBy("a").count().filter("count > 1").isEmpty():
+        comp = cut(strong_components(links.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"))), "components")
+        c = lambda end: comp.select(F.col("id").alias(f"t{end}"), F.col("component").alias(f"c{end}"))
+        inner = links.withColumns({"ta": F.col("a").cast("string"), "tb": F.col("b").cast("string")}).join(c("a"), "ta").join(c("b"), "tb").filter("ca = cb")
+        links = cut(inner.select("a", "b"), "links")
+    # halves: (start, at, nodes) with nodes from start to at, or from at to start
+    out = links.filter("b > a").select(F.col("a").alias("start"), F.col("b").alias("at"), F.array("b").alias("way"))
+    back = links.filter("a > b").select(F.col("b").alias("start"), F.col("a").alias("at"), F.array().cast(out.schema["way"].dataType).alias("way"))
+    found, count, n = None, 0, 2
+    while max_length is None or n <= max_length:
+        met = out.join(back.withColumnRenamed("way", "rest"), ["start", "at"]).filter(~F.arrays_overlap("way", "rest"))
+        new = cut(met.select(F.concat(F.array("start"), "way", "rest").alias("cycle"), F.lit(n).alias("length")), "cycles")
+        found = new if found is None else found.unionByName(new)
+        count += new.count()
+        if limit is not None and count >= limit:
+            break
+        # the halves grow in turn
+        if n % 2 == 0:
+            step = out.join(links, F.col("at") == F.col("a")).filter((F.col("b") > F.col("start")) & ~F.array_contains("way", F.col("b")))
+            out = cut(step.select("start", F.col("b").alias("at"), F.concat("way", F.array("b")).alias("way")), "out")
+            grown = out
+        else:
+            step = back.join(links, F.col("at") == F.col("b")).filter((F.col("a") > F.col("start")) & ~F.array_contains("way", F.col("a")) & (F.col("a") != F.col("at")))
+            back = cut(step.select("start", F.col("a").alias("at"), F.concat(F.array("b"), "way").alias("way")), "back")
+            grown = back
+        if grown.isEmpty():
+            break
+        n += 1
     return found if limit is None else found.orderBy("length", "cycle").limit(limit)
 
 

@@ -111,7 +111,7 @@ def release_gate(spark, d):
 )
 def repair_diagnosis(spark, d):
     nodes, edges = supply(spark, d)
-    cycles = traverse.simple_cycles(views.dependency(edges), 4, 15)
+    cycles = traverse.simple_cycles(views.dependency(edges))
     found = change.diagnose(cycles, governance.layer_violations(nodes, edges), governance.dead_code(nodes.filter("node_type <> 'function'"), edges))
     return found.withColumn("symbols", F.array_join("symbols", ">"))
 
@@ -354,10 +354,10 @@ def diagram_rows(spark, d):
     return summary.diagram_rows(views.supply_nodes(spark, d), {"service": 4, "module": 5, "class": 6})
 
 
-@query(f"WITH RECURSIVE {G}, reach AS (SELECT source_id AS id, 1 AS depth FROM edges WHERE target_id = 'n:1' UNION SELECT e.source_id, r.depth + 1 FROM edges e JOIN reach r ON e.target_id = r.id WHERE r.depth < 2) SELECT b.id, min(depth)::INT AS depth, n.name FROM reach b JOIN nodes n ON n.id = b.id WHERE b.id <> 'n:1' GROUP BY b.id, n.name ORDER BY depth, name, b.id LIMIT 50")
+@query(f"WITH RECURSIVE {G}, reach AS (SELECT source_id AS id, 1 AS depth FROM edges WHERE target_id = 'n:1' UNION SELECT e.source_id, r.depth + 1 FROM edges e JOIN reach r ON e.target_id = r.id WHERE r.depth < 2) SELECT b.id, min(depth)::INT AS depth, n.name FROM reach b JOIN nodes n ON n.id = b.id WHERE b.id <> 'n:1' GROUP BY b.id, n.name")
 def impact_order(spark, d):
     nodes, edges = supply(spark, d)
-    return traverse.impact(nodes, edges, ids(spark, "n:1"), 2).join(nodes.select("id", "name"), "id").select("id", "depth", "name").orderBy("depth", "name", "id").limit(50)
+    return traverse.impact(nodes, edges, ids(spark, "n:1"), 2).join(nodes.select("id", "name"), "id").select("id", "depth", "name").orderBy("depth", "name", "id")
 
 
 @query(f"WITH RECURSIVE {sql.TRADE}, e AS (SELECT DISTINCT src AS a, tgt AS b FROM trade WHERE src <> tgt AND (src + tgt) % 3 > 0), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), n AS (SELECT a AS id FROM e UNION SELECT b FROM e) SELECT id::VARCHAR AS id, coalesce((SELECT min(x.b::VARCHAR) FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a = n.id), id::VARCHAR) AS component FROM n")

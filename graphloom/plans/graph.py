@@ -197,6 +197,63 @@ def transitive_reduction(spark, d):
     return found.agg(F.count(F.lit(1)).alias("edges"), F.sum(F.col("redundant").cast("long")).alias("redundant"))
 
 
+_LAYERS = """WITH l AS (SELECT * FROM lineitem), op AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM l), os AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM l),
+ps AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM l WHERE l_returnflag = 'R'), g AS (SELECT DISTINCT o_orderkey AS o, n_regionkey AS r FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+sr AS (SELECT s_suppkey AS s, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey), ways AS (SELECT o, s FROM os UNION SELECT o, s FROM op JOIN ps USING (p))
+SELECT 'o:' || o AS source_id, 's:' || s AS target_id FROM os WHERE EXISTS (SELECT 1 FROM op JOIN ps ON op.p = ps.p WHERE op.o = os.o AND ps.s = os.s)
+UNION ALL SELECT 'o:' || o, 'r:' || r FROM g WHERE EXISTS (SELECT 1 FROM ways w JOIN sr USING (s) WHERE w.o = g.o AND sr.r = g.r)"""
+
+
+@query(_LAYERS)
+def redundant_line_edges(spark, d):
+    return traverse.transitive_reduction(views.order_layers(spark, d)).filter("redundant").select("source_id", "target_id")
+
+
+_RINGS = "r AS (SELECT b, any_value(6 + b % 7) AS n, list(k ORDER BY k) AS c FROM (SELECT c_custkey AS k, c_custkey // 12 AS b FROM customer) WHERE k % 12 < 6 + b % 7 GROUP BY b HAVING count(*) = any_value(6 + b % 7))"
+
+
+@query(f"WITH {_RINGS} SELECT array_to_string(c, '>') AS cycle, n::INT AS length FROM r ORDER BY n, c LIMIT 15")
+def cycles_any_length(spark, d):
+    return joined(traverse.simple_cycles(views.customer_rings(spark, d)), "cycle")
+
+
+@query(f"WITH {_RINGS}, f AS (SELECT c FROM r ORDER BY n, c LIMIT 15) SELECT array_to_string(c, '>') AS cycle, c[-1]::VARCHAR AS cut_source, c[1]::VARCHAR AS cut_target, 'DEPENDENCY_INVERSION' AS strategy FROM f")
+def decoupled_rings(spark, d):
+    cycles = traverse.simple_cycles(views.customer_rings(spark, d))
+    return joined(governance.decoupling(cycles.select(F.col("cycle").cast("array<string>").alias("cycle"))), "cycle")
+
+
+@query(
+    f"WITH {_RINGS}, k AS (SELECT least(15, count(*)) AS cycles FROM r), z AS (SELECT unnest(c) AS id FROM r UNION SELECT (c_custkey) FROM customer WHERE c_custkey % 12 < 6 + (c_custkey // 12) % 7), "
+    "u AS (SELECT count(*) AS n, count_if(c_custkey NOT IN (SELECT id FROM z)) AS isolated FROM customer), "
+    "s AS (SELECT greatest(0, 100 - least(15, isolated * 2) - least(35, cycles * 10) - CASE WHEN n <= 5 THEN 0 ELSE 30 END)::INT AS score, isolated, cycles, n FROM u, k) "
+    "SELECT score, CASE WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade, isolated, cycles, n AS code_units, 0::DOUBLE AS verified_ratio FROM s"
+)
+def scorecard_of_rings(spark, d):
+    nodes = views.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("function").alias("node_type"), F.lit("core/x.py").alias("path"))
+    edges = views.customer_rings(spark, d).withColumn("edge_type", F.lit("imports"))
+    return governance.scorecard(nodes, edges, traverse.simple_cycles(edges))
+
+
+@query(f"WITH {sql.LINES}, {sql.rank_chain(10, nodes=sql.LINE_NODES)} SELECT id, round(score, 8) AS score FROM r10")
+def pagerank_lines(spark, d):
+    found = rank.pagerank(views.line_nodes(spark, d), views.line_edges(spark, d), 10, tolerance=None, driver_edges=0)
+    return found.select("id", F.round("score", 8).alias("score"))
+
+
+@query(f"WITH {sql.LINES}, {sql.power_chain(8, sql.LINE_NODES)} SELECT round(sqrt(sum(y * y)), 3) AS radius FROM q7")
+def spectral_radius_lines(spark, d):
+    return rank.spectral_radius(views.line_nodes(spark, d), views.line_edges(spark, d), 8, None, driver_edges=0).select(F.round("radius", 3).alias("radius"))
+
+
+_S1 = "'s:1'"
+
+
+@query(f"WITH {sql.LINES}, {sql.resolvent_chain(6, 0.001, _S1, sql.LINE_NODES)} SELECT id, round(x, 6) AS impact FROM x6 WHERE id <> 's:1' AND x > 1e-4")
+def resolvent_lines(spark, d):
+    return rank.resolvent(views.line_nodes(spark, d), views.line_edges(spark, d), "s:1", 0.001, 6, None, driver_edges=0)
+
+
 @query(f"WITH RECURSIVE {sql.TRADE}, r AS (SELECT src AS start, tgt AS id FROM trade WHERE src IN (0, 7) AND src <> tgt UNION SELECT r.start, tgt FROM r JOIN trade ON r.id = src WHERE src <> tgt) SELECT start, count(*) AS n FROM r WHERE start <> id GROUP BY 1")
 def descendants(spark, d):
     nodes, edges = trade(spark, d)
@@ -288,7 +345,7 @@ SELECT score, CASE WHEN score >= 95 THEN 'A+' WHEN score >= 90 THEN 'A' WHEN sco
 @query(_SCORE)
 def scorecard(spark, d):
     nodes, edges = supply(spark, d)
-    return governance.scorecard(nodes, edges, traverse.simple_cycles(views.dependency(edges), 4, 15))
+    return governance.scorecard(nodes, edges, traverse.simple_cycles(views.dependency(edges)))
 
 
 @query(

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import views
 from ..functions import text
 from ..operators import governance, retrieval, telemetry
+from ..operators.textindex import TextIndex
+from ..storage import shared_dir
 from . import sql
 from .graph import G, ids, supply
 from .registry import query
@@ -189,16 +193,28 @@ def regression_verdict(spark, d):
 # --- text and retrieval --------------------------------------------------
 
 
-@query(
-    r"""WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents), l AS (SELECT id, len(t) AS dl FROM t), p AS (SELECT id, unnest(t) AS term FROM t),
+_BM25 = r"""WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents), l AS (SELECT id, len(t) AS dl FROM t), p AS (SELECT id, unnest(t) AS term FROM t),
 h AS (SELECT id, w, count(*) AS tf FROM p JOIN (VALUES ('idiot'), ('clown')) v(w) ON starts_with(term, w) GROUP BY 1, 2), s AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS a FROM l), df AS (SELECT w, count(*) AS df FROM h GROUP BY 1),
 b AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / a))), 6) AS score FROM h JOIN df USING (w) JOIN l USING (id), s GROUP BY 1 HAVING count(*) = 2 ORDER BY score DESC, id LIMIT 20)
 SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM b"""
-)
+
+
+@query(_BM25)
 def bm25_topk(spark, d):
     return retrieval.search(views.table(spark, d, "documents"), ["text"], "idiot clown", 20, "doc_id")
 
 
+@query(_BM25)
+def bm25_of_index(spark, d):
+    """The same search in an index that was written in two batches."""
+    index = TextIndex(spark, f"{shared_dir(spark)}/graphloom/index-{uuid.uuid4().hex}")
+    docs = views.table(spark, d, "documents")
+    for part in (docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 <> 0")):
+        index.add(part, ["text"], "doc_id")
+    return index.search("idiot clown", 20)
+
+
+
 @query(
     """WITH a AS (SELECT vec_id AS id, embedding FROM embeddings), q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)
 SELECT id, round(least(1, greatest(0, list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE * q[i]::DOUBLE)))), 4) AS score FROM a, q ORDER BY score DESC, id LIMIT 10"""

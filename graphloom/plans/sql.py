@@ -39,9 +39,17 @@ LINKS = """links AS (
   SELECT p.service_name AS source, c.service_name AS target, c.duration_ms, c.is_error, c.name FROM spans c JOIN spans p ON c.parent_span_id = p.span_id WHERE p.service_name <> c.service_name)"""
 
 
-def rank_chain(rounds: int, damping: float = 0.85) -> str:
+NATIONS = "SELECT n_nationkey AS id FROM nation"
+
+#: The graph of views.line_edges as trade(src, tgt, weight), and its nodes.
+LINES = """trade AS MATERIALIZED (SELECT src, tgt, 1 AS weight FROM (SELECT 's:' || l_suppkey AS src, 'p:' || l_partkey AS tgt FROM lineitem
+  UNION ALL SELECT 'p:' || l_partkey, 's:' || l_suppkey FROM lineitem WHERE l_returnflag = 'R'))"""
+LINE_NODES = "SELECT 's:' || s_suppkey AS id FROM supplier UNION ALL SELECT 'p:' || p_partkey FROM part"
+
+
+def rank_chain(rounds: int, damping: float = 0.85, nodes: str = NATIONS) -> str:
     """PageRank over the trade graph as a chain of CTEs r0, r1, ..."""
-    parts = ["ids AS (SELECT n_nationkey AS id FROM nation)", "n AS (SELECT count(*) AS n FROM ids)", "od AS (SELECT src, count(*) AS d FROM trade GROUP BY 1)", "r0 AS (SELECT id, 1.0::DOUBLE / n AS score FROM ids, n)"]
+    parts = [f"ids AS ({nodes})", "n AS (SELECT count(*) AS n FROM ids)", "od AS (SELECT src, count(*) AS d FROM trade GROUP BY 1)", "r0 AS (SELECT id, 1.0::DOUBLE / n AS score FROM ids, n)"]
     for i in range(rounds):
         parts.append(
             f"r{i + 1} AS MATERIALIZED (SELECT ids.id, {1 - damping}::DOUBLE / n + {damping}::DOUBLE * (coalesce(f.flow, 0) + m.mass / n) AS score FROM ids CROSS JOIN n "
@@ -51,17 +59,17 @@ def rank_chain(rounds: int, damping: float = 0.85) -> str:
     return ", ".join(parts)
 
 
-def power_chain(rounds: int) -> str:
+def power_chain(rounds: int, nodes: str = NATIONS) -> str:
     """Norms of the power iteration on the transposed trade matrix."""
-    parts = ["p0 AS (SELECT n_nationkey AS id, 1.0 / sqrt((SELECT count(*) FROM nation)) AS x FROM nation)"]
+    parts = [f"p0 AS (SELECT id, 1.0 / sqrt((SELECT count(*) FROM ({nodes}))) AS x FROM ({nodes}))"]
     for i in range(rounds):
         parts.append(f"q{i} AS MATERIALIZED (SELECT tgt AS id, sum(weight * x) AS y FROM trade JOIN p{i} ON src = id GROUP BY 1)")
         parts.append(f"p{i + 1} AS MATERIALIZED (SELECT id, y / (SELECT sqrt(sum(y * y)) FROM q{i}) AS x FROM q{i})")
     return ", ".join(parts)
 
 
-def resolvent_chain(rounds: int, alpha: float, target: int) -> str:
-    parts = [f"e AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey = {target} THEN 1.0 ELSE 0.0 END::DOUBLE AS e FROM nation)", "x0 AS (SELECT id, e AS x FROM e)"]
+def resolvent_chain(rounds: int, alpha: float, target: str, nodes: str = NATIONS) -> str:
+    parts = [f"e AS (SELECT id, CASE WHEN id = {target} THEN 1.0 ELSE 0.0 END::DOUBLE AS e FROM ({nodes}))", "x0 AS (SELECT id, e AS x FROM e)"]
     for i in range(rounds):
         parts.append(f"x{i + 1} AS MATERIALIZED (SELECT e.id, e.e + {alpha}::DOUBLE * coalesce(f.f, 0) AS x FROM e LEFT JOIN (SELECT src AS id, sum(weight * x) AS f FROM trade JOIN x{i} ON tgt = id GROUP BY 1) f ON f.id = e.id)")
     return ", ".join(parts)

@@ -80,6 +80,52 @@ def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
 
 
+def line_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and parts as nodes: id."""
+    ref = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("id")
+    return table(spark, sf_dir, "supplier").select(ref("s:", "s_suppkey")).union(table(spark, sf_dir, "part").select(ref("p:", "p_partkey")))
+
+
+def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier -> part for every line item, and part -> supplier for those
+    that came back: source_id, target_id, parallel edges included."""
+    line = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("s"), F.concat(F.lit("p:"), F.col("l_partkey").cast("string")).alias("p"), "l_returnflag")
+    there = line.select(F.col("s").alias("source_id"), F.col("p").alias("target_id"))
+    return there.union(line.filter("l_returnflag = 'R'").select("p", "s"))
+
+
+def order_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An acyclic graph of orders, parts, suppliers, nations and regions:
+    source_id, target_id.  Orders lead to the parts and suppliers of their
+    lines and to their customer's region, parts to the suppliers they came
+    back to, suppliers to nations, nations to regions."""
+    t = lambda n: table(spark, sf_dir, n)
+    ref = lambda p, c, name: F.concat(F.lit(p), F.col(c).cast("string")).alias(name)
+    edge = lambda df, a, b: df.select(ref(f"{a[0]}:", a[1], "source_id"), ref(f"{b[0]}:", b[1], "target_id")).distinct()
+    line, nation = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag"), t("nation")
+    buyer = t("orders").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(nation.select("n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"))
+    parts = [
+        edge(line, ("o", "l_orderkey"), ("p", "l_partkey")),
+        edge(line, ("o", "l_orderkey"), ("s", "l_suppkey")),
+        edge(line.filter("l_returnflag = 'R'"), ("p", "l_partkey"), ("s", "l_suppkey")),
+        edge(t("supplier"), ("s", "s_suppkey"), ("n", "s_nationkey")),
+        edge(nation, ("n", "n_nationkey"), ("r", "n_regionkey")),
+        edge(buyer, ("o", "o_orderkey"), ("r", "n_regionkey")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def customer_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings of 6 to 12 customers: source_id, target_id.  Of each 12 customers
+    in a row the first 6 + block % 7 call each other in turn."""
+    c = table(spark, sf_dir, "customer").select(F.expr("c_custkey div 12").alias("block"), (F.col("c_custkey") % 12).alias("i")).withColumn("size", 6 + F.col("block") % 7)
+    key = lambda i: (F.col("block") * 12 + i).cast("long")
+    return c.filter("i < size").select(key(F.col("i")).alias("source_id"), key((F.col("i") + 1) % F.col("size")).alias("target_id"))
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as spans: the service is the event type, the parent is the user's
     previous event, the trace is the user."""
