@@ -1,7 +1,8 @@
 """What code declares to frameworks and message brokers: routes, injection,
 tables, topics.
 
-Python is read from its syntax tree, JavaScript and TypeScript by patterns.
+Python is read from its syntax tree, JavaScript and TypeScript from their
+strings, words and brackets.
 Both are driven by tables of rules, one row for each way of saying something.
 """
 
@@ -53,27 +54,27 @@ CALLS = (
     _rule("receive_message receive_messages", "sqs", "subscribes", "QueueUrl queue_url", place=None, unnamed="(?i)sqs|queue"),
 )
 
-_NAME = r"['\"`]([^'\"`]+)['\"`]"
-#: Patterns of scripts: broker, direction, pattern of the topic.
-SCRIPT_TOPICS = tuple((broker, kind, re.compile(pattern, re.S)) for broker, kind, pattern in (
-    ("kafka", "publishes", r"\.send\(\s*\{[^}]*?\btopic\s*:\s*" + _NAME),
-    ("kafka", "subscribes", r"\.subscribe\(\s*\{[^}]*?\btopics?\s*:\s*\[?\s*" + _NAME),
-    ("rabbitmq", "publishes", r"\.sendToQueue\(\s*" + _NAME),
-    ("rabbitmq", "publishes", r"\bchannel\.publish\(\s*['\"`][^'\"`]*['\"`]\s*,\s*" + _NAME),
-    ("rabbitmq", "subscribes", r"\.consume\(\s*" + _NAME),
-    ("redis", "publishes", r"\b(?:redis|pub|publisher|client)\w*\.publish\(\s*" + _NAME),
-    ("redis", "subscribes", r"\b(?:redis|sub|subscriber|client)\w*\.p?subscribe\(\s*" + _NAME),
-    ("bullmq", "subscribes", r"\bnew\s+Worker\(\s*" + _NAME),
-    ("bullmq", "publishes", r"\bnew\s+Queue\(\s*" + _NAME),
-    ("sqs", "publishes", r"SendMessage(?:Batch)?Command\(\s*\{[^}]*?QueueUrl\s*:\s*" + _NAME),
-    ("sqs", "subscribes", r"ReceiveMessageCommand\(\s*\{[^}]*?QueueUrl\s*:\s*" + _NAME),
-))
-_EXPRESS = re.compile(r"\b(?:app|router)\.(get|post|put|delete|patch)\(\s*['\"]([^'\"]+)['\"]\s*(?:,\s*(?:[\w$]+\s*,\s*)*([\w$]+)\s*\))?")
-_CONTROLLER = re.compile(r"@Controller\(\s*(?:['\"]([^'\"]*)['\"])?\s*\)\s*(?:export\s+)?(?:default\s+)?class\s+([\w$]+)")
-_ACTION = re.compile(r"@(Get|Post|Put|Delete|Patch)\(\s*(?:['\"]([^'\"]*)['\"])?\s*\)\s*(?:@\w+\([^)]*\)\s*)*(?:public\s+|private\s+)?(?:async\s+)?([\w$]+)\s*\(")
-_INJECTABLE = re.compile(r"@Injectable\([^)]*\)\s*(?:export\s+)?class\s+([\w$]+)")
-_PARAMETER = re.compile(r"([\w$]+)\s*\??:\s*([A-Za-z_$][\w$]*)")
+#: Calls of scripts in the same terms: keywords are those of an object that is
+#: the first argument.
+SCRIPT_CALLS = (
+    _rule("send", "kafka", "publishes", "topic", place=None),
+    _rule("subscribe", "kafka", "subscribes", "topic topics", place=None),
+    _rule("sendToQueue", "rabbitmq", "publishes", ""),
+    _rule("publish", "rabbitmq", "publishes", "", place=1, owner="^channel$"),
+    _rule("consume", "rabbitmq", "subscribes", ""),
+    _rule("publish", "redis", "publishes", "", owner="^(redis|pub|client)"),
+    _rule("subscribe psubscribe", "redis", "subscribes", "", owner="^(redis|sub|client)"),
+    _rule("Worker", "bullmq", "subscribes", "", owner="^new$"),
+    _rule("Queue", "bullmq", "publishes", "", owner="^new$"),
+    _rule("SendMessageCommand SendMessageBatchCommand", "sqs", "publishes", "QueueUrl", place=None),
+    _rule("ReceiveMessageCommand", "sqs", "subscribes", "QueueUrl", place=None),
+)
 PRIMITIVES = frozenset("string number boolean any unknown object".split())
+MODIFIERS = frozenset("public private protected static async readonly override export default abstract".split())
+
+#: Pieces of a script: comments, which count as nothing, strings, words, signs.
+_PIECE = re.compile(r"//[^\n]*|/\*.*?\*/|(?P<text>'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`)|(?P<word>[\w$]+)|(?P<sign>[^\s\w$])", re.S)
+_OPEN, _CLOSE = "([{", ")]}"
 
 
 def _slashed(path: str) -> str:
@@ -219,30 +220,104 @@ def python_semantics(path: str, text: str) -> list[tuple]:
     return found.rows
 
 
+class _Piece(NamedTuple):
+    kind: str
+    value: str
+    line: int
+
+
+def _pieces(text: str) -> list[_Piece]:
+    """Strings without their quotes, words and signs, with their lines."""
+    out, line, at = [], 1, 0
+    for m in _PIECE.finditer(text):
+        line, at = line + text.count("\n", at, m.start()), m.start()
+        if m.lastgroup:
+            out.append(_Piece(m.lastgroup, m[0][1:-1] if m.lastgroup == "text" else m[0], line))
+    return out
+
+
+def _partners(pieces: list[_Piece]) -> dict[int, int]:
+    """Where each bracket closes; one that never does closes at the end."""
+    found, open_ = {}, []
+    for i, p in enumerate(pieces):
+        if p.kind == "sign" and p.value in _OPEN:
+            open_.append(i)
+        elif p.kind == "sign" and p.value in _CLOSE and open_:
+            found[open_.pop()] = i
+    return found | {i: len(pieces) for i in open_}
+
+
+def _split(pieces: list[_Piece], partner: dict[int, int], first: int, end: int) -> list[tuple[int, int]]:
+    """The stretches between the commas from first to end, brackets skipped."""
+    out, start, i = [], first, first
+    while i < end:
+        if pieces[i] == ("sign", ",", pieces[i].line):
+            out.append((start, i))
+            start = i + 1
+        i = partner.get(i, i) + 1
+    return [*out, (start, end)] if end > first else []
+
+
 def script_semantics(path: str, text: str) -> list[tuple]:
     """Express routes, controllers with their actions, injectables and what
     constructors inject, topics of a JavaScript or TypeScript file."""
-    found, file = _Found(path), f"file:{path}"
-    line = lambda m: text.count("\n", 0, m.start()) + 1
-    for m in _EXPRESS.finditer(text):
-        found.endpoint(m[1].upper(), _slashed(m[2]), "express", line(m), f"func:{path}:{m[3]}" if m[3] else None)
-    # an action belongs to the controller before it
-    controllers = [(m.start(), _slashed(m[1]).rstrip("/") if m[1] else "", m[2]) for m in _CONTROLLER.finditer(text)]
-    for m in _ACTION.finditer(text):
-        prefix, owner = next(((p, c) for at, p, c in reversed(controllers) if at < m.start()), (None, None))
-        if owner:
-            full = prefix + (_slashed(m[2]) if m[2] else "") or "/"
-            found.endpoint(m[1].upper(), full, "nestjs", line(m), f"func:{path}:{owner}.{m[3]}")
-    for m in _INJECTABLE.finditer(text):
-        found.node(f"class:{path}:{m[1]}", m[1], "class", line(m), "injectable")
-    for m in re.finditer(r"\bconstructor\s*\(([^)]*)\)", text):
-        for p in _PARAMETER.finditer(m[1]):
-            if p[2] not in PRIMITIVES:
-                found.edge(file, f"symbol:{p[2]}", "injects", p[1])
-    for broker, kind, pattern in SCRIPT_TOPICS:
-        for m in pattern.finditer(text):
-            name = m[1].rstrip("/").rpartition("/")[2] if broker == "sqs" else m[1]
-            found.topic(name, broker, kind, file, line(m))
+    found, file, pieces = _Found(path), f"file:{path}", _pieces(text)
+    partner, n = _partners(pieces), len(pieces)
+    sign = lambda i, v: 0 <= i < n and pieces[i].kind == "sign" and pieces[i].value == v
+    word = lambda i: pieces[i].value if 0 <= i < n and pieces[i].kind == "word" else ""
+    only = lambda a, b: pieces[a].value if b == a + 1 and pieces[a].kind == "text" else None
+
+    def texts(a: int, b: int) -> list[str]:
+        """A string, or those of a list."""
+        inner = _split(pieces, partner, a + 1, partner[a]) if sign(a, "[") and partner.get(a) == b - 1 else [(a, b)]
+        return [t for x, y in inner if (t := only(x, y))]
+
+    def fields(a: int, b: int) -> dict[str, list[str]]:
+        """Of an object: the strings that its fields hold."""
+        inner = _split(pieces, partner, a + 1, partner[a]) if sign(a, "{") and partner.get(a) == b - 1 else []
+        return {pieces[x].value: texts(x + 2, y) for x, y in inner if sign(x + 1, ":")}
+
+    def declared(i: int) -> int:
+        """Behind further decorators and modifiers: what is decorated."""
+        while i < n and (sign(i, "@") or word(i) in MODIFIERS):
+            i = i + 1 if not sign(i, "@") else partner.get(i + 2, i + 1) + 1
+        return i
+
+    prefix = owner = None
+    for i in range(n):
+        name = word(i)
+        if not name or not sign(i + 1, "("):
+            continue
+        given = _split(pieces, partner, i + 2, min(partner[i + 1], n))
+        line, behind = pieces[i].line, partner[i + 1] + 1
+        first = only(*given[0]) if given else None
+        who = word(i - 2) if sign(i - 1, ".") else word(i - 1)
+        if sign(i - 1, "@"):
+            at = declared(behind)
+            if name in ("Controller", "Injectable") and word(at) == "class" and (at := at + 1):
+                if name == "Injectable":
+                    found.node(f"class:{path}:{word(at)}", word(at), "class", line, "injectable")
+                else:
+                    prefix, owner = _slashed(first).rstrip("/") if first else "", word(at)
+            elif owner and name.lower() in VERBS and name.istitle() and sign(at + 1, "("):
+                found.endpoint(name.upper(), prefix + (_slashed(first) if first else "") or "/", "nestjs", line, f"func:{path}:{owner}.{word(at)}")
+            continue
+        if name in VERBS and who in ("app", "router") and first is not None:
+            last = given[-1]
+            handler = word(last[0]) if len(given) > 1 and last[1] == last[0] + 1 else ""
+            found.endpoint(name.upper(), _slashed(first), "express", line, f"func:{path}:{handler}" if handler else None)
+        if name == "constructor":
+            for a, b in given:
+                colon = next((k for k in range(a, b) if sign(k, ":")), b)
+                kind = word(colon + 1)
+                if kind and kind not in PRIMITIVES:
+                    found.edge(file, f"symbol:{kind}", "injects", word(colon - 2 if sign(colon - 1, "?") else colon - 1))
+        for r in SCRIPT_CALLS:
+            if name in r.calls and (not r.owner or re.search(r.owner, who)):
+                by_name = fields(*given[0]) if given else {}
+                topics = [t for k in r.keywords for t in by_name.get(k, [])] or ([] if r.place is None or len(given) <= r.place else texts(*given[r.place]))
+                for t in topics if r.kind == "subscribes" else topics[:1]:
+                    found.topic(t.rstrip("/").rpartition("/")[2] if r.broker == "sqs" else t, r.broker, r.kind, file, line)
     return found.rows
 
 
