@@ -7,15 +7,16 @@ import itertools
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from ..views import both_directions, closed, simple_undirected
+from .order import placed, running
 from .traverse import descendants, shortest_paths
 
-#: Undirected edges up to which the inherently sequential measures (greedy
-#: merging, deflated power iteration, arc ordering) bring a graph to the
-#: driver; beyond it they refuse instead of answering wrongly.
+#: Edges up to which the greedy and spectral measures take a graph to the
+#: driver, where a step costs less than a job; beyond it they run as joins.
 DRIVER_EDGES = 200_000
 
 
@@ -100,22 +101,73 @@ def gromov_delta(nodes: DataFrame, edges: DataFrame, sample: int = 50, quadruple
     return nodes.sparkSession.createDataFrame([(float(delta), delta <= 1.5, n)], "delta double, tree_like boolean, quadruples int")
 
 
-def _driver_edges(edges: DataFrame) -> list:
-    rows = edges.limit(DRIVER_EDGES + 1).collect()
-    if len(rows) > DRIVER_EDGES:
-        raise ValueError(f"this measure is sequential and takes graphs of up to {DRIVER_EDGES} edges")
-    return rows
-
-
-def greedy_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _driver_rows(edges: DataFrame, most: int) -> list | None:
+    """The rows, if there are no more than most."""
+    rows = edges.limit(most + 1).collect() if most else []
+    return rows if most and len(rows) <= most else None
+
+
+def merged_communities(pairs: DataFrame) -> DataFrame:
+    """id, community of the ends of undirected pairs (u, v), by rounds of joins.
+
+    In a round each community names the neighbour with the highest positive
+    modularity gain, ties to the smaller names.  Two that name each other
+    merge, and others that could gain with one of the two only follow, the
+    highest gains first, as long as they still gain by what has joined before.  The
+    pair of the highest gain of all always merges, and no merge loses
+    modularity.  Communities are named by their smallest member."""
+    links = cut(pairs.select(F.col("u").alias("a"), F.col("v").alias("b"), F.lit(1.0).alias("w")), "links")
+    m = links.count()
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).cast("double").alias("d"))
+    degree = cut(ends.select(F.col("id").alias("c"), "d"), "degree")
+    member = degree.select(F.col("c").alias("id"), F.col("c").alias("community"))
+    if not m:
+        return member
+    d = lambda end: degree.select(F.col("c").alias(end), F.col("d").alias(f"d{end}"))
+    while True:
+        gain = F.col("w") / m - F.col("da") * F.col("db") / (2.0 * m * m)
+        gains = links.join(d("a"), "a").join(d("b"), "b").withColumn("gain", gain).filter("gain > 0")
+        sides = F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("p"), F.col("da").alias("dc")), F.struct(F.col("b").alias("c"), F.col("a").alias("p"), F.col("db").alias("dc")))
+        rows = gains.select("a", "b", "w", "gain", F.explode(sides).alias("s")).select("a", "b", "w", "gain", "s.*")
+        best = rows.groupBy("c").agg(F.min(F.struct((-F.col("gain")).alias("g"), "a", "b", "p", "w", F.col("dc").alias("d"))).alias("m"), F.count(F.lit(1)).alias("options"))
+        best = cut(best.select("c", "options", "m.p", "m.w", "m.d", (-F.col("m.g")).alias("gain")), "best")
+        if best.isEmpty():
+            return member
+        back = best.select(F.col("c").alias("p"), F.col("p").alias("c"), F.col("d").alias("dp"))
+        core = cut(best.join(back, ["c", "p"]).filter("c < p").select(F.col("c").alias("lead"), F.col("p").alias("mate"), (F.col("d") + F.col("dp")).alias("have")), "core")
+        of = core.select("lead", "have", F.explode(F.array("lead", "mate")).alias("p"))
+        rest = best.filter("options = 1").join(core.select(F.explode(F.array("lead", "mate")).alias("c")), "c", "left_anti").join(of, "p")
+        follow = running(rest, [F.desc("gain"), "c"], F.col("d"), "so_far", ["lead"])
+        joins = follow.filter(F.col("w") / m - F.col("d") * (F.col("have") + F.col("so_far") - F.col("d")) / (2.0 * m * m) > 0)
+        moves = cut(core.select(F.col("mate").alias("c"), "lead").union(joins.select("c", "lead")), "moves")
+        # the smallest name leads
+        names = core.select(F.col("lead").alias("c"), "lead").union(moves)
+        least = names.groupBy("lead").agg(F.min("c").alias("to"))
+        moves = cut(names.join(least, "lead").select("c", "to"), "moves")
+        to = lambda end: moves.select(F.col("c").alias(end), F.col("to").alias(f"to_{end}"))
+        member = cut(member.join(to("community"), "community", "left").select("id", F.coalesce("to_community", "community").alias("community")), "member")
+        degree = cut(degree.join(to("c"), "c", "left").groupBy(F.coalesce("to_c", "c").alias("c")).agg(F.sum("d").alias("d")), "degree")
+        moved = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"), "w").filter("a <> b")
+        links = cut(moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w")), "links")
+
+
+def greedy_communities(nodes: DataFrame, edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """id, community (its smallest member): merges the adjacent pair of the
     highest modularity gain until none is positive; ties by smallest names.
 
-    Empty for fewer than three nodes or two undirected edges.  The merge
-    order is sequential, so the distinct pairs come to the driver (checked
-    size); nodes without a pair are communities of their own and stay in Spark."""
-    closed_pairs = closed(nodes, edges)
-    pairs = sorted((r["u"], r["v"]) for r in _driver_edges(simple_undirected(closed_pairs)))
+    Empty for fewer than three nodes or two undirected edges.  That order is
+    sequential: up to driver_edges distinct pairs are merged on the driver,
+    larger graphs by merged_communities().  Nodes without a pair are
+    communities of their own and stay in Spark."""
+    closed_pairs = simple_undirected(closed(nodes, edges))
+    rows = _driver_rows(closed_pairs, driver_edges)
+    if rows is None:
+        merged = merged_communities(closed_pairs)
+        alone = nodes.select("id").distinct().join(merged.select("id"), "id", "left_anti")
+        found = merged.union(alone.select("id", F.col("id").alias("community")))
+        few = closed_pairs.limit(2).count() < 2 or nodes.select("id").limit(3).count() < 3
+        return found.limit(0) if few else found
+    pairs = sorted((r["u"], r["v"]) for r in rows)
     ids = sorted({x for pair in pairs for x in pair})
     spark = nodes.sparkSession
     schema = f"id {nodes.schema['id'].dataType.simpleString()}, community {nodes.schema['id'].dataType.simpleString()}"
@@ -150,14 +202,101 @@ def greedy_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return merged.union(alone.select("id", F.col("id").alias("community")))
 
 
-def fiedler_cut(nodes: DataFrame, edges: DataFrame, rounds: int = 250, tolerance: float = 1e-8) -> DataFrame:
-    """One row (lambda2, conductance, lower, upper, connected, side): deflated
-    power iteration on I + D^-1/2 A D^-1/2 from alternating signs, then the
-    sweep over the sorted vector for the cut of least conductance."""
-    rows = _driver_edges(edges.filter("source_id <> target_id").select(F.least("source_id", "target_id").alias("u"), F.greatest("source_id", "target_id").alias("v")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("w")))
-    found = nodes.select("id").limit(DRIVER_EDGES + 1).collect()
-    if len(found) > DRIVER_EDGES:
-        raise ValueError(f"this measure is sequential and takes graphs of up to {DRIVER_EDGES} nodes")
+def fiedler_vector(nodes: DataFrame, edges: DataFrame, steps: int = 80, tolerance: float = 1e-9) -> tuple[float, DataFrame, DataFrame]:
+    """(lambda2, (id, x, degree), (u, v, w)) of a graph with edges between its nodes.
+
+    Lanczos on I + D^-1/2 A D^-1/2 without its first vector, D^1/2: a step is a
+    join of the edges with the last vector and a sum; each new vector is made
+    orthogonal to all before it, which lie beside it in its row.  Only sums,
+    one for each vector, reach the driver.  x is the second vector by D^-1/2.
+    """
+    pairs = edges.filter("source_id <> target_id").select(F.least("source_id", "target_id").alias("u"), F.greatest("source_id", "target_id").alias("v")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("w"))
+    ids = nodes.select("id").distinct()
+    pairs = cut(pairs.join(ids.withColumnRenamed("id", "u"), "u", "left_semi").join(ids.withColumnRenamed("id", "v"), "v", "left_semi"), "pairs")
+    both = pairs.select(F.col("u").alias("a"), F.col("v").alias("b"), "w").union(pairs.select("v", "u", "w"))
+    degree = cut(ids.join(both.groupBy(F.col("a").alias("id")).agg(F.sum("w").cast("double").alias("degree")), "id", "left").fillna(0.0, ["degree"]), "degree")
+    half = lambda end: degree.filter("degree > 0").select(F.col("id").alias(end), (1 / F.sqrt("degree")).alias(f"h{end}"))
+    scaled = cut(both.join(half("a"), "a").join(half("b"), "b").select("a", "b", (F.col("w") * F.col("ha") * F.col("hb")).alias("w")), "scaled")
+    whole = degree.agg(F.sum("degree")).first()[0] or 0.0
+    if not whole:
+        return 0.0, degree.select("id", F.lit(0.0).alias("x"), "degree"), pairs
+    # v holds the first vector and all that were found; y is the next one before it is made orthogonal
+    sign = F.when(F.pmod(F.xxhash64("id"), F.lit(2)) == 0, 1.0).otherwise(-1.0) + F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1000)) / 1000.0
+    now = cut(degree.select("id", F.array(F.sqrt(F.col("degree") / whole)).alias("v"), sign.alias("y")), "lanczos")
+    dots = lambda df, n: list(df.agg(*(F.sum(F.col("v")[i] * F.col("y")) for i in range(n))).first())
+    alpha, beta = [], []
+    for k in range(1, steps + 2):
+        for turn in range(2):  # a second time, for what rounding left
+            c = dots(now, k)
+            if turn == 0 and k > 1:
+                alpha.append(c[-1])
+            minus = F.col("y")
+            for i, x in enumerate(c):
+                minus = minus - F.lit(x) * F.col("v")[i]
+            now = cut(now.select("id", "v", minus.alias("y")), "lanczos")
+        size = math.sqrt(now.agg(F.sum(F.col("y") * F.col("y"))).first()[0] or 0.0)
+        if k > 1:
+            values, vectors = np.linalg.eigh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))
+            if size * abs(vectors[-1, -1]) < tolerance or size < 1e-10 or k > steps:
+                break
+            beta.append(size)
+        elif size < 1e-10:
+            return 0.0, degree.select("id", F.lit(0.0).alias("x"), "degree"), pairs
+        unit = now.select("id", F.concat("v", F.array(F.col("y") / size)).alias("v"))
+        flow = scaled.join(unit.select(F.col("id").alias("b"), F.element_at("v", -1).alias("q")), "b").groupBy(F.col("a").alias("id")).agg(F.sum(F.col("w") * F.col("q")).alias("flow"))
+        now = cut(unit.join(flow, "id", "left").select("id", "v", (F.element_at("v", -1) + F.coalesce("flow", F.lit(0.0))).alias("y")), "lanczos")
+    x = F.lit(0.0)
+    for i, part in enumerate(vectors[:, -1]):
+        x = x + F.lit(float(part)) * F.col("v")[i + 1]
+    found = now.select("id", x.alias("x")).join(degree, "id").select("id", F.when(F.col("degree") > 0, F.col("x") / F.sqrt("degree")).otherwise(0.0).alias("x"), "degree")
+    return min(2.0, max(0.0, 2 - float(values[-1]))), cut(found, "fiedler"), pairs
+
+
+def sweep(vector: DataFrame, pairs: DataFrame) -> tuple[float, DataFrame]:
+    """(conductance, (id, side)) of the best cut of the nodes (id, x, degree) in
+    the order of x: side is true for the smaller part.
+
+    Places come from ranges of the order.  A pair (u, v, w) is cut between its
+    ends' places, so a cut's weight and volume are running sums by place."""
+    laid = cut(placed(vector, ["x", "id"]), "placed")
+    at = lambda end: laid.select(F.col("id").alias(end), F.col("place").alias(f"p{end}"))
+    ends = pairs.join(at("u"), "u").join(at("v"), "v").select("w", F.least("pu", "pv").alias("lo"), F.greatest("pu", "pv").alias("hi"))
+    change = ends.select(F.explode(F.array(F.struct(F.col("lo").alias("place"), F.col("w").alias("w")), F.struct(F.col("hi").alias("place"), (-F.col("w")).alias("w")))).alias("e")).groupBy("e.place").agg(F.sum("e.w").alias("w"))
+    steps = laid.join(change, "place", "left").select("place", "degree", F.coalesce("w", F.lit(0)).cast("double").alias("w"))
+    sums = running(running(steps, ["place"], F.col("w"), "cut"), ["place"], F.col("degree"), "volume")
+    n, whole = laid.agg(F.count(F.lit(1)), F.sum("degree")).first()
+    small = F.least("volume", F.lit(whole) - F.col("volume"))
+    best = sums.filter(F.col("place") < n - 1).filter(small > 0).agg(F.min(F.struct(F.round(F.col("cut") / small, 12).alias("c"), "place")).alias("b")).first()["b"]
+    if best is None:
+        return 0.0, laid.select("id", F.lit(False).alias("side"))
+    first = best["place"] + 1
+    below = F.col("place") < first
+    # of equal halves that with the smallest name
+    front = laid.agg(F.min_by("place", "id")).first()[0] < first if first * 2 == n else first * 2 < n
+    return best["c"], laid.select("id", (below if front else ~below).alias("side"))
+
+
+def fiedler_sides(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, side of every node: the two parts of the cut, in Spark throughout."""
+    _, vector, pairs = fiedler_vector(nodes, edges)
+    return sweep(vector, pairs)[1]
+
+
+def fiedler_cut(nodes: DataFrame, edges: DataFrame, rounds: int = 250, tolerance: float = 1e-8, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+    """One row (lambda2, conductance, lower, upper, connected, side): the second
+    vector of I + D^-1/2 A D^-1/2, then the sweep over it for the cut of least
+    conductance.  Up to driver_edges pairs and nodes a deflated power iteration
+    on the driver, beyond that fiedler_vector(); side, the smaller part, is
+    null above driver_edges members or DRIVER_EDGES: see fiedler_sides()."""
+    weights = edges.filter("source_id <> target_id").select(F.least("source_id", "target_id").alias("u"), F.greatest("source_id", "target_id").alias("v")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("w"))
+    rows, found = _driver_rows(weights, driver_edges), _driver_rows(nodes.select("id"), driver_edges)
+    if rows is None or found is None:
+        lam, vector, pairs = fiedler_vector(nodes, edges)
+        conductance, sides = sweep(vector, pairs)
+        side = _driver_rows(sides.filter("side").select("id"), DRIVER_EDGES)
+        kind = nodes.schema["id"].dataType.simpleString()
+        row = (round(lam, 6), round(conductance, 6), round(lam / 2, 6), round(math.sqrt(2 * lam), 6), lam > 1e-5, sorted(r["id"] for r in side) if side is not None else None)
+        return nodes.sparkSession.createDataFrame([row], f"lambda2 double, conductance double, lower double, upper double, connected boolean, side array<{kind}>")
     ids = sorted(r["id"] for r in found)
     at = {x: i for i, x in enumerate(ids)}
     n = len(ids)
@@ -189,10 +328,10 @@ def fiedler_cut(nodes: DataFrame, edges: DataFrame, rounds: int = 250, tolerance
     place = np.empty(n, int)
     place[order] = np.arange(n)
     lo, hi = np.minimum(place[u], place[v]), np.maximum(place[u], place[v])
-    cut = np.cumsum(np.bincount(lo, w, n) - np.bincount(hi, w, n))[:-1]
+    crossing = np.cumsum(np.bincount(lo, w, n) - np.bincount(hi, w, n))[:-1]
     volume = np.cumsum(deg[order])[:-1]
     small = np.minimum(volume, deg.sum() - volume)
-    cond = np.where(small > 0, cut / np.where(small > 0, small, 1), np.inf)
+    cond = np.where(small > 0, crossing / np.where(small > 0, small, 1), np.inf)
     k = int(cond.argmin())
     side = sorted(ids[i] for i in order[: k + 1])
     other = sorted(ids[i] for i in order[k + 1 :])
@@ -200,10 +339,51 @@ def fiedler_cut(nodes: DataFrame, edges: DataFrame, rounds: int = 250, tolerance
     return spark.createDataFrame([(round(float(lam), 6), round(float(cond[k]), 6), round(float(lam) / 2, 6), round(math.sqrt(2 * lam), 6), bool(lam > 1e-5), best)], schema)
 
 
-def feedback_arcs(edges: DataFrame) -> DataFrame:
+def peeled_arcs(edges: DataFrame) -> DataFrame:
     """source_id, target_id of the arcs that go backward in an order made by
-    peeling sinks and sources, else the node of the largest out - in degree."""
-    rows = _driver_edges(edges.filter("source_id <> target_id").select("source_id", "target_id").distinct())
+    rounds of joins: all sinks go to the end, else all sources to the front,
+    else nodes of a high out - in degree to the front.
+
+    Those are the ones whose degree exceeds that of all their neighbours, ties
+    to the smaller name, and half of the highest.  No two of a round are
+    neighbours, so they could as well go one after the other."""
+    arcs = cut(edges.filter("source_id <> target_id").select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct(), "arcs")
+    left, order = arcs, None
+    for n in itertools.count(1):
+        if left.isEmpty():
+            break
+        ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("b").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
+        degree = cut(ends.groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i")), "degree")
+        sinks, sources, top = degree.agg(F.count(F.when(F.col("o") == 0, 1)), F.count(F.when(F.col("i") == 0, 1)), F.max(F.col("o") - F.col("i"))).first()
+        if sinks:
+            gone = degree.filter("o = 0").select("id", F.lit(1).alias("part"), F.lit(-n).alias("turn"))
+        elif sources:
+            gone = degree.filter("i = 0").select("id", F.lit(0).alias("part"), F.lit(n).alias("turn"))
+        else:
+            rank = lambda end: degree.select(F.col("id").alias(end), F.struct((F.col("i") - F.col("o")).alias("r"), F.col("id").alias("n")).alias(f"r{end}"))
+            high = degree.filter(F.col("o") - F.col("i") >= max(top - top // 2, 0) if top > 0 else F.col("o") - F.col("i") == top)
+            met = left.join(rank("a"), "a").join(rank("b"), "b")
+            behind = met.select(F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+            gone = high.join(behind, "id", "left_anti").select("id", F.lit(0).alias("part"), F.lit(n).alias("turn"))
+        gone = cut(gone, "gone")
+        order = gone if order is None else cut(order.union(gone), "order")
+        left = cut(left.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti"), "arcs")
+    if order is None:
+        return edges.select("source_id", "target_id").limit(0)
+    # what is left behind by the last round has no arcs any more: it fits anywhere
+    at = lambda end: order.select(F.col("id").alias(end), F.struct("part", "turn").alias(f"p{end}"))
+    rest = F.struct(F.lit(0).alias("part"), F.lit(2**31 - 1).alias("turn"))
+    both = arcs.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    return both.filter(F.coalesce("pa", rest) > F.coalesce("pb", rest)).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"))
+
+
+def feedback_arcs(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+    """source_id, target_id of the arcs that go backward in an order made by
+    peeling sinks and sources, else the node of the largest out - in degree;
+    above driver_edges distinct arcs by peeled_arcs()."""
+    rows = _driver_rows(edges.filter("source_id <> target_id").select("source_id", "target_id").distinct(), driver_edges)
+    if rows is None:
+        return peeled_arcs(edges)
     arcs = sorted((r[0], r[1]) for r in rows)
     succ, pred = {}, {}
     for a, b in arcs:
@@ -304,9 +484,3 @@ def adjustment_set(edges: DataFrame, x, y) -> list:
     up = descendants(edges, spark.createDataFrame([(x,), (y,)], f"id {kind}"), reverse=True)
     common = sorted(r["id"] for r in up.groupBy("id").agg(F.countDistinct("start").alias("n")).filter("n = 2").collect())
     return common if common and backdoor_admissible(edges, x, y, common) else []
-
-
-def running_sweep(values: DataFrame) -> DataFrame:
-    """values (id, x, degree): prefix volume in order of x, for cut sweeps."""
-    w = Window.orderBy("x", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return values.withColumn("volume", F.sum("degree").over(w))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import views
 from ..functions.text import normalise_name
 from ..operators import analytics, governance, rank, traverse
+from ..storage import cut
 from . import sql
 from .registry import query
 
@@ -276,9 +277,56 @@ def greedy_communities(spark, d):
     return analytics.greedy_communities(*trade(spark, d))
 
 
-@query(None)
+_FIEDLER = f"""WITH RECURSIVE {sql.TRADE}, p AS (SELECT least(src, tgt) AS u, greatest(src, tgt) AS v, count(*) AS w FROM trade WHERE src <> tgt GROUP BY 1, 2),
+z AS (SELECT u AS a, v AS b, w FROM p UNION ALL SELECT v, u, w FROM p), d AS (SELECT a AS id, sum(w)::DOUBLE AS d FROM z GROUP BY 1),
+m AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT x.id AS i, list(CASE WHEN x.id = y.id THEN 1.0 ELSE 0.0 END::DOUBLE + coalesce(z.w, 0) / sqrt(x.d * y.d) ORDER BY y.id) AS r FROM d x CROSS JOIN d y LEFT JOIN z ON z.a = x.id AND z.b = y.id GROUP BY x.id)),
+t AS MATERIALIZED (SELECT list(sqrt(d) / (SELECT sqrt(sum(d)) FROM d) ORDER BY id) AS t, list((CASE WHEN id % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE ORDER BY id) AS x, list(id ORDER BY id) AS ids FROM d),
+s AS (SELECT 0 AS k, x FROM t UNION ALL SELECT k + 1, list_transform(y, lambda e: e / sqrt(list_dot_product(y, y))) FROM (SELECT k, list_transform(g, lambda e, i: e - c * t[i]) AS y FROM (
+  SELECT k, t, g, list_dot_product(g, t) AS c FROM (SELECT k, t.t, list_transform(m, lambda r: list_dot_product(r, s.x)) AS g FROM s, m, t WHERE k < 3000)))),
+f AS (SELECT x, 2 - list_dot_product(x, list_transform(m, lambda r: list_dot_product(r, x))) AS lam FROM s, m WHERE k = 3000),
+q AS (SELECT unnest(t.ids) AS id, unnest(f.x) AS x FROM f, t), o AS (SELECT id, d, row_number() OVER (ORDER BY x / sqrt(d), id) AS k, sum(d) OVER (ORDER BY x / sqrt(d), id ROWS UNBOUNDED PRECEDING) AS vol FROM q JOIN d USING (id)),
+c AS (SELECT o.k, round((SELECT sum(w) FROM p JOIN o a ON a.id = u JOIN o b ON b.id = v WHERE least(a.k, b.k) <= o.k AND greatest(a.k, b.k) > o.k) / least(vol, (SELECT sum(d) FROM d) - vol), 12) AS c FROM o WHERE k < (SELECT count(*) FROM o)),
+best AS (SELECT c, k FROM c ORDER BY c, k LIMIT 1), l AS (SELECT list_sort(list(id) FILTER (o.k <= best.k)) AS a, list_sort(list(id) FILTER (o.k > best.k)) AS b FROM o, best)
+SELECT round(lam, 5) AS lambda2, round(c, 6) AS conductance, lam > 1e-5 AS connected, array_to_string(CASE WHEN len(a) < len(b) OR len(a) = len(b) AND a < b THEN a ELSE b END, '>') AS side FROM f, best, l"""
+
+
+@query(_FIEDLER)
 def fiedler_cut(spark, d):
-    return analytics.fiedler_cut(*trade(spark, d))
+    """The cut by joins and running sums, as on a graph of any size."""
+    found = analytics.fiedler_cut(*trade(spark, d), driver_edges=0)
+    return joined(found.select(F.round("lambda2", 5).alias("lambda2"), "conductance", "connected", "side"), "side")
+
+
+@query(f"WITH {_RINGS} SELECT coalesce(sum(n), 0)::BIGINT AS edges, coalesce(sum(n), 0)::BIGINT AS nodes, TRUE AS all_named, TRUE AS within, TRUE AS gains FROM r")
+def communities_of_rings(spark, d):
+    """Communities of rings of customers by joins: every node has one, named by
+    its smallest member and within one ring, and they gain over single nodes."""
+    edges = views.customer_rings(spark, d)
+    c = views.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    edges = views.closed(c, edges)
+    whole = edges.groupBy(F.expr("source_id div 12").alias("block")).agg(F.count(F.lit(1)).alias("n")).filter("n = 6 + block % 7").select("block")
+    edges = cut(edges.withColumn("block", F.expr("source_id div 12")).join(whole, "block", "left_semi").select("source_id", "target_id"), "rings")
+    found = cut(analytics.greedy_communities(edges.select(F.col("source_id").alias("id")), edges, driver_edges=0), "communities")
+    pairs = views.simple_undirected(edges)
+    block = F.expr("id div 12")
+    per = found.groupBy("community").agg(F.min("id").alias("least"), F.min(block).alias("a"), F.max(block).alias("b"))
+    named = per.agg(F.bool_and(F.col("community") == F.col("least")).alias("all_named"), F.bool_and(F.col("a") == F.col("b")).alias("within"))
+    gains = analytics.modularity(pairs, found).select((F.col("q") > 0).alias("gains"))
+    counts = pairs.agg(F.count(F.lit(1)).alias("edges")).crossJoin(found.agg(F.count_distinct("id").alias("nodes")))
+    return counts.crossJoin(named).crossJoin(gains)
+
+
+@query("WITH e AS (SELECT DISTINCT 's:' || l_suppkey AS a, 'p:' || l_partkey AS b FROM lineitem UNION SELECT DISTINCT 'p:' || l_partkey, 's:' || l_suppkey FROM lineitem WHERE l_returnflag = 'R') SELECT count(*) AS arcs, 0::BIGINT AS on_cycles, TRUE AS few FROM e")
+def arcs_without_feedback(spark, d):
+    """Line item arcs without their feedback arcs, which joins found: no node
+    is on a cycle any more, and at most half of the arcs went."""
+    edges = views.line_edges(spark, d)
+    arcs = cut(edges.select("source_id", "target_id").distinct(), "arcs")
+    back = cut(analytics.feedback_arcs(edges, driver_edges=0), "feedback")
+    kept = arcs.join(back, ["source_id", "target_id"], "left_anti").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    left = traverse.levels(cut(kept, "kept"))[1].agg(F.count(F.lit(1)).alias("on_cycles"))
+    counts = arcs.agg(F.count(F.lit(1)).alias("arcs")).crossJoin(back.agg(F.count(F.lit(1)).alias("n")))
+    return counts.crossJoin(left).select("arcs", "on_cycles", (F.col("n") * 2 <= F.col("arcs")).alias("few"))
 
 
 @query(None)
