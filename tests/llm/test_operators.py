@@ -123,6 +123,12 @@ def test_rounds_of_an_ordered_path(spark, monkeypatch):
     roots = components.connected(spark.createDataFrame([(i, i + 1) for i in range(1000)], "x long, y long"))
     assert roots.select("root").distinct().count() == 1 and roots.count() == 1001
     assert made.count("move") <= 16
+    # a star ends with the second round, whatever its size and its centre's place
+    del made[:]
+    spokes = spark.range(3000).selectExpr("5L AS x", "id AS y").union(spark.range(3000, 6000).selectExpr("id AS x", "4500L AS y"))
+    roots = components.connected(spokes)
+    assert roots.select("root").distinct().count() == 2 and roots.count() == 6000
+    assert made.count("move") <= 2
 
 
 # --- language, toxicity --------------------------------------------------
