@@ -1,4 +1,4 @@
-"""Lexical, vector and fused retrieval, and selection under a token budget."""
+"""Lexical, vector and fused retrieval, names that are near, budgets by prefix."""
 
 from __future__ import annotations
 
@@ -8,14 +8,12 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import hash_place, jaccard, terms, token_cost, word_set
+from ..functions.text import hash_place, terms
 from ..storage import cut
 from .order import running
 
 #: Usual BM25 constants.
 K1, B = 1.2, 0.75
-#: Seeds of a choice, and similarities to them that the driver takes.
-SEEDS, PAIRS = 1_000, 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -138,56 +136,6 @@ def budget_prefix(scored: DataFrame, budget: int, header: int = 0) -> DataFrame:
     return laid.withColumn("used", (F.col("used") + F.lit(header)).cast("long")).filter(F.col("used") <= budget)
 
 
-def select_submodular(candidates: DataFrame, seeds: DataFrame, budget: int, default_distance: float = 3.0) -> DataFrame:
-    """id, cost, gain in the order of choice: greedy cover of the seeds.
-
-    f(S) = sum over seeds of weight * ln(1 + sum over S of similarity *
-    e^(-distance / 2)); each step takes the best gain per token that fits,
-    until none is above 1e-6; a better single candidate replaces the whole.
-    candidates: (id, text[, distance]), seeds: (id, text, weight); their
-    similarities are computed in Spark, the choice on the driver among the
-    candidates that fit the budget and are similar to a seed; no other gains.
-    The seeds are what a pack is for, SEEDS at most; the driver takes PAIRS
-    similarities at most.  More is refused.
-    """
-    if seeds.limit(SEEDS + 1).count() > SEEDS:
-        raise ValueError(f"a choice takes up to {SEEDS} seeds")
-    distance = F.coalesce(F.col("distance"), F.lit(default_distance)) if "distance" in candidates.columns else F.lit(default_distance)
-    left = candidates.select("id", token_cost(F.col("text")).alias("cost"), word_set(F.col("text")).alias("a"), F.exp(-0.5 * distance).alias("decay"))
-    right = seeds.select(F.col("id").alias("seed"), F.col("weight").cast("double").alias("weight"), word_set(F.col("text")).alias("b"))
-    rows = left.join(F.broadcast(right)).select("id", "cost", "seed", "weight", (jaccard(F.col("a"), F.col("b")) * F.col("decay")).alias("s")).filter((F.col("cost") <= budget) & (F.col("s") > 0)).limit(PAIRS + 1).collect()
-    if len(rows) > PAIRS:
-        raise ValueError(f"a choice is made among up to {PAIRS} similarities of candidates to seeds")
-    rows.sort(key=lambda r: (r["id"], r["seed"]))
-    cost, pull, weight = {}, {}, {}
-    for r in rows:
-        cost[r["id"]], weight[r["seed"]] = r["cost"], r["weight"]
-        pull.setdefault(r["id"], {})[r["seed"]] = r["s"]
-
-    def value(chosen) -> float:
-        return sum(w * math.log1p(sum(pull[c].get(s, 0.0) for c in chosen)) for s, w in weight.items())
-
-    chosen, used, now, gains = [], 0, 0.0, []
-    while True:
-        best = None
-        for c in sorted(cost):
-            if c not in chosen and used + cost[c] <= budget:
-                gain = value([*chosen, c]) - now
-                key = (gain / max(cost[c], 1), gain)
-                if best is None or key > best[0]:
-                    best = (key, c, gain)
-        if best is None or best[2] <= 1e-6:
-            break
-        chosen.append(best[1])
-        gains.append(best[2])
-        used, now = used + cost[best[1]], now + best[2]
-    single = max(((value([c]), c) for c in sorted(cost) if cost[c] <= budget), default=(0.0, None))
-    if single[0] > now:
-        chosen, gains = [single[1]], [single[0]]
-    spark = candidates.sparkSession
-    return spark.createDataFrame([(i, c, cost[c], float(g)) for i, (c, g) in enumerate(zip(chosen, gains), 1)], "place int, id string, cost int, gain double")
-
-
 def _pairs_of_letters(names: DataFrame, column: str) -> DataFrame:
     """column, size, gram: the distinct pairs of neighbouring letters of names."""
     c = F.col(column)

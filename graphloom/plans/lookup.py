@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..functions import text
-from ..operators import governance, retrieval, telemetry
+from ..operators import choice, governance, retrieval, telemetry
 from ..operators.textindex import TextIndex
 from ..storage import shared_dir
 from . import sql
@@ -297,7 +297,15 @@ def submodular_pack(spark, d):
     b = views.table(spark, d, "benchmark")
     c = b.filter("item_id >= 5").select(F.col("item_id").cast("string").alias("id"), "text")
     seeds = b.filter("item_id < 5").select(F.col("item_id").cast("string").alias("id"), "text", F.lit(1.0).alias("weight"))
-    return retrieval.select_submodular(c, seeds, 300)
+    return choice.select_submodular(c, seeds, 300)
+
+
+@query(None)
+def submodular_documents(spark, d):
+    """Documents that cover the benchmark's items, chosen by rounds in Spark."""
+    seeds = views.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text", F.lit(1.0).alias("weight"))
+    c = views.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    return choice.select_submodular(c, seeds, 400, driver_pairs=0)
 
 
 @query("WITH t AS (SELECT event_type AS topic, count_if(user_id % 3 = 0) AS pubs, count_if(user_id % 3 = 1 AND event_type <> 'error') AS subs FROM events GROUP BY 1) SELECT topic, pubs AS publishers, subs AS subscribers, CASE WHEN pubs = 0 AND subs = 0 THEN 'isolated' WHEN pubs = 0 THEN 'no_publishers' WHEN subs = 0 THEN 'no_subscribers' ELSE 'connected' END AS state FROM t")

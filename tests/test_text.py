@@ -2,12 +2,13 @@
 
 import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.operators import retrieval
+from graphloom.operators import choice, retrieval
 
 
 def one(spark, column, value):
@@ -63,7 +64,7 @@ def test_submodular_is_near_the_optimum(spark):
     texts = ["alpha beta", "beta gamma delta", "gamma", "alpha delta epsilon"]
     c = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
     s = spark.createDataFrame([("s", "alpha beta gamma", 1.0), ("t", "delta epsilon", 1.0)], "id string, text string, weight double")
-    got = [r["id"] for r in retrieval.select_submodular(c, s, 8).collect()]
+    got = [r["id"] for r in choice.select_submodular(c, s, 8).collect()]
     words = lambda t: set(t.split())
     sim = lambda a, b: max(0.05, len(words(a) & words(b)) / len(words(a) | words(b))) * math.exp(-1.5)
     value = lambda pick: sum(math.log1p(sum(sim(texts[int(i)], q) for i in pick)) for q in ("alpha beta gamma", "delta epsilon"))
@@ -72,6 +73,50 @@ def test_submodular_is_near_the_optimum(spark):
     assert cost(got) <= 8 and value(got) >= 0.632 * best
 
 
+def plain_choice(candidates, seeds, budget):
+    """The greedy cover, every gain from the whole value, step by step."""
+    words = lambda t: set(t.lower().split())
+    pull = {i: [max(0.05, len(words(t) & words(b)) / max(1, len(words(t) | words(b)))) * math.exp(-0.5 * d) for _, b, _ in seeds] for i, t, d in candidates}
+    cost = {i: math.ceil(len(t) / 3.7) for i, t, _ in candidates}
+    value = lambda pick: sum(w * math.log1p(sum(pull[i][j] for i in pick)) for j, (_, _, w) in enumerate(seeds))
+    chosen, gains = [], []
+    while fit := [i for i in pull if i not in chosen and sum(cost[c] for c in chosen) + cost[i] <= budget]:
+        gain = {i: round(value([*chosen, i]) - value(chosen), 12) for i in fit}
+        best = min(fit, key=lambda i: (-gain[i] / max(1, cost[i]), -gain[i], i))
+        if gain[best] <= 1e-6:
+            break
+        chosen.append(best)
+        gains.append(gain[best])
+    alone = max((value([i]), i) for i in pull if cost[i] <= budget)
+    return ([alone[1]], [alone[0]]) if alone[0] > sum(gains) + 1e-9 else (chosen, gains)
+
+
+@pytest.mark.parametrize("budget,batch", [(60, 3), (25, 64)])
+def test_submodular_both_ways_are_the_plain_greedy(spark, budget, batch):
+    draw = random.Random(budget)
+    say = lambda n: " ".join(f"w{min(draw.randrange(30), draw.randrange(30))}" for _ in range(n))
+    c = [(f"c{i:02}", say(draw.randrange(1, 12)), float(draw.randrange(4))) for i in range(40)]
+    c.append(("c99", c[7][1], c[7][2]))  # a tie
+    s = [(f"s{i}", say(draw.randrange(2, 15)), draw.choice([0.5, 1.0, 3.0])) for i in range(12)]
+    odd = [(None, "w1", 0.0), ("void", None, 0.0)]
+    cs = spark.createDataFrame(c + odd, "id string, text string, distance double")
+    ss = spark.createDataFrame(s, "id string, text string, weight double")
+    ids, gains = plain_choice(c, s, budget)
+    for pairs in (10**6, 0):
+        got = choice.select_submodular(cs, ss, budget, driver_pairs=pairs, batch=batch).orderBy("place").collect()
+        assert [r["id"] for r in got] == ids
+        assert [r["gain"] for r in got] == pytest.approx(gains, abs=1e-9)
+
+
+def test_submodular_of_nothing(spark):
+    cs = spark.createDataFrame([], "id string, text string")
+    ss = spark.createDataFrame([("s", "w", None)], "id string, text string, weight double")
+    for pairs in (10, -1):
+        assert choice.select_submodular(cs, ss, 9, driver_pairs=pairs).count() == 0
+        assert choice.select_submodular(ss.select("id", "text"), ss.limit(0), 9, driver_pairs=pairs).count() == 0
+        assert [r["id"] for r in choice.select_submodular(ss.select("id", "text"), ss, 9, driver_pairs=pairs).collect()] == ["s"]
+
+
 def test_nearest_and_budget(spark):
     names = spark.createDataFrame([("process_batch",), ("User",)], "name string")
     got = retrieval.nearest_names(spark.createDataFrame([("proces_batch",)], "name string"), names).first()
