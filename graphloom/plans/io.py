@@ -110,6 +110,17 @@ def openapi_endpoints(spark, d):
     return docs.openapi_endpoints(files, "shop").select("id", "method", "route")
 
 
+@query(
+    "WITH s AS (SELECT s_suppkey::VARCHAR AS k, s_name AS m FROM supplier) SELECT 'schema:Supplier' || k AS id, 'Supplier' || k AS name, k || '.json' AS path, m AS docstring FROM s "
+    "UNION ALL SELECT 'schema:Note', 'Note', k || '.json', 'Data model schema for Note' FROM s UNION ALL SELECT 'schema:Old' || k, 'Old' || k, k || '-old.json', 'Data model schema for Old' || k FROM s"
+)
+def openapi_schemas(spark, d):
+    s = views.table(spark, d, "supplier").withColumn("k", F.col("s_suppkey").cast("string"))
+    new = s.select(F.concat("k", F.lit(".json")).alias("path"), text_of('{"components": {"schemas": {"Supplier', "$k", '": {"description": "', "$s_name", '"}, "Note": {}}}, "definitions": {"Unread": {}}}'))
+    old = s.select(F.concat("k", F.lit("-old.json")).alias("path"), text_of('{"components": {"schemas": {}}, "definitions": {"Old', "$k", '": {"description": ""}}}'))
+    return docs.openapi_schemas(new.union(old), "local")
+
+
 @query("SELECT 'repo:shop:endpoint:' || m || ':/n/' || n_nationkey || '/{id}' AS id, m AS method FROM nation, (VALUES ('GET'), ('DELETE')) v(m)")
 def openapi_yaml(spark, d):
     n = nation(spark, d)

@@ -74,13 +74,33 @@ def diagrams(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, a.union(b).select(v("s").alias("source_id"), v("t").alias("target_id"), F.lit("references").alias("edge_type"), "label")
 
 
+def _owner(repo: str) -> str:
+    """What ids of a repository begin with: nothing for the local one."""
+    return "" if repo == "local" else f"repo:{repo}:"
+
+
 def openapi_endpoints(files: DataFrame, repo: str) -> DataFrame:
     """id, name, method, route of OpenAPI documents in JSON (path, text)."""
     paths = F.try_variant_get(F.try_parse_json(F.col("text")), "$.paths", "map<string,variant>")
     r = files.select(F.explode(paths).alias("route", "ops")).select("route", F.explode(F.try_variant_get("ops", "$", "map<string,variant>")).alias("method", "op"))
     r = r.filter(F.lower("method").isin("get", "put", "post", "delete", "patch", "head", "options"))
     m = F.upper("method")
-    return r.select(F.concat(F.lit(f"repo:{repo}:endpoint:"), m, F.lit(":"), "route").alias("id"), F.concat_ws(" ", m, "route").alias("name"), m.alias("method"), "route")
+    return r.select(F.concat(F.lit(_owner(repo) + "endpoint:"), m, F.lit(":"), "route").alias("id"), F.concat_ws(" ", m, "route").alias("name"), m.alias("method"), "route")
+
+
+def openapi_schemas(files: DataFrame, repo: str) -> DataFrame:
+    """id, name, path, docstring of the data schemas of OpenAPI documents in
+    JSON (path, text): those of components or, where it has none, of the older
+    block definitions; a schema's description, or a text with its name.  Other
+    documents, null and broken ones have none."""
+    kind = "map<string,variant>"
+    block = lambda at: F.try_variant_get("v", at, kind)
+    new = block("$.components.schemas")
+    parsed = files.select("path", F.try_parse_json(F.col("text")).alias("v"))
+    found = parsed.select("path", F.explode(F.when(F.size(new) > 0, new).otherwise(block("$.definitions"))).alias("name", "schema"))
+    said = F.nullif(F.try_variant_get("schema", "$.description", "string"), F.lit(""))
+    doc = F.coalesce(said, F.concat(F.lit("Data model schema for "), "name"))
+    return found.select(F.concat(F.lit(_owner(repo) + "schema:"), "name").alias("id"), "name", "path", doc.alias("docstring"))
 
 
 def sections(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -136,4 +156,4 @@ def openapi_yaml_endpoints(files: DataFrame, repo: str) -> DataFrame:
     step = F.min("indent").over(Window.partitionBy("path", "at"))
     below = below.withColumn("step", step).filter("indent = step")
     m = F.upper("key")
-    return below.select(F.concat(F.lit(f"repo:{repo}:endpoint:"), m, F.lit(":"), F.col("at.route")).alias("id"), F.concat_ws(" ", m, F.col("at.route")).alias("name"), m.alias("method"), F.col("at.route").alias("route")).distinct()
+    return below.select(F.concat(F.lit(_owner(repo) + "endpoint:"), m, F.lit(":"), F.col("at.route")).alias("id"), F.concat_ws(" ", m, F.col("at.route")).alias("name"), m.alias("method"), F.col("at.route").alias("route")).distinct()

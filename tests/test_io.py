@@ -55,6 +55,11 @@ def test_documents(spark):
     assert nodes.filter("path = 'p.puml'").count() == 2 and edges.filter("label = 'checks'").count() == 1
     api = spark.createDataFrame([("o.json", json.dumps({"paths": {"/a": {"get": {}, "parameters": []}}}))], "path string, text string")
     assert docs.openapi_endpoints(api, "r").first()["id"] == "repo:r:endpoint:GET:/a"
+    assert docs.openapi_endpoints(api, "local").first()["id"] == "endpoint:GET:/a"
+    texts = [json.dumps({"components": {"schemas": {"A": {"description": "An a"}, "B": True}}, "definitions": {"C": {}}}), json.dumps({"definitions": {"C": {}}}), json.dumps({"definitions": [1]}), "{", "", None]
+    contracts = spark.createDataFrame([(f"{i}.json", t) for i, t in enumerate(texts)], "path string, text string")
+    found = {(r["path"], r["id"], r["docstring"]) for r in docs.openapi_schemas(contracts, "r").collect()}
+    assert found == {("0.json", "repo:r:schema:A", "An a"), ("0.json", "repo:r:schema:B", "Data model schema for B"), ("1.json", "repo:r:schema:C", "Data model schema for C")}
 
 
 def test_sinks(spark, tmp_path):
