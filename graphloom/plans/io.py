@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from .. import sinks, views
+from .. import sinks, stores, views
 from ..functions import text
 from ..operators import analytics, lineage, retrieval, review, telemetry
 from ..resolve import resolve_targets
 from ..sources import code, docs, packages, traces
+from ..storage import shared_dir
 from ..streaming import telemetry as streaming
 from . import sql
 from .change import ref
@@ -217,6 +220,42 @@ def file_fingerprints(spark, d):
     return streaming.fingerprints(t.select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content")))
 
 
+def _store(spark):
+    return f"{shared_dir(spark)}/graphloom/store-{uuid.uuid4().hex}"
+
+
+@query("SELECT vec_id::VARCHAR AS node_id, len(embedding) AS dimension, CASE WHEN vec_id % 10 = 1 THEN 0.0 ELSE round(embedding[1]::DOUBLE, 4) END AS first FROM embeddings WHERE vec_id % 10 <> 0")
+def stored_embeddings(spark, d):
+    """Vectors saved packed and unpacked again, some replaced, some removed."""
+    e, folder = views.table(spark, d, "embeddings"), _store(spark)
+    rows = e.select(F.col("vec_id").cast("string").alias("node_id"), F.size("embedding").alias("dimension"), F.col("embedding").cast("array<float>").alias("vector"), (F.col("vec_id") % 10).alias("m"))
+    stores.save(stores.unpack_vectors(stores.pack_vectors(rows.drop("m"))), folder, "embeddings", buckets=8)
+    stores.save(rows.filter("m = 1").withColumn("vector", F.transform("vector", lambda _: F.lit(0.0))), folder, "embeddings")
+    stores.remove(spark, folder, "embeddings", rows.filter("m = 0"))
+    return stores.load(spark, folder, "embeddings").select("node_id", "dimension", F.round(F.col("vector")[0].cast("double"), 4).alias("first"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS path, CASE WHEN o_orderkey % 7 = 3 THEN 'new' ELSE sha256(o_orderkey::VARCHAR) END AS content_hash FROM orders WHERE o_orderkey % 20 = 3 AND o_orderkey % 11 <> 2")
+def stored_fingerprints(spark, d):
+    """Fingerprints looked up in the buckets of their paths, after changes."""
+    o, folder = views.table(spark, d, "orders"), _store(spark)
+    rows = o.select(F.col("o_orderkey").cast("string").alias("path"), F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256).alias("content_hash"), "o_orderkey")
+    stores.save(rows, folder, "fingerprints", buckets=8)
+    stores.save(rows.filter("o_orderkey % 7 = 3").withColumn("content_hash", F.lit("new")), folder, "fingerprints")
+    stores.remove(spark, folder, "fingerprints", rows.filter("o_orderkey % 11 = 2"))
+    return stores.lookup(spark, folder, "fingerprints", rows.filter("o_orderkey % 20 = 3")).select("path", "content_hash")
+
+
+@query(f"WITH {sql.SPANS} SELECT trace_id AS node_id, count(*) AS call_count, round(sum(duration_ms), 2) AS total_duration_ms, max(duration_ms) AS p95_duration_ms, count_if(is_error)::BIGINT AS error_count, count_if(is_error) / count(*) AS error_rate FROM spans GROUP BY 1")
+def stored_telemetry(spark, d):
+    """Telemetry added in two batches of a stream, the second one twice."""
+    s, folder = views.spans(spark, d), _store(spark)
+    rows = s.groupBy(F.col("trace_id").alias("node_id"), (F.col("span_id") % 2).alias("half")).agg(F.count(F.lit(1)).alias("call_count"), F.sum("duration_ms").alias("total_duration_ms"), F.max("duration_ms").alias("p95_duration_ms"), F.sum(F.col("is_error").cast("long")).alias("error_count"))
+    for batch in (0, 1, 1):
+        stores.add(rows.filter(F.col("half") == batch), folder, "spans", batch, buckets=8)
+    return stores.load(spark, folder, "telemetry").select("node_id", "call_count", F.round("total_duration_ms", 2).alias("total_duration_ms"), "p95_duration_ms", "error_count", "error_rate")
+
+
 # --- review, lineage, retrieval ------------------------------------------
 
 

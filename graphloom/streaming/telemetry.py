@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import stores
 from ..operators.governance import freshness
 from ..operators.telemetry import merge_telemetry
 
@@ -31,6 +32,17 @@ def start_merging(batches: DataFrame, publish: Callable[[DataFrame, int], None],
     return running_telemetry(batches).writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
 
 
+def start_storing(batches: DataFrame, folder: str, name: str, checkpoint: str, trigger: dict | None = None):
+    """Add each batch of telemetry rows to the stored table of the folder; only
+    the buckets of its nodes are written.  The table knows the last batch of a
+    stream by its name, so one that runs again adds nothing."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        stores.add(batch, folder, name, number)
+
+    return batches.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
 def changes(stored: DataFrame, found: DataFrame) -> DataFrame:
     """path, change between two listings: added, modified or deleted."""
     name = F.create_map(F.lit("unindexed"), F.lit("added"), F.lit("stale"), F.lit("modified"), F.lit("missing"), F.lit("deleted"))
