@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..storage import cut
+from ..functions.text import redact_secrets
+from ..operators.order import running
+from ..storage import cut, send_package
 from .telemetry import fingerprints
 
 
@@ -69,15 +74,53 @@ def start_watching(spark: SparkSession, folder: str, stored: Callable[[], DataFr
     return ticks.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
-def debounced(changes: DataFrame, quiet: str = "500 milliseconds", late: str = "1 second", time: str = "modified") -> DataFrame:
-    """A streaming DataFrame of bursts: began, ended, paths of changes that
-    follow each other within ``quiet``; a burst comes out once it is over.
-    Changes later than ``late`` are left to the next listing."""
-    w = F.session_window(time, quiet)
-    # sessions need a key besides their time; here all changes share one
-    one = F.substring("path", 1, 0).alias("one")
-    bursts = changes.withWatermark(time, late).groupBy(w.alias("burst"), one).agg(F.sort_array(F.collect_set("path")).alias("paths"))
-    return bursts.select(F.col("burst.start").alias("began"), F.col("burst.end").alias("ended"), "paths")
+def _merged(bursts: list[list], quiet: int) -> list[list]:
+    """Bursts [began, last, paths] in order, those joined that follow within quiet."""
+    out: list[list] = []
+    for began, last, paths in sorted(bursts, key=lambda b: b[:2]):
+        if out and began - out[-1][1] <= quiet:
+            out[-1][1] = max(out[-1][1], last)
+            out[-1][2] |= paths
+        else:
+            out.append([began, last, set(paths)])
+    return out
+
+
+def debounced(changes: DataFrame, quiet: str = "500 milliseconds", late: str = "1 second", time: str = "modified", folder: Column | None = None) -> DataFrame:
+    """A streaming DataFrame of bursts (folder, began, ended, paths) for output
+    mode append: changes of a folder that follow each other within ``quiet``.
+
+    Every folder has its own state and its own timer, which its changes set
+    anew, so bursts of many folders run in many tasks; a folder's task holds
+    the paths of its open bursts.  A burst comes out when the watermark has
+    passed its end, ``quiet`` after its last change; what is open when the
+    stream stops waits in the checkpoint, with its timer.  ``folder`` is what
+    bursts go by: by default the path up to its last slash ('' if it has none).
+    Changes later than ``late``, and those without a time or a path, are left
+    to the next listing."""
+    send_package(changes.sparkSession)
+    wait = pd.Timedelta(quiet) // pd.Timedelta(microseconds=1)
+    by = F.regexp_extract("path", r"^(.*)/[^/]*$", 1) if folder is None else folder
+    rows = changes.withWatermark(time, late).filter(F.col("path").isNotNull() & F.col(time).isNotNull())
+    rows = rows.select(F.coalesce(by, F.lit("")).alias("folder"), "path", F.col(time).alias("at"), F.unix_micros(time).alias("micros"))
+
+    def settle(key, batches, state):
+        bursts = [[began, last, set(paths)] for began, last, paths in json.loads(state.get[0])] if state.exists else []
+        if not state.hasTimedOut:
+            for batch in batches:
+                bursts = _merged(bursts + [[int(m), int(m), {p}] for m, p in zip(batch["micros"], batch["path"])], wait)
+        passed = state.getCurrentWatermarkMs() * 1000
+        still = [b for b in bursts if b[1] + wait >= passed]
+        if still:
+            state.update((json.dumps([[began, last, sorted(paths)] for began, last, paths in still]),))
+            state.setTimeoutTimestamp(min(b[1] + wait for b in still) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        done = [b for b in bursts if b[1] + wait < passed]
+        yield pd.DataFrame({"folder": [key[0]] * len(done), "began": [b[0] for b in done], "ended": [b[1] + wait for b in done], "paths": [sorted(b[2]) for b in done]})
+
+    out = rows.groupBy("folder").applyInPandasWithState(settle, "folder string, began long, ended long, paths array<string>", "open string", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("folder", F.timestamp_micros("began").alias("began"), F.timestamp_micros("ended").alias("ended"), "paths")
 
 
 def start_guard(changes: DataFrame, audit: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, trigger: dict | None = None):
@@ -98,16 +141,25 @@ def status(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{done[-1]}/verdict") if done else spark.createDataFrame([], "verdict string, batch int, audited_at timestamp")
 
 
-def through_cache(requests: DataFrame, cache: DataFrame, compute: Callable[[DataFrame], DataFrame], most: int | None = None) -> tuple[DataFrame, DataFrame]:
+def through_cache(requests: DataFrame, cache: DataFrame, compute: Callable[[DataFrame], DataFrame], most: int | None = None, most_tokens: int | None = None, used: int = 0) -> tuple[DataFrame, DataFrame]:
     """(answers, fresh): answers (key, content, cached) of requests (text), and
-    the fresh ones to add to the cache (key, content).
-
-    Requests go by the hash of their text, so equal ones are computed once;
-    compute gets (key, text) and gives (key, content).  ``most`` is a budget
-    of requests to compute, the first by key; others have no answer."""
-    asked = requests.select(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("key"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["key"])
+    the fresh ones to add to the cache (key, content, tokens).
+
+    Requests go by the hash of their text without secrets, so equal ones are
+    computed once; compute gets (key, text), secrets redacted, and gives (key,
+    content).  ``most`` is a budget of requests to compute and ``most_tokens``
+    one of tokens, of which ``used`` are spent: in order of their keys, those
+    are computed whose texts fit together; others have no answer.  A text
+    counts a token for four characters, and one at least; tokens, what a fresh
+    answer adds to ``used``, counts text and content.  Cached ones are free."""
+    tokens = lambda c: F.greatest(F.lit(1), F.expr(f"length(coalesce({c}, '')) div 4"))
+    text = redact_secrets(F.coalesce("text", F.lit("")))
+    asked = requests.select(text.alias("text")).select(F.sha2(F.col("text").cast("binary"), 256).alias("key"), "text").dropDuplicates(["key"])
     new = asked.join(cache.select("key"), "key", "left_anti")
+    if most_tokens is not None:
+        new = running(new, ["key"], tokens("text"), "__sum").filter(F.col("__sum") <= most_tokens - used).drop("__sum")
     new = new if most is None else new.orderBy("key").limit(most)
-    fresh = cut(compute(new).select("key", "content"), "answers")
+    new = cut(new, "requests")
+    fresh = cut(compute(new).select("key", "content").join(new, "key").select("key", "content", (tokens("text") + tokens("content")).alias("tokens")), "answers")
     known = asked.select("key").join(cache.select("key", "content"), "key").withColumn("cached", F.lit(True))
-    return known.unionByName(fresh.withColumn("cached", F.lit(False))), fresh
+    return known.unionByName(fresh.select("key", "content").withColumn("cached", F.lit(False))), fresh

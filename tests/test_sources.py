@@ -229,12 +229,33 @@ def test_changes_as_a_stream(spark, tmp_path):
 
 
 def test_debounce_waits_for_quiet(spark, tmp_path):
-    rows = [("a", "2024-01-01 00:00:00.0"), ("b", "2024-01-01 00:00:00.3"), ("c", "2024-01-01 00:00:05"), ("d", "2024-01-01 00:01:00")]
-    spark.createDataFrame(rows, "path string, t string").select("path", F.to_timestamp("t").alias("modified")).coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("path string, modified timestamp").parquet(f"{tmp_path}/in")
-    q = changes.debounced(stream).writeStream.format("memory").queryName("bursts").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(r["paths"] for r in spark.table("bursts").collect()) == [["a", "b"], ["c"]]
+    def put(*rows):
+        spark.createDataFrame(list(rows), "path string, t string").select("path", F.to_timestamp("t").alias("modified")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("path string, modified timestamp").parquet(f"{tmp_path}/in")
+        changes.debounced(stream).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination(120)
+        got = spark.read.schema("folder string, began timestamp, ended timestamp, paths array<string>").parquet(f"{tmp_path}/out").collect()
+        return sorted((r["folder"], r["paths"], str(r["began"])[17:], str(r["ended"])[17:]) for r in got)
+
+    day = "2024-01-01 00:0"
+    first = [("x", ["x/a", "x/b"], "00", "00.800000"), ("x", ["x/c"], "05", "05.500000"), ("y/z", ["y/z/a"], "00.400000", "00.900000")]
+    assert put(("x/a", day + "0:00.0"), ("x/b", day + "0:00.3"), ("y/z/a", day + "0:00.4"), ("x/c", day + "0:05"), ("x/d", day + "1:00"), (None, day + "1:00"), ("n", None)) == first
+    # x/d waited in the checkpoint; a change within its quiet time joins it
+    assert put(("x/e", day + "1:00.5"), ("top", day + "2:00")) == sorted([*first, ("x", ["x/d", "x/e"], "00", "01")])
+
+
+def test_bursts_that_a_late_change_joins():
+    from hypothesis import given
+    from hypothesis import strategies as st
+
+    @given(st.lists(st.integers(0, 60), min_size=1, max_size=12), st.data())
+    def holds(times, data):
+        whole = changes._merged([[t, t, {str(t)}] for t in times], 5)
+        held = []
+        for t in data.draw(st.permutations(times)):
+            held = changes._merged([*held, [t, t, {str(t)}]], 5)
+        assert held == whole and all(b[0] - a[1] > 5 for a, b in zip(whole, whole[1:])) and set().union(*(b[2] for b in whole)) == set(map(str, times))
+
+    holds()
 
 
 def test_cache(spark):
@@ -250,6 +271,16 @@ def test_cache(spark):
     assert answers.count() == 3 and calls == [3]
     again, more = changes.through_cache(asked, fresh, compute, most=1)
     assert again.filter("cached").count() == 3 and more.count() == 0
+    # tokens: one for four characters of the text without secrets
+    texts = spark.createDataFrame([("a" * n,) for n in (4, 8, 40, 80)] + [("AKIA" + "A" * 16,)], "text string")
+    costs = {k: n for k, n in changes.through_cache(texts, empty, compute)[1].select("key", "tokens").collect()}
+    assert sorted(costs.values()) == sorted(2 * max(1, n // 4) for n in (4, 8, 40, 80, len("[REDACTED_AWS_KEY]")))
+    for budget in (0, 1, 15, 33, 100):
+        total, want = 2, []
+        for k in sorted(costs):
+            total += costs[k] // 2
+            want += [k] * (total <= budget)
+        assert sorted(r["key"] for r in changes.through_cache(texts, empty, compute, most_tokens=budget, used=2)[1].collect()) == want
 
 
 def test_ignore_files(spark, tmp_path):
