@@ -143,36 +143,45 @@ def _pairs_of_letters(names: DataFrame, column: str) -> DataFrame:
     return names.filter(F.length(c) > 1).select(column, grams.alias("g")).select(column, F.size("g").alias("size"), F.explode("g").alias("gram"))
 
 
-def nearest_names(wanted: DataFrame, names: DataFrame, share: float = 0.8, least: int = 10, rounds: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
+def nearest_names(wanted: DataFrame, names: DataFrame, share: float = 0.8, least: int = 10, rounds: tuple[int, ...] = (1, 2, 4, 8, 16)) -> DataFrame:
     """name, nearest, distance: the closest known name within
     max(least, floor(share * length)) edits; ties by name.
 
     names: (name).  Known names themselves come first, then rounds of growing
-    distance r: an edit changes two pairs of letters at most, so names within r
-    edits share one of their 2 r + 1 rarest pairs, and only those that do meet.
-    That holds for names of 4 r + 1 pairs or more; what no round settles, short
-    names and those far from all, meets the names of a length within its
-    distance.
+    radius r: an edit takes two pairs of letters away at most, so a name of
+    2 r + 1 distinct pairs or more shares one of its 2 r + 1 rarest pairs with
+    any name within r edits, and one of the other's.  Only those that do meet,
+    and the least distance met so far bounds the radius of the next round: once
+    all names within that distance have met, the name is settled.  What is
+    farther from all names than half its pairs meets the names whose length is
+    within its bound.
     """
     limit = F.greatest(F.lit(least), F.floor(F.length("name") * share).cast("int"))
-    w = cut(wanted.select("name").distinct().withColumn("limit", limit), "wanted")
-    known = cut(names.select(F.col("name").alias("known")).distinct(), "known")
+    known = cut(names.select(F.col("name").alias("known")).filter("known IS NOT NULL").distinct(), "known")
+    # the shortest known name is no farther than the longer of both is long
+    shortest = known.agg(F.min(F.length("known"))).first()[0]
+    w = wanted.select("name").filter("name IS NOT NULL").distinct().withColumn("limit", limit)
+    w = cut(w.withColumn("bound", F.least("limit", F.greatest(F.length("name"), F.lit(shortest)))), "wanted")
     best = lambda met: met.groupBy("name").agg(F.min(F.struct("distance", "known")).alias("m")).select("name", F.col("m.known").alias("nearest"), F.col("m.distance").alias("distance"))
     done = cut(w.join(known, F.col("name") == F.col("known")).select("name", F.col("known").alias("nearest"), F.lit(0).alias("distance")), "nearest")
     theirs = _pairs_of_letters(known, "known")
     often = theirs.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    theirs = cut(theirs.join(often, "gram"), "grams")
-    left = w.join(done, "name", "left_anti")
-    ours = cut(_pairs_of_letters(left, "name").join(often, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0))), "grams")
+    place = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("df", "gram"))
+    theirs = cut(theirs.join(often, "gram").withColumn("k", place("known")), "grams")
+    ours = cut(_pairs_of_letters(w.join(done, "name", "left_anti"), "name").join(often, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("k", place("name")), "grams")
+    # a name's radius of the last round, and the least distance met
+    state = cut(w.join(done, "name", "left_anti").withColumn("radius", F.lit(0)), "state")
     for r in rounds:
-        first = lambda df, c, r=r: df.withColumn("k", F.row_number().over(Window.partitionBy(c).orderBy("df", "gram"))).filter(F.col("k") <= 2 * r + 1).select(c, "gram")
-        mine = first(ours.filter(F.col("size") >= 4 * r + 1).join(done, "name", "left_anti"), "name")
-        met = mine.join(first(theirs, "known"), "gram").filter(F.abs(F.length("name") - F.length("known")) <= r).select("name", "known").distinct()
-        met = met.withColumn("distance", F.levenshtein("name", "known")).filter(F.col("distance") <= r).join(w, "name").filter("distance <= limit")
-        done = cut(done.unionByName(best(met)), "nearest")
-    rest = w.join(done, "name", "left_anti")
-    rest = rest.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(0), F.length("name") - F.col("limit")), F.length("name") + F.col("limit"))))
-    met = rest.join(known.withColumn("len", F.length("known")), "len").withColumn("distance", F.levenshtein("name", "known")).filter("distance <= limit")
+        grown = state.join(ours.filter("k = 1").select("name", "size"), "name").withColumn("reach", F.least(F.lit(r), F.col("bound"), F.expr("(size - 1) div 2").cast("int"))).filter("reach > radius")
+        mine = ours.select("name", "gram", "k").join(grown.select("name", "reach"), "name").filter("k <= 2 * reach + 1")
+        pairs = mine.join(theirs.filter(F.col("k") <= 2 * r + 1).select("known", "gram"), "gram").filter(F.abs(F.length("name") - F.length("known")) <= F.col("reach"))
+        met = cut(best(pairs.select("name", "known").distinct().withColumn("distance", F.levenshtein("name", "known"))), "met")
+        j = cut(state.join(grown.select("name", "reach"), "name", "left").join(met, "name", "left").withColumn("radius", F.coalesce("reach", "radius")), "state")
+        settled = F.coalesce((F.col("distance") <= F.col("radius")) & (F.col("distance") <= F.col("limit")), F.lit(False))
+        done = cut(done.unionByName(j.filter(settled).select("name", "nearest", "distance")), "nearest")
+        state = cut(j.filter(~settled).select("name", "limit", F.least("bound", "distance").alias("bound"), "radius"), "state")
+    rest = state.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(0), F.length("name") - F.col("bound")), F.length("name") + F.col("bound"))))
+    met = rest.join(known.withColumn("len", F.length("known")), "len").withColumn("distance", F.levenshtein("name", "known")).filter("distance <= bound")
     return done.unionByName(best(met))
 
 

@@ -236,6 +236,15 @@ def levenshtein_nearest(spark, d):
     return retrieval.nearest_names(wanted, views.table(spark, d, "nation").select(F.col("n_name").alias("name")))
 
 
+@query("WITH k AS (SELECT DISTINCT p_name || ' ' || p_type || ' ' || p_partkey AS known FROM part), w AS (SELECT DISTINCT substr(known, 1, 3) || 'x' || substr(known, 5, length(known) - 5) AS name FROM k), m AS (SELECT name, min(struct_pack(d := levenshtein(name, known), k := known)) AS m, greatest(10, floor(length(name) * 0.8)) AS most FROM w, k GROUP BY name) SELECT name, m.k AS nearest, m.d::INT AS distance FROM m WHERE m.d <= most")
+def nearest_part_names(spark, d):
+    """For every part's name, type and key with a letter changed and the last
+    one lost, the nearest of all."""
+    known = views.table(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_type", F.col("p_partkey").cast("string")).alias("name"))
+    damaged = F.concat(F.substring("name", 1, 3), F.lit("x"), F.substring("name", F.lit(5), F.length("name") - 5))
+    return retrieval.nearest_names(known.select(damaged.alias("name")), known)
+
+
 @query("WITH c AS (SELECT doc_id AS id, n_chars::DOUBLE AS score, greatest(1, ceil(length(text) / 4.0))::INT AS cost FROM documents), r AS (SELECT *, (sum(cost) OVER (ORDER BY score DESC, id) + 100)::BIGINT AS used FROM c) SELECT id, score, cost, used FROM r WHERE used <= 40000")
 def token_budget_prefix(spark, d):
     docs = views.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"), text.token_cost(F.col("text"), 4.0).alias("cost"))

@@ -124,3 +124,32 @@ def test_nearest_and_budget(spark):
     rows = spark.createDataFrame([("a", 3.0, 5), ("b", 2.0, 50), ("c", 1.0, 1)], "id string, score double, cost int")
     assert [r["id"] for r in retrieval.budget_prefix(rows, 20).collect()] == ["a"]
     assert one(spark, text.jaccard(text.word_set(F.col("t")), F.array(F.lit("a"))), "A b") == pytest.approx(0.5)
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left = [i]
+        for j, y in enumerate(b, 1):
+            left.append(min(left[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = left
+    return row[-1]
+
+
+def test_nearest_names_against_all_pairs(spark):
+    """Short and long names, near and far ones, ties, empty and null ones."""
+    rand = random.Random(5)
+    word = lambda n: "".join(rand.choice("abcdefghij_") for _ in range(n))
+    known = [word(rand.randint(1, 24)) for _ in range(150)] + [None, "same", "samf", "q" * 200]
+    wanted = [word(rand.randint(0, 24)) for _ in range(60)] + [None, "same", "samg", "", "z" * 60, "q" * 150]
+    for name in known[:60]:
+        letters = list(name)
+        for _ in range(rand.randint(1, 8)):
+            at = rand.randrange(len(letters) + 1)
+            letters[at : at + rand.randint(0, 1)] = rand.choice(("x", "y", "", "a"))
+        wanted.append("".join(letters))
+    frame = lambda names: spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r["name"]: (r["nearest"], r["distance"]) for r in retrieval.nearest_names(frame(wanted), frame(known)).collect()}
+    best = {q: min((_edits(q, k), k) for k in known if k is not None) for q in wanted if q is not None}
+    assert got == {q: (k, n) for q, (n, k) in best.items() if n <= max(10, int(len(q) * 0.8))}
+    assert retrieval.nearest_names(frame(wanted), frame([])).count() == 0 and retrieval.nearest_names(frame([]), frame(known)).count() == 0
