@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .order import percentiles
 
 
@@ -50,6 +51,8 @@ def topology(spans: DataFrame) -> DataFrame:
     links = parent_links(spans)
     if "peer_service" in spans.columns:
         links = links.unionByName(peer_links(spans))
+    # statistics, percentiles and operations read the links, not the join of spans
+    links = cut(links, "links")
     protocols = [F.sort_array(F.collect_set("protocol")).alias("protocols")] if "protocol" in links.columns else []
     operations = links.groupBy("source", "target").agg(F.slice(F.sort_array(F.collect_set("name")), 1, 10).alias("operations"), *protocols)
     return link_stats(links, ["source", "target"]).join(operations, ["source", "target"])
