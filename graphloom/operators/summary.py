@@ -93,14 +93,14 @@ def community_profile(membership: DataFrame, nodes: DataFrame, sample: int = 5)
     return out.select((F.col("place") + 1).alias("place"), "community", "size", "types", "sample")
 
 
-def story_cards(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def story_cards(nodes: DataFrame, edges: DataFrame, without: int | None = 0) -> DataFrame:
     """story, name, criteria, tasks: edges of each story to criteria and tasks,
-    told by their ids."""
+    told by their ids; a story without any edge has ``without`` of both."""
     s = nodes.filter("node_type = 'story'").select(F.col("id").alias("source_id"), "name")
     has = lambda part: F.sum(F.col("target_id").contains(part).cast("long"))
     n = edges.join(s.select("source_id"), "source_id", "left_semi").groupBy("source_id").agg(has("criterion").alias("criteria"), has("task").alias("tasks"))
-    zero = F.lit(0).cast("long")
-    return s.join(n, "source_id", "left").select(F.col("source_id").alias("story"), "name", F.coalesce("criteria", zero).alias("criteria"), F.coalesce("tasks", zero).alias("tasks"))
+    none = F.lit(without).cast("long")
+    return s.join(n, "source_id", "left").select(F.col("source_id").alias("story"), "name", F.coalesce("criteria", none).alias("criteria"), F.coalesce("tasks", none).alias("tasks"))
 
 
 def traceability(cards: DataFrame) -> DataFrame:

@@ -213,3 +213,19 @@ def test_small_things(spark):
     spans = spark.createDataFrame([("t", 1, None, "web", "GET", None, None), ("t", 2, 1, "api", "GET", None, None), ("t", 3, 1, "api", None, "S", None), ("t", 4, 2, "db", None, None, "pg")], "trace_id string, span_id int, parent_span_id int, service_name string, http_method string, rpc_service string, db_system string")
     spans = spans.withColumns({"name": F.lit("op"), "duration_ms": F.lit(1.0), "is_error": F.lit(False)})
     assert {(r["source"], r["target"]): r["protocols"] for r in telemetry.topology(spans).collect()} == {("web", "api"): ["grpc", "http"], ("api", "db"): ["pg"]}
+
+
+def test_stories_without_orders_are_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from graphloom.plans import ORACLES, QUERIES
+
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "c_custkey long, c_name string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(3, 1), (4, 1), (6, 3)], "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("story_cards", "traceability"):
+        got = QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall()
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)), name
