@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..storage import cut
 
+#: Open ends that a link carries at most in a search for redundant links.
+CARRIED = 16
+
 
 def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, max_depth: int = 3) -> DataFrame:
     """Blast radius: everything that reaches a target over reversed edges.
@@ -158,32 +161,50 @@ def _redundant_of_dag(links: DataFrame) -> DataFrame:
     An edge to the next level has no other way.  For the rest, searches go
     back from their ends, but only over nodes above the level of the lowest
     start that is still open, and only where no label of the node rules out
-    that each open start leads to it.  A search's state is (end, node)."""
-    place = levels(links)[0]
+    that each open start leads to it.  A search's state is (end, node).
+
+    Whether a start is next to a node of a search is told where the node is:
+    links carry the open ends of a start that has up to CARRIED, and meet the
+    node's ends as a list, so no row is made for a start and an end that have
+    no open link.  A start with more takes the ends of its nodes to it."""
+    place = cut(levels(links)[0], "levels")
     lv = lambda c: place.select(F.col("id").alias(c), F.col("level").alias(f"l{c}"))
-    laid = cut(links.join(lv("a"), "a").join(lv("b"), "b"), "laid")
-    still = cut(laid.filter("lb > la + 1").select("a", "b", "la"), "open")
+    laid = cut(links.join(lv("b"), "b").join(lv("a"), "a").select("a", "b", "la", "lb"), "laid")
+    still = laid.filter("lb > la + 1").select("a", "b", "la")
     done = links.limit(0)
     if still.isEmpty():
         return done
     labels = _reach_labels(links, place)
-    back = cut(laid.select("a", F.col("b").alias("at"), "la").join(labels.select(F.col("id").alias("a"), "labels"), "a"), "back")
     seeds = len(labels.first()["labels"])
-    # (b, at): nodes that lead to b by one edge or more
-    front = cut(still.select("b").distinct().join(back.withColumnRenamed("at", "b"), "b").select("b", F.col("a").alias("at"), F.col("la").alias("lat"), "labels"), "front")
+    # links of open starts that another node could follow, by that node
+    ends = laid.filter("lb > la + 1").groupBy("a").agg(F.max("lb").alias("top"), F.collect_list("b").alias("open"))
+    near = laid.join(ends, "a").filter("lb < top").select("a", F.col("b").alias("at"), F.when(F.size("open") <= CARRIED, F.col("open")).alias("open"))
+    near = cut(near, "near")
+    many = near.filter("open IS NULL").select("a", "at")
+    few, some = near.filter("open IS NOT NULL"), not many.isEmpty()
+    # all other steps of a search are over nodes above the lowest open start
+    lowest = still.agg(F.min("la")).first()[0]
+    back = cut(laid.filter(F.col("la") > lowest).select("a", F.col("b").alias("at"), "la"), "back")
+    front = back.withColumnRenamed("at", "b").join(still.select("b").distinct(), "b", "left_semi").select("b", F.col("a").alias("at"), F.col("la").alias("lat"))
+    front = cut(front, "front")
     seen = front.select("b", "at")
     while True:
         marks = still.join(labels.select(F.col("id").alias("a"), "labels"), "a")
-        bounds = marks.groupBy("b").agg(F.min("la").alias("low"), F.array(*(F.max(F.col("labels")[k]) for k in range(seeds))).alias("top"))
-        live = front.join(bounds, "b").filter(F.col("lat") > F.col("low"))
-        live = live.filter(F.forall(F.zip_with("labels", "top", lambda x, y: x <= y), lambda ok: ok)).select("b", "at", "low")
-        step = live.join(back, "at").filter(F.col("la") >= F.col("low")).select("b", F.col("a").alias("at"), F.col("la").alias("lat"), "labels")
-        step = cut(step.dropDuplicates(["b", "at"]), "step")
-        hit = cut(still.join(step.select(F.col("at").alias("a"), "b"), ["a", "b"], "left_semi").select("a", "b"), "hit")
+        bounds = marks.groupBy("b").agg(F.min("la").alias("low"), *(F.max(F.col("labels")[k]).alias(f"top{k}") for k in range(seeds)))
+        live = front.join(bounds, "b").filter(F.col("lat") > F.col("low")).join(labels.select(F.col("id").alias("at"), "labels"), "at")
+        for k in range(seeds):
+            live = live.filter(F.col("labels")[k] <= F.col(f"top{k}"))
+        live = cut(live.select("b", "at", "low"), "live")
+        lists = live.groupBy("at", F.pmod(F.xxhash64("b"), F.lit(16)).alias("part")).agg(F.collect_list("b").alias("ends"))
+        hit = few.join(lists, "at").select("a", F.explode(F.array_intersect("open", "ends")).alias("b"))
+        if some:
+            hit = hit.union(many.join(live, "at").select("a", "b"))
+        hit = cut(still.select("a", "b").join(hit, ["a", "b"], "left_semi"), "hit")
         if not hit.isEmpty():
             done = done.union(hit)
             still = cut(still.join(hit, ["a", "b"], "left_anti"), "open")
-        front = cut(step.join(seen, ["b", "at"], "left_anti"), "front")
+        step = live.join(back, "at").filter(F.col("la") > F.col("low")).select("b", F.col("a").alias("at"), F.col("la").alias("lat"))
+        front = cut(step.dropDuplicates(["b", "at"]).join(seen, ["b", "at"], "left_anti"), "front")
         if front.isEmpty() or still.isEmpty():
             return done
         seen = cut(seen.union(front.select("b", "at")), "seen")

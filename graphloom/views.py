@@ -96,12 +96,12 @@ def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An acyclic graph of orders, parts, suppliers, nations and regions:
-    source_id, target_id.  Orders lead to the parts and suppliers of their
+    source_id, target_id, parallel edges included.  Orders lead to the parts and suppliers of their
     lines and to their customer's region, parts to the suppliers they came
     back to, suppliers to nations, nations to regions."""
     t = lambda n: table(spark, sf_dir, n)
     ref = lambda p, c, name: F.concat(F.lit(p), F.col(c).cast("string")).alias(name)
-    edge = lambda df, a, b: df.select(ref(f"{a[0]}:", a[1], "source_id"), ref(f"{b[0]}:", b[1], "target_id")).distinct()
+    edge = lambda df, a, b: df.select(ref(f"{a[0]}:", a[1], "source_id"), ref(f"{b[0]}:", b[1], "target_id"))
     line, nation = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag"), t("nation")
     buyer = t("orders").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(nation.select("n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"))
     parts = [
