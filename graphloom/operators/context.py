@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..resolve import resolve_first
 from .rank import pagerank_plain
-from .retrieval import budget_prefix, fuse, hashed_vectors, search, vector_search
+from .retrieval import budget_prefix, fuse, hashed_entries, hashed_vectors, search, vector_search
 from .traverse import impact, neighbours
 
 #: What a node is searched by.
@@ -29,7 +29,7 @@ def hybrid_search(nodes: DataFrame, query: str, top_k: int = 10, rrf_k: int = 60
     spark = nodes.sparkSession
     asked = spark.createDataFrame([("query", query.strip())], "id string, text string")
     lexical = search(nodes, TEXT, query, most)
-    semantic = vector_search(hashed_vectors(nodes, _embedded(nodes)), hashed_vectors(asked, F.col("text")), most)
+    semantic = vector_search(hashed_entries(nodes, _embedded(nodes)), hashed_vectors(asked, F.col("text")), most)
     return fuse(lexical, semantic, top_k, rrf_k)
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_place, terms
-from ..storage import cut
+from ..storage import cut, map_arrow
 from .order import running
 
 #: Usual BM25 constants.
@@ -84,14 +87,64 @@ def search(docs: DataFrame, columns: list[str], query: str, limit: int = 20, id_
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
+def _hashed(dimension: int):
+    """Per id: the buckets that its terms fall into, and a unit vector's places there."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("terms")
+            flat, ends = lists.flatten(), np.asarray(lists.value_lengths().fill_null(0))
+            coded = flat.field("term").dictionary_encode()
+            names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(ends), dtype=np.int64), ends)
+            digests = [hashlib.md5(n.encode()).digest() for n in names]
+            bucket = np.array([h[0] % dimension for h in digests], dtype=np.int64)
+            sign = np.array([1.0 if h[4] % 2 == 0 else -1.0 for h in digests])
+            # a row's distinct terms, by name: sums have one order whatever the batch
+            place = np.empty(len(names), dtype=np.int64)
+            place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+            term = np.argsort(place)
+            key, which = np.unique(row * max(1, len(names)) + place[code], return_inverse=True)
+            weight = 1 + np.log(np.bincount(which, flat.field("w").to_numpy(zero_copy_only=False), key.size)) if key.size else np.zeros(0)
+            at, code = key // max(1, len(names)), term[key % max(1, len(names))]
+            cell, which = np.unique(at * dimension + bucket[code], return_inverse=True)
+            x = np.bincount(which, sign[code] * weight, cell.size)
+            norm = np.sqrt(np.bincount(cell // dimension, x * x, len(ends)))
+            kept = norm[cell // dimension] > 1e-9
+            cell, x = cell[kept], x[kept]
+            counts = np.bincount(cell // dimension, minlength=len(ends))
+            entries = pa.StructArray.from_arrays([pa.array((cell % dimension).astype(np.int32)), pa.array(x / norm[cell // dimension])], names=["bucket", "x"])
+            entries = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), entries)
+            out = pa.RecordBatch.from_arrays([batch.column("id"), entries], names=["id", "entries"])
+            yield out.filter(pa.array(counts > 0))
+
+    return run
+
+
+def hashed_entries(docs: DataFrame, text: Column, id_col: str = "id", dimension: int = 128) -> DataFrame:
+    """(id, entries array<struct<bucket, x>>): unit vectors of hashed identifier
+    terms, sparse, a row an id that has any.
+
+    Only texts are shuffled, so that those of one id are together; their terms
+    are counted where they are made and never leave the task one by one."""
+    whole = docs.select(F.col(id_col).alias("id"), text.alias("t")).groupBy("id").agg(F.collect_list("t").alias("t"))
+    rows = whole.select("id", F.flatten(F.transform("t", terms)).alias("terms"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return map_arrow(rows, _hashed(dimension), f"id {kind}, entries array<struct<bucket:int,x:double>>")
+
+
 def hashed_vectors(docs: DataFrame, text: Column, id_col: str = "id", dimension: int = 128) -> DataFrame:
     """(id, bucket, x): unit vectors of hashed identifier terms, sparse."""
-    flat = docs.select(F.col(id_col).alias("id"), F.explode(terms(text)).alias("t")).select("id", "t.term", "t.w")
-    weighed = flat.groupBy("id", "term").agg((1 + F.log(F.sum("w"))).alias("w"))
-    bucket, sign = hash_place(F.col("term"), dimension)
-    raw = weighed.groupBy("id", bucket.alias("bucket")).agg(F.sum(sign * F.col("w")).alias("x"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norm, "id").filter("norm > 1e-9").select("id", "bucket", (F.col("x") / F.col("norm")).alias("x"))
+    return hashed_entries(docs, text, id_col, dimension).select("id", F.inline("entries"))
+
+
+def products(entries: DataFrame, query: DataFrame) -> DataFrame:
+    """(id, s): the dot product of each row's entries with one sparse vector
+    (bucket, x), for ids that share a bucket with it."""
+    places = query.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("bucket", "x"))).alias("m"), F.max("bucket").alias("top")).filter("top IS NOT NULL")
+    q = places.select(F.transform(F.sequence(F.lit(0), "top"), lambda i: F.try_element_at("m", i)).alias("q"), "top")
+    both = entries.crossJoin(F.broadcast(q)).withColumn("met", F.filter("entries", lambda e: (e["bucket"] <= F.col("top")) & F.get("q", e["bucket"]).isNotNull()))
+    return both.filter(F.size("met") > 0).select("id", F.aggregate("met", F.lit(0.0), lambda s, e: s + e["x"] * F.get("q", e["bucket"])).alias("s"))
 
 
 def dense(vectors: DataFrame, dimension: int = 128, ids: DataFrame | None = None) -> DataFrame:
@@ -110,9 +163,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_search(vectors: DataFrame, query: DataFrame, top_k: int = 10, min_score: float = 0.02) -> DataFrame:
-    """id, score, rank of the vectors nearest to one sparse query vector."""
-    q = query.select("bucket", F.col("x").alias("q"))
-    scored = vectors.join(F.broadcast(q), "bucket").groupBy("id").agg(F.sum(F.col("x") * F.col("q")).alias("s"))
+    """id, score, rank of the vectors (id, entries) or (id, bucket, x) nearest
+    to one sparse query vector (bucket, x)."""
+    if "entries" in vectors.columns:
+        scored = products(vectors, query)
+    else:
+        q = query.select("bucket", F.col("x").alias("q"))
+        scored = vectors.join(F.broadcast(q), "bucket").groupBy("id").agg(F.sum(F.col("x") * F.col("q")).alias("s"))
     best = scored.select("id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "s")), 6).alias("score")).filter(F.col("score") >= min_score)
     best = best.orderBy(F.desc("score"), "id").limit(top_k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))

@@ -153,3 +153,35 @@ def test_nearest_names_against_all_pairs(spark):
     best = {q: min((_edits(q, k), k) for k in known if k is not None) for q in wanted if q is not None}
     assert got == {q: (k, n) for q, (n, k) in best.items() if n <= max(10, int(len(q) * 0.8))}
     assert retrieval.nearest_names(frame(wanted), frame([])).count() == 0 and retrieval.nearest_names(frame([]), frame(known)).count() == 0
+
+
+def test_hashed_entries_move_texts_only(spark):
+    """Terms are counted where they are made: one exchange, of texts, where
+    three moved terms; repeated ids, nulls and stop words as before."""
+    import hashlib
+    import math
+
+    from graphloom.operators import retrieval
+    from graphloom.functions.text import terms
+
+    rows = [("a", "graph node"), ("a", "graph"), ("b", "the of"), ("c", None), (None, "node"), ("d", "x" * 300 + " nodeGraph é")]
+    df = spark.createDataFrame(rows, "id string, t string")
+    found = retrieval.hashed_entries(df, F.col("t"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    bags = {}
+    for r in df.select("id", terms(F.col("t")).alias("t")).collect():
+        for x in r["t"]:
+            bags.setdefault(r["id"], {}).setdefault(x["term"], []).append(x["w"])
+    want = {}
+    for i, bag in bags.items():
+        raw = {}
+        for term, w in bag.items():
+            h = hashlib.md5(term.encode()).digest()
+            raw[h[0] % 128] = raw.get(h[0] % 128, 0.0) + (1 if h[4] % 2 == 0 else -1) * (1 + math.log(sum(w)))
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        want[i] = {b: round(x / norm, 9) for b, x in raw.items()}
+    assert {r["id"]: {e["bucket"]: round(e["x"], 9) for e in r["entries"]} for r in found.collect()} == want
+    q = retrieval.hashed_vectors(df.filter("id = 'a'"), F.col("t"))
+    assert {r["id"]: round(r["s"], 6) for r in retrieval.products(found, q).collect()}["a"] == 1.0
+    assert retrieval.products(found, q.limit(0)).count() == 0
