@@ -278,11 +278,9 @@ u AS (SELECT id, bucket, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM v
 @query(f"WITH {_TERMS} SELECT a.id AS id, round(least(1, greatest(0, sum(a.x * b.x))), 5) AS score FROM u a JOIN u b ON a.bucket = b.bucket AND b.id = 1 GROUP BY 1")
 def hash_vector_dot(spark, d):
     p = views.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("t"))
-    from ..storage import cut
-
-    v = cut(retrieval.hashed_vectors(p, F.col("t")), "vectors")
-    q = v.filter("id = 1").select("bucket", F.col("x").alias("q"))
-    return v.join(F.broadcast(q), "bucket").groupBy("id").agg(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.sum(F.col("x") * F.col("q")))), 5).alias("score"))
+    q = retrieval.hashed_vectors(p.filter("id = 1"), F.col("t"))
+    found = retrieval.products(retrieval.hashed_entries(p, F.col("t")), q)
+    return found.select("id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "s")), 5).alias("score"))
 
 
 @query(
