@@ -103,3 +103,18 @@ def test_vectors_pack_as_flat_buffers(spark):
     assert [(r["node_id"], r["vector"]) for r in stores.unpack_vectors(packed).collect()] == rows
     assert stores.pack_vectors(v.limit(0)).count() == 0
     assert stores.unpack_vectors(stores.pack_vectors(v.filter("vector IS NULL"))).filter("vector IS NULL").count() == 7
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(60_000).select(F.col("id").cast("string").alias("path"), F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("content_hash"))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "300k")
+    try:
+        stores.save(rows, f"file://{tmp_path}", "fingerprints", buckets=2)
+    finally:
+        spark.conf.unset(size)
+    for bucket in (0, 1):
+        assert len(list(tmp_path.glob(f"fingerprints/data/*/bucket={bucket}/*.parquet"))) > 1
+    assert stores.load(spark, f"file://{tmp_path}", "fingerprints").count() == 60_000
+    found = stores.lookup(spark, f"file://{tmp_path}", "fingerprints", rows.filter("path IN ('7', '59999')"))
+    assert sorted(r["path"] for r in found.collect()) == ["59999", "7"]
