@@ -148,8 +148,8 @@ def _reach_labels(links: DataFrame, place: DataFrame, seeds: int = 3) -> DataFra
         sent = links.join(front.select(F.col("id").alias("a"), "labels"), "a")
         got = sent.groupBy(F.col("b").alias("id")).agg(F.array(*(F.min(F.col("labels")[k]) for k in range(seeds))).alias("sent"))
         new = now.join(got, "id", "left").select("id", F.when(F.col("sent").isNull(), F.col("labels")).otherwise(least(F.col("labels"), F.col("sent"))).alias("labels"), F.col("labels").alias("old"))
-        new = cut(new, "labels")
-        front = new.filter(F.col("labels") != F.col("old")).select("id", "labels")
+        new = cut(new.select("id", "labels", (F.col("labels") != F.col("old")).alias("moved")), "labels")
+        front = new.filter("moved").select("id", "labels")
         now = new.select("id", "labels")
         if front.isEmpty():
             return now
