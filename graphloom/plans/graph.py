@@ -292,8 +292,11 @@ SELECT round(lam, 5) AS lambda2, round(c, 6) AS conductance, lam > 1e-5 AS conne
 
 @query(_FIEDLER)
 def fiedler_cut(spark, d):
-    """The cut by joins and running sums, as on a graph of any size."""
-    found = analytics.fiedler_cut(*trade(spark, d), driver_edges=0)
+    """The cut by joins and running sums, as on a graph of any size, of the
+    nations that trade: those without a link are on no side of it."""
+    nodes, edges = trade(spark, d)
+    linked = edges.filter("source_id <> target_id").select(F.explode(F.array("source_id", "target_id")).alias("id"))
+    found = analytics.fiedler_cut(nodes.join(linked, "id", "left_semi"), edges, driver_edges=0)
     return joined(found.select(F.round("lambda2", 5).alias("lambda2"), "conductance", "connected", "side"), "side")
 
 
