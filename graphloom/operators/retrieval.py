@@ -200,12 +200,34 @@ def _pairs_of_letters(names: DataFrame, column: str) -> DataFrame:
     return names.filter(F.length(c) > 1).select(column, grams.alias("g")).select(column, F.size("g").alias("size"), F.explode("g").alias("gram"))
 
 
+#: Letters of a name up to which names within two edits meet by what is left of
+#: them without two letters: 820 forms at most; longer ones meet by pairs of letters.
+SHORT = 40
+
+
+def _shortened(names: DataFrame, column: str, r: int) -> DataFrame:
+    """<column>_id, h: a hash of each name and of what is left of it without up
+    to r letters, 1 or 2.  Names within r edits have such a form in common."""
+    c, last = f"`{column}`", SHORT + 2
+    places = f"slice(sequence(1, {last}), 1, length({c}))"
+    forms = f"transform({places}, i -> xxhash64(concat(substr({c}, 1, i - 1), substr({c}, i + 1))))"
+    if r == 2:
+        rest = f"transform(slice(sequence(1, {last}), i + 1, length({c}) - i), j -> xxhash64(concat(substr({c}, 1, i - 1), substr({c}, i + 1, j - i - 1), substr({c}, j + 1))))"
+        forms = f"concat({forms}, flatten(transform({places}, i -> {rest})))"
+    # a name of few bytes has hundreds of forms, so tasks are dealt by names
+    names = names.select(column).repartition(1 + names.count() // 2000, column)
+    return names.select(F.xxhash64(column).alias(f"{column}_id"), F.explode(F.expr(f"array_distinct(concat(array(xxhash64({c})), {forms}))")).alias("h"))
+
+
 def nearest_names(wanted: DataFrame, names: DataFrame, share: float = 0.8, least: int = 10, rounds: tuple[int, ...] = (1, 2, 4, 8, 16)) -> DataFrame:
     """name, nearest, distance: the closest known name within
     max(least, floor(share * length)) edits; ties by name.
 
-    names: (name).  Known names themselves come first, then rounds of growing
-    radius r: an edit takes two pairs of letters away at most, so a name of
+    names: (name).  Known names themselves come first.  Then names of up to
+    SHORT letters meet those within one edit, and what is left those within
+    two, by equal forms: names within r edits are equal once r letters or less
+    are left out of each.  Few others have such a form, however many names
+    have the same words.  Then rounds of growing radius r: an edit takes two pairs of letters away at most, so a name of
     2 r + 1 distinct pairs or more shares one of its 2 r + 1 rarest pairs with
     any name within r edits, and one of the other's.  Only those that do meet,
     and the least distance met so far bounds the radius of the next round: once
@@ -221,22 +243,38 @@ def nearest_names(wanted: DataFrame, names: DataFrame, share: float = 0.8, least
     w = cut(w.withColumn("bound", F.least("limit", F.greatest(F.length("name"), F.lit(shortest)))), "wanted")
     best = lambda met: met.groupBy("name").agg(F.min(F.struct("distance", "known")).alias("m")).select("name", F.col("m.known").alias("nearest"), F.col("m.distance").alias("distance"))
     done = cut(w.join(known, F.col("name") == F.col("known")).select("name", F.col("known").alias("nearest"), F.lit(0).alias("distance")), "nearest")
+    # a name's radius of the last round, and the least distance met
+    state = cut(w.join(done, "name", "left_anti").withColumn("radius", F.lit(0)), "state")
+
+    def further(done: DataFrame, state: DataFrame, grown: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """done and state once the pairs (name, known) within grown's reach have met."""
+        met = cut(best(pairs.withColumn("distance", F.levenshtein("name", "known"))), "met")
+        j = cut(state.join(grown.select("name", "reach"), "name", "left").join(met, "name", "left").withColumn("radius", F.coalesce("reach", "radius")), "state")
+        settled = F.coalesce((F.col("distance") <= F.col("radius")) & (F.col("distance") <= F.col("limit")), F.lit(False))
+        done = cut(done.unionByName(j.filter(settled).select("name", "nearest", "distance")), "nearest")
+        return done, cut(j.filter(~settled).select("name", "limit", F.least("bound", "distance").alias("bound"), "radius"), "state")
+
+    for r in (1, 2):
+        grown = state.filter(F.length("name") <= SHORT).withColumn("reach", F.least(F.lit(r), "bound")).filter("reach > radius")
+        if grown.isEmpty():
+            continue
+        near = known.filter(F.length("known") <= SHORT + r)
+        met = _shortened(grown, "name", r).hint("merge").join(_shortened(near, "known", r), "h").select("name_id", "known_id").distinct()
+        named = lambda df, c: df.select(F.xxhash64(c).alias(f"{c}_id"), c)
+        pairs = met.join(named(grown, "name"), "name_id").join(named(near, "known"), "known_id").select("name", "known")
+        done, state = further(done, state, grown, pairs)
+    if state.isEmpty():
+        return done
     theirs = _pairs_of_letters(known, "known")
     often = theirs.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     place = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("df", "gram"))
     theirs = cut(theirs.join(often, "gram").withColumn("k", place("known")), "grams")
-    ours = cut(_pairs_of_letters(w.join(done, "name", "left_anti"), "name").join(often, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("k", place("name")), "grams")
-    # a name's radius of the last round, and the least distance met
-    state = cut(w.join(done, "name", "left_anti").withColumn("radius", F.lit(0)), "state")
+    ours = cut(_pairs_of_letters(state, "name").join(often, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("k", place("name")), "grams")
     for r in rounds:
         grown = state.join(ours.filter("k = 1").select("name", "size"), "name").withColumn("reach", F.least(F.lit(r), F.col("bound"), F.expr("(size - 1) div 2").cast("int"))).filter("reach > radius")
         mine = ours.select("name", "gram", "k").join(grown.select("name", "reach"), "name").filter("k <= 2 * reach + 1")
         pairs = mine.join(theirs.filter(F.col("k") <= 2 * r + 1).select("known", "gram"), "gram").filter(F.abs(F.length("name") - F.length("known")) <= F.col("reach"))
-        met = cut(best(pairs.select("name", "known").distinct().withColumn("distance", F.levenshtein("name", "known"))), "met")
-        j = cut(state.join(grown.select("name", "reach"), "name", "left").join(met, "name", "left").withColumn("radius", F.coalesce("reach", "radius")), "state")
-        settled = F.coalesce((F.col("distance") <= F.col("radius")) & (F.col("distance") <= F.col("limit")), F.lit(False))
-        done = cut(done.unionByName(j.filter(settled).select("name", "nearest", "distance")), "nearest")
-        state = cut(j.filter(~settled).select("name", "limit", F.least("bound", "distance").alias("bound"), "radius"), "state")
+        done, state = further(done, state, grown, pairs.select("name", "known").distinct())
     rest = state.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(0), F.length("name") - F.col("bound")), F.length("name") + F.col("bound"))))
     met = rest.join(known.withColumn("len", F.length("known")), "len").withColumn("distance", F.levenshtein("name", "known")).filter("distance <= bound")
     return done.unionByName(best(met))

@@ -155,6 +155,23 @@ def test_nearest_names_against_all_pairs(spark):
     assert retrieval.nearest_names(frame(wanted), frame([])).count() == 0 and retrieval.nearest_names(frame([]), frame(known)).count() == 0
 
 
+def test_near_names_of_common_words_meet_by_forms(spark, monkeypatch):
+    """Names within two edits are found without their pairs of letters, which
+    all names of the same words share."""
+
+    def pairs(*_):
+        raise AssertionError("pairs of letters")
+
+    monkeypatch.setattr(retrieval, "_pairs_of_letters", pairs)
+    known = [f"hot gear MEDIUM {i}" for i in range(0, 600, 3)]
+    wanted = [k[:3] + "x" + k[4:-1] for k in known] + ["hot gear MEDIUM 1x", "q" * 2, "hot gea MEDIUM 300"]
+    known.append("q")
+    frame = lambda names: spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r["name"]: (r["nearest"], r["distance"]) for r in retrieval.nearest_names(frame(wanted), frame(known)).collect()}
+    best = {q: min((_edits(q, k), k) for k in known) for q in wanted}
+    assert got == {q: (k, n) for q, (n, k) in best.items()}
+
+
 def test_hashed_entries_move_texts_only(spark):
     """Terms are counted where they are made: one exchange, of texts, where
     three moved terms; repeated ids, nulls and stop words as before."""
