@@ -74,7 +74,8 @@ class TextIndex:
         Returns the batch's name."""
         if not docs.groupBy(id_col).count().filter("count > 1").isEmpty():
             raise ValueError("ids of a batch must be unique")
-        bag = docs.select(F.col(id_col).alias("id"), F.flatten(F.array(*(tokens(F.col(c)) for c in columns))).alias("t"))
+        # texts are dealt by id, so no token is moved to be counted
+        bag = docs.select(id_col, *dict.fromkeys(c for c in columns if c != id_col)).repartition(id_col).select(F.col(id_col).alias("id"), F.flatten(F.array(*(tokens(F.col(c)) for c in columns))).alias("t"))
         flat = bag.select("id", F.size("t").cast("long").alias("length"), F.explode_outer("t").alias("term"))
         counted = cut(flat.groupBy("id", "length", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")), "counted")
         return self._write(counted, self.batches())
@@ -91,11 +92,12 @@ class TextIndex:
         kind = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c < F.col("length")))
         block = (kind * slices + F.pmod(F.xxhash64("id"), F.lit(slices))).cast("long")
         posting = F.struct("id", "tf", "length")
-        rows = counted.filter("term IS NOT NULL").withColumn("block", block).groupBy("term", "block")
+        rows = counted.filter("term IS NOT NULL").withColumn("block", block)
+        # rows go to their bucket once, and are put together there
+        buckets = max(1, -(-rows.agg(F.approx_count_distinct(F.struct("term", "block"))).first()[0] // BUCKET_ROWS))
+        rows = rows.repartitionByRange(buckets, "term", "block").groupBy("term", "block")
         rows = rows.agg(F.sort_array(F.collect_list(posting)).alias("postings"), F.max("tf").alias("most"), F.min("length").alias("least"), F.count(F.lit(1)).alias("n"))
-        rows = cut(rows, "postings")
-        buckets = max(1, -(-rows.count() // BUCKET_ROWS))
-        laid = rows.repartitionByRange(buckets, "term", "block").withColumn("bucket", F.spark_partition_id()).sortWithinPartitions("term", "block")
+        laid = rows.withColumn("bucket", F.spark_partition_id()).sortWithinPartitions("term", "block")
         laid.write.partitionBy("bucket").parquet(f"{root}/postings") if n else rows.withColumn("bucket", F.lit(0)).write.parquet(f"{root}/postings")
         terms = self._read(batch, "postings").groupBy("term").agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"), F.sum("n").alias("n"))
         terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{root}/terms")

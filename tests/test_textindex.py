@@ -68,3 +68,15 @@ def test_only_the_words_buckets_are_read(spark, tmp_path, small):
     assert len(opened) == 1
     # blocks that cannot reach a place are not scored
     assert [r["id"] for r in index.search("word001 common", 1).collect()] == [1]
+
+
+def test_a_batch_is_laid_out_once(spark, small, tmp_path, monkeypatch):
+    """Postings go straight to their buckets: one step is written beside the
+    index, where the postings were written twice; buckets are ranges of terms."""
+    steps, real = [], textindex.cut
+    monkeypatch.setattr(textindex, "cut", lambda df, name: steps.append(name) or real(df, name))
+    index = TextIndex(spark, f"file://{tmp_path}/index")
+    batch = index.add(frame(spark, texts(4, 60)), ["body", "head"])
+    assert steps == ["counted"]
+    rows = sorted((r["bucket"], r["term"], r["block"]) for r in index._read(batch, "postings").collect())
+    assert len({b for b, _, _ in rows}) > 1 and [r[1:] for r in rows] == sorted({r[1:] for r in rows})
