@@ -2,9 +2,9 @@
 
 A graph of up to DRIVER_EDGES distinct weighted edges - the size is checked -
 is iterated in numpy on the driver, as a Spark job per round would take longer
-than all the rounds.  Beyond that vectors are DataFrames (id, x), a product is
-a join on the shared key and a sum, which Spark combines before the shuffle,
-and each round is written to shared storage.  Both ways give the same numbers.
+than all the rounds.  Beyond that links and vectors are packed by blocks
+(``grid.py``), a product is one cogroup of both, and each round is written to
+shared storage.  Both ways give the same numbers.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut
+from .grid import Grid
 
 DRIVER_EDGES = 500_000
 
@@ -45,16 +46,21 @@ def _ranks(nodes: DataFrame, links: DataFrame, rounds: int, damping: float, tole
         kind = nodes.schema["id"].dataType.simpleString()
         return nodes.sparkSession.createDataFrame([(i, float(v)) for i, v in zip(names, x)], f"id {kind}, score double")
     leads = links.select(F.col("a").alias("id")).distinct().withColumn("leads", F.lit(True))
-    ranks = cut(ids.join(leads, "id", "left").select("id", F.lit(1.0 / n).alias("score"), F.col("leads").isNull().alias("sink")), "ranks")
+    start = ids.join(leads, "id", "left").select("id", F.lit(1.0 / n).alias("x"), F.col("leads").isNull().cast("double").alias("extra"))
+    grid = Grid(start, links, n, links.count())
+    ranks = grid.start()
+    mass = grid.places.agg(F.sum("extra")).first()[0] / n / n if spread else 0.0
     for _ in range(rounds):
-        mass = (ranks.agg(F.sum(F.when(F.col("sink"), F.col("score")))).first()[0] or 0.0) / n if spread else 0.0
-        flow = links.join(ranks.select(F.col("id").alias("a"), "score"), "a").groupBy(F.col("b").alias("id")).agg(F.sum(F.col("w") * F.col("score")).alias("flow"))
-        fresh = ranks.join(flow, "id", "left").select("id", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("flow", F.lit(0.0)) + F.lit(mass))).alias("score"), "sink", F.col("score").alias("old"))
-        fresh = cut(fresh, "ranks")
-        ranks = fresh.drop("old")
-        if tolerance is not None and fresh.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] < tolerance:
+        def change(flow, x, sink, mass=mass):
+            fresh = (1 - damping) / n + damping * (flow + mass)
+            return fresh, fresh[sink > 0].sum(), np.abs(fresh - x).sum()
+
+        ranks = grid.step(ranks, change)
+        lost, moved = ranks.agg(F.sum("p"), F.sum("q")).first()
+        mass = lost / n if spread else 0.0
+        if tolerance is not None and moved < tolerance:
             break
-    return ranks.select("id", "score")
+    return grid.rows(ranks).select("id", F.col("x").alias("score"))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float | None = 1e-6, driver_edges: int = DRIVER_EDGES) -> DataFrame:
@@ -95,22 +101,27 @@ def spectral_radius(nodes: DataFrame, edges: DataFrame, rounds: int = 150, toler
     links = cut(weighted(nodes, edges), "weights")
     local, radius, last = _local(nodes, links, driver_edges), 0.0, None
     n = nodes.count()
-    x = np.full(n, max(n, 1) ** -0.5) if local else nodes.select("id", F.lit(max(n, 1) ** -0.5).alias("x"))
+    x = np.full(n, max(n, 1) ** -0.5)
+    if not local:
+        grid = Grid(nodes.select("id", F.lit(max(n, 1) ** -0.5).alias("x"), F.lit(1.0).alias("extra")).dropDuplicates(["id"]), links, n, links.count())
+        y = grid.start()
     for _ in range(rounds):
         if local:
             _, a, b, w = local
             y = np.bincount(b, w * x[a], n)
             radius = float(np.linalg.norm(y))
         else:
-            y = cut(links.join(x, F.col("a") == F.col("id")).groupBy(F.col("b").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("y")), "power")
-            radius = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 0.0
+            scale = last if last is not None else 1.0
+            y = grid.step(y, lambda flow, x, extra, scale=scale: (flow / scale, (flow / scale) @ (flow / scale), 0.0))
+            radius = (y.agg(F.sum("p")).first()[0] or 0.0) ** 0.5
         if radius < 1e-12:
             radius = 0.0
             break
         if tolerance is not None and last is not None and abs(radius - last) < tolerance:
             break
         last = radius
-        x = y / radius if local else y.select("id", (F.col("y") / F.lit(radius)).alias("x"))
+        if local:
+            x = y / radius
     return nodes.sparkSession.createDataFrame([(float(radius), float("inf") if radius <= 0 else 1.0 / radius)], "radius double, threshold double")
 
 
@@ -132,14 +143,19 @@ def resolvent(nodes: DataFrame, edges: DataFrame, target, alpha: float | None, r
         kind = nodes.schema["id"].dataType.simpleString()
         found = nodes.sparkSession.createDataFrame([(i, float(v)) for i, v in zip(names, x)], f"id {kind}, x double")
     else:
-        start = nodes.select("id", F.when(F.col("id") == target, 1.0).otherwise(0.0).alias("e"))
-        found = start.select("id", F.col("e").alias("x"))
+        e = F.when(F.col("id") == target, 1.0).otherwise(0.0)
+        start = nodes.select("id", e.alias("x"), e.alias("extra")).dropDuplicates(["id"])
+        grid = Grid(start, links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"), nodes.count(), links.count())
+        state = grid.start()
         for _ in range(rounds):
-            flow = links.join(found, F.col("b") == F.col("id")).groupBy(F.col("a").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("f"))
-            fresh = cut(start.join(flow, "id", "left").join(found.withColumnRenamed("x", "old"), "id").select("id", (F.col("e") + F.lit(alpha) * F.coalesce("f", F.lit(0.0))).alias("x"), "old"), "resolvent")
-            found = fresh.select("id", "x")
-            if tolerance is not None and (fresh.agg(F.max(F.abs(F.col("x") - F.col("old")))).first()[0] or 0) < tolerance:
+            def change(flow, x, e):
+                fresh = e + alpha * flow
+                return fresh, 0.0, np.abs(fresh - x).max(initial=0)
+
+            state = grid.step(state, change)
+            if tolerance is not None and (state.agg(F.max("q")).first()[0] or 0) < tolerance:
                 break
+        found = grid.rows(state)
     return found.filter((F.col("id") != target) & (F.col("x") > least)).select("id", F.round("x", 6).alias("impact"))
 
 
