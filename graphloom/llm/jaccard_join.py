@@ -58,6 +58,8 @@ SKETCH = [f"s{i}" for i in range(WIDE)]
 BLOCK, BLOCK_BYTES, STAR, COLUMNS = 512, 4_000_000, 8, 4096
 #: Hubs that a group's nodes are compared with one by one.
 HUBS = 3
+#: Bits for each key in a map of keys; bits in a page of one.
+KEY_BITS, PAGE = 16, 32_768
 
 
 def prefix_length(n: int) -> int:
@@ -222,6 +224,28 @@ def _pairs(matches: DataFrame) -> DataFrame:
     return turned.groupBy("x", "y").agg(F.first("n").alias("n"), F.first("m").alias("m")).select("x", "y")
 
 
+def _may_match(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows whose name, a hash, may be among keys, and few others: what a
+    join with keys would drop after a shuffle is dropped where it is read.
+
+    A bit of a map stands for each key, KEY_BITS bits a key: about one in
+    KEY_BITS of the other rows stays, so the join must follow."""
+    size = PAGE * -(-max(1, KEY_BITS * keys.count()) // PAGE)
+    at = F.pmod(F.col(name), F.lit(size))
+    pages = keys.groupBy((at / PAGE).cast("int").alias("page")).agg(F.bitmap_construct_agg(at % PAGE).alias("bits")).collect()
+    bits = np.zeros(size // 8, dtype=np.uint8)
+    for page, found in pages:
+        bits[page * PAGE // 8 : (page + 1) * PAGE // 8] = np.frombuffer(found, np.uint8)
+    shared, place = rows.sparkSession.sparkContext.broadcast(bits), rows.columns.index(name)
+
+    def run(batches):
+        for batch in batches:
+            h = np.mod(batch.column(place).to_numpy(zero_copy_only=False), size)
+            yield batch.filter(pa.array((shared.value[h >> 3] >> (h & 7) & 1).astype(bool)))
+
+    return map_arrow(rows, run, rows.schema)
+
+
 def _side(sets: DataFrame, name: str, *columns: str) -> DataFrame:
     """(name, name_<column>...) of each node of sets."""
     return sets.select(F.col("sig").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in columns))
@@ -244,7 +268,8 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose whole sets are similar.
 
     A node's partners are dealt in rows of about STAR, each with one copy of
-    its own set."""
+    its own set.  Sets of nodes without a partner are not moved."""
+    sets = _may_match(sets.select("sig", "grams"), pairs.select(F.explode(F.array("x", "y")).alias("sig")).distinct(), "sig")
     counts = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("partners"))
     dealt = pairs.join(counts, "y").withColumn("part", F.pmod(F.xxhash64("x"), F.ceil(F.col("partners") / STAR)))
     star = dealt.join(_side(sets, "x", "grams"), "x").groupBy("y", "part").agg(F.collect_list(F.struct("x", "x_grams")).alias("others"))
@@ -326,7 +351,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, k: int, region: float) ->
     keeper = materialise(raw.filter("packed IS NOT NULL").select("key", "sig").join(wanted, "sig").groupBy("sig").agg(F.min("key").alias("key")), "kept")
     discard(raw, prefixes)
     # repeated rows have one key, and are where the join has put them
-    texts = rows.select("key", "text").join(keeper, "key").dropDuplicates(["key", "sig"]).select("sig", "text")
+    texts = _may_match(rows.select("key", "text"), keeper, "key").join(keeper, "key").dropDuplicates(["key", "sig"]).select("sig", "text")
     sets = materialise(map_arrow(texts, _whole(k), "sig long, n long, grams binary, " + ", ".join(f"{s} long" for s in SKETCH)), "grams")
     discard(keeper)
     none = F.array().cast("array<long>")
@@ -338,18 +363,22 @@ def _classes(docs: DataFrame, doc_id: str, text: str, k: int, region: float) ->
     hub = F.col("hub")
     near_hub = groups.filter((F.col("sig") != hub["sig"]) & _possible(F.col("n"), F.col("rank"), hub["n"], hub["rank"]))
     first = materialise(_pairs(near_hub.select(F.col("sig").alias("x"), "n", "rank", hub["sig"].alias("y"), hub["n"].alias("m"), hub["rank"].alias("other"))), "pairs")
-    links = materialise(_verify(_sketched(first, sets), sets), "links")
+    links = materialise(_verify(materialise(_sketched(first, sets), "sketched"), sets), "links")
     roots = connected(links)
 
     # further hubs: of the nodes outside the first one's component, by hash
-    def place() -> DataFrame:
-        root = lambda name, at: roots.select(F.col("node").alias(at), F.col("root").alias(name))
-        found = groups.withColumn("hub_sig", hub["sig"]).join(root("root", "sig"), "sig", "left").join(root("hub_root", "hub_sig"), "hub_sig", "left")
-        found = found.select("t", "sig", "n", "rank", "size", F.coalesce("root", "sig").alias("root"), F.coalesce("hub_root", "hub_sig").alias("hub_root"))
-        left = found.filter("root <> hub_root").select("t").distinct()
-        return materialise(found.join(left, "t").withColumn("blocks", F.ceil(F.col("size") / BLOCK)), "placed")
-
-    placed, compared = place(), first
+    def place(rows: DataFrame) -> DataFrame:
+        """The rows of groups that are not within one component yet.  Components
+        only grow, so later rounds look at what an earlier one has left."""
+        found = rows.select("t", "sig", "n", "rank", "size", "hub_sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        found = materialise(found, "rooted")
+        per = found.groupBy("t").agg(F.max(F.when(F.col("sig") == F.col("hub_sig"), F.col("root"))).alias("hub_root"), F.min("root").alias("low"), F.max("root").alias("high"))
+        placed = materialise(found.join(per.filter("low <> high").select("t", "hub_root"), "t").withColumn("blocks", F.ceil(F.col("size") / BLOCK)), "placed")
+        discard(found)
+        return placed
+
+    # two nodes of one group have met already: one of them is the hub
+    placed, compared = place(groups.filter("size > 2").withColumn("hub_sig", hub["sig"])), first
     for k in range(1, HUBS):
         left = placed.filter("root <> hub_root")
         again = left.groupBy("t").agg(F.min(F.struct(F.xxhash64(F.lit(k), "sig").alias("h"), "sig", "n", "rank", "root")).alias("hub"))
@@ -358,11 +387,11 @@ def _classes(docs: DataFrame, doc_id: str, text: str, k: int, region: float) ->
         pairs = materialise(pairs, "pairs")
         if pairs.isEmpty():
             break
-        more = materialise(_verify(_sketched(pairs, sets), sets), "links")
+        more = materialise(_verify(materialise(_sketched(pairs, sets), "sketched"), sets), "links")
         links, compared = materialise(links.union(more), "links"), materialise(compared.union(pairs), "pairs")
         roots = connected(links)
-        discard(placed, more, pairs)
-        placed = place()
+        before, placed = placed, place(placed)
+        discard(before, more, pairs)
     discard(groups)
 
     # what did not join its hub's component meets the others of the group

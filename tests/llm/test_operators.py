@@ -95,6 +95,32 @@ def test_shared_paragraphs_make_few_candidates(spark, monkeypatch):
     assert sum(verified) <= 1500
 
 
+def test_groups_of_two_are_placed_no_more(spark, monkeypatch):
+    """Each text shares half its words with the one before and the one after."""
+    rng = random.Random(3)
+    blocks = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) for _ in range(12)]
+    counts, real = {}, jaccard_join.materialise
+
+    def counted(df, name):
+        out = real(df, name)
+        counts.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", counted)
+    got = jaccard_join.similarity_components(docs(spark, [(i, f"{blocks[i - 1]} {blocks[i]}") for i in range(12)])).collect()
+    assert counts["groups"][0] > 2 and sum(counts["placed"]) == 0
+    assert all(r["component_id"] == r["doc_id"] and r["n_links"] == 0 for r in got)
+
+
+def test_map_of_keys_drops_most_others(spark):
+    rows = spark.range(20000).select(F.xxhash64("id").alias("key"), F.col("id").cast("string").alias("text"))
+    keys = rows.filter("text % 10 = 3").select("key")
+    left = jaccard_join._may_match(rows, keys, "key")
+    assert left.columns == rows.columns and left.join(keys, "key", "left_semi").count() == 2000
+    assert left.count() < 2000 + 18000 / 8
+    assert jaccard_join._may_match(rows, keys.limit(0), "key").count() == 0
+
+
 def test_components_of_empty_table(spark):
     assert jaccard_join.similarity_components(docs(spark, [])).count() == 0
 
