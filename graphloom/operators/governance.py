@@ -178,14 +178,18 @@ def martin_metrics(nodes: DataFrame, edges: DataFrame, membership: DataFrame) ->
 
 
 def scorecard(nodes: DataFrame, edges: DataFrame, cycles: DataFrame) -> DataFrame:
-    """One row (score, grade, isolated, cycles, code_units, verified_ratio)."""
-    linked = edges.select(F.col("source_id").alias("id")).union(edges.select("target_id")).distinct()
+    """One row (score, grade, isolated, cycles, code_units, verified_ratio).
+
+    Ends are dealt by id before they are made distinct: nearly all of them are,
+    and made so where they are read they would fill that task's memory."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    linked = edges.select(F.col("source_id").alias("id")).union(edges.select("target_id")).repartition(parts, "id").distinct()
     kinds = ("function", "class", "service", "endpoint", "module")
     source = (F.col("node_type") == "file") & F.col("path").rlike(r"\.(py|js|ts|sh)$") & ~F.col("path").endswith("__init__.py")
-    isolated = nodes.filter(F.col("node_type").isin(*kinds) | source).join(linked, "id", "left_anti").agg(F.count(F.lit(1)).alias("isolated"))
+    isolated = nodes.filter(F.col("node_type").isin(*kinds) | source).select("id").repartition(parts, "id").join(linked, "id", "left_anti").agg(F.count(F.lit(1)).alias("isolated"))
     code = nodes.filter(F.col("node_type").isin("function", "class") & ~F.coalesce("path", F.lit("")).rlike("^tests?/|/tests/|test_"))
-    proof = edges.filter(F.col("edge_type").isin("verifies", "evidenced_by") | ((F.col("edge_type") == "calls") & F.col("source_id").contains("tests/"))).select(F.col("target_id").alias("id")).distinct()
-    units = code.join(proof.withColumn("ok", F.lit(1)), "id", "left").agg(F.count(F.lit(1)).alias("code_units"), F.coalesce(F.sum("ok"), F.lit(0)).alias("tested"))
+    proof = edges.filter(F.col("edge_type").isin("verifies", "evidenced_by") | ((F.col("edge_type") == "calls") & F.col("source_id").contains("tests/"))).select(F.col("target_id").alias("id")).repartition(parts, "id").distinct()
+    units = code.select("id").repartition(parts, "id").join(proof.withColumn("ok", F.lit(1)), "id", "left").agg(F.count(F.lit(1)).alias("code_units"), F.coalesce(F.sum("ok"), F.lit(0)).alias("tested"))
     one = isolated.crossJoin(cycles.agg(F.count(F.lit(1)).alias("cycles"))).crossJoin(units)
     ratio = F.when(F.col("code_units") > 0, F.round(F.col("tested") / F.col("code_units"), 2)).otherwise(1.0)
     one = one.withColumn("verified_ratio", ratio)

@@ -148,6 +148,14 @@ def test_dead_code(spark):
     assert [(r["name"], r["confidence"], r["lines"]) for r in governance.dead_code(nodes, edges, "high").collect()] == [("_orphan_helper", "high", 16)]
 
 
+def test_scorecard_ends_are_dealt_before_they_are_distinct(spark):
+    nodes = spark.createDataFrame([("a", "a", "function", "x.py"), ("b", "b", "function", "x.py")], "id string, name string, node_type string, path string")
+    edges = spark.createDataFrame([("a", "b", "verifies")] * 3, "source_id string, target_id string, edge_type string")
+    r = governance.scorecard(nodes, edges, spark.createDataFrame([], "cycle array<string>"))
+    assert r._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 3
+    assert (r.first()["isolated"], r.first()["code_units"], r.first()["verified_ratio"]) == (0, 2, 0.5)
+
+
 def test_scorecard_verified_share(spark):
     nodes, _ = graph(spark, [], extra="abcdef")
     edges = spark.createDataFrame([("t", c, "verifies") for c in "abcde"], "source_id string, target_id string, edge_type string")
