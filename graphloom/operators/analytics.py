@@ -48,14 +48,20 @@ def degree_entropy(edges: DataFrame) -> DataFrame:
     return deg.agg(F.round(F.log2(F.sum("d")) - F.sum(F.col("d") * F.log2("d")) / F.sum("d"), 4).alias("entropy"))
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """rows for joins that meet them by a shuffle: they grow with the graph,
+    and what is broadcast goes through the driver."""
+    return rows.hint("merge")
+
+
 def modularity(pairs: DataFrame, membership: DataFrame) -> DataFrame:
     """One row: modularity of a partition (id, community) of undirected pairs."""
-    c = lambda end: membership.select(F.col("id").alias(end), F.col("community").alias(f"c{end}"))
+    c = lambda end: _apart(membership).select(F.col("id").alias(end), F.col("community").alias(f"c{end}"))
     e = pairs.join(c("u"), "u").join(c("v"), "v")
     inside = e.filter("cu = cv").groupBy(F.col("cu").alias("c")).agg(F.count(F.lit(1)).alias("e"))
     ends = e.select(F.explode(F.array("cu", "cv")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("a"))
     m = e.agg(F.count(F.lit(1)).alias("m"))
-    return ends.join(inside, "c", "left").crossJoin(F.broadcast(m)).agg(F.round(F.sum(F.coalesce("e", F.lit(0)) / F.col("m") - F.pow(F.col("a") / (2 * F.col("m")), F.lit(2.0))), 6).alias("q"))
+    return ends.join(_apart(inside), "c", "left").crossJoin(F.broadcast(m)).agg(F.round(F.sum(F.coalesce("e", F.lit(0)) / F.col("m") - F.pow(F.col("a") / (2 * F.col("m")), F.lit(2.0))), 6).alias("q"))
 
 
 def triangles(pairs: DataFrame) -> DataFrame:
@@ -115,7 +121,10 @@ def merged_communities(pairs: DataFrame) -> DataFrame:
     merge, and others that could gain with one of the two only follow, the
     highest gains first, as long as they still gain by what has joined before.  The
     pair of the highest gain of all always merges, and no merge loses
-    modularity.  Communities are named by their smallest member."""
+    modularity.  Communities are named by their smallest member.
+
+    No table of a round is broadcast: rounds are many, and so all of them
+    would send the driver many times what the graph holds."""
     links = cut(pairs.select(F.col("u").alias("a"), F.col("v").alias("b"), F.lit(1.0).alias("w")), "links")
     m = links.count()
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).cast("double").alias("d"))
@@ -123,7 +132,7 @@ def merged_communities(pairs: DataFrame) -> DataFrame:
     member = degree.select(F.col("c").alias("id"), F.col("c").alias("community"))
     if not m:
         return member
-    d = lambda end: degree.select(F.col("c").alias(end), F.col("d").alias(f"d{end}"))
+    d = lambda end: _apart(degree).select(F.col("c").alias(end), F.col("d").alias(f"d{end}"))
     while True:
         gain = F.col("w") / m - F.col("da") * F.col("db") / (2.0 * m * m)
         gains = links.join(d("a"), "a").join(d("b"), "b").withColumn("gain", gain).filter("gain > 0")
@@ -134,17 +143,17 @@ def merged_communities(pairs: DataFrame) -> DataFrame:
         if best.isEmpty():
             return member
         back = best.select(F.col("c").alias("p"), F.col("p").alias("c"), F.col("d").alias("dp"))
-        core = cut(best.join(back, ["c", "p"]).filter("c < p").select(F.col("c").alias("lead"), F.col("p").alias("mate"), (F.col("d") + F.col("dp")).alias("have")), "core")
+        core = cut(best.join(_apart(back), ["c", "p"]).filter("c < p").select(F.col("c").alias("lead"), F.col("p").alias("mate"), (F.col("d") + F.col("dp")).alias("have")), "core")
         of = core.select("lead", "have", F.explode(F.array("lead", "mate")).alias("p"))
-        rest = best.filter("options = 1").join(core.select(F.explode(F.array("lead", "mate")).alias("c")), "c", "left_anti").join(of, "p")
-        follow = running(rest, [F.desc("gain"), "c"], F.col("d"), "so_far", ["lead"])
+        rest = best.filter("options = 1").join(_apart(of).select(F.col("p").alias("c")), "c", "left_anti").join(_apart(of), "p")
+        follow = running(rest, [F.desc("gain"), "c"], F.col("d"), "so_far", ["lead"], many=True)
         joins = follow.filter(F.col("w") / m - F.col("d") * (F.col("have") + F.col("so_far") - F.col("d")) / (2.0 * m * m) > 0)
         moves = cut(core.select(F.col("mate").alias("c"), "lead").union(joins.select("c", "lead")), "moves")
         # the smallest name leads
         names = core.select(F.col("lead").alias("c"), "lead").union(moves)
         least = names.groupBy("lead").agg(F.min("c").alias("to"))
-        moves = cut(names.join(least, "lead").select("c", "to"), "moves")
-        to = lambda end: moves.select(F.col("c").alias(end), F.col("to").alias(f"to_{end}"))
+        moves = cut(names.join(_apart(least), "lead").select("c", "to"), "moves")
+        to = lambda end: _apart(moves).select(F.col("c").alias(end), F.col("to").alias(f"to_{end}"))
         member = cut(member.join(to("community"), "community", "left").select("id", F.coalesce("to_community", "community").alias("community")), "member")
         degree = cut(degree.join(to("c"), "c", "left").groupBy(F.coalesce("to_c", "c").alias("c")).agg(F.sum("d").alias("d")), "degree")
         moved = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"), "w").filter("a <> b")
@@ -159,11 +168,12 @@ def greedy_communities(nodes: DataFrame, edges: DataFrame, driver_edges: int = D
     sequential: up to driver_edges distinct pairs are merged on the driver,
     larger graphs by merged_communities().  Nodes without a pair are
     communities of their own and stay in Spark."""
-    closed_pairs = simple_undirected(closed(nodes, edges))
+    closed_pairs = simple_undirected(closed(_apart(nodes), edges))
     rows = _driver_rows(closed_pairs, driver_edges)
     if rows is None:
+        closed_pairs = cut(closed_pairs, "pairs")
         merged = merged_communities(closed_pairs)
-        alone = nodes.select("id").distinct().join(merged.select("id"), "id", "left_anti")
+        alone = nodes.select("id").distinct().join(_apart(merged).select("id"), "id", "left_anti")
         found = merged.union(alone.select("id", F.col("id").alias("community")))
         few = closed_pairs.limit(2).count() < 2 or nodes.select("id").limit(3).count() < 3
         return found.limit(0) if few else found

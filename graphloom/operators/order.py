@@ -17,9 +17,10 @@ def _names(order: list[Column | str]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def running(rows: DataFrame, order: list[Column | str], amount: Column, name: str, keys: list[str] | None = None) -> DataFrame:
+def running(rows: DataFrame, order: list[Column | str], amount: Column, name: str, keys: list[str] | None = None, many: bool = False) -> DataFrame:
     """rows with name: the sum of amount over all rows up to theirs (of their
-    keys).  The order, after the keys, must be total for reruns to agree."""
+    keys).  The order, after the keys, must be total for reruns to agree.
+    many: there are about as many keys as rows, so their sums are not broadcast."""
     keys = keys or []
     by = [F.col(k) for k in keys] + _names(order)
     laid = cut(rows.withColumn("__amount", amount).repartitionByRange(*by).withColumn("__part", F.spark_partition_id()), "ranged")
@@ -30,7 +31,7 @@ def running(rows: DataFrame, order: list[Column | str], amount: Column, name: st
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
     own = F.sum("__amount").over(Window.partitionBy("__part", *keys).orderBy(*_names(order)).rowsBetween(Window.unboundedPreceding, 0))
-    out = laid.withColumn(name, own).join(sums, same).withColumn(name, F.col(name) + F.col("__before"))
+    out = laid.withColumn(name, own).join(sums.hint("merge") if many else sums, same).withColumn(name, F.col(name) + F.col("__before"))
     return out.select(*rows.columns, name)
 
 

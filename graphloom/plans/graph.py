@@ -306,9 +306,10 @@ def communities_of_rings(spark, d):
     its smallest member and within one ring, and they gain over single nodes."""
     edges = views.customer_rings(spark, d)
     c = views.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    edges = views.closed(c, edges)
+    # neither customers nor their rings are broadcast: they would go through the driver
+    edges = views.closed(c.hint("merge"), edges)
     whole = edges.groupBy(F.expr("source_id div 12").alias("block")).agg(F.count(F.lit(1)).alias("n")).filter("n = 6 + block % 7").select("block")
-    edges = cut(edges.withColumn("block", F.expr("source_id div 12")).join(whole, "block", "left_semi").select("source_id", "target_id"), "rings")
+    edges = cut(edges.withColumn("block", F.expr("source_id div 12")).join(whole.hint("merge"), "block", "left_semi").select("source_id", "target_id"), "rings")
     found = cut(analytics.greedy_communities(edges.select(F.col("source_id").alias("id")), edges, driver_edges=0), "communities")
     pairs = views.simple_undirected(edges)
     block = F.expr("id div 12")

@@ -3,7 +3,7 @@
 import random
 
 from graphloom import views
-from graphloom.operators import analytics, traverse
+from graphloom.operators import analytics, order, traverse
 
 
 def graph(spark, edges, n):
@@ -47,6 +47,22 @@ def test_communities_by_joins(spark):
     assert analytics.greedy_communities(*graph(spark, [(0, 1)], 3), driver_edges=0).count() == 0
 
 
+def test_communities_by_joins_broadcast_no_table(spark, monkeypatch):
+    plans, cut = [], analytics.cut
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def seen(df, name="step"):
+        plans.append(plan(df))
+        return cut(df, name)
+
+    monkeypatch.setattr(analytics, "cut", seen)
+    monkeypatch.setattr(order, "cut", seen)
+    nodes, e = graph(spark, *blobs(3))
+    found = analytics.greedy_communities(nodes, e, driver_edges=0)
+    plans += [plan(found), plan(analytics.modularity(views.simple_undirected(e), found))]
+    assert len(plans) > 9 and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
 def test_feedback_arcs_by_joins(spark):
     for seed in (1, 4):
         rng = random.Random(seed)
