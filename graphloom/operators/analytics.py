@@ -350,41 +350,53 @@ def fiedler_cut(nodes: DataFrame, edges: DataFrame, rounds: int = 250, tolerance
 
 
 def peeled_arcs(edges: DataFrame) -> DataFrame:
-    """source_id, target_id of the arcs that go backward in an order made by
-    rounds of joins: all sinks go to the end, else all sources to the front,
-    else nodes of a high out - in degree to the front.
+    """source_id, target_id, back of the distinct edges: whether an arc goes
+    backward in an order made by rounds of joins: all sinks go to the end, else
+    all sources to the front, else nodes of a high out - in degree to the front.
 
     Those are the ones whose degree exceeds that of all their neighbours, ties
     to the smaller name, and half of the highest.  No two of a round are
-    neighbours, so they could as well go one after the other."""
-    arcs = cut(edges.filter("source_id <> target_id").select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct(), "arcs")
-    left, order = arcs, None
-    for n in itertools.count(1):
-        if left.isEmpty():
-            break
+    neighbours, so they could as well go one after the other.  A neighbour that
+    exceeds a high node is high itself, so only arcs among them tell who stays.
+
+    An arc is settled in the round that takes its first end: it goes backward if
+    that is its target and goes to the front.  A round writes the arcs that were
+    left with what becomes of them; no order of all nodes is joined to the arcs.
+    Loops, and edges without one of their ends, are no arcs and never go back."""
+    spark = edges.sparkSession
+    every = cut(edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct(), "arcs")
+    arc = F.coalesce(F.col("a") != F.col("b"), F.lit(False))
+    left, settled = every.filter(arc), []
+    while not left.isEmpty():
         ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("b").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
         degree = cut(ends.groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i")), "degree")
         sinks, sources, top = degree.agg(F.count(F.when(F.col("o") == 0, 1)), F.count(F.when(F.col("i") == 0, 1)), F.max(F.col("o") - F.col("i"))).first()
-        if sinks:
-            gone = degree.filter("o = 0").select("id", F.lit(1).alias("part"), F.lit(-n).alias("turn"))
-        elif sources:
-            gone = degree.filter("i = 0").select("id", F.lit(0).alias("part"), F.lit(n).alias("turn"))
+        if sinks or sources:
+            # no arc leaves a sink, and none leads to a source
+            end = "b" if sinks else "a"
+            gone = cut(degree.filter("o = 0" if sinks else "i = 0").select(F.col("id").alias(end), F.lit(True).alias("gone")), "gone")
+            met = cut(left.join(gone, end, "left").select("a", "b", F.coalesce("gone", F.lit(False)).alias("gone"), F.lit(False).alias("back")), "met")
         else:
-            rank = lambda end: degree.select(F.col("id").alias(end), F.struct((F.col("i") - F.col("o")).alias("r"), F.col("id").alias("n")).alias(f"r{end}"))
+            # written first: where they are few, their size spares a shuffle of the arcs
             high = degree.filter(F.col("o") - F.col("i") >= max(top - top // 2, 0) if top > 0 else F.col("o") - F.col("i") == top)
-            met = left.join(rank("a"), "a").join(rank("b"), "b")
-            behind = met.select(F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
-            gone = high.join(behind, "id", "left_anti").select("id", F.lit(0).alias("part"), F.lit(n).alias("turn"))
-        gone = cut(gone, "gone")
-        order = gone if order is None else cut(order.union(gone), "order")
-        left = cut(left.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti"), "arcs")
-    if order is None:
-        return edges.select("source_id", "target_id").limit(0)
-    # what is left behind by the last round has no arcs any more: it fits anywhere
-    at = lambda end: order.select(F.col("id").alias(end), F.struct("part", "turn").alias(f"p{end}"))
-    rest = F.struct(F.lit(0).alias("part"), F.lit(2**31 - 1).alias("turn"))
-    both = arcs.join(at("a"), "a", "left").join(at("b"), "b", "left")
-    return both.filter(F.coalesce("pa", rest) > F.coalesce("pb", rest)).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"))
+            high = cut(high.select("id", (F.col("i") - F.col("o")).alias("r")), "high")
+            rank = lambda end: high.select(F.col("id").alias(end), F.col("r").alias(f"r{end}"))
+            of, to = F.col("ra").isNotNull(), F.col("rb").isNotNull()
+            behind = F.when(of & to, F.when(F.struct("ra", "a") < F.struct("rb", "b"), F.col("b")).otherwise(F.col("a")))
+            met = cut(left.join(rank("a"), "a", "left").join(rank("b"), "b", "left").select("a", "b", (of | to).alias("gone"), to.alias("back"), behind.alias("behind")), "met")
+            stay = cut(met.filter("behind IS NOT NULL").select(F.col("behind").alias("id")).distinct(), "stay")
+            if not stay.isEmpty():
+                stays = lambda end: stay.select(F.col("id").alias(end), F.lit(True).alias(f"s{end}"))
+                of = F.col("gone") & (~F.col("back") | F.col("behind").isNotNull()) & F.col("sa").isNull()
+                to = F.col("back") & F.col("sb").isNull()
+                met = cut(met.join(stays("a"), "a", "left").join(stays("b"), "b", "left").select("a", "b", (of | to).alias("gone"), to.alias("back")), "met")
+        settled.append(met)
+        left = met.filter("NOT gone").select("a", "b")
+    found = every.filter(~arc).select("a", "b", F.lit(False).alias("back"))
+    if settled:
+        rounds = spark.read.schema(settled[0].select("a", "b", "gone", "back").schema).parquet(*(t._graphloom_path for t in settled))
+        found = rounds.filter("gone").select("a", "b", "back").union(found)
+    return found.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), "back")
 
 
 def feedback_arcs(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
@@ -393,7 +405,7 @@ def feedback_arcs(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFra
     above driver_edges distinct arcs by peeled_arcs()."""
     rows = _driver_rows(edges.filter("source_id <> target_id").select("source_id", "target_id").distinct(), driver_edges)
     if rows is None:
-        return peeled_arcs(edges)
+        return peeled_arcs(edges).filter("back").select("source_id", "target_id")
     arcs = sorted((r[0], r[1]) for r in rows)
     succ, pred = {}, {}
     for a, b in arcs:

@@ -123,17 +123,19 @@ def levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, level) of the nodes that no cycle leads to, level being the number
     of edges of the longest way to one, and what is left: the edges among the
     others.  edges: (a, b).  Each round peels the nodes without a way in."""
-    left = edges
-    ids = cut(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), "nodes")
-    found = None
+    left, found = edges, None
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(False).alias("led")), F.struct(F.col("b").alias("id"), F.lit(True).alias("led")))).alias("e")).select("e.*")
+    nodes = cut(ends.groupBy("id").agg(F.max("led").alias("led")), "nodes")
+    first, inner = nodes.filter("NOT led"), nodes.filter("led").select("id")
     for n in itertools.count():
-        inner = cut(left.select(F.col("b").alias("id")).distinct(), "inner")
-        peeled = cut(ids.join(inner, "id", "left_anti").select("id", F.lit(n).alias("level")), "level")
+        peeled = cut(first.select("id", F.lit(n).alias("level")), "level")
         if peeled.isEmpty():
             return (peeled if found is None else found), left
         found = peeled if found is None else found.union(peeled)
         ids = inner
         left = cut(left.join(peeled.select(F.col("id").alias("a")), "a", "left_anti"), "edges")
+        inner = cut(left.select(F.col("b").alias("id")).distinct(), "inner")
+        first = ids.join(inner, "id", "left_anti")
 
 
 def _reach_labels(links: DataFrame, place: DataFrame, seeds: int = 3) -> DataFrame:

@@ -324,12 +324,10 @@ def communities_of_rings(spark, d):
 def arcs_without_feedback(spark, d):
     """Line item arcs without their feedback arcs, which joins found: no node
     is on a cycle any more, and at most half of the arcs went."""
-    edges = views.line_edges(spark, d)
-    arcs = cut(edges.select("source_id", "target_id").distinct(), "arcs")
-    back = cut(analytics.feedback_arcs(edges, driver_edges=0), "feedback")
-    kept = arcs.join(back, ["source_id", "target_id"], "left_anti").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    left = traverse.levels(cut(kept, "kept"))[1].agg(F.count(F.lit(1)).alias("on_cycles"))
-    counts = arcs.agg(F.count(F.lit(1)).alias("arcs")).crossJoin(back.agg(F.count(F.lit(1)).alias("n")))
+    arcs = analytics.peeled_arcs(views.line_edges(spark, d))
+    kept = arcs.filter("NOT back").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    left = traverse.levels(kept)[1].agg(F.count(F.lit(1)).alias("on_cycles"))
+    counts = arcs.agg(F.count(F.lit(1)).alias("arcs"), F.count_if("back").alias("n"))
     return counts.crossJoin(left).select("arcs", "on_cycles", (F.col("n") * 2 <= F.col("arcs")).alias("few"))
 
 

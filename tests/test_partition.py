@@ -73,3 +73,37 @@ def test_feedback_arcs_by_joins(spark):
         kept = [p for p in edges if p not in large and p[0] != p[1]]
         assert traverse.levels(spark.createDataFrame(kept, "a long, b long"))[1].isEmpty()
     assert analytics.feedback_arcs(graph(spark, [(1, 2), (2, 3)], 4)[1], driver_edges=0).count() == 0
+
+
+def test_feedback_arcs_join_a_round_once(spark, monkeypatch):
+    """A round joins its arcs by each end once, and nothing places them after."""
+    plans, cut = [], analytics.cut
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def seen(df, name="step"):
+        plans.append(plan(df))
+        return cut(df, name)
+
+    monkeypatch.setattr(analytics, "cut", seen)
+    back = {(p, p % 4) for p in range(10, 30)}
+    _, e = graph(spark, [(s, p) for s in range(4) for p in range(10, 30)] + sorted(back), 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = analytics.feedback_arcs(e, driver_edges=0)
+        plans.append(plan(found))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {tuple(r) for r in found.collect()} == back
+    assert sum(p.count("SortMergeJoin") for p in plans) == 2
+
+
+def test_peeled_arcs_are_all_edges_once(spark):
+    rng = random.Random(7)
+    edges = [(rng.randrange(14), rng.randrange(14)) for _ in range(60)] + [(5, 5), (20, 21), (20, 21), (21, 22)]
+    _, e = graph(spark, edges, 0)
+    rows = [tuple(r) for r in analytics.peeled_arcs(e).collect()]
+    assert sorted(r[:2] for r in rows) == sorted(set(edges))
+    kept = [r[:2] for r in rows if not r[2] and r[0] != r[1]]
+    assert traverse.levels(spark.createDataFrame(kept, "a long, b long"))[1].isEmpty()
+    assert not [r for r in rows if r[2] and r[0] == r[1]]
