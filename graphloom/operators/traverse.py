@@ -16,6 +16,8 @@ from ..storage import cut
 
 #: Open ends that a link carries at most in a search for redundant links.
 CARRIED = 16
+#: Links that a start has at most in one row of such a search.
+WHOLE = 1000
 
 
 def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, max_depth: int = 3) -> DataFrame:
@@ -157,76 +159,152 @@ def _reach_labels(links: DataFrame, place: DataFrame, seeds: int = 3) -> DataFra
             return now
 
 
-def _redundant_of_dag(links: DataFrame) -> DataFrame:
-    """(a, b) of the acyclic links (a, b) whose end another way leads to.
+def layers(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, level) of the nodes that have a way in and that no cycle leads to,
+    the level being the edges of the longest way to one; the distinct links
+    (a, b, la) out of nodes that no cycle leads to, with the level of a; and
+    the links (a, b) that are left.  edges: (a, b), read twice.
+
+    A round tells by one join which links start at a node without a way in,
+    so no level is joined to the links afterwards."""
+    left, ids, place, laid = edges, None, None, None
+    for n in itertools.count():
+        inner = cut(left.select(F.col("b").alias("id")).distinct(), "inner")
+        if ids is not None:
+            level = cut(ids.join(inner, "id", "left_anti").select("id", F.lit(n).alias("level")), "level")
+            if level.isEmpty():
+                return (level if place is None else place), laid, left
+            place = level if place is None else place.union(level)
+        split = left.join(inner.select(F.col("id").alias("a"), F.lit(True).alias("inside")), "a", "left").select("a", "b", F.col("inside").isNotNull().alias("inside"))
+        split = cut(split if laid is not None else split.distinct(), "split")
+        out = split.filter("NOT inside").select("a", "b", F.lit(n).alias("la"))
+        laid = out if laid is None else laid.union(out)
+        left, ids = split.filter("inside").select("a", "b"), inner
+        if place is None and out.isEmpty():
+            return inner.select("id", F.lit(n).alias("level")).limit(0), laid, left
+
+
+def _redundant_of_dag(place: DataFrame, laid: DataFrame) -> DataFrame:
+    """(a, b) of the acyclic links, as layers() gives them, whose end another
+    way leads to.
 
     An edge to the next level has no other way.  For the rest, searches go
     back from their ends, but only over nodes above the level of the lowest
-    start that is still open, and only where no label of the node rules out
-    that each open start leads to it.  A search's state is (end, node).
+    start that is still open.  A search's state is (end, node).  Searches that
+    have come to more than half as many states as there are links get labels,
+    and go on only where no label of the node rules out that each open start
+    leads to it.
 
     Whether a start is next to a node of a search is told where the node is:
     links carry the open ends of a start that has up to CARRIED, and meet the
-    node's ends as a list, so no row is made for a start and an end that have
-    no open link.  A start with more takes the ends of its nodes to it."""
-    place = cut(levels(links)[0], "levels")
-    lv = lambda c: place.select(F.col("id").alias(c), F.col("level").alias(f"l{c}"))
-    laid = cut(links.join(lv("b"), "b").join(lv("a"), "a").select("a", "b", "la", "lb"), "laid")
-    still = laid.filter("lb > la + 1").select("a", "b", "la")
-    done = links.limit(0)
+    node's ends as a list, so no row is made for a start and an end that have no
+    open link.  A start with more, or with more than WHOLE links, takes the ends
+    of its nodes to it.  A round asks at the levels that its searches are at, and
+    where few ends are searched, links carry no others."""
+    deep = place.filter("level > 1")
+    lv = lambda c: deep.select(F.col("id").alias(c), F.col("level").alias(f"l{c}"))
+    still = cut(laid.join(lv("b"), "b").filter("lb > la + 1").select("a", "b", "la"), "open")
+    done = laid.select("a", "b").limit(0)
     if still.isEmpty():
         return done
-    labels = _reach_labels(links, place)
-    seeds = len(labels.first()["labels"])
-    # links of open starts that another node could follow, by that node
-    ends = laid.filter("lb > la + 1").groupBy("a").agg(F.max("lb").alias("top"), F.collect_list("b").alias("open"))
-    near = laid.join(ends, "a").filter("lb < top").select("a", F.col("b").alias("at"), F.when(F.size("open") <= CARRIED, F.col("open")).alias("open"))
-    near = cut(near, "near")
-    many = near.filter("open IS NULL").select("a", "at")
-    few, some = near.filter("open IS NOT NULL"), not many.isEmpty()
+    kind = laid.schema["b"].dataType
+    # the links of open starts, a row a start, that another node could follow;
+    # starts with many links or open ends have a row a link
+    heavy = cut(laid.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > WHOLE).select("a"), "heavy")
+    seen_at = laid.join(lv("b"), "b", "left").withColumn("lb", F.coalesce("lb", F.lit(1)))
+    whole = seen_at.join(heavy, "a", "left_anti").groupBy("a", "la").agg(F.collect_list(F.struct(F.col("b").alias("at"), F.col("lb").alias("lat"))).alias("ats"))
+    opened = F.transform(F.filter("ats", lambda e: e["lat"] > F.col("la") + 1), lambda e: e["at"])
+    near = cut(whole.select("a", "ats", opened.alias("open")).filter(F.size("open") > 0), "near")
+    few = near.filter(F.size("open") <= CARRIED)
+    rows = near.filter(F.size("open") > CARRIED).select("a", F.explode("ats.at").alias("at"))
+    many = cut(rows.union(laid.join(heavy, "a", "left_semi").select("a", F.col("b").alias("at"))), "many")
+    some = not many.isEmpty()
     # all other steps of a search are over nodes above the lowest open start
     lowest = still.agg(F.min("la")).first()[0]
-    back = cut(laid.filter(F.col("la") > lowest).select("a", F.col("b").alias("at"), "la"), "back")
-    front = back.withColumnRenamed("at", "b").join(still.select("b").distinct(), "b", "left_semi").select("b", F.col("a").alias("at"), F.col("la").alias("lat"))
+    back = laid.filter(F.col("la") > lowest).select("a", F.col("b").alias("at"), "la")
+    least = lambda: cut(still.groupBy("b").agg(F.min("la").alias("low")), "bounds")
+    bounds = least()
+    front = back.withColumnRenamed("at", "b").join(bounds.select("b"), "b", "left_semi").select("b", F.col("a").alias("at"), F.col("la").alias("lat"))
     front = cut(front, "front")
     seen = front.select("b", "at")
+    links, searched, labels, hits = laid.count(), 0, None, []
     while True:
-        marks = still.join(labels.select(F.col("id").alias("a"), "labels"), "a")
-        bounds = marks.groupBy("b").agg(F.min("la").alias("low"), *(F.max(F.col("labels")[k]).alias(f"top{k}") for k in range(seeds)))
-        live = front.join(bounds, "b").filter(F.col("lat") > F.col("low")).join(labels.select(F.col("id").alias("at"), "labels"), "at")
-        for k in range(seeds):
-            live = live.filter(F.col("labels")[k] <= F.col(f"top{k}"))
-        live = cut(live.select("b", "at", "low"), "live")
-        lists = live.groupBy("at", F.pmod(F.xxhash64("b"), F.lit(16)).alias("part")).agg(F.collect_list("b").alias("ends"))
-        hit = few.join(lists, "at").select("a", F.explode(F.array_intersect("open", "ends")).alias("b"))
+        searched += front.count()
+        if labels is None and 2 * searched > links:
+            nodes = laid.select(F.col("a").alias("id")).union(place.select("id")).distinct()
+            labels = _reach_labels(laid.select("a", "b"), nodes)
+        live = front.join(bounds, "b").filter(F.col("lat") > F.col("low"))
+        if labels is not None:
+            seeds = range(len(labels.first()["labels"]))
+            marks = still.join(labels.select(F.col("id").alias("a"), "labels"), "a")
+            tops = marks.groupBy("b").agg(*(F.max(F.col("labels")[k]).alias(f"top{k}") for k in seeds))
+            live = live.join(tops, "b").join(labels.select(F.col("id").alias("at"), "labels"), "at")
+            for k in seeds:
+                live = live.filter(F.col("labels")[k] <= F.col(f"top{k}"))
+        live = cut(live.select("b", "at", "low", "lat"), "live")
+        # lists of about a thousand ends at most
+        sizes = live.groupBy("at").agg(F.count(F.lit(1)).alias("n"))
+        lists = live.join(sizes, "at").groupBy("at", F.expr("pmod(xxhash64(b), n div 1000 + 1)").alias("part")).agg(F.collect_list("b").alias("ends"))
+        lists = cut(lists.select("at", "ends"), "lists")
+        found = [r[0] for r in live.select("b").distinct().limit(CARRIED + 1).collect()]
+        asked = few
+        if len(found) <= CARRIED:
+            only = F.array(*(F.lit(x).cast(kind) for x in found)).cast(few.schema["open"].dataType)
+            asked = few.withColumn("open", F.array_intersect("open", only)).filter(F.size("open") > 0)
+        at_levels = [r[0] for r in live.select("lat").distinct().collect()]
+        asked = asked.select("a", "open", F.inline("ats")).filter(F.col("lat").isin(at_levels)).drop("lat")
+        hit = asked.join(lists, "at").select("a", F.explode(F.array_intersect("open", "ends")).alias("b"))
         if some:
-            hit = hit.union(many.join(live, "at").select("a", "b"))
-        hit = cut(still.select("a", "b").join(hit, ["a", "b"], "left_semi"), "hit")
-        if not hit.isEmpty():
-            done = done.union(hit)
-            still = cut(still.join(hit, ["a", "b"], "left_anti"), "open")
+            hit = hit.union(many.join(live, "at").select("a", "b").join(still.select("a", "b"), ["a", "b"], "left_semi"))
+        hit = cut(hit.distinct(), "hit")
+        hits.append(hit)
         step = live.join(back, "at").filter(F.col("la") > F.col("low")).select("b", F.col("a").alias("at"), F.col("la").alias("lat"))
         front = cut(step.dropDuplicates(["b", "at"]).join(seen, ["b", "at"], "left_anti"), "front")
-        if front.isEmpty() or still.isEmpty():
-            return done
+        if not front.isEmpty():
+            # of the open links, those whose ends are searched on
+            on = cut(front.select("b").distinct(), "ends")
+            still = still.join(on, "b", "left_semi").join(hit.join(on, "b", "left_semi"), ["a", "b"], "left_anti")
+            still = cut(still.select("a", "b", "la"), "open")
+            bounds = least()
+        if front.isEmpty() or bounds.isEmpty():
+            for h in hits:
+                done = done.union(h)
+            return done.distinct() if len(hits) > 1 else done
         seen = cut(seen.union(front.select("b", "at")), "seen")
 
 
+def redundant_edges(edges: DataFrame) -> DataFrame:
+    """source_id, target_id of the edges that transitive_reduction marks."""
+    links, place, laid, left = _laid_links(edges)
+    if left.isEmpty():
+        return _redundant_of_dag(place, laid).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"))
+    return _reduction_with_cycles(links, left, edges.schema["source_id"].dataType).filter("redundant").select("source_id", "target_id")
+
+
 def transitive_reduction(edges: DataFrame) -> DataFrame:
     """source_id, target_id, redundant for the distinct edges, loops left out.
 
     u -> v is redundant if another successor of u reaches v.  The closure is
-    never written: levels and labels settle most edges, and only what they
-    leave open is searched.  Nodes that reach each other are taken as one:
+    never written: levels settle most edges, and only what they leave open is
+    searched.  Nodes that reach each other are taken as one:
     within such a component an edge is redundant if its start has another
     successor there, and an edge out of it always is.
     """
-    kind = edges.schema["source_id"].dataType
-    links = cut(edges.filter("source_id <> target_id").select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct(), "links")
-    left = levels(links)[1]
+    links, place, laid, left = _laid_links(edges)
     if left.isEmpty():
-        marked = links.join(_redundant_of_dag(links).withColumn("redundant", F.lit(True)), ["a", "b"], "left")
+        marked = links.join(_redundant_of_dag(place, laid).withColumn("redundant", F.lit(True)), ["a", "b"], "left")
         return marked.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.coalesce("redundant", F.lit(False)).alias("redundant"))
+    return _reduction_with_cycles(links, left, edges.schema["source_id"].dataType)
+
+
+def _laid_links(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The distinct links (a, b) of edges without loops, and their layers()."""
+    place, laid, left = layers(edges.filter("source_id <> target_id").select(F.col("source_id").alias("a"), F.col("target_id").alias("b")))
+    return laid.select("a", "b").union(left), place, laid, left
+
+
+def _reduction_with_cycles(links: DataFrame, left: DataFrame, kind) -> DataFrame:
+    """transitive_reduction of links of which those in left are behind cycles."""
     comp = cut(strong_components(left.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"))).select(F.col("id").cast(kind).alias("id"), F.col("component").cast(kind).alias("c")), "components")
     c = lambda end: comp.select(F.col("id").alias(end), F.col("c").alias(f"c{end}"))
     both = links.join(c("a"), "a", "left").join(c("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
@@ -235,7 +313,7 @@ def transitive_reduction(edges: DataFrame) -> DataFrame:
     per = both.groupBy("a", "cb").agg(F.count(F.lit(1)).alias("there"))
     inside = both.filter("ca = cb").select("a").distinct().withColumn("inside", F.lit(True))
     whole = both.filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    over = _redundant_of_dag(cut(whole, "whole")).select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.lit(True).alias("over"))
+    over = _redundant_of_dag(*layers(cut(whole, "whole"))[:2]).select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.lit(True).alias("over"))
     all_ = both.join(per, ["a", "cb"]).join(inside, "a", "left").join(over, ["ca", "cb"], "left")
     yes = lambda x: F.coalesce(F.col(x), F.lit(False))
     redundant = F.when(F.col("ca") == F.col("cb"), F.col("there") > 1).otherwise(yes("inside") | (F.col("there") > 1) | yes("over"))

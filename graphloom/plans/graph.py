@@ -207,7 +207,7 @@ UNION ALL SELECT 'o:' || o, 'r:' || r FROM g WHERE EXISTS (SELECT 1 FROM ways w
 
 @query(_LAYERS)
 def redundant_line_edges(spark, d):
-    return traverse.transitive_reduction(views.order_layers(spark, d)).filter("redundant").select("source_id", "target_id")
+    return traverse.redundant_edges(views.order_layers(spark, d))
 
 
 _RINGS = "r AS (SELECT b, any_value(6 + b % 7) AS n, list(k ORDER BY k) AS c FROM (SELECT c_custkey AS k, c_custkey // 12 AS b FROM customer) WHERE k % 12 < 6 + b % 7 GROUP BY b HAVING count(*) = any_value(6 + b % 7))"
