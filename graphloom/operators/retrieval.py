@@ -203,6 +203,8 @@ def _pairs_of_letters(names: DataFrame, column: str) -> DataFrame:
 #: Letters of a name up to which names within two edits meet by what is left of
 #: them without two letters: 820 forms at most; longer ones meet by pairs of letters.
 SHORT = 40
+#: Letters of a tail, of which the one is taken that promises the fewest forms.
+TAILS = (4, 6, 8, 10, 12, 16)
 
 
 def _shortened(names: DataFrame, column: str, r: int) -> DataFrame:
@@ -219,6 +221,80 @@ def _shortened(names: DataFrame, column: str, r: int) -> DataFrame:
     return names.select(F.xxhash64(column).alias(f"{column}_id"), F.explode(F.expr(f"array_distinct(concat(array(xxhash64({c})), {forms}))")).alias("h"))
 
 
+def _without(c: str, n: int) -> str:
+    """SQL for what is left of the text c without n of its letters, 0 to 2."""
+    places = f"slice(sequence(1, {SHORT + 2}), 1, length({c}))"
+    if n == 0:
+        return f"array({c})"
+    if n == 1:
+        return f"transform({places}, i -> concat(substr({c}, 1, i - 1), substr({c}, i + 1)))"
+    rest = f"transform(slice(sequence(1, {SHORT + 2}), i + 1, length({c}) - i), j -> concat(substr({c}, 1, i - 1), substr({c}, i + 1, j - i - 1), substr({c}, j + 1)))"
+    return f"flatten(transform({places}, i -> {rest}))"
+
+
+def _by_forms(grown: DataFrame, near: DataFrame, r: int) -> DataFrame:
+    """(name_id, known_id) of names with equal forms of r letters less or fewer."""
+    return _shortened(grown, "name", r).hint("merge").join(_shortened(near, "known", r), "h").select("name_id", "known_id").distinct()
+
+
+def _keyed(halves: DataFrame, column: str, forms: str) -> DataFrame:
+    """<column>_id, h: a hash of each name and of its head with what is left of its tail."""
+    return halves.select(F.xxhash64(column).alias(f"{column}_id"), "head", F.explode(F.expr(f"array_distinct({forms})")).alias("form")).select(f"{column}_id", F.xxhash64("head", "form").alias("h"))
+
+
+def _by_halves(grown: DataFrame, near: DataFrame, r: int) -> DataFrame | None:
+    """As _by_forms, by heads and tails, or None where that makes as many rows.
+
+    A known name is cut before its last letters.  A name within r edits can be
+    cut so that the heads are i and the tails r - i edits apart at most.  Where
+    many names have the same words there are few heads: these meet first, each
+    once, and names make forms of the short tails only, and only as many as the
+    edits of the heads leave."""
+    sides = {"name": grown, "known": near}
+    head = lambda c, t, d=0: F.substring(c, F.lit(1), F.greatest(F.lit(0), F.length(c) - t - d))
+    some = {c: df.agg(F.count(F.lit(1)).alias("n"), F.avg(F.length(c)).alias("l"), *(F.approx_count_distinct(head(c, t)).alias(f"t{t}") for t in TAILS)).first() for c, df in sides.items()}
+    whole = lambda l: 1 + l if r == 1 else 1 + l + l * (l - 1) / 2
+    plain = sum(x["n"] * whole(x["l"] or 0) for x in some.values())
+    # a name has up to 2 r + 1 heads
+    cost = {t: sum(x["n"] * t * r + m * x[f"t{t}"] * whole(max(0, (x["l"] or 0) - t)) for x, m in ((some["known"], 1), (some["name"], 2 * r + 1))) for t in TAILS}
+    t = min(TAILS, key=lambda t: cost[t])
+    if cost[t] > plain / 2:
+        return None
+    tail = F.expr("substr(known, length(head) + 1)")
+    spread = lambda df, c: df.select(c).repartition(1 + int(some[c]["n"]) // 20000, c)
+    theirs = spread(near, "known").select("known", head("known", t).alias("head")).withColumn("tail", tail)
+    at = F.array_distinct(F.filter(F.array(*(F.length("name") - t - d for d in range(-r, r + 1)), F.when(F.length("name") <= t + r, F.lit(0))), lambda p: p >= 0))
+    ours = spread(grown, "name").select("name", F.explode(at).alias("p")).select("name", "p", F.expr("substr(name, 1, p)").alias("mine"), F.expr("substr(name, p + 1)").alias("tail"))
+    # distinct heads within r edits
+    counted = cut(ours.groupBy("mine").agg(F.count(F.lit(1)).alias("n")), "heads")
+    known = cut(theirs.groupBy("head").agg(F.count(F.lit(1)).alias("m")), "heads")
+    a, b = counted.select(F.col("mine").alias("name")), known.select(F.col("head").alias("known"))
+    met = _named(_by_forms(a, b, r), a, b).withColumn("left", r - F.levenshtein("name", "known")).filter("left >= 0")
+    heads = cut(met.select(F.col("name").alias("mine"), F.col("known").alias("head"), "left"), "heads")
+    most = cut(heads.groupBy("head").agg(F.max("left").alias("left")), "heads")
+    forms = {0: 1.0, 1: 1.0 + t, 2: 1 + t + t * (t - 1) / 2}
+    rows = lambda df, n: sum((x["rows"] or 0) * forms[x["left"]] for x in df.groupBy("left").agg(F.sum(n).alias("rows")).collect())
+    if rows(heads.join(counted, "mine"), "n") + rows(most.join(known, "head"), "m") > plain:
+        return None
+    upto = lambda c, j: f"concat({', '.join(_without(c, n) for n in range(j + 1))})"
+    case = lambda of: "CASE left " + " ".join(f"WHEN {j} THEN {of(j)}" for j in range(r + 1)) + " END"
+
+    def just(j: int) -> str:
+        """Forms of a tail d letters longer than t: of the longer one without j letters."""
+        drops = " ".join(f"WHEN {d} THEN {_without('tail', j + min(0, d))}" for d in range(-j, j + 1))
+        return f"CASE WHEN p = 0 THEN {upto('tail', j)} ELSE CASE length(tail) - {t} {drops} END END"
+
+    theirs = _keyed(theirs.join(most, "head"), "known", case(lambda j: upto("tail", j)))
+    ours = _keyed(ours.join(heads, "mine").filter(f"p = 0 OR abs(length(tail) - {t}) <= left"), "name", case(just))
+    return ours.hint("merge").join(theirs, "h").select("name_id", "known_id").distinct()
+
+
+def _named(met: DataFrame, grown: DataFrame, near: DataFrame) -> DataFrame:
+    """(name, known) of pairs of hashes."""
+    named = lambda df, c: df.select(F.xxhash64(c).alias(f"{c}_id"), c)
+    return met.join(named(grown, "name"), "name_id").join(named(near, "known"), "known_id").select("name", "known")
+
+
 def nearest_names(wanted: DataFrame, names: DataFrame, share: float = 0.8, least: int = 10, rounds: tuple[int, ...] = (1, 2, 4, 8, 16)) -> DataFrame:
     """name, nearest, distance: the closest known name within
     max(least, floor(share * length)) edits; ties by name.
@@ -227,7 +303,8 @@ def nearest_names(wanted: DataFrame, names: DataFrame, share: float = 0.8, least
     SHORT letters meet those within one edit, and what is left those within
     two, by equal forms: names within r edits are equal once r letters or less
     are left out of each.  Few others have such a form, however many names
-    have the same words.  Then rounds of growing radius r: an edit takes two pairs of letters away at most, so a name of
+    have the same words; where few heads of names do, only tails have forms
+    (_by_halves).  Then rounds of growing radius r: an edit takes two pairs of letters away at most, so a name of
     2 r + 1 distinct pairs or more shares one of its 2 r + 1 rarest pairs with
     any name within r edits, and one of the other's.  Only those that do meet,
     and the least distance met so far bounds the radius of the next round: once
@@ -259,9 +336,8 @@ def nearest_names(wanted: DataFrame, names: DataFrame, share: float = 0.8, least
         if grown.isEmpty():
             continue
         near = known.filter(F.length("known") <= SHORT + r)
-        met = _shortened(grown, "name", r).hint("merge").join(_shortened(near, "known", r), "h").select("name_id", "known_id").distinct()
-        named = lambda df, c: df.select(F.xxhash64(c).alias(f"{c}_id"), c)
-        pairs = met.join(named(grown, "name"), "name_id").join(named(near, "known"), "known_id").select("name", "known")
+        met = _by_halves(grown, near, r)
+        pairs = _named(_by_forms(grown, near, r) if met is None else met, grown, near)
         done, state = further(done, state, grown, pairs)
     if state.isEmpty():
         return done

@@ -218,3 +218,24 @@ def test_hashed_entries_move_texts_only(spark):
     q = retrieval.hashed_vectors(df.filter("id = 'a'"), F.col("t"))
     assert {r["id"]: round(r["s"], 6) for r in retrieval.products(found, q).collect()}["a"] == 1.0
     assert retrieval.products(found, q.limit(0)).count() == 0
+
+
+def test_nearest_names_of_the_same_words_make_few_forms(spark, monkeypatch):
+    """Of names that share their words, only short tails have forms: less than a
+    quarter of those of whole names.  Edits are at both ends and anywhere."""
+    rng = random.Random(11)
+    known = sorted({f"{a} {b} {rng.randrange(10 ** rng.randrange(4, 7))}" for a in ("large ring", "hot bolt", "old bolt", "cold plate") for b in ("STANDARD", "ECONOMY") for _ in range(25)} | {"a", "ab", "12345", "hot 12"})
+    wanted = {k[:3] + "x" + k[4:-1] for k in known}
+    for k in known[::40]:
+        i, j = rng.randrange(len(k)), rng.randrange(len(k))
+        wanted |= {k[:i] + "1" + k[i + 1 :], k[:j] + k[j + 1 :], k[:i] + " " + k[i:]}
+    wanted = sorted(wanted | {"abc", "b", "12", "1234567", "hot 1"})
+    rows = []
+    for maker in ("_shortened", "_keyed"):
+        if made := getattr(retrieval, maker, None):
+            monkeypatch.setattr(retrieval, maker, lambda *a, made=made: (lambda df: (rows.append(df.count()), df)[1])(made(*a)))
+    frame = lambda names: spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r["name"]: (r["nearest"], r["distance"]) for r in retrieval.nearest_names(frame(wanted), frame(known)).collect()}
+    best = {n: min((_edits(n, k), k) for k in known) for n in wanted}
+    assert got == {n: (k, d) for n, (d, k) in best.items() if d <= max(10, int(len(n) * 0.8))}
+    assert sum(rows) <= 75 * (len(known) + len(wanted)), (rows, len(known) + len(wanted))
